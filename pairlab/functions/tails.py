@@ -37,6 +37,32 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def student_two_sided(t: float, df: float) -> float:
+    """P(|T| >= |t|), from the continued fraction of the incomplete beta function."""
+    x = df / (df + t * t)
+    a, b = df / 2.0, 0.5
+    front = math.exp(
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+        + a * math.log(x) + b * math.log1p(-x)
+    ) if 0.0 < x < 1.0 else 0.0
+    if x >= 1.0:
+        return 1.0
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * _beta_fraction(x, a, b) / a
+    return 1.0 - front * _beta_fraction(1.0 - x, b, a) / b
+
+
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    """Value of the continued fraction, evaluated from its tail."""
+    value = 1.0
+    for m in range(400, 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = 1.0 + even / (1.0 + odd / value)
+    first = -(a + b) * x / (a + 1.0)
+    return 1.0 / (1.0 + first / value)
+
+
 @F.pandas_udf(T.DoubleType())
 def _chi2_sf(q: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else chi2_tail(a, b) for a, b in zip(q, df)])

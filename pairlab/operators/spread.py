@@ -48,8 +48,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def small_table(df: DataFrame, limit: int = FEW_KEYS) -> DataFrame | None:
     """`df` as a local table if it has at most `limit` rows, else None."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 
@@ -160,7 +160,10 @@ def exact_quantiles(
     ranks come from a running count that splits large keys. No task buffers a group.
     """
     present = df.filter(F.col(col).isNotNull())
-    counts = present.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # written once: sizes, totals and ranks below all start from it
+    counts = cut_lineage(
+        present.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    )
     ranked = running_fold(counts, by, [F.col("_v").asc()], F.col("_c"), "_upto")
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias(ROWS))
     if by:

@@ -1,3 +1,5 @@
 """Importing this module registers every query."""
 
-from pairlab.queries import aggregates, joins, projections, sources, windows  # noqa: F401
+from pairlab.queries import (  # noqa: F401
+    aggregates, charts, joins, models, projections, sources, statistics, windows,
+)

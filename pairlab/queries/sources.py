@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.plans.standin import observations
 from pairlab.queries.base import OBS, query, rnd, r
-from pairlab.session import shared_folder
+from pairlab.session import scratch_path
 from pairlab.sources.observations import load, normalize, read_observations, save, text_schema, to_double
 
 _RAW = ("grp", "ind", "role", "kind", "period", "size_a", "mass")
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/pairlab-{name}-{uuid.uuid4().hex}"
-
-
 def _as_csv(spark, folder: str, name: str) -> str:
     """Observations as a CSV in which a zero discount is the missing token."""
-    path = _scratch(spark, name)
+    path = scratch_path(spark, name)
     rows = observations(spark, folder).select(
         *[F.col(c).cast("string").alias(c) for c in _RAW],
         F.when(F.col("disc") == 0, "NA").otherwise(F.col("disc").cast("string")).alias("disc"),
@@ -87,7 +81,7 @@ def normalize_layout(spark, folder):
 SELECT period, kind, count(*) AS n, """ + r("sum(size_a)", 2) + """ AS size_sum
 FROM obs GROUP BY period, kind""")
 def parquet_round_trip(spark, folder):
-    path = _scratch(spark, "s4")
+    path = scratch_path(spark, "s4")
     save(observations(spark, folder), f"{path}/observations.parquet", partition_by=["period"])
     back = load(spark, path, "observations")
     return back.groupBy("period", "kind").agg(

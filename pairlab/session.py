@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/pairlab-{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back, so later stages never recompute it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` to the shared folder and read it back, so later stages never recompute it.
+
+    A written table also gives the planner true sizes; checkpointed plans carry their
+    estimates along, and those grow without bound in iterative jobs.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
