@@ -1,5 +1,5 @@
 """Importing this module registers every query."""
 
 from pairlab.queries import (  # noqa: F401
-    aggregates, charts, joins, models, projections, sources, statistics, windows,
+    aggregates, analyses, charts, joins, models, projections, sources, statistics, windows,
 )

@@ -85,3 +85,9 @@ def rounded(df: DataFrame, cols: dict[str, int] | list[str], digits: int = 6) ->
 def r(expression: str, digits: int = 6) -> str:
     """SQL text of `rnd`."""
     return f"(round({expression}, {digits}) + 0.0)"
+
+
+def erfc(x: str) -> str:
+    """SQL text of the complementary error function, by its power series (for x below 5)."""
+    terms = f"pow(-1, k) * pow({x}, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1))"
+    return f"(1 - 2 / sqrt(pi()) * list_sum([{terms} FOR k IN range(0, 120)]))"

@@ -201,23 +201,48 @@ def profiles(spark, folder):
 
 
 def _batch_sql() -> str:
-    """One recursive query per model is too long; the batch is checked on three of its models."""
-    one = _irls(more(PAIRS, _PROFILE),
-                "SELECT avg_size AS x, n_flagged AS y FROM profile WHERE avg_size IS NOT NULL", "poisson")
-    return one + f"""
-SELECT 'n_flagged~avg_size' AS model, '(Intercept)' AS term, {r('b0', 5)} AS estimate, {r('se0', 5)} AS se FROM est
-UNION ALL SELECT 'n_flagged~avg_size', 'avg_size', {r('b1', 5)}, {r('se1', 5)} FROM est"""
-
-
-@query("M7_batch_one_model", _batch_sql())
-def batch_one(spark, folder):
-    out = m.fit_glm_grid(profiles(spark, folder), batch_specs()).filter("model = 'n_flagged~avg_size'")
-    return rounded(out.select("model", "term", "estimate", "se"), ["estimate", "se"], 5)
+    """The Newton steps of all models in one recursive query, one state row per model."""
+    parts = " UNION ALL ".join(
+        f"SELECT '{s.name}' AS model, '{s.predictor}' AS pred, '{s.family}' AS family, "
+        f"{s.predictor} AS x, CAST({s.response} AS DOUBLE) AS y FROM profile WHERE {s.predictor} IS NOT NULL"
+        for s in batch_specs()
+    )
+    w = "CASE family WHEN 'binomial' THEN mu * (1 - mu) ELSE mu END"
+    return more(
+        PAIRS, _PROFILE, f"src AS ({parts})",
+        """scale AS (SELECT model, any_value(pred) AS pred, avg(x) AS mx, stddev_samp(x) AS sx,
+  CASE any_value(family) WHEN 'binomial' THEN ln(avg(y) / (1 - avg(y))) ELSE ln(avg(y)) END AS start
+  FROM src GROUP BY model)""",
+        "d AS (SELECT src.*, (x - mx) / sx AS z FROM src JOIN scale USING (model))",
+        f"""steps AS (
+  SELECT 0 AS i, model, start AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS va,
+         CAST(0 AS DOUBLE) AS vb, CAST(0 AS DOUBLE) AS vab FROM scale
+  UNION ALL
+  SELECT i + 1, model, a + (w2 * g0 - w1 * g1) / (w0 * w2 - w1 * w1),
+         b + (w0 * g1 - w1 * g0) / (w0 * w2 - w1 * w1),
+         w2 / (w0 * w2 - w1 * w1), w0 / (w0 * w2 - w1 * w1), -w1 / (w0 * w2 - w1 * w1)
+  FROM (SELECT i, model, any_value(a) AS a, any_value(b) AS b, sum(w) AS w0, sum(w * z) AS w1,
+               sum(w * z * z) AS w2, sum(y - mu) AS g0, sum((y - mu) * z) AS g1
+        FROM (SELECT *, {w} AS w FROM (
+          SELECT i, model, a, b, z, y, family,
+                 CASE family WHEN 'binomial' THEN 1 / (1 + exp(-(a + b * z))) ELSE exp(a + b * z) END AS mu
+          FROM steps JOIN d USING (model) WHERE i < 12))
+        GROUP BY i, model))""",
+        """est AS (SELECT model, pred, a - b * mx / sx AS b0, b / sx AS b1,
+  sqrt(va + vb * mx * mx / sx / sx - 2 * vab * mx / sx) AS se0, sqrt(vb) / sx AS se1
+  FROM steps JOIN scale USING (model) WHERE i = 12)""",
+    ) + f"""
+SELECT model, '(Intercept)' AS term, {r('b0', 4)} AS estimate, {r('se0', 4)} AS se FROM est
+UNION ALL SELECT model, pred, {r('b1', 8)}, {r('se1', 8)} FROM est"""
 
 
-@query("M7_model_batch")
+@query("M7_model_batch", _batch_sql())
 def batch(spark, folder):
-    return m.fit_glm_grid(profiles(spark, folder), batch_specs())
+    out = m.fit_glm_grid(profiles(spark, folder), batch_specs()).select("model", "term", "estimate", "se")
+    return out.withColumns({
+        c: F.when(F.col("term") == "(Intercept)", F.round(c, 4)).otherwise(F.round(c, 8)) + 0.0
+        for c in ("estimate", "se")
+    })
 
 
 def _shifted(spark, folder):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairlab.functions.tails import chi2_sf, normal_p
 from pairlab.operators import inference as t
 from pairlab.plans.standin import measured, pairs
-from pairlab.queries.base import OBS, PAIRS, more, query, r, rnd, rounded
+from pairlab.queries.base import OBS, PAIRS, erfc, more, query, r, rnd, rounded
 
 _COLS = ["mass", "size_a", "disc", "tax"]
 _COMPLETE = "full_rows AS (SELECT * FROM measured WHERE mass IS NOT NULL AND size_a IS NOT NULL)"
@@ -18,7 +18,7 @@ def _corr_sql(by: str = "") -> str:
     group = f"GROUP BY {by}" if by else ""
     parts = [
         f"SELECT {lead}'{a}' AS var_i, '{b}' AS var_j, "
-        + (r(f"corr({a}, {b})") if a != b else "CAST(1.0 AS DOUBLE)") + f" AS r FROM full_rows {group}"
+        + (r(f"corr({a}, {b})") if a != b else "max(CAST(1.0 AS DOUBLE))") + f" AS r FROM full_rows {group}"
         for a in _COLS for b in _COLS
     ]
     return more(OBS, _COMPLETE) + " UNION ALL ".join(parts)
@@ -94,9 +94,15 @@ def chi_square_two(spark, folder):
     return rounded(out.drop("p_value"), ["statistic"])
 
 
-@query("T4_chi_square_p")
+_SIX = "exp(-q / 2) * (1 + q / 2 + q * q / 8)"
+
+
+@query("T4_chi_square_p", _chi_sql("period", "mixed", PAIRS, "pairs", False).replace(
+    "\nSELECT CAST", ", test AS (SELECT CAST") + f""")
+SELECT n, levels_a, levels_b, statistic, df, {r(_SIX, 5)} AS p_value FROM (SELECT *, statistic AS q FROM test)
+WHERE df = 6""")
 def chi_square_p(spark, folder):
-    return t.chi_square(pairs(spark, folder), "period", "mixed")
+    return rounded(t.chi_square(pairs(spark, folder), "period", "mixed"), {"statistic": 6, "p_value": 5})
 
 
 _PROP = more(PAIRS, """
@@ -125,7 +131,8 @@ def tails(spark, folder):
     )
 
 
-@query("T6_normal_tail")
+@query("T6_normal_tail", PAIRS + f"""
+SELECT period, {r(erfc('4.0 * avg(mixed) / sqrt(2)'))} AS p FROM pairs GROUP BY period""")
 def normal_tail(spark, folder):
     z = pairs(spark, folder).groupBy("period").agg((4.0 * F.avg("mixed")).alias("z"))
-    return z.withColumn("p", normal_p(F.col("z")))
+    return z.select("period", rnd(normal_p(F.col("z"))).alias("p"))
