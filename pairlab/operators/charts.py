@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pairlab.functions.tails import normal_quantile
 from pairlab.operators.members import levels_of
 from pairlab.operators.regression import fit_glm, marginal_predictions
-from pairlab.operators.spread import attach, exact_quantiles
+from pairlab.operators.spread import (
+    attach, exact_quantiles, quantiles_of_counts, value_counts,
+)
 from pairlab.operators.summary import share_by, share_within
 
 
@@ -60,19 +62,23 @@ def mirror_histogram(
 
 
 def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
-    """Quartiles, whiskers at 1.5 IQR and the number of points beyond them, per key."""
-    quartiles = exact_quantiles(df, by, col, [0.25, 0.5, 0.75], "_q").select(
+    """Quartiles, whiskers at 1.5 IQR and the number of points beyond them, per key.
+
+    Everything comes from the counts per value, so the rows are read once.
+    """
+    counts = value_counts(df, by, col).filter(F.col("_v").isNotNull())
+    quartiles = quantiles_of_counts(counts, by, [0.25, 0.5, 0.75], "_q").select(
         *by, F.col("n").alias("_rows"), "n",
         *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))],
     )
-    rows = attach(df.filter(F.col(col).isNotNull()).select(*by, col), quartiles, by, few=True)
+    values = attach(counts, quartiles, by, few=True)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col(col) >= F.col("q1") - reach) & (F.col(col) <= F.col("q3") + reach)
-    return rows.groupBy(*by).agg(
+    inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
+    return values.groupBy(*by).agg(
         *[F.max(c).alias(c) for c in ("n", "q1", "median", "q3")],
-        F.min(F.when(inside, F.col(col))).alias("whisker_low"),
-        F.max(F.when(inside, F.col(col))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(1)).alias("n_outliers"),
+        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("n_outliers"),
     )
 
 

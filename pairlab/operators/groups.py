@@ -16,10 +16,16 @@ _COMPARE = {
 }
 
 
-def several_values(col: str) -> Column:
-    """True when a group holds more than one distinct value, NULL counting as a value."""
-    mixed = F.coalesce(F.min(col) != F.max(col), F.lit(False))
-    return mixed | (F.max(F.col(col).isNull()) & F.max(F.col(col).isNotNull()))
+def per_group_of(df: DataFrame, key: str, kind: str, out: str) -> DataFrame:
+    """Per group: its rows (`_rows`) and whether it holds several distinct values of `kind`.
+
+    Counted per (group, value) first, so both steps hash and a large group is spread.
+    NULL counts as a value.
+    """
+    values = df.groupBy(key, kind).agg(F.count(F.lit(1)).alias("_n"))
+    return values.groupBy(key).agg(
+        F.sum("_n").alias(ROWS), (F.count(F.lit(1)) > 1).cast("int").alias(out)
+    )
 
 
 def n_distinct(df: DataFrame, by: Sequence[str], col: str, out: str, count_null: bool = True) -> DataFrame:
@@ -39,12 +45,14 @@ def conflicting_ids(
     """
     if null_id not in ("match", "ignore"):
         raise ValueError(f"null_id must be 'match' or 'ignore', not {null_id!r}")
-    flags = [several_values(c).alias(f"_several_{c}") for c in cols]
-    found = per_key(df, [id_col], *flags)
-    clash = F.lit(False)
-    for c in cols:
-        clash = clash | F.col(f"_several_{c}")
-    found = found.filter(clash).select(id_col, ROWS)
+    # one row per individual and combination: a second combination means some column differs
+    seen = df.groupBy(id_col, *cols).agg(F.count(F.lit(1)).alias("_n"))
+    found = (
+        seen.groupBy(id_col)
+        .agg(F.sum("_n").alias(ROWS), F.count(F.lit(1)).alias("_combinations"))
+        .filter("_combinations > 1")
+        .select(id_col, ROWS)
+    )
     return found if null_id == "match" else found.filter(F.col(id_col).isNotNull())
 
 
@@ -81,8 +89,7 @@ def with_group_size(df: DataFrame, key: str | Sequence[str], out: str) -> DataFr
 
 
 def with_mixed_flag(df: DataFrame, key: str, kind: str, out: str) -> DataFrame:
-    stats = per_key(df, [key], several_values(kind).cast("int").alias(out))
-    return attach(df, stats, [key])
+    return attach(df, per_group_of(df, key, kind, out), [key])
 
 
 def clean_groups(
@@ -105,7 +112,7 @@ def clean_groups(
     bad = conflicting_ids(df, id_col, conflict_cols, null_id)
     groups = touched_groups(df, bad, id_col, group)
     rows = df if keep is None else df.filter(keep)
-    stats = per_key(rows, [group], several_values(kind).cast("int").alias(mixed))
+    stats = per_group_of(rows, group, kind, mixed)
     good = null_safe_join(stats, groups, [group], "left_anti").withColumn(size, F.col(ROWS))
     return attach(rows, good, [group])
 

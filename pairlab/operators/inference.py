@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.tails import chi2_sf
-from pairlab.operators.spread import ROWS, attach, per_key, running_fold
+from pairlab.operators.spread import ROWS, attach, per_key, running_fold, settle
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -112,7 +112,7 @@ def chi_square(df: DataFrame, a: str, b: str, correct: bool = True) -> DataFrame
     Empty cells are covered by sum(o^2/e) - n, so the full grid is never built. A 2 by 2
     table is continuity-corrected unless `correct=False`.
     """
-    cells = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("_o"))
+    cells = settle(df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("_o")))
     rows = per_key(cells, [a], F.sum("_o").alias("_ra"))
     cols = per_key(cells, [b], F.sum("_o").alias("_cb"))
     full = attach(attach(cells, rows, [a], few=True), cols, [b], few=True)
@@ -152,8 +152,12 @@ def proportion_statistic(hits: Column, total: Column, p0: Column) -> Column:
 
 def proportion_test(df: DataFrame, by: Sequence[str], flag: str, p0: float | None = None) -> DataFrame:
     """Each key's share of flagged rows against `p0` (default: the share over all rows)."""
-    groups = df.groupBy(*by).agg(F.sum(flag).alias("hits"), F.count(F.lit(1)).alias("total"))
-    against = F.lit(p0) if p0 is not None else df.agg(F.avg(flag)).scalar()
+    groups = settle(
+        df.groupBy(*by).agg(F.sum(flag).alias("hits"), F.count(F.lit(1)).alias("total"))
+    )
+    against = F.lit(p0)
+    if p0 is None:
+        against = groups.agg(F.sum("hits") / F.sum("total")).scalar()
     tested = groups.withColumns({"share": F.col("hits") / F.col("total"), "p0": against})
     tested = tested.withColumn(
         "statistic", proportion_statistic(F.col("hits"), F.col("total"), F.col("p0"))
@@ -164,6 +168,7 @@ def proportion_test(df: DataFrame, by: Sequence[str], flag: str, p0: float | Non
 def adjust_bh(df: DataFrame, p: str, family: Sequence[str] = (), out: str = "p_adj") -> DataFrame:
     """Benjamini-Hochberg adjusted p per family; NULL p stays NULL and does not count."""
     family = list(family)
+    df = settle(df)
     ranked = running_fold(
         df, family, [F.col(p).asc_nulls_last()], F.col(p).isNotNull().cast("bigint"), "_rank"
     )

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from pairlab.operators.design import Factor, Term, design
 from pairlab.operators.members import levels_of
-from pairlab.operators.regression import Fit, fit_glm, gram, term_test
+from pairlab.operators.regression import (
+    Fit, fit_glm, gram, model_rows, term_inputs, term_test,
+)
 from pairlab.operators.spread import ROWS, attach, null_safe_join, per_key, small_table
 from pairlab.session import cut_lineage
 
@@ -117,12 +119,19 @@ def fit_lmm(
     each round evaluates all its points in one pass over the per-level sums, whatever
     the number of levels. P-values are Wald z.
     """
-    d = design(df, terms)
-    needed = [y, group, *d.inputs, *([group2] if group2 else [])]
-    levels2 = levels_of(df.dropna(subset=needed), group2) if group2 else []
+    needed = [y, group, *term_inputs(terms), *([group2] if group2 else [])]
+    with model_rows(df, *needed) as rows:
+        return _fit_lmm(rows, y, terms, group, group2)
+
+
+def _fit_lmm(
+    rows: DataFrame, y: str, terms: Sequence[Term], group: str, group2: str | None
+) -> Fit:
+    d = design(rows, terms)
+    levels2 = levels_of(rows, group2) if group2 else []
     xs = [f"x{i}" for i in range(d.width)]
     frame = d.select(
-        df.dropna(subset=needed), F.col(group).alias("_g"),
+        rows, F.col(group).alias("_g"),
         *([F.col(group2).alias("_t")] if group2 else []),
         F.lit(1.0).alias("_one"), F.col(y).cast("double").alias("_y"),
     )
@@ -195,14 +204,18 @@ def observer_effect(
 ) -> DataFrame:
     """Per measure: does the observer shift it, next to a random intercept per group?"""
     rows = []
-    levels = tuple(levels_of(df, observer))
-    for measure in measures:
-        fit = fit_lmm(df, measure, [Factor(observer, levels)], group)
-        test = term_test(fit, observer)
-        rows.append((
-            measure, int(fit.stats["n"]), fit.stats["sigma"], fit.stats["group_sd"],
-            test["statistic"], test["df"], test["p_value"],
-        ))
+    kept = df.select(observer, group, *measures).persist()
+    try:
+        levels = tuple(levels_of(kept, observer))
+        for measure in measures:
+            fit = fit_lmm(kept, measure, [Factor(observer, levels)], group)
+            test = term_test(fit, observer)
+            rows.append((
+                measure, int(fit.stats["n"]), fit.stats["sigma"], fit.stats["group_sd"],
+                test["statistic"], test["df"], test["p_value"],
+            ))
+    finally:
+        kept.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "measure string, n long, sigma double, group_sd double, statistic double, "
         "df int, p_value double",
@@ -351,8 +364,14 @@ def fit_glmm(
     first reduced to one row per group and covariate pattern. Fails if it does not
     converge.
     """
-    d = design(df, terms)
-    rows = df.dropna(subset=[y, group, *d.inputs])
+    with model_rows(df, y, group, *term_inputs(terms)) as rows:
+        return _fit_glmm(rows, y, terms, group, max_rounds)
+
+
+def _fit_glmm(
+    rows: DataFrame, y: str, terms: Sequence[Term], group: str, max_rounds: int
+) -> Fit:
+    d = design(rows, terms)
     frame = d.select(rows, F.col(group).alias("_g"), F.col(y).cast("double").alias("y"))
     xs = [f"x{i}" for i in range(d.width)]
     if d.discrete:
@@ -361,7 +380,7 @@ def fit_glmm(
         )
     else:
         frame = frame.withColumn("w", F.lit(1.0))
-    start = fit_glm(df.dropna(subset=[group]), y, terms, "binomial")
+    start = fit_glm(rows, y, terms, "binomial")
     scale = np.append(np.maximum(start.se(), 1e-8), 0.1)
     frame = frame.persist()
     try:
@@ -401,7 +420,7 @@ def fit_glmm(
         n = frame.agg(F.sum("w")).first()[0]
         _, _, effects = model.evaluate(at, effects)
         if isinstance(effects, pd.Series):
-            effects = df.sparkSession.createDataFrame(
+            effects = rows.sparkSession.createDataFrame(
                 effects.rename("_u").rename_axis(group).reset_index()
             )
         else:

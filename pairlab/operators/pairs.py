@@ -43,7 +43,7 @@ def build_pairs(
     suffixes: tuple[str, str] = ("_f", "_m"),
     partner_id: str | None = None,
     keep_unmatched: bool = False,
-    also: Mapping[str, Column] | None = None,
+    differs: Mapping[str, str] | None = None,
     excluded: DataFrame | None = None,
 ) -> DataFrame:
     """Wide pairs in one shuffle and no row-level join.
@@ -51,15 +51,18 @@ def build_pairs(
     A group of exactly two rows is its smallest and its largest row, so both sides come
     out of one `min` and one `max`; larger groups shrink to one row per task before the
     shuffle. `keys` are the columns shared by both sides (must include `group`); a pair
-    needs all of them equal, NULL equal to NULL. `also` adds group aggregates (for
-    instance a mixed flag), `excluded` lists groups to leave out. Equals `pair_by_join`.
+    needs all of them equal, NULL equal to NULL. `differs` adds 0/1 columns saying whether
+    the two rows differ in a column (a mixed flag), `excluded` lists groups to leave out.
+    Equals `pair_by_join`.
     """
     order = [role, *[c for c in df.columns if c != role]]
     row = F.struct(*order)
-    extra = also or {}
+    extra = {
+        name: (~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))).cast("int").alias(name)
+        for name, c in (differs or {}).items()
+    }
     small = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(row).alias("_a"), F.max(row).alias("_b"),
-        *[c.alias(name) for name, c in extra.items()],
+        F.count(F.lit(1)).alias("_n"), F.min(row).alias("_a"), F.max(row).alias("_b")
     ).filter("_n = 2").drop("_n")
     if excluded is not None:
         small = null_safe_join(small, excluded, [group], "left_anti")
@@ -80,7 +83,7 @@ def build_pairs(
         )
 
     both = F.filter(F.array(side("_a", "_b"), side("_b", "_a")), lambda s: s.isNotNull())
-    pairs = small.select(group, *extra, F.explode(both).alias("_p"))
+    pairs = small.select(group, *extra.values(), F.explode(both).alias("_p"))
     wide = pairs.select(
         group, *extra,
         *[F.col(f"_p.x.{k}").alias(k) for k in shared],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairlab.functions.columns import inv_logit
 from pairlab.functions.tails import chi2_tail, normal_two_sided, student_two_sided
-from pairlab.operators.design import Design, Term, design
+from pairlab.operators.design import Design, Factor, Term, design
 from pairlab.operators.spread import attach
 
 Z95 = 1.959963984540054
@@ -119,6 +120,25 @@ def model_frame(
     return d, frame.groupBy(*frame.columns).agg(count)
 
 
+@contextmanager
+def model_rows(df: DataFrame, *cols: str):
+    """The complete rows of the model columns, kept while a fit passes over them."""
+    rows = df.select(*dict.fromkeys(cols)).dropna().persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def term_inputs(terms: Sequence[Term]) -> list[str]:
+    """Input columns named by a list of terms."""
+    out = []
+    for term in terms:
+        for t in term if isinstance(term, tuple) else (term,):
+            out.append(t.col if isinstance(t, Factor) else t)
+    return list(dict.fromkeys(out))
+
+
 def _assembled(frame: DataFrame, d: Design) -> DataFrame:
     columns = [f"x{i}" for i in range(d.width)]
     return VectorAssembler(inputCols=columns, outputCol="features").transform(frame)
@@ -126,7 +146,12 @@ def _assembled(frame: DataFrame, d: Design) -> DataFrame:
 
 def fit_lm(df: DataFrame, y: str, terms: Sequence[Term]) -> Fit:
     """Least squares with t statistics."""
-    d, frame = model_frame(df, y, terms)
+    with model_rows(df, y, *term_inputs(terms)) as rows:
+        return _fit_lm(rows, y, terms)
+
+
+def _fit_lm(rows: DataFrame, y: str, terms: Sequence[Term]) -> Fit:
+    d, frame = model_frame(rows, y, terms)
     frame = _assembled(frame, d).persist()
     try:
         model = LinearRegression(
@@ -155,7 +180,12 @@ def fit_glm(df: DataFrame, y: str, terms: Sequence[Term], family: str) -> Fit:
     """Logistic (`binomial`) or Poisson regression on Spark's own solver."""
     if family not in ("binomial", "poisson"):
         raise ValueError(f"family must be binomial or poisson, not {family!r}")
-    d, frame = model_frame(df, y, terms, family)
+    with model_rows(df, y, *term_inputs(terms)) as rows:
+        return _fit_glm(rows, y, terms, family)
+
+
+def _fit_glm(rows: DataFrame, y: str, terms: Sequence[Term], family: str) -> Fit:
+    d, frame = model_frame(rows, y, terms, family)
     frame = _assembled(frame, d).persist()
     try:
         model = GeneralizedLinearRegression(

@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 from pairlab.operators.spread import attach, per_key, running_fold
 
 
-def zscore(df: DataFrame, by: Sequence[str], cols: Sequence[str], prefix: str = "z_") -> DataFrame:
-    """(x - mean) / sample sd within the key; NULL where the sd is 0 or undefined."""
+def zscore(
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], prefix: str = "z_",
+    centered: str | None = None,
+) -> DataFrame:
+    """(x - mean) / sample sd within the key; NULL where the sd is 0 or undefined.
+
+    `centered` names a suffix under which x - mean is kept as well.
+    """
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}")]
     rows = attach(df, per_key(df, by, *aggs), by, few=True)
-    scored = rows.withColumns(
-        {prefix + c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in cols}
-    )
-    return scored.drop(*[f"_{s}_{c}" for c in cols for s in "ms"])
+    out = {}
+    for c in cols:
+        shifted = F.col(c) - F.col(f"_m_{c}")
+        out[prefix + c] = F.try_divide(shifted, F.col(f"_s_{c}"))
+        if centered:
+            out[c + centered] = shifted
+    return rows.withColumns(out).drop(*[f"_{s}_{c}" for c in cols for s in "ms"])
 
 
 def center(df: DataFrame, by: Sequence[str], col: str, out: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlab.session import cut_lineage
 
@@ -51,7 +52,17 @@ def small_table(df: DataFrame, limit: int = FEW_KEYS) -> DataFrame | None:
     rows = df.limit(limit + 1).toArrow()
     if rows.num_rows > limit:
         return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Evaluate a summary table that is about to be used several times.
+
+    It becomes a local table when it is small, a written one otherwise.
+    """
+    local = small_table(df)
+    return cut_lineage(df) if local is None else local
 
 
 def attach(
@@ -151,21 +162,22 @@ def running_fold(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], out: str
+def value_counts(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """Rows per (key, value) as (by..., _v, _c), evaluated once. NULL counts as a value."""
+    return settle(df.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+
+
+def quantiles_of_counts(
+    counts: DataFrame, by: Sequence[str], probs: Sequence[float], out: str
 ) -> DataFrame:
     """Interpolated quantiles (position (n-1)q) per key as an array column `out`, plus `n`.
 
-    Values are first counted per (key, value), so repeated values cost nothing, and the
-    ranks come from a running count that splits large keys. No task buffers a group.
+    Ranks come from a running count over the distinct values that splits large keys, so
+    no task buffers a group.
     """
-    present = df.filter(F.col(col).isNotNull())
-    # written once: sizes, totals and ranks below all start from it
-    counts = cut_lineage(
-        present.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    )
-    ranked = running_fold(counts, by, [F.col("_v").asc()], F.col("_c"), "_upto")
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias(ROWS))
+    present = counts.filter(F.col("_v").isNotNull())
+    ranked = running_fold(present, by, [F.col("_v").asc()], F.col("_c"), "_upto")
+    totals = present.groupBy(*by).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias(ROWS))
     if by:
         placed = attach(ranked, totals, by, few=True)
     else:
@@ -186,3 +198,10 @@ def exact_quantiles(
             F.col(f"_lo{i}") + part * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
         )
     return grouped.select(*by, "n", F.array(*values).alias(out))
+
+
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], out: str
+) -> DataFrame:
+    """Interpolated quantiles of `col` per key, from its value counts."""
+    return quantiles_of_counts(value_counts(df, by, col), by, probs, out)

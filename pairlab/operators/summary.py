@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.operators.groups import n_distinct
-from pairlab.operators.spread import ROWS, attach, exact_quantiles, null_safe_join, per_key
+from pairlab.operators.spread import (
+    ROWS, attach, null_safe_join, per_key, quantiles_of_counts, settle, value_counts,
+)
 
 
 def count_by(df: DataFrame, by: Sequence[str], out: str = "n") -> DataFrame:
@@ -68,11 +70,12 @@ def median_of(
         F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in cols
     ])).alias("_s")).select(*by, "_s.*")
     keys = [*by, "_name"]
-    middle = exact_quantiles(long, keys, "_value", [0.5], "_q")
+    counts = value_counts(long, keys, "_value")
+    middle = quantiles_of_counts(counts, keys, [0.5], "_q")
     wide = middle.groupBy(*by).agg(
         *[F.max(F.when(F.col("_name") == c, F.col("_q")[0])).alias(prefix + c) for c in cols]
     )
-    return null_safe_join(df.select(*by).distinct(), wide, by, "left")
+    return null_safe_join(counts.select(*by).distinct(), wide, by, "left")
 
 
 def all_any(df: DataFrame, by: Sequence[str], condition: Column, other: Column) -> DataFrame:
@@ -128,6 +131,7 @@ def crosstab_wide(df: DataFrame, a: str, b: str, levels: Sequence) -> DataFrame:
 
 def share_within(counts: DataFrame, by: Sequence[str], n: str = "n", out: str = "share") -> DataFrame:
     """Each count as a share of its key's total, from an aggregate and a look-up."""
+    counts = settle(counts)
     totals = per_key(counts, by, F.sum(n).alias("_total"))
     return (
         attach(counts, totals, by, few=True)

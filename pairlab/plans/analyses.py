@@ -16,7 +16,7 @@ from pairlab.operators import regression as reg
 from pairlab.operators.design import Factor
 from pairlab.operators.inference import adjust_bh, proportion_test
 from pairlab.operators.members import flag_members, level_grid, levels_of
-from pairlab.operators.scaling import center, prior_total, zscore
+from pairlab.operators.scaling import prior_total, zscore
 from pairlab.operators.summary import count_by, rate_by, share_within, switching_ids
 
 
@@ -61,7 +61,7 @@ def history_models(
 
 def timing(pairs: DataFrame, by: Sequence[str], day: str) -> DataFrame:
     """Day relative to the mean of its key, and its z-score."""
-    return zscore(center(pairs, by, day, f"{day}_relative"), by, [day])
+    return zscore(pairs, by, [day], centered="_relative")
 
 
 def level_effect(pairs: DataFrame, level: str, kind: str, flag: str, period: str, levels: Sequence[str]) -> DataFrame:

@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.functions.columns import null_out_of_range
-from pairlab.operators.groups import (
-    clean_groups, conflicting_ids, several_values, touched_groups,
-)
+from pairlab.operators.groups import clean_groups, conflicting_ids, touched_groups
 from pairlab.operators.pairs import build_pairs
 from pairlab.sources.observations import load
 
@@ -58,7 +56,7 @@ def pairs(spark: SparkSession, folder: str, keep_unmatched: bool = False) -> Dat
     wide = build_pairs(
         rows, "grp", "role", SIDES, ["grp"], partner_id="ind",
         keep_unmatched=keep_unmatched,
-        also={"mixed": several_values("kind").cast("int")}, excluded=excluded,
+        differs={"mixed": "kind"}, excluded=excluded,
     )
     return wide.withColumnRenamed("period_f", "period")
 

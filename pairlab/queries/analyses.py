@@ -8,14 +8,16 @@ from pairlab.operators import charts, inference, mixed
 from pairlab.operators import groups as g
 from pairlab.operators import regression as reg
 from pairlab.operators.members import attach_scores
+from pairlab.operators.pairs import build_pairs
 from pairlab.operators.scaling import zscore
 from pairlab.operators.summary import count_by, crosstab, crosstab_share, median_of
 from pairlab.plans import analyses as plan
 from pairlab.plans.standin import (
-    PRIORITIES, clean, paired_second_sides, pairs, with_priority,
+    PRIORITIES, SIDES, clean, paired_second_sides, pairs, with_priority,
 )
 from pairlab.queries.base import CLEAN, LEVELED, PAIRS, erfc, more, query, r, rounded
 from pairlab.queries.models import batch_specs, profiles
+from pairlab.session import cut_lineage
 
 _CLEAN_COLS = ["grp", "line", "ind", "role", "kind", "period", "size_a", "mass", "disc", "tax", "mixed", "n_rows"]
 
@@ -74,10 +76,16 @@ SELECT p.grp, p.kind_f, p.mixed, {r('z_mass')} AS z_mass_m, {r('z_size_a')} AS z
 FROM pairs p LEFT JOIN scores s ON p.grp = s.grp AND p.ind_m = s.ind""")
 def scored_pairs(spark, folder):
     cols = ["mass", "size_a", "adj"]
-    side = clean(spark, folder).filter(F.col("role") == "O").dropna(subset=["mass", "size_a"])
+    # pairs, scores and their means all start from the clean rows: write those once
+    rows = cut_lineage(clean(spark, folder).select("grp", "ind", "role", "kind", "period", *cols, "mixed", "n_rows"))
+    side = rows.filter("role = 'O'").dropna(subset=["mass", "size_a"])
     scores = zscore(side, ["period", "kind"], cols).select("grp", "ind", *[f"z_{c}" for c in cols])
+    wide = build_pairs(
+        rows.filter("n_rows = 2").select("grp", "ind", "role", "kind", "mixed"), "grp", "role", SIDES,
+        ["grp", "mixed"], partner_id="ind",
+    )
     out = attach_scores(
-        pairs(spark, folder).select("grp", "ind_m", "kind_f", "mixed"), scores,
+        wide.select("grp", "ind_m", "kind_f", "mixed"), scores,
         {"grp": "grp", "ind_m": "ind"}, {f"z_{c}": f"z_{c}_m" for c in cols},
     )
     return rounded(out.drop("ind_m"), [f"z_{c}_m" for c in cols])

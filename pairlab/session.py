@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pairlab", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution on; `conf` keys use `_` for `.`-free short names."""
+    """A session with adaptive execution on; `conf` holds further settings by full name."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -18,6 +18,7 @@ def build_session(app: str = "pairlab", master: str | None = None, **conf) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
