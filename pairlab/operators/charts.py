@@ -176,9 +176,10 @@ def scatter_cells(
 
 
 def scatter_sample(df: DataFrame, keys: Sequence[str], share: float, seed: int = 42) -> DataFrame:
-    """A repeatable share of the points: a row is in by the hash of its key columns."""
-    cut = F.lit(int(share * 1_000_000))
-    return df.filter(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) < cut)
+    """A repeatable share of the points: a row is in by the hash of its key columns and the seed."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return df.filter(place < F.lit(int(share * 2**32)))
 
 
 def pair_cells(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:

@@ -276,8 +276,13 @@ class _Laplace:
         count = len(configs)
         state = pd.DataFrame({"_g": np.repeat(self.local.to_numpy(), count)})
         state["cfg"] = np.tile(np.arange(count, dtype="int32"), len(self.local))
-        start = np.zeros(len(self.local)) if effects is None else effects.loc[self.local].to_numpy()
-        state["ui"] = np.repeat(start, count)
+        start = np.zeros(len(self.local) * count)
+        if effects is not None:
+            # first-order guess: the effects of the known point moved along their derivatives
+            near = effects.loc[self.local]
+            moved = near[self.names].to_numpy() @ (configs - effects.attrs["at"]).T
+            start = (near["u"].to_numpy()[:, None] + moved).ravel()
+        state["ui"] = start
         for j, name in enumerate(self.names):
             state[name] = configs[state["cfg"], j]
         for _ in range(60):
@@ -289,10 +294,13 @@ class _Laplace:
                 break
             moved = got[["_g", "cfg"]].assign(ui=got["ui"] + np.clip(step, -2.0, 2.0))
             state = state.drop(columns="ui").merge(moved, on=["_g", "cfg"])
-        value, slope = _laplace_sums(got, self.width)
+        value, slope, shifts = _laplace_sums(got, self.width)
         summed = pd.DataFrame(np.column_stack([value, slope])).groupby(got["cfg"].to_numpy()).sum()
-        first = got[got["cfg"] == 0].set_index("_g")["ui"]
-        return summed.to_numpy()[:, 0], summed.to_numpy()[:, 1:], first
+        first = (got["cfg"] == 0).to_numpy()
+        known = pd.DataFrame(shifts[first], columns=self.names, index=got["_g"][first])
+        known["u"] = got["ui"].to_numpy()[first]
+        known.attrs["at"] = configs[0]
+        return summed.to_numpy()[:, 0], summed.to_numpy()[:, 1:], known
 
     def _evaluate_table(self, configs, effects, tol):
         table = self.spark.createDataFrame(
@@ -321,7 +329,7 @@ class _Laplace:
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                value, slope = _laplace_sums(batch, width)
+                value, slope, _ = _laplace_sums(batch, width)
                 yield pd.DataFrame({
                     "cfg": np.repeat(batch["cfg"].to_numpy(), width + 3),
                     "cell": np.tile(np.arange(width + 3), len(batch)),
@@ -338,20 +346,21 @@ class _Laplace:
         return out[:, 0], out[:, 1:], state
 
 
-def _laplace_sums(sums: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per group and configuration: Laplace log-likelihood and its gradient (b0..bp, sigma)."""
+def _laplace_sums(sums: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per group and configuration: Laplace log-likelihood, its gradient (b0..bp, sigma) and
+    the derivatives of the group's effect."""
     u, s = sums["ui"].to_numpy(), sums["sigma"].to_numpy()
     ll, r, v, d = (sums[c].to_numpy() for c in ("ll", "r", "v", "d"))
     curve = 1.0 + s**2 * v
     value = ll - 0.5 * u**2 - 0.5 * np.log(curve)
-    slopes = []
+    slopes, shifts = [], []
     for j in range(-1, width):
         rx, vx, dx = (r, v, d) if j < 0 else (sums[f"{c}{j}"].to_numpy() for c in "rvd")
-        shift = -s * vx / curve
-        slopes.append(rx - 0.5 * (s**2 * dx + s**3 * d * shift) / curve)
-    shift = (r - s * u * v) / curve
-    slopes.append(u * r - 0.5 * (2 * s * v + s**2 * d * (u + s * shift)) / curve)
-    return value, np.column_stack(slopes)
+        shifts.append(-s * vx / curve)
+        slopes.append(rx - 0.5 * (s**2 * dx + s**3 * d * shifts[-1]) / curve)
+    shifts.append((r - s * u * v) / curve)
+    slopes.append(u * r - 0.5 * (2 * s * v + s**2 * d * (u + s * shifts[-1])) / curve)
+    return value, np.column_stack(slopes), np.column_stack(shifts)
 
 
 def fit_glmm(
@@ -394,7 +403,9 @@ def _fit_glmm(
             values, vectors = np.linalg.eigh(curvature)
             floor = np.maximum(np.abs(values), 1e-6 * np.abs(values).max())
             step = scale * (vectors @ ((vectors.T @ (slope * scale)) / floor))
-            small = np.abs(step / scale).max() < 1e-4
+            if np.abs(step / scale).max() < 1e-4:
+                at, converged = at + step, True
+                break
             candidates = np.array([at + step * f for f in (1.0, 0.5, 0.1, 0.01)])
             values_at, slopes_at, near = model.evaluate(candidates, effects)
             k = int(np.argmax(values_at))
@@ -404,24 +415,21 @@ def _fit_glmm(
                 if k == 0:
                     effects = near
                 curvature = _updated(curvature, moved, turned)
-            elif not small:
-                # a poor curvature: measure it again before giving up
-                if np.abs(slope * scale).max() < 1e-4:
-                    small = True
-                else:
-                    curvature = -_hessian(model, at, scale, effects) * np.outer(scale, scale)
-            if small:
+            elif np.abs(slope * scale).max() < 1e-4:
                 converged = True
                 break
+            else:  # a poor curvature: measure it again before giving up
+                curvature = -_hessian(model, at, scale, effects) * np.outer(scale, scale)
         if not converged:
             raise RuntimeError(f"no convergence after {round_ + 1} rounds")
         at[-1] = abs(at[-1])
+        value, _, effects = model.evaluate(at, effects)
+        value = value[0]
         cov = np.linalg.inv(-_hessian(model, at, scale, effects))
         n = frame.agg(F.sum("w")).first()[0]
-        _, _, effects = model.evaluate(at, effects)
-        if isinstance(effects, pd.Series):
+        if isinstance(effects, pd.DataFrame):
             effects = rows.sparkSession.createDataFrame(
-                effects.rename("_u").rename_axis(group).reset_index()
+                pd.DataFrame({group: effects.index, "_u": effects["u"].to_numpy()})
             )
         else:
             effects = effects.select(F.col("_g").alias(group), F.col("u")[0].alias("_u"))

@@ -19,6 +19,8 @@ from pairlab.operators.design import Design, Factor, Term, design
 from pairlab.operators.spread import attach
 
 Z95 = 1.959963984540054
+# Cross-products of up to this many columns (78 sums) stay in generated code.
+JVM_WIDTH = 12
 
 
 @dataclass
@@ -76,9 +78,23 @@ def compare_fits(spark: SparkSession, fits: Mapping[str, Fit]) -> DataFrame:
 
 
 def gram(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> np.ndarray:
-    """Weighted cross-products of columns. Each task returns one small matrix."""
+    """Weighted cross-products of columns.
+
+    A narrow set is summed by Spark itself; a wide one (many dummy columns) goes through
+    Arrow, each task returning one small matrix.
+    """
     cols = list(cols)
     width = len(cols)
+    if width <= JVM_WIDTH:
+        cells = [(i, j) for i in range(width) for j in range(i, width)]
+        w = F.col(weight) if weight else F.lit(1.0)
+        sums = df.agg(*[
+            F.sum(F.col(cols[i]) * F.col(cols[j]) * w).alias(f"{i}_{j}") for i, j in cells
+        ]).first()
+        out = np.zeros((width, width))
+        for (i, j), value in zip(cells, sums):
+            out[i, j] = out[j, i] = value
+        return out
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
@@ -310,20 +326,25 @@ def fit_glm_grid(df: DataFrame, specs: Sequence[Spec], rounds: int = 50, tol: fl
     predictor or response does not vary are left out.
     """
     spark = df.sparkSession
+    needed = dict.fromkeys(c for s in specs for c in (s.response, s.predictor))
+    flags = {
+        f"_subset{i}": s.subset if s.subset is not None else F.lit(True) for i, s in enumerate(specs)
+    }
+    rows = df.select(
+        *[F.col(c).cast("double").alias(c) for c in needed], *[f.alias(n) for n, f in flags.items()]
+    ).persist()
     cells = [
         F.when(
-            (s.subset if s.subset is not None else F.lit(True))
-            & F.col(s.response).isNotNull() & F.col(s.predictor).isNotNull(),
+            F.col(f"_subset{i}") & F.col(s.response).isNotNull() & F.col(s.predictor).isNotNull(),
             F.struct(
                 F.lit(i).alias("spec"), F.lit(s.family).alias("family"),
-                F.col(s.predictor).cast("double").alias("x"), F.col(s.response).cast("double").alias("y"),
+                F.col(s.predictor).alias("x"), F.col(s.response).alias("y"),
             ),
         )
         for i, s in enumerate(specs)
     ]
-    long = (
-        df.select(F.explode(F.array(*cells)).alias("_m")).filter("_m is not null").select("_m.*")
-    ).persist()
+    # one copy of a row per model it takes part in, made and summed within each pass
+    long = rows.select(F.explode(F.array(*cells)).alias("_m")).filter("_m is not null").select("_m.*")
     try:
         start = long.groupBy("spec").agg(
             F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.avg("x").alias("mx"),
@@ -350,8 +371,8 @@ def fit_glm_grid(df: DataFrame, specs: Sequence[Spec], rounds: int = 50, tol: fl
                 if np.abs(step).max() < tol:
                     live.discard(key)
     finally:
-        long.unpersist()
-    rows = []
+        rows.unpersist()
+    out = []
     for key, st in sorted(state.items()):
         # back from the standardised predictor
         back = np.array([[1.0, -st["m"] / st["s"]], [0.0, 1.0 / st["s"]]])
@@ -359,10 +380,10 @@ def fit_glm_grid(df: DataFrame, specs: Sequence[Spec], rounds: int = 50, tol: fl
         for i, term in enumerate(("(Intercept)", specs[key].predictor)):
             se = float(np.sqrt(cov[i, i]))
             z = float(b[i] / se)
-            rows.append((specs[key].name, term, float(b[i]), se, z, normal_two_sided(z),
-                         int(st["n"]), float(st["deviance"])))
+            out.append((specs[key].name, term, float(b[i]), se, z, normal_two_sided(z),
+                        int(st["n"]), float(st["deviance"])))
     return spark.createDataFrame(
-        rows, "model string, term string, estimate double, se double, statistic double, "
+        out, "model string, term string, estimate double, se double, statistic double, "
         "p_value double, n long, deviance double",
     )
 

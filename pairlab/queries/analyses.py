@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from pairlab.operators import charts, inference, mixed
@@ -16,7 +18,9 @@ from pairlab.plans.standin import (
     PRIORITIES, SIDES, clean, paired_second_sides, pairs, with_priority,
 )
 from pairlab.queries.base import CLEAN, LEVELED, PAIRS, erfc, more, query, r, rounded
-from pairlab.queries.models import batch_specs, profiles
+from pairlab.queries.models import (
+    BATCH_COEFS, PROFILE, batch_ctes, batch_part, batch_rounded, batch_specs, profiles,
+)
 from pairlab.session import cut_lineage
 
 _CLEAN_COLS = ["grp", "line", "ind", "role", "kind", "period", "size_a", "mass", "disc", "tax", "mixed", "n_rows"]
@@ -109,17 +113,22 @@ def switching_histories(spark, folder):
     return count_by(rows, ["ind_hist_f", "period", "mixed"])
 
 
-@query("Q7_partner_predictors")
+def _predictor_models() -> list[tuple[reg.Spec, str]]:
+    """Every response, predictor and kind, over all individuals and those with several partners."""
+    return [
+        (reg.Spec(f"{kind}:{s.name}{label}", s.family, s.response, s.predictor),
+         f"kind_f = '{kind}' AND {several}")
+        for s in batch_specs()
+        for kind in ("A", "R")
+        for label, several in (("", "true"), (":several", "n_partners > 1"))
+    ]
+
+
+@query("Q7_partner_predictors", batch_ctes(
+    more(PAIRS, PROFILE), " UNION ALL ".join(batch_part(s, w) for s, w in _predictor_models())) + BATCH_COEFS)
 def partner_predictors(spark, folder):
-    """The model batch over both responses, all partners and several partners only."""
-    several = F.col("n_partners") > 1
-    specs = []
-    for s in batch_specs():
-        for kind in ("A", "R"):
-            of_kind = F.col("kind_f") == kind
-            specs.append(reg.Spec(f"{kind}:{s.name}", s.family, s.response, s.predictor, of_kind))
-            specs.append(reg.Spec(f"{kind}:{s.name}:several", s.family, s.response, s.predictor, of_kind & several))
-    return reg.fit_glm_grid(profiles(spark, folder), specs)
+    specs = [replace(s, subset=F.expr(where)) for s, where in _predictor_models()]
+    return batch_rounded(reg.fit_glm_grid(profiles(spark, folder), specs))
 
 
 _HIST = """hist AS (SELECT *, coalesce(sum(mixed) OVER (PARTITION BY ind_hist_f ORDER BY period, grp

@@ -176,8 +176,8 @@ def fit_report(spark, folder):
     return rounded(m.fit_stats(spark, {"by_period": fit}), ["value"], 5)
 
 
-_PROFILE = """profile AS (
-  SELECT ind_hist_f, max(kind_f) AS kind_f, sum(mixed) AS n_flagged, CAST(sum(mixed) > 2 AS INTEGER) AS often,
+PROFILE = """profile AS (
+  SELECT ind_hist_f, count(*) FILTER (mixed = 0) AS n_partners, max(kind_f) AS kind_f, sum(mixed) AS n_flagged, CAST(sum(mixed) > 2 AS INTEGER) AS often,
     sum(mixed) / count(DISTINCT period) AS share_periods,
     avg(mass_m) FILTER (mixed = 0) AS avg_mass, avg(size_a_m) FILTER (mixed = 0) AS avg_size
   FROM pairs GROUP BY ind_hist_f HAVING count(*) FILTER (mixed = 0) > 0)"""
@@ -200,20 +200,19 @@ def profiles(spark, folder):
     return out.withColumn("often", (F.col("n_flagged") > 2).cast("int"))
 
 
-def _batch_sql() -> str:
-    """The Newton steps of all models in one recursive query, one state row per model."""
-    parts = " UNION ALL ".join(
-        f"SELECT '{s.name}' AS model, '{s.predictor}' AS pred, '{s.family}' AS family, "
-        f"{s.predictor} AS x, CAST({s.response} AS DOUBLE) AS y FROM profile WHERE {s.predictor} IS NOT NULL"
-        for s in batch_specs()
-    )
+def batch_ctes(base: str, parts: str) -> str:
+    """Newton steps of many one-predictor models in one recursive query, a state row per model.
+
+    `parts` selects (model, pred, family, x, y) for all models.
+    """
     w = "CASE family WHEN 'binomial' THEN mu * (1 - mu) ELSE mu END"
     return more(
-        PAIRS, _PROFILE, f"src AS ({parts})",
-        """scale AS (SELECT model, any_value(pred) AS pred, avg(x) AS mx, stddev_samp(x) AS sx,
+        base, f"src AS MATERIALIZED ({parts})",
+        """scale AS MATERIALIZED (SELECT model, any_value(pred) AS pred, avg(x) AS mx, stddev_samp(x) AS sx,
+  min(x) AS lo, max(x) AS hi,
   CASE any_value(family) WHEN 'binomial' THEN ln(avg(y) / (1 - avg(y))) ELSE ln(avg(y)) END AS start
   FROM src GROUP BY model)""",
-        "d AS (SELECT src.*, (x - mx) / sx AS z FROM src JOIN scale USING (model))",
+        "d AS MATERIALIZED (SELECT src.*, (x - mx) / sx AS z FROM src JOIN scale USING (model))",
         f"""steps AS (
   SELECT 0 AS i, model, start AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS va,
          CAST(0 AS DOUBLE) AS vb, CAST(0 AS DOUBLE) AS vab FROM scale
@@ -231,20 +230,39 @@ def _batch_sql() -> str:
         """est AS (SELECT model, pred, a - b * mx / sx AS b0, b / sx AS b1,
   sqrt(va + vb * mx * mx / sx / sx - 2 * vab * mx / sx) AS se0, sqrt(vb) / sx AS se1
   FROM steps JOIN scale USING (model) WHERE i = 12)""",
-    ) + f"""
+    )
+
+
+def batch_part(spec: m.Spec, where: str = "true") -> str:
+    return (
+        f"SELECT '{spec.name}' AS model, '{spec.predictor}' AS pred, '{spec.family}' AS family, "
+        f"{spec.predictor} AS x, CAST({spec.response} AS DOUBLE) AS y FROM profile "
+        f"WHERE {spec.predictor} IS NOT NULL AND {where}"
+    )
+
+
+BATCH_COEFS = f"""
 SELECT model, '(Intercept)' AS term, {r('b0', 4)} AS estimate, {r('se0', 4)} AS se FROM est
 UNION ALL SELECT model, pred, {r('b1', 8)}, {r('se1', 8)} FROM est"""
 
 
-@query("M7_model_batch", _batch_sql())
-def batch(spark, folder):
-    out = m.fit_glm_grid(profiles(spark, folder), batch_specs()).select("model", "term", "estimate", "se")
-    return out.withColumns({
+def batch_rounded(fits):
+    return fits.select("model", "term", "estimate", "se").withColumns({
         c: F.when(F.col("term") == "(Intercept)", F.round(c, 4)).otherwise(F.round(c, 8)) + 0.0
         for c in ("estimate", "se")
     })
 
 
+def _batch_sql() -> str:
+    parts = " UNION ALL ".join(batch_part(s) for s in batch_specs())
+    return batch_ctes(more(PAIRS, PROFILE), parts) + BATCH_COEFS
+
+
+@query("M7_model_batch", _batch_sql())
+def batch(spark, folder):
+    return batch_rounded(m.fit_glm_grid(profiles(spark, folder), batch_specs()))
+
+
 def _shifted(spark, folder):
     """Measures with a real effect of supplier and period, so variance parts are not zero."""
     df = measured(spark, folder).dropna(subset=["mass", "size_a"])
@@ -408,15 +426,19 @@ def observer(spark, folder):
     return mixed.observer_effect(df, "priority", ["mass", "size_a"], "period")
 
 
-@query("C8_logistic_curve", _irls(
-    PAIRS, "SELECT day_f AS x, mixed AS y FROM pairs WHERE kind_f = 'A'", "binomial") + f"""
-SELECT 'A' AS kind_f, {r('x', 6)} AS day_f, {r('1 / (1 + exp(-(b0 + b1 * x)))', 5)} AS predicted
-FROM est, (SELECT lo + k * (hi - lo) / 19 AS x FROM (SELECT min(x) AS lo, max(x) AS hi FROM src), range(20) t(k))""")
-def logistic_curve(spark, folder):
-    curve = charts.logistic_curve(pairs(spark, folder), "day_f", "mixed", "kind_f", 20)
-    return rounded(curve.filter("kind_f = 'A'").select("kind_f", "day_f", "predicted"), {"day_f": 6, "predicted": 5})
+_CURVE = batch_ctes(
+    PAIRS, "SELECT kind_f AS model, 'day_f' AS pred, 'binomial' AS family, "
+    "CAST(day_f AS DOUBLE) AS x, CAST(mixed AS DOUBLE) AS y FROM pairs",
+)
+_ETA = "(a + b * (x - mx) / sx)"
+_SE = "sqrt(va + 2 * vab * (x - mx) / sx + vb * (x - mx) / sx * (x - mx) / sx)"
 
 
-@query("C8_logistic_curve_band")
-def logistic_band(spark, folder):
-    return charts.logistic_curve(pairs(spark, folder), "day_f", "mixed", "kind_f", 40)
+@query("C8_logistic_curve", _CURVE + f"""
+SELECT model AS kind_f, {r('x', 6)} AS day_f, {r(f'1 / (1 + exp(-{_ETA}))', 5)} AS predicted,
+  {r(_SE, 5)} AS se_link, {r(f'1 / (1 + exp(-({_ETA} - {_Z} * {_SE})))', 5)} AS low,
+  {r(f'1 / (1 + exp(-({_ETA} + {_Z} * {_SE})))', 5)} AS high
+FROM (SELECT *, lo + k * (hi - lo) / 39 AS x FROM steps JOIN scale USING (model), range(40) t(k) WHERE i = 12)""")
+def logistic_curve(spark, folder):
+    curve = charts.logistic_curve(pairs(spark, folder), "day_f", "mixed", "kind_f", 40)
+    return rounded(curve, {"day_f": 6, "predicted": 5, "se_link": 5, "low": 5, "high": 5})
