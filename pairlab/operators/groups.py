@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.operators.spread import ROWS, attach, null_safe_join, per_key, running_fold
+from pairlab.session import cut_lineage
 
 _COMPARE = {
     "==": operator.eq, "!=": operator.ne, ">": operator.gt,
@@ -162,7 +163,7 @@ def with_history_totals(
 
 def with_group_id(df: DataFrame, key: str, out: str) -> DataFrame:
     """Dense 1-based number of the group in key order."""
-    stats = per_key(df, [key])
+    stats = cut_lineage(per_key(df, [key]))
     numbered = running_fold(stats, [], [F.col(key).asc()], F.lit(1), out)
     return attach(df, numbered, [key])
 
@@ -194,5 +195,5 @@ def classify_pairs(
     )
     stats = stats.withColumn(out, label).drop("_anchored", "_crossed", "_size")
     if group_id:
-        stats = running_fold(stats, [], [F.col(group).asc()], F.lit(1), group_id)
+        stats = running_fold(cut_lineage(stats), [], [F.col(group).asc()], F.lit(1), group_id)
     return attach(df, stats, [group])

@@ -48,33 +48,64 @@ def build_pairs(
 ) -> DataFrame:
     """Wide pairs in one shuffle and no row-level join.
 
-    A group of exactly two rows is its smallest and its largest row, so both sides come
-    out of one `min` and one `max`; larger groups shrink to one row per task before the
-    shuffle. `keys` are the columns shared by both sides (must include `group`); a pair
-    needs all of them equal, NULL equal to NULL. `differs` adds 0/1 columns saying whether
-    the two rows differ in a column (a mixed flag), `excluded` lists groups to leave out.
-    Equals `pair_by_join`.
+    `keys` are the columns shared by both sides (must include `group`); a pair needs all
+    of them equal, NULL equal to NULL. `differs` adds 0/1 columns saying whether the two
+    rows differ in a column (a mixed flag), `excluded` lists groups to leave out. Equals
+    `pair_by_join`. Larger groups shrink to one row per task before the shuffle, so a
+    group holding most rows costs nothing more than its scan.
     """
-    order = [role, *[c for c in df.columns if c != role]]
-    row = F.struct(*order)
-    extra = {
-        name: (~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))).cast("int").alias(name)
-        for name, c in (differs or {}).items()
-    }
-    small = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(row).alias("_a"), F.max(row).alias("_b")
-    ).filter("_n = 2").drop("_n")
-    if excluded is not None:
-        small = null_safe_join(small, excluded, [group], "left_anti")
-
     shared = [k for k in keys if k != group]
     rest = [c for c in df.columns if c not in keys]
+    build = _either_side if keep_unmatched else _matched
+    wide = build(df, group, role, sides, shared, rest, suffixes, partner_id, differs or {})
+    if excluded is not None:
+        wide = null_safe_join(wide, excluded, [group], "left_anti")
+    return wide
+
+
+def _matched(df, group, role, sides, shared, rest, suffixes, partner_id, differs) -> DataFrame:
+    """Groups of one row per side. One aggregate per output column, so unused ones are pruned."""
+    is_side = [F.col(role) == s for s in sides]
+
+    def of(side: int, c: Column) -> Column:
+        return F.max(F.when(is_side[side], c))
+
+    found = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(is_side[0]).alias("_n0"),
+        F.count_if(is_side[1]).alias("_n1"),
+        of(1, F.col(partner_id).isNotNull()).alias("_known"),
+        *[of(s, F.col(c)).alias(f"_{s}_{c}") for c in [*shared, *rest] if c != role for s in (0, 1)],
+    )
+
+    def value(side: int, c: str) -> Column:
+        return F.lit(sides[side]) if c == role else F.col(f"_{side}_{c}")
+
+    same = F.lit(True)
+    for k in shared:
+        same = same & value(0, k).eqNullSafe(value(1, k))
+    pairs = found.filter("_n = 2 AND _n0 = 1 AND _n1 = 1 AND _known").filter(same)
+    return pairs.select(
+        group,
+        *[(~value(0, c).eqNullSafe(value(1, c))).cast("int").alias(n) for n, c in differs.items()],
+        *[value(0, k).alias(k) for k in shared],
+        *[value(s, c).alias(c + suffixes[s]) for s in (0, 1) for c in rest],
+    )
+
+
+def _either_side(df, group, role, sides, shared, rest, suffixes, partner_id, differs) -> DataFrame:
+    """First sides of groups of two with their partner or NULL.
+
+    The two rows of such a group are its smallest and its largest row.
+    """
+    row = F.struct(role, *[c for c in df.columns if c != role])
+    small = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(row).alias("_a"), F.max(row).alias("_b")
+    ).filter("_n = 2")
     same = F.lit(True)
     for k in shared:
         same = same & F.col(f"_a.{k}").eqNullSafe(F.col(f"_b.{k}"))
 
     def side(a: str, b: str) -> Column:
-        """The row of `a` as first side with its partner from `b`, or NULL."""
         is_first = F.col(f"{a}.{role}") == sides[0]
         matched = same & F.coalesce(F.col(f"{b}.{role}") == sides[1], F.lit(False))
         return F.when(
@@ -83,16 +114,17 @@ def build_pairs(
         )
 
     both = F.filter(F.array(side("_a", "_b"), side("_b", "_a")), lambda s: s.isNotNull())
-    pairs = small.select(group, *extra.values(), F.explode(both).alias("_p"))
-    wide = pairs.select(
-        group, *extra,
+    flags = [
+        (~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))).cast("int").alias(n)
+        for n, c in differs.items()
+    ]
+    pairs = small.select(group, *flags, F.explode(both).alias("_p"))
+    return pairs.select(
+        group, *differs,
         *[F.col(f"_p.x.{k}").alias(k) for k in shared],
         *[F.col(f"_p.x.{c}").alias(c + suffixes[0]) for c in rest],
         *[F.col(f"_p.y.{c}").alias(c + suffixes[1]) for c in rest],
     )
-    if keep_unmatched:
-        return wide
-    return wide.filter(F.col(partner_id + suffixes[1]).isNotNull())
 
 
 def partner_profile(

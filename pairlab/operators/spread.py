@@ -57,12 +57,13 @@ def small_table(df: DataFrame, limit: int = FEW_KEYS) -> DataFrame | None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Evaluate a summary table that is about to be used several times.
+    """Evaluate a summary table that is about to be used several times, once.
 
-    It becomes a local table when it is small, a written one otherwise.
+    It is written to the shared folder, and read back as a local table when it is small.
     """
-    local = small_table(df)
-    return cut_lineage(df) if local is None else local
+    written = cut_lineage(df)
+    local = small_table(written)
+    return written if local is None else local
 
 
 def attach(
@@ -73,12 +74,13 @@ def attach(
     `stats` comes from `per_key` (possibly filtered): one row per key, `_rows` = rows
     of that key in `rows`. With `few=True` the key is expected to be categorical: the
     table is counted, and broadcast when it has at most `FEW_KEYS` rows. Otherwise both
-    sides are shuffled, and a key above `hot_rows` is spread over
+    sides are shuffled (the counted table is kept, not computed again), and a key above `hot_rows` is spread over
     ceil(_rows / hot_rows) tasks. The list of hot keys is broadcast; it has at most
     total rows / hot_rows entries. The salt depends only on row content and input
     partition, so a retried task produces the same rows.
     """
     if few:
+        stats = cut_lineage(stats)
         local = small_table(stats)
         if local is not None:
             return null_safe_join(rows, F.broadcast(local.drop(ROWS)), keys, how)
@@ -164,7 +166,7 @@ def running_fold(
 
 def value_counts(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     """Rows per (key, value) as (by..., _v, _c), evaluated once. NULL counts as a value."""
-    return settle(df.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    return cut_lineage(df.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
 
 
 def quantiles_of_counts(

@@ -18,6 +18,7 @@ from pairlab.operators.inference import adjust_bh, proportion_test
 from pairlab.operators.members import flag_members, level_grid, levels_of
 from pairlab.operators.scaling import prior_total, zscore
 from pairlab.operators.summary import count_by, rate_by, share_within, switching_ids
+from pairlab.session import cut_lineage
 
 
 def share_by_kind(pairs: DataFrame, kind: str, flag: str) -> DataFrame:
@@ -38,7 +39,8 @@ def switchers(pairs: DataFrame, id_col: str, period: str, flag: str) -> DataFram
 
 def history(pairs: DataFrame, id_col: str, period: str, tie: str, flag: str) -> DataFrame:
     """Pairs with the number of earlier flagged pairs of the individual, and whether any."""
-    rows = prior_total(pairs, id_col, [period, tie], flag, "prior")
+    # history is read by several models: keep its input
+    rows = prior_total(cut_lineage(pairs), id_col, [period, tie], flag, "prior")
     return binarize(rows, "prior", "any_prior")
 
 
