@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pairlab.operators.design import Factor, Term, design
 from pairlab.operators.members import levels_of
 from pairlab.operators.regression import (
-    Fit, fit_glm, gram, model_rows, term_inputs, term_test,
+    Fit, fit_glm_rows, gram, model_rows, term_inputs, term_test,
 )
 from pairlab.operators.spread import ROWS, attach, null_safe_join, per_key, small_table
 from pairlab.session import cut_lineage
@@ -389,9 +389,10 @@ def _fit_glmm(
         )
     else:
         frame = frame.withColumn("w", F.lit(1.0))
-    start = fit_glm(rows, y, terms, "binomial")
+    start = fit_glm_rows(rows, y, terms, "binomial")
     scale = np.append(np.maximum(start.se(), 1e-8), 0.1)
-    frame = frame.persist()
+    if d.discrete:
+        frame = frame.persist()
     try:
         model = _Laplace(frame, d.width)
         at = np.append(start.beta, 0.5)

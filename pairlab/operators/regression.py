@@ -168,7 +168,9 @@ def fit_lm(df: DataFrame, y: str, terms: Sequence[Term]) -> Fit:
 
 def _fit_lm(rows: DataFrame, y: str, terms: Sequence[Term]) -> Fit:
     d, frame = model_frame(rows, y, terms)
-    frame = _assembled(frame, d).persist()
+    frame = _assembled(frame, d)
+    if d.discrete:  # one row per pattern; otherwise the kept rows are only projected
+        frame = frame.persist()
     try:
         model = LinearRegression(
             solver="normal", labelCol="y", weightCol="w", regParam=0.0
@@ -197,12 +199,15 @@ def fit_glm(df: DataFrame, y: str, terms: Sequence[Term], family: str) -> Fit:
     if family not in ("binomial", "poisson"):
         raise ValueError(f"family must be binomial or poisson, not {family!r}")
     with model_rows(df, y, *term_inputs(terms)) as rows:
-        return _fit_glm(rows, y, terms, family)
+        return fit_glm_rows(rows, y, terms, family)
 
 
-def _fit_glm(rows: DataFrame, y: str, terms: Sequence[Term], family: str) -> Fit:
+def fit_glm_rows(rows: DataFrame, y: str, terms: Sequence[Term], family: str) -> Fit:
+    """`fit_glm` on complete rows that are already kept."""
     d, frame = model_frame(rows, y, terms, family)
-    frame = _assembled(frame, d).persist()
+    frame = _assembled(frame, d)
+    if d.discrete:
+        frame = frame.persist()
     try:
         model = GeneralizedLinearRegression(
             family=family, labelCol="y", weightCol="w", tol=1e-12, maxIter=60

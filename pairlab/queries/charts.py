@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairlab.operators import charts as c
 from pairlab.operators.summary import median_of
 from pairlab.plans.standin import clean, measured, pairs, with_priority
-from pairlab.queries.base import CLEAN, LEVELED, OBS, PAIRS, more, query, r, rounded
+from pairlab.queries.base import CLEAN, LEVELED, OBS, PAIRS, erfc, more, query, r, rounded
 
 _RANGE = """ends AS (SELECT min({c}) AS lo, max({c}) AS hi FROM {t} WHERE {c} IS NOT NULL)"""
 
@@ -100,9 +100,26 @@ def qq_table(spark, folder):
     return rounded(out, {"p": 6, "sample": 4})
 
 
-@query("C9_qq_theoretical")
+# Normal quantiles by halving an interval around them.
+_NORMAL = f"""
+probs AS (SELECT (k + 0.5) / 50.0 AS p FROM range(50) t(k)),
+halves AS (
+  SELECT 0 AS i, p, CAST(-4 AS DOUBLE) AS lo, CAST(4 AS DOUBLE) AS hi FROM probs
+  UNION ALL
+  SELECT i + 1, p, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END
+  FROM (SELECT *, (lo + hi) / 2 AS mid, 1 - 0.5 * {erfc('((lo + hi) / 2 / sqrt(2))')} < p AS below
+        FROM halves WHERE i < 48)),
+q AS (SELECT quantile_cont(mass, [{_PROBS}]) AS qs, quantile_cont(mass, 0.25) AS q1,
+             quantile_cont(mass, 0.75) AS q3 FROM clean)"""
+
+
+@query("C9_qq_theoretical", more(CLEAN, _NORMAL) + f"""
+SELECT {r('p')} AS p, {r('(lo + hi) / 2')} AS theoretical, {r('qs[CAST(round(p * 50 + 0.5) AS INTEGER)]', 4)} AS sample,
+  {r('(q1 + q3) / 2 + (q3 - q1) / 1.3489795003921634 * (lo + hi) / 2', 2)} AS line
+FROM halves, q WHERE i = 48""")
 def qq_theoretical(spark, folder):
-    return c.qq_table(clean(spark, folder), "mass", 50)
+    out = c.qq_table(clean(spark, folder), "mass", 50)
+    return rounded(out, {"p": 6, "theoretical": 6, "sample": 4, "line": 2})
 
 
 @query("C10_period_series", PAIRS + f"""
