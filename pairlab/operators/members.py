@@ -16,13 +16,13 @@ def keep_members(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     Membership is decided once per key, then the listed keys are attached to the rows,
     so a key holding most rows is spread over tasks.
     """
-    found = null_safe_join(per_key(df, [key]), ids.select(key), [key], "left_semi")
+    found = null_safe_join(per_key(df, [key]), ids.select(key).distinct(), [key], "left_semi")
     return attach(df, found, [key])
 
 
 def drop_members(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in `ids`; never NULL, unlike SQL NOT IN."""
-    found = null_safe_join(per_key(df, [key]), ids.select(key), [key], "left_anti")
+    found = null_safe_join(per_key(df, [key]), ids.select(key).distinct(), [key], "left_anti")
     return attach(df, found, [key])
 
 

@@ -25,6 +25,9 @@ from pairlab.session import cut_lineage
 # Group levels whose random effects the driver may hold; beyond it they stay a table.
 FEW_GROUPS = 2_000
 
+# Levels of the second, small factor of a linear model: the driver solves a system this wide.
+FEW_SECOND = 500
+
 
 # --- linear ---------------------------------------------------------------------------
 
@@ -129,6 +132,8 @@ def _fit_lmm(
 ) -> Fit:
     d = design(rows, terms)
     levels2 = levels_of(rows, group2) if group2 else []
+    if len(levels2) > FEW_SECOND:
+        raise ValueError(f"{group2} has {len(levels2)} levels; give the larger factor as `group`")
     xs = [f"x{i}" for i in range(d.width)]
     frame = d.select(
         rows, F.col(group).alias("_g"),
@@ -187,10 +192,11 @@ def _fit_lmm(
             for i, v in enumerate(levels2):
                 effect = effect - F.lit(effects2[v]) * F.col(f"z{i}")
         shrink = F.lit(float(best_theta)) / (1.0 + F.col("n") * F.lit(float(best_theta)))
-        levels = per_group.select(
+        # residuals need the level effects long after the sums are let go
+        levels = cut_lineage(per_group.select(
             F.col("_g").alias(group), F.col("n").cast("bigint").alias(ROWS),
             (shrink * effect).alias("_effect"),
-        )
+        ))
     finally:
         per_group.unpersist()
     return Fit(

@@ -50,8 +50,8 @@ def build_pairs(
 
     `keys` are the columns shared by both sides (must include `group`); a pair needs all
     of them equal, NULL equal to NULL. `differs` adds 0/1 columns saying whether the two
-    rows differ in a column (a mixed flag), `excluded` lists groups to leave out. Equals
-    `pair_by_join`. Larger groups shrink to one row per task before the shuffle, so a
+    rows differ in a column (a mixed flag), `excluded` lists groups to leave out (one row
+    each). Equals `pair_by_join`. Larger groups shrink to one row per task before the shuffle, so a
     group holding most rows costs nothing more than its scan.
     """
     shared = [k for k in keys if k != group]

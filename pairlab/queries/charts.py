@@ -115,11 +115,11 @@ q AS (SELECT quantile_cont(mass, [{_PROBS}]) AS qs, quantile_cont(mass, 0.25) AS
 
 @query("C9_qq_theoretical", more(CLEAN, _NORMAL) + f"""
 SELECT {r('p')} AS p, {r('(lo + hi) / 2')} AS theoretical, {r('qs[CAST(round(p * 50 + 0.5) AS INTEGER)]', 4)} AS sample,
-  {r('(q1 + q3) / 2 + (q3 - q1) / 1.3489795003921634 * (lo + hi) / 2', 2)} AS line
+  {r('(q1 + q3) / 2 + (q3 - q1) / 1.3489795003921634 * (lo + hi) / 2', 4)} AS line
 FROM halves, q WHERE i = 48""")
 def qq_theoretical(spark, folder):
     out = c.qq_table(clean(spark, folder), "mass", 50)
-    return rounded(out, {"p": 6, "theoretical": 6, "sample": 4, "line": 2})
+    return rounded(out, {"p": 6, "theoretical": 6, "sample": 4, "line": 4})
 
 
 @query("C10_period_series", PAIRS + f"""
