@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairlab.llm import sharding
+from pairlab.llm import packing, sharding, token_files
 from pairlab.queries.base import query
 
 
@@ -20,3 +21,20 @@ def rendezvous_shards(spark, folder):
         {s: 1.0 for s in range(16)}, {s: 1.0 for s in range(17)},
     )
     return out.withColumn("law", F.lit("key"))
+
+
+@query("op4_token_files")
+def token_files_round_trip(spark, folder):
+    """All documents written as token files and read back."""
+    return token_files.token_digests(
+        table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=1
+    )
+
+
+@query("op6_best_fit_packing")
+def best_fit_packing(spark, folder):
+    """All documents in sequences of 4096 tokens."""
+    return packing.pack(
+        table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"),
+        capacity=4096, end_id=1,
+    )
