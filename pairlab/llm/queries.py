@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairlab.llm import packing, sharding, token_files
+from pairlab.llm import packing, pair_index, piecewise, sharding, token_files
 from pairlab.queries.base import query
 
 
@@ -38,3 +38,21 @@ def best_fit_packing(spark, folder):
         table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"),
         capacity=4096, end_id=1,
     )
+
+
+@query("op5_byte_pair_codes")
+def byte_pair_codes(spark, folder):
+    """All documents encoded and decoded; digests of both."""
+    out = pair_index.encode_texts(
+        table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return out.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op9_piecewise_fingerprints")
+def piecewise_fingerprints(spark, folder):
+    """Fingerprints of all documents and of their edited texts."""
+    return piecewise.compare_neighbours(table(spark, folder, "documents"), "doc_id", "text")
