@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pairlab.llm.common import settle, tasks
 
 WINDOW = 7
-LONGEST, SHORTEST, AIM = 128, 24, 64  # characters of a signature
+LONGEST, AIM = 128, 64  # characters of a signature
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _SEED = np.random.default_rng(9)
 _ROLL = _SEED.integers(0, 1 << 32, 256, np.uint32)
@@ -67,8 +67,6 @@ def fingerprint(body: bytes) -> str:
     while len(own) > LONGEST:  # periodic text ends chunks too often
         block *= 2
         own = _signature(data, rolled, block)
-    while len(own) < SHORTEST and block > 1 and len(finer := _signature(data, rolled, block // 2)) <= LONGEST:
-        block, own = block // 2, finer
     return f"{block}:{own.decode()}:{_signature(data, rolled, block * 2).decode()}"
 
 
@@ -87,8 +85,8 @@ def _common(a: str, b: str) -> int:
 def _alike(a: str, b: str, need: int = 4) -> float:
     if a == b:
         return 1.0
-    need = min(need, len(a), len(b))
-    if not need or not {a[i : i + need] for i in range(len(a) - need + 1)} & {b[i : i + need] for i in range(len(b) - need + 1)}:
+    need = min(need, max(1, min(len(a), len(b)) // 2))
+    if not a or not b or not {a[i : i + need] for i in range(len(a) - need + 1)} & {b[i : i + need] for i in range(len(b) - need + 1)}:
         return 0.0
     return 2 * _common(a, b) / (len(a) + len(b))
 
@@ -97,7 +95,7 @@ def likeness(a: str, b: str) -> float:
     """0 to 1: 1 - edit distance / total length of the signatures at a block size both have.
 
     An insertion or deletion costs 1 and an exchange 2. Without a shared block size, or without four
-    characters in a row in common (all, if a signature is shorter), it is 0. Of two shared sizes
+    characters in a row in common (half of a signature, if that is shorter), it is 0. Of two shared sizes
     the better counts. Equal fingerprints give 1, also those of two empty texts.
     """
     if a == b:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairlab.llm import packing, pair_index, piecewise, sharding, token_files
+from pairlab.llm import packing, pair_index, piecewise, recompression, sharding, token_files
 from pairlab.queries.base import query
 
 
@@ -56,3 +56,10 @@ def byte_pair_codes(spark, folder):
 def piecewise_fingerprints(spark, folder):
     """Fingerprints of all documents and of their edited texts."""
     return piecewise.compare_neighbours(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("op1_recompression_dedup")
+def recompression_dedup(spark, folder):
+    """All documents without the words of repeated windows of 35 words."""
+    out = recompression.drop_repeats(table(spark, folder, "documents"), "doc_id", "text", width=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
