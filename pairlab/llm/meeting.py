@@ -39,11 +39,19 @@ def unique(first: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndar
 
 
 def send(
-    chunk: int, kind: int, buckets: int, first: np.ndarray, second: np.ndarray | None, note: np.ndarray
+    chunk: int, kind: int, buckets: int, first: np.ndarray, second: np.ndarray | None, note: np.ndarray,
+    short: bool = False,
 ) -> Iterator[tuple]:
-    """Rows of keys that ascend by `first`; a bucket is a range of it."""
-    bucket = ((first >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Rows of keys that ascend by `first`; a bucket is a range of it.
+
+    `short` keys are known by their place in the bucket's range, 32 bits, alone: enough where equal
+    keys must agree and different ones may, in rare cases.
+    """
+    scaled = (first >> np.uint64(32)) * np.uint64(buckets)
+    bucket = (scaled >> np.uint64(32)).astype(np.int64)
     bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    if short:
+        first = scaled.astype(np.uint32)
     for a, b in zip(bounds[:-1], bounds[1:]):
         half = b"" if second is None else second[a:b].tobytes()
         yield int(bucket[a]), chunk, kind, first[a:b].tobytes(), half, note[a:b].astype(np.uint8).tobytes()
@@ -57,8 +65,11 @@ def sent_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def meet(sent: DataFrame, answer: Callable[..., np.ndarray]) -> DataFrame:
-    """Answers by `answer(number of each key, how many distinct keys, notes, row's place in the order of chunks)`."""
+def meet(sent: DataFrame, answer: Callable[..., np.ndarray], short: tuple[int, ...] = ()) -> DataFrame:
+    """Answers by `answer(number of each key, how many distinct keys, notes, row's place in the order of chunks)`.
+
+    `short` names the kinds whose keys were sent short.
+    """
 
     def group(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
@@ -66,7 +77,8 @@ def meet(sent: DataFrame, answer: Callable[..., np.ndarray]) -> DataFrame:
         notes = table.column("note")
         if len(table) and kind[0].as_py() != OWN:
             parts = [np.frombuffer(x, np.uint8) for x in notes.to_pylist()]
-            first = np.frombuffer(b"".join(table.column("first").to_pylist()), np.uint64)
+            width = np.uint32 if kind[0].as_py() in short else np.uint64
+            first = np.frombuffer(b"".join(table.column("first").to_pylist()), width)
             half = b"".join(table.column("second").to_pylist())
             _, number, counts = unique(first, np.frombuffer(half, np.uint64) if half else None)
             ends = np.cumsum([len(p) for p in parts])

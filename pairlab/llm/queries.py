@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairlab.llm import packing, pair_index, piecewise, recompression, sharding, token_files
+from pairlab.llm import jaccard, packing, pair_index, piecewise, recompression, sharding, token_files
 from pairlab.queries.base import query
 
 
@@ -63,3 +63,10 @@ def recompression_dedup(spark, folder):
     """All documents without the words of repeated windows of 35 words."""
     out = recompression.drop_repeats(table(spark, folder, "documents"), "doc_id", "text", width=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_shingle_components")
+def shingle_components(spark, folder):
+    """Components of near duplicates among all documents: five words, similarity 0.75 or more."""
+    out = jaccard.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", width=5, at_least=(75, 100))
+    return out.select("doc_id", "n_shingles", "component_id")

@@ -201,9 +201,11 @@ def _said_window(number: np.ndarray, distinct: int, note: np.ndarray, place: np.
     return (np.bincount(number, 1 + (note > 0), distinct) > 1)[number]
 
 
-def chunked(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def chunked(df: DataFrame, key: str, text: str, size: int, lower: bool = False) -> DataFrame:
     """Whole documents as word codes and the chunk's distinct words, about `size` bytes of text a row.
 
+    `lower` puts ASCII letters into lower case first.
+
     Chunks follow the input's partitions, so that the same input always gives the same chunks.
     """
 
@@ -222,11 +224,11 @@ def chunked(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
             numbers: dict[bytes, int] = {}
             codes, counts = [], []
             for _, body in docs:
-                found = (body or b"").split()
+                found = ((body or b"").lower() if lower else body or b"").split()
                 codes.extend(numbers.setdefault(w, len(numbers)) for w in found)
                 counts.append(len(found))
             yield pa.RecordBatch.from_arrays([
-                pa.array([part << 32 | seq], pa.int64()), pa.array([[k for k, _ in docs]], pa.list_(kind)),
+                pa.array([part << 20 | seq], pa.int64()), pa.array([[k for k, _ in docs]], pa.list_(kind)),
                 pa.array([counts], pa.list_(pa.int64())), pa.array([b" ".join(numbers)], pa.binary()),
                 pa.array([np.array(codes, np.int32).tobytes()], pa.binary()),
             ], names=["chunk", "keys", "counts", "vocabulary", "codes"])
