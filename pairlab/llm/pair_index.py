@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import batches_of, slices, strings
+from pairlab.llm.common import batches_of, byte_letters, slices, strings
 
 #: The pre-tokenizer's pattern of byte-level vocabularies, for any text and for ASCII.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -28,13 +28,6 @@ ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za
 NONE = np.int64(1 << 40)
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: itself if it is printable, else one from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 class _Numbers(dict):
     """Numbers its keys from 0 in the order in which they come."""
 

@@ -12,58 +12,70 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-from pairlab.llm.common import slices
+from pairlab.llm.common import byte_letters, slices
 
 #: The pre-tokenizer's pattern of word_bpe_49k.json, for lower-case ASCII words.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordEncoder(dict):
     """word (bytes) -> number of its entry; the ids of all entries lie in one array."""
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.model = self.tokenizer.model
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, list[int]] = {}
+        self.letters = byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
         self.ids, self.starts, self.lengths = array("I"), array("Q"), array("I")
 
-    def __missing__(self, word: bytes) -> int:
-        ids = self._encode(word)
-        entry = self[word] = len(self.starts)
+    def _add(self, ids: list[int]) -> int:
         self.starts.append(len(self.ids))
         self.lengths.append(len(ids))
         self.ids.extend(ids)
+        return len(self.starts) - 1
+
+    def __missing__(self, word: bytes) -> int:
+        if word.isalpha():  # ASCII letters alone: one piece
+            plain = word.lower()
+            entry = self[plain] if plain != word else self._add([t.id for t in self.model.tokenize(plain.decode())])
+        else:
+            entry = self._mixed(word)
+        self[word] = entry
         return entry
 
-    def _encode(self, word: bytes) -> list[int]:
-        if word.isalpha():  # ASCII letters alone
-            return self._piece(word.lower().decode())
+    def _mixed(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
         if "<|" in text:  # may hold a special token
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self._add(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if text.isascii() and text.isprintable():
-            pieces = ASCII_PIECES.findall(text.lower())
+            parts = [self[p] for p in ASCII_PIECES.findall(word.lower()) if p != word] or [None]
+            if parts == [None]:  # a piece itself
+                return self._add([t.id for t in self.model.tokenize(text)])
+            return parts[0] if len(parts) == 1 else self._add([i for p in parts for i in self._of(p)])
+        low = text.lower()
+        if low.isalpha() and max(text) < "\u0250":
+            # Latin letters are composed already, and a letter's lower case depends on nothing else.
+            pieces = ["".join(map(self.letters.__getitem__, low.encode()))]
         else:
             plain = self.tokenizer.normalizer.normalize_str(text)
             pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
-        return [i for p in pieces for i in self._piece(p)]
+        return self._add([t.id for p in pieces for t in self.model.tokenize(p)])
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
-        return ids
+    def _of(self, entry: int) -> array:
+        start = self.starts[entry]
+        return self.ids[start : start + self.lengths[entry]]
 
     def encode(self, docs: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has."""
         if len(self) > self.keep:
-            self.clear()
-            self.pieces.clear()
-            self.ids, self.starts, self.lengths = array("I"), array("Q"), array("I")
+            self._forget()
         entries, words = array("Q"), []
         for doc in docs:
             found = (doc or b"").split()
