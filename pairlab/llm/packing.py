@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -40,13 +41,16 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 200) -> list[list[int]]:
+def local_search(
+    bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 20, takers: int = 256
+) -> list[list[int]]:
     """Fewer bins by moves and swaps between underfull ones.
 
     The emptiest bin gives: a document moves to another bin, is exchanged for a shorter one, or two
     of its documents for one shorter than both together. Each step takes from a bin no fuller than
     the one it gives to, so the sum of squared fills grows and the search ends; a bin that has
-    nothing left goes. `rounds` bounds the giving bins in a row that could not be emptied.
+    nothing left goes. The search tries the `takers` roomiest bins for each giving one, and ends
+    with `rounds` giving bins in a row that could give nothing, or when the sizes allow no fewer bins.
     """
     size = lambda b: int(sum(lengths[i] for i in b))
     fill = [size(b) for b in bins]
@@ -55,9 +59,9 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, roun
     alive, failed = len(bins), 0
     while alive > need and failed < rounds and len(open_) > 1:
         giver = min(open_, key=lambda k: fill[k])
-        takers = sorted((k for k in open_ if k != giver), key=lambda k: -fill[k])
+        roomy = nsmallest(takers, (k for k in open_ if k != giver), key=lambda k: fill[k])
         moved = False
-        for taker in takers:
+        for taker in roomy[::-1]:  # of these the fullest first
             room = capacity - fill[taker]
             if not room or fill[taker] < fill[giver]:
                 continue
@@ -154,9 +158,9 @@ def pack(
 
     Full pieces are sequences of their own. The rest is dealt to random groups of about `group_rows`
     pieces, packed side by side: best fit, then the local search. What lies in sequences that stayed
-    underfull in a group is dealt and packed again together, `rounds` times at most or until one
-    group holds all of it; each round leaves about one loose sequence per group, so groups cost
-    nothing in the end. Row numbers, not keys, choose the group: a hot or null key spreads.
+    loose in a group (more than 1/64 free) is dealt and packed again together, `rounds` times at most
+    or until one group holds all of it; each round leaves about one loose sequence per group, so
+    groups cost nothing in the end. Row numbers, not keys, choose the group: a hot or null key spreads.
 
     Null or empty texts are one piece of the end id. Equal rows are packed each for itself. No rows
     give no rows; other columns of `df` are not read, whatever their names.
@@ -179,14 +183,15 @@ def pack(
             dealt.repartition(max(1, groups), "group").groupBy("group").applyInPandas(lambda g: pack_group(g, capacity), schema), "packed"
         )
         last = groups == 1 or turn == rounds - 1
-        kept = packed if last else packed.filter(F.col("filled") == capacity)
+        tight = F.col("filled") * 64 >= capacity * 63
+        kept = packed if last else packed.filter(tight)
         done.append(kept.select(
             *columns,
             (F.lit(turn) * F.lit(1 << 56) + F.col("group") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), "offset",
         ))
         if last:
             break
-        loose = packed.filter(F.col("filled") < capacity).select(*columns)
+        loose = packed.filter(~tight).select(*columns)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
