@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairlab.llm import jaccard, packing, pair_index, piecewise, recompression, sharding, token_files
+from pairlab.llm import collisions, jaccard, langid, packing, pair_index, piecewise, recompression, sharding, token_files
 from pairlab.queries.base import query
 
 
@@ -70,3 +70,15 @@ def shingle_components(spark, folder):
     """Components of near duplicates among all documents: five words, similarity 0.75 or more."""
     out = jaccard.near_duplicates(table(spark, folder, "documents"), "doc_id", "text", width=5, at_least=(75, 100))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_byte_cnn_language")
+def byte_cnn_language(spark, folder):
+    """The language of all documents, learned from those that are not held out."""
+    return langid.identify_documents(table(spark, folder, "documents"), "doc_id", "text", "lang")
+
+
+@query("op7_collision_neighbours")
+def collision_neighbours(spark, folder):
+    """The 20 nearest of all vectors for each whose id is divisible by 20."""
+    return collisions.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, wanted=20)
