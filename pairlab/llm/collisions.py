@@ -147,7 +147,8 @@ def nearest(
     queries = joined.filter("q").groupBy("dim", "id").agg(
         F.min("v").alias("v"), F.first("blocks").alias("blocks"), F.first("query_blocks").alias("query_blocks")
     ).withColumn("qb", F.pmod(F.xxhash64("id"), F.col("query_blocks")).cast("int")).select(
-        "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "qb", "id", "v"
+        F.col("dim").alias("dim"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "qb",
+        F.col("id").alias("id"), "v",
     )
 
     def matrix(table: pa.Table) -> np.ndarray:
