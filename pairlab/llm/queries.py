@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairlab.llm import collisions, jaccard, langid, packing, pair_index, piecewise, recompression, sharding, token_files
+from pairlab.llm import collisions, jaccard, langid, packing, pair_index, piecewise, recompression, sharding, templates, token_files
 from pairlab.queries.base import query
 
 
@@ -82,3 +82,10 @@ def byte_cnn_language(spark, folder):
 def collision_neighbours(spark, folder):
     """The 20 nearest of all vectors for each whose id is divisible by 20."""
     return collisions.nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, wanted=20)
+
+
+@query("op2_template_extraction")
+def template_extraction(spark, folder):
+    """The main text of all pages."""
+    out = templates.extract(table(spark, folder, "pages"), "page_id", "url", "html")
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
