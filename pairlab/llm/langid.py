@@ -154,8 +154,8 @@ def learn(
     return net
 
 
-def identify(df: DataFrame, key: str, text: str, net: ByteNet | None) -> DataFrame:
-    """key, lang_pred and score of every whole text.
+def identify(df: DataFrame, key: str, text: str, net: ByteNet | None, keep_text: bool = False) -> DataFrame:
+    """key, lang_pred and score of every whole text, and the text itself on demand.
 
     All of a text's windows are read; the score is the mean probability of the predicted language,
     windows weighted by their bytes, ties to the first language in order. Texts that are null or
@@ -189,11 +189,13 @@ def identify(df: DataFrame, key: str, text: str, net: ByteNet | None) -> DataFra
                 yield pa.RecordBatch.from_arrays([
                     pa.array([k for k, _ in part], found.schema.field(0).type),
                     pa.array(pred), pa.array(score, pa.float64()),
-                ], names=["key", "lang_pred", "score"])
+                    *([pa.array([t for _, t in part], pa.string())] if keep_text else []),
+                ], names=schema.names)
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([
         T.StructField("key", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        *([T.StructField("text", T.StringType())] if keep_text else []),
     ])
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
