@@ -32,24 +32,38 @@ class Design:
     blocks: dict[str, list[str]] = field(default_factory=dict)
     inputs: list[str] = field(default_factory=list)
     discrete: bool = True
+    known: dict[str, Column] = field(default_factory=dict)
 
     def select(self, df: DataFrame, *others: Column) -> DataFrame:
-        """Design columns x0, x1, ... next to `others`."""
-        return df.select(*others, *[c.alias(f"x{i}") for i, c in enumerate(self.columns)])
+        """Design columns x0, x1, ... next to `others`, on the rows where the design is known."""
+        names = [f"x{i}" for i in range(self.width)]
+        for condition in self.known.values():
+            df = df.filter(condition)
+        out = df.select(*others, *[c.alias(n) for c, n in zip(self.columns, names)])
+        return out.dropna(subset=names) if names else out
+
+    def only(self, kept: Sequence[int]) -> Design:
+        """The design with these columns alone, in order."""
+        names = [self.names[i] for i in kept]
+        blocks = {t: [n for n in members if n in names] for t, members in self.blocks.items()}
+        return Design(names, [self.columns[i] for i in kept], blocks, self.inputs, self.discrete, self.known)
 
     @property
     def width(self) -> int:
         return len(self.names)
 
 
-def _parts(df: DataFrame, term: str | Factor) -> tuple[str, str, list[tuple[str, Column]], bool]:
-    """(term name, input column, [(name, column)], discrete) of one main effect."""
+def _parts(df: DataFrame, term: str | Factor) -> tuple[str, str, list[tuple[str, Column]], tuple | bool]:
+    """(term name, input column, [(name, column)], levels) of one main effect.
+
+    Numbers have no levels: (), or False if they are continuous.
+    """
     col = term.col if isinstance(term, Factor) else term
     kind = df.schema[col].dataType
     textual = isinstance(kind, (T.StringType, T.BooleanType))
     if not isinstance(term, Factor) and not textual:
         whole = isinstance(kind, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
-        return col, col, [(col, F.col(col).cast("double"))], whole
+        return col, col, [(col, F.col(col).cast("double"))], whole and ()
     levels = (term.levels if isinstance(term, Factor) else ()) or tuple(levels_of(df, col))
     if len(levels) < 2:
         raise ValueError(f"factor {col} has fewer than two levels")
@@ -57,7 +71,7 @@ def _parts(df: DataFrame, term: str | Factor) -> tuple[str, str, list[tuple[str,
         (f"{col}[{v}]", F.when(F.col(col).isNotNull(), (F.col(col) == F.lit(v)).cast("double")))
         for v in levels[1:]
     ]
-    return col, col, dummies, True
+    return col, col, dummies, levels
 
 
 def design(df: DataFrame, terms: Sequence[Term]) -> Design:
@@ -78,9 +92,12 @@ def design(df: DataFrame, terms: Sequence[Term]) -> Design:
     products = []
     for term in terms:
         members = [_parts(df, t) for t in (term if isinstance(term, tuple) else (term,))]
-        for name, col, parts, discrete in members:
+        for name, col, parts, levels in members:
             add(name, parts)
-            out.discrete = out.discrete and discrete
+            out.discrete = out.discrete and levels is not False
+            if levels:
+                # a value that is no level is missing, not the reference
+                out.known[col] = F.col(col).isin(*levels)
             if col not in out.inputs:
                 out.inputs.append(col)
         if len(members) == 2:

@@ -77,25 +77,26 @@ def attach_scores(
 
 
 def level_grid(spark: SparkSession, levels: Mapping[str, Sequence]) -> DataFrame:
-    """Every combination of the listed levels."""
-    size = 1
-    for values in levels.values():
+    """Every combination of the listed levels, of any number; the last listed varies fastest."""
+    size, columns = 1, {}
+    for name, values in reversed(levels.items()):
+        place = F.floor(F.col("id") / F.lit(size)) % F.lit(len(values))
+        columns[name] = F.element_at(F.array(*[F.lit(v) for v in values]), (place + 1).cast("int"))
         size *= len(values)
-    if size > FEW_KEYS:
-        raise ValueError(f"a grid of {size} rows is not a prediction grid")
-    grid = spark.range(1).drop("id")
-    for name, values in levels.items():
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return grid
+    return spark.range(size).select(*[columns[name].alias(name) for name in levels])
 
 
-def levels_of(df: DataFrame, col: str | Column) -> list:
-    """Sorted distinct non-NULL values of a categorical column."""
+def levels_of(df: DataFrame, col: str | Column, most: int = FEW_KEYS) -> list:
+    """Sorted distinct non-NULL values of a categorical column.
+
+    They become columns of a model or rows of a grid, so `most` of them may be collected; list the
+    levels of a `Factor` to have more.
+    """
     c = F.col(col) if isinstance(col, str) else col
     rows = (
         df.select(c.alias("_level")).filter(F.col("_level").isNotNull()).distinct()
-        .limit(FEW_KEYS + 1).collect()
+        .limit(most + 1).collect()
     )
-    if len(rows) > FEW_KEYS:
-        raise ValueError(f"{col} has more than {FEW_KEYS} levels: not categorical")
+    if len(rows) > most:
+        raise ValueError(f"{col} has more than {most} levels: not categorical")
     return sorted(r[0] for r in rows)

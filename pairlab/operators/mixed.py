@@ -8,6 +8,7 @@ logistic one Breslow and Clayton's Laplace approximation with its exact gradient
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pairlab.operators.design import Factor, Term, design
 from pairlab.operators.members import levels_of
 from pairlab.operators.regression import (
-    Fit, fit_glm_rows, gram, model_rows, term_inputs, term_test,
+    Fit, estimable, fit_glm_rows, gram, model_rows, term_inputs, term_test,
 )
 from pairlab.operators.spread import ROWS, attach, null_safe_join, per_key, small_table
 from pairlab.session import cut_lineage
@@ -130,7 +131,7 @@ def fit_lmm(
 def _fit_lmm(
     rows: DataFrame, y: str, terms: Sequence[Term], group: str, group2: str | None
 ) -> Fit:
-    d = design(rows, terms)
+    d, aliased = estimable(rows, design(rows, terms))
     levels2 = levels_of(rows, group2) if group2 else []
     if len(levels2) > FEW_SECOND:
         raise ValueError(f"{group2} has {len(levels2)} levels; give the larger factor as `group`")
@@ -201,7 +202,7 @@ def _fit_lmm(
         per_group.unpersist()
     return Fit(
         "gaussian", y, d, best["beta"], best["cov"], stats, group=group, group_effects=levels,
-        period=group2, period_effects=effects2,
+        period=group2, period_effects=effects2, aliased=aliased,
     )
 
 
@@ -248,6 +249,7 @@ class _Laplace:
         local = small_table(self.stats, FEW_GROUPS)
         self.local = None if local is None else local.select("_g").toPandas()["_g"]
         self.passes = 0
+        self.settled = True  # whether the last search for random effects came to its end
 
     def _sums(self, rows: DataFrame) -> DataFrame:
         """`rows`: model frame with cfg, ui, b0.., sigma on every row."""
@@ -296,7 +298,8 @@ class _Laplace:
             got = self._sums(null_safe_join(self.frame, F.broadcast(table), ["_g"], "inner")).toPandas()
             sigma = got["sigma"].to_numpy()
             step = (sigma * got["r"] - got["ui"]) / (1.0 + sigma**2 * got["v"])
-            if np.abs(step).max() < tol:
+            self.settled = bool(np.abs(step).max() < tol)
+            if self.settled:
                 break
             moved = got[["_g", "cfg"]].assign(ui=got["ui"] + np.clip(step, -2.0, 2.0))
             state = state.drop(columns="ui").merge(moved, on=["_g", "cfg"])
@@ -329,7 +332,8 @@ class _Laplace:
             state = moved.groupBy("_g").agg(
                 F.max(ROWS).alias(ROWS), F.transform(entries, lambda e: e["next"]).alias("u")
             )
-            if largest < tol:
+            self.settled = largest < tol
+            if self.settled:
                 break
         width = self.width
 
@@ -376,8 +380,8 @@ def fit_glmm(
 
     Newton steps on (coefficients, random sd); the Hessian comes from differences of the
     exact gradient, all shifted vectors sharing the same passes. Discrete models are
-    first reduced to one row per group and covariate pattern. Fails if it does not
-    converge.
+    first reduced to one row per group and covariate pattern. Aliased terms are left out. A fit
+    that does not converge within `max_rounds` says so in its status and has no estimates.
     """
     with model_rows(df, y, group, *term_inputs(terms)) as rows:
         return _fit_glmm(rows, y, terms, group, max_rounds)
@@ -386,7 +390,10 @@ def fit_glmm(
 def _fit_glmm(
     rows: DataFrame, y: str, terms: Sequence[Term], group: str, max_rounds: int
 ) -> Fit:
-    d = design(rows, terms)
+    start = fit_glm_rows(rows, y, terms, "binomial")
+    d = start.design
+    if start.status != "ok":
+        return replace(start, group=group)
     frame = d.select(rows, F.col(group).alias("_g"), F.col(y).cast("double").alias("y"))
     xs = [f"x{i}" for i in range(d.width)]
     if d.discrete:
@@ -395,7 +402,6 @@ def _fit_glmm(
         )
     else:
         frame = frame.withColumn("w", F.lit(1.0))
-    start = fit_glm_rows(rows, y, terms, "binomial")
     scale = np.append(np.maximum(start.se(), 1e-8), 0.1)
     if d.discrete:
         frame = frame.persist()
@@ -427,11 +433,11 @@ def _fit_glmm(
                 break
             else:  # a poor curvature: measure it again before giving up
                 curvature = -_hessian(model, at, scale, effects) * np.outer(scale, scale)
-        if not converged:
-            raise RuntimeError(f"no convergence after {round_ + 1} rounds")
         at[-1] = abs(at[-1])
         value, _, effects = model.evaluate(at, effects)
         value = value[0]
+        if not converged or not model.settled:
+            return replace(start, group=group, status="not converged", stats=start.stats | {"rounds": round_ + 1})
         cov = np.linalg.inv(-_hessian(model, at, scale, effects))
         n = frame.agg(F.sum("w")).first()[0]
         if isinstance(effects, pd.DataFrame):
@@ -451,7 +457,7 @@ def _fit_glmm(
     }
     # levels and their effects on the link scale
     effects = effects.withColumn("_u", F.col("_u") * F.lit(float(at[-1])))
-    fit = Fit("binomial", y, d, at[:-1], cov[:-1, :-1], stats, group=group)
+    fit = Fit("binomial", y, d, at[:-1], cov[:-1, :-1], stats, group=group, aliased=start.aliased)
     fit.level_effects = effects.withColumnRenamed("_u", "effect")
     return fit
 

@@ -9,9 +9,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlab.functions.columns import inv_logit
 from pairlab.functions.tails import chi2_tail, normal_two_sided, student_two_sided
@@ -38,6 +39,9 @@ class Fit:
     group_effects: DataFrame | None = None
     period: str | None = None
     period_effects: Mapping = field(default_factory=dict)
+    # Terms that the others determine: no estimate, and no prediction where they are not 0.
+    aliased: Mapping[str, Column] = field(default_factory=dict)
+    status: str = "ok"
 
     @property
     def names(self) -> list[str]:
@@ -48,14 +52,22 @@ class Fit:
 
 
 def coef_table(spark: SparkSession, fit: Fit) -> DataFrame:
-    """(term, estimate, se, statistic, p_value). p is Wald z unless the fit brought its own."""
+    """(term, estimate, se, statistic, p_value, status). p is Wald z unless the fit brought its own.
+
+    Terms that the others determine are `aliased`, with no numbers; nor has a model that
+    did not converge any.
+    """
     rows = []
     for i, (name, b, s) in enumerate(zip(fit.names, fit.beta, fit.se())):
+        if fit.status != "ok":
+            rows.append((name, None, None, None, None, fit.status))
+            continue
         z = float(b / s) if s > 0 else None
         p = fit.p_values[i] if fit.p_values else (None if z is None else normal_two_sided(z))
-        rows.append((name, float(b), float(s), z, None if p is None else float(p)))
+        rows.append((name, float(b), float(s), z, None if p is None else float(p), fit.status))
+    rows += [(name, None, None, None, None, "aliased") for name in fit.aliased]
     return spark.createDataFrame(
-        rows, "term string, estimate double, se double, statistic double, p_value double"
+        rows, "term string, estimate double, se double, statistic double, p_value double, status string"
     )
 
 
@@ -66,7 +78,13 @@ def fit_stats(spark: SparkSession, fits: Mapping[str, Fit]) -> DataFrame:
 
 
 def compare_fits(spark: SparkSession, fits: Mapping[str, Fit]) -> DataFrame:
-    """Parameters, log-likelihood and AIC per model, with the distance to the best AIC."""
+    """Parameters and AIC per model, with the distance to the best AIC.
+
+    Fits without AIC (linear mixed models, models that did not converge) cannot be compared.
+    """
+    without = [m for m, f in fits.items() if "aic" not in f.stats]
+    if without:
+        raise ValueError(f"no AIC for {', '.join(without)}")
     if len({f.stats["n"] for f in fits.values()}) > 1:
         raise ValueError("models fitted to different rows cannot be compared by AIC")
     best = min(f.stats["aic"] for f in fits.values())
@@ -115,25 +133,53 @@ def gram(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> np.nd
     return out.reshape(width, width)
 
 
-def model_frame(
-    df: DataFrame, y: str, terms: Sequence[Term], family: str = "gaussian"
-) -> tuple[Design, DataFrame]:
+def model_frame(df: DataFrame, y: str, d: Design, family: str) -> DataFrame:
     """Complete rows as (y, x0, x1, ..., w); equal rows of discrete models are counted once.
 
     With only factors and whole numbers the frame has one row per covariate pattern, so
     iterations no longer depend on the number of observations. For `binomial` a pattern
     carries its share of ones.
     """
-    d = design(df, terms)
     rows = df.dropna(subset=[y, *d.inputs])
     frame = d.select(rows, F.col(y).cast("double").alias("y"))
     if not d.discrete:
-        return d, frame.withColumn("w", F.lit(1.0))
+        return frame.withColumn("w", F.lit(1.0))
     count = F.count(F.lit(1)).cast("double").alias("w")
     if family == "binomial":
         xs = [f"x{i}" for i in range(d.width)]
-        return d, frame.groupBy(*xs).agg(F.avg("y").alias("y"), count)
-    return d, frame.groupBy(*frame.columns).agg(count)
+        return frame.groupBy(*xs).agg(F.avg("y").alias("y"), count)
+    return frame.groupBy(*frame.columns).agg(count)
+
+
+def independent(cross: np.ndarray, tol: float = 1e-11) -> list[int]:
+    """Columns that those before them do not determine, from their cross-products (intercept first)."""
+    kept: list[int] = []
+    for j in range(len(cross)):
+        rest = cross[j, j]
+        if kept and rest > 0:
+            rest -= cross[j, kept] @ np.linalg.solve(cross[np.ix_(kept, kept)], cross[kept, j])
+        if rest > tol * abs(cross[j, j]):
+            kept.append(j)
+    return kept
+
+
+def estimable(rows: DataFrame, d: Design) -> tuple[Design, dict[str, Column]]:
+    """The design without the columns that others determine, and those.
+
+    Columns are scaled to their largest value; what is left of one besides those before it decides.
+    """
+    if not d.width:
+        return d, {}
+    xs = [f"x{i}" for i in range(d.width)]
+    frame = d.select(rows)
+    largest = frame.agg(*[F.max(F.abs(x)).alias(x) for x in xs]).first()
+    scaled = frame.select(F.lit(1.0).alias("_one"), *[
+        (F.col(x) / F.lit(float(largest[x] or 1.0))).alias(x) for x in xs
+    ])
+    cross = np.nan_to_num(np.array(gram(scaled, ["_one", *xs]), dtype=float))
+    kept = [j - 1 for j in independent(cross) if j]
+    aliased = {d.names[i]: d.columns[i] for i in range(d.width) if i not in kept}
+    return (d.only(kept) if aliased else d), aliased
 
 
 @contextmanager
@@ -167,31 +213,37 @@ def fit_lm(df: DataFrame, y: str, terms: Sequence[Term]) -> Fit:
 
 
 def _fit_lm(rows: DataFrame, y: str, terms: Sequence[Term]) -> Fit:
-    d, frame = model_frame(rows, y, terms)
-    frame = _assembled(frame, d)
-    if d.discrete:  # one row per pattern; otherwise the kept rows are only projected
-        frame = frame.persist()
-    try:
-        model = LinearRegression(
-            solver="normal", labelCol="y", weightCol="w", regParam=0.0
-        ).fit(frame)
-        xs = [f"x{i}" for i in range(d.width)]
-        cross = gram(frame.withColumn("_one", F.lit(1.0)), ["_one", *xs, "y"], "w")
-    finally:
-        frame.unpersist()
-    beta = np.concatenate([[model.intercept], model.coefficients.toArray()])
-    n, p = cross[0, 0], len(beta)
-    residual = max(cross[-1, -1] - beta @ cross[:-1, -1], 0.0)
-    total = cross[-1, -1] - cross[0, -1] ** 2 / n
+    """Two passes, of sums alone: means, then cross-products about them."""
+    d, aliased = estimable(rows.dropna(subset=[y]), design(rows, terms))
+    xs = [f"x{i}" for i in range(d.width)]
+    frame = d.select(rows, F.col(y).cast("double").alias("y"))
+    means = frame.agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(c).alias(c) for c in (*xs, "y")]).first()
+    n, p = float(means["n"]), d.width + 1
+    centre = np.array([means[c] if means[c] is not None else np.nan for c in xs], dtype=float)
+    if n <= p:
+        nothing = np.full(p, np.nan)
+        return Fit("gaussian", y, d, nothing, np.full((p, p), np.nan), {"n": n, "parameters": p, "df_residual": n - p},
+                   aliased=aliased, status="too few rows")
+    about = frame.select(*[(F.col(c) - F.lit(float(means[c]))).alias(c) for c in (*xs, "y")])
+    cross = gram(about, [*xs, "y"])
+    slopes = np.linalg.solve(cross[:-1, :-1], cross[:-1, -1]) if xs else np.zeros(0)
+    beta = np.append(means["y"] - slopes @ centre, slopes)
+    total = cross[-1, -1]
+    residual = max(total - slopes @ cross[:-1, -1], 0.0)
     sigma2 = residual / (n - p)
-    cov = sigma2 * np.linalg.inv(cross[:-1, :-1])
+    inverse = np.linalg.inv(cross[:-1, :-1])
+    cov = sigma2 * np.block([
+        [np.array([[1 / n + centre @ inverse @ centre]]), -(centre @ inverse)[None, :]],
+        [-(inverse @ centre)[:, None], inverse],
+    ])
+    loglik = -n / 2 * (np.log(2 * np.pi * residual / n) + 1) if residual else np.inf
     stats = {
         "n": n, "parameters": p, "df_residual": n - p, "sigma": float(np.sqrt(sigma2)),
-        "r2": float(1 - residual / total), "deviance": float(residual),
-        "aic": float(n * (np.log(2 * np.pi * residual / n) + 1) + 2 * (p + 1)),
+        "r2": float(1 - residual / total) if total else np.nan, "deviance": float(residual),
+        "log_likelihood": float(loglik), "aic": float(-2 * loglik + 2 * (p + 1)),
     }
-    tails = [student_two_sided(b / s, n - p) for b, s in zip(beta, np.sqrt(np.diag(cov)))]
-    return Fit("gaussian", y, d, beta, cov, stats, p_values=tails)
+    tails = [student_two_sided(b / s, n - p) if s > 0 else None for b, s in zip(beta, np.sqrt(np.diag(cov)))]
+    return Fit("gaussian", y, d, beta, cov, stats, p_values=tails, aliased=aliased)
 
 
 def fit_glm(df: DataFrame, y: str, terms: Sequence[Term], family: str) -> Fit:
@@ -202,17 +254,36 @@ def fit_glm(df: DataFrame, y: str, terms: Sequence[Term], family: str) -> Fit:
         return fit_glm_rows(rows, y, terms, family)
 
 
-def fit_glm_rows(rows: DataFrame, y: str, terms: Sequence[Term], family: str) -> Fit:
-    """`fit_glm` on complete rows that are already kept."""
-    d, frame = model_frame(rows, y, terms, family)
-    frame = _assembled(frame, d)
+def fit_glm_rows(rows: DataFrame, y: str, terms: Sequence[Term], family: str, rounds: int = 60) -> Fit:
+    """`fit_glm` on complete rows that are already kept.
+
+    Aliased terms are left out. A model that does not converge, as on separable data, has a
+    status that says so and no estimates.
+    """
+    d, aliased = estimable(rows.dropna(subset=[y]), design(rows, terms))
+    p = d.width + 1
+
+    def failed(n: float, status: str) -> Fit:
+        nothing = np.full((p, p), np.nan)
+        return Fit(family, y, d, nothing[0], nothing, {"n": n, "parameters": p, "df_residual": n - p},
+                   aliased=aliased, status=status)
+
+    frame = model_frame(rows, y, d, family)
+    frame = _assembled(frame, d) if d.width else frame
     if d.discrete:
         frame = frame.persist()
     try:
+        n, ones = frame.agg(F.sum("w"), F.sum(F.expr("w * y"))).first()
+        if not n:
+            return failed(0.0, "too few rows")
+        if not d.width or ones == 0 or (family == "binomial" and ones == n):
+            return failed(n, "no variation")
         model = GeneralizedLinearRegression(
-            family=family, labelCol="y", weightCol="w", tol=1e-12, maxIter=60
+            family=family, labelCol="y", weightCol="w", tol=1e-12, maxIter=rounds
         ).fit(frame)
         summary = model.summary
+        if summary.numIterations >= rounds:
+            return failed(n, "not converged")
         beta = np.concatenate([[model.intercept], model.coefficients.toArray()])
         eta = F.lit(float(beta[0]))
         for i, b in enumerate(beta[1:]):
@@ -221,32 +292,42 @@ def fit_glm_rows(rows: DataFrame, y: str, terms: Sequence[Term], family: str) ->
         weight = F.col("w") * (mu * (1 - mu) if family == "binomial" else mu)
         xs = [f"x{i}" for i in range(d.width)]
         work = frame.withColumns({"_one": F.lit(1.0), "_w": weight})
-        cov = np.linalg.inv(gram(work, ["_one", *xs], "_w"))
+        information = gram(work, ["_one", *xs], "_w")
+        # where the response is certain, nothing is left to tell the terms apart
+        if len(independent(information)) < p:
+            return failed(n, "not converged")
+        cov = np.linalg.inv(information)
         likelihood = F.expr("w") * (F.col("y") * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta))))
-        n, ones, loglik = frame.agg(F.sum("w"), F.sum(F.expr("w * y")), F.sum(likelihood)).first()
-        stats = {"n": n, "parameters": len(beta), "df_residual": n - len(beta)}
+        loglik = frame.agg(F.sum(likelihood)).first()[0]
+        stats = {"n": n, "parameters": p, "df_residual": n - p}
         if family == "binomial":
             # of single 0/1 rows, whether or not they were counted by pattern
             share = ones / n
             null = n * (share * np.log(share) + (1 - share) * np.log1p(-share))
             stats |= {
-                "deviance": -2 * loglik, "null_deviance": float(-2 * null),
-                "aic": -2 * loglik + 2 * len(beta),
+                "deviance": -2 * loglik, "null_deviance": float(-2 * null), "log_likelihood": float(loglik),
+                "aic": -2 * loglik + 2 * p,
             }
         else:
             stats |= {
                 "deviance": summary.deviance, "null_deviance": summary.nullDeviance,
-                "aic": summary.aic,
+                "log_likelihood": p - summary.aic / 2, "aic": summary.aic,
             }
     finally:
         frame.unpersist()
-    return Fit(family, y, d, beta, cov, stats)
+    return Fit(family, y, d, beta, cov, stats, aliased=aliased)
 
 
 def linear_predictor(fit: Fit) -> Column:
+    if fit.status != "ok":
+        return F.lit(None).cast("double")
     eta = F.lit(float(fit.beta[0]))
     for c, b in zip(fit.design.columns, fit.beta[1:]):
         eta = eta + F.lit(float(b)) * c
+    for c in fit.aliased.values():
+        eta = eta + F.when(c == 0, F.lit(0.0))
+    for condition in fit.design.known.values():
+        eta = F.when(condition, eta)
     return eta
 
 
@@ -265,7 +346,7 @@ def marginal_predictions(fit: Fit, grid: DataFrame) -> DataFrame:
     """Prediction with a 95 % interval: normal on the link scale, then back-transformed."""
     columns = [F.lit(1.0), *fit.design.columns]
     variance = F.lit(0.0)
-    for i, a in enumerate(columns):
+    for i, a in enumerate(columns if fit.status == "ok" else []):
         for j in range(i, len(columns)):
             scale = float(fit.cov[i, j]) * (1.0 if i == j else 2.0)
             variance = variance + F.lit(scale) * a * columns[j]
@@ -298,6 +379,8 @@ def with_residual(df: DataFrame, fit: Fit, out: str = "residual") -> DataFrame:
 def term_test(fit: Fit, term: str) -> dict[str, float]:
     """Wald chi-square that all coefficients of a term are zero."""
     place = [fit.names.index(n) for n in fit.design.blocks[term]]
+    if not place or fit.status != "ok":
+        return {"statistic": None, "df": 0, "p_value": None}
     b, v = fit.beta[place], fit.cov[np.ix_(place, place)]
     statistic = float(b @ np.linalg.solve(v, b))
     return {"statistic": statistic, "df": len(place), "p_value": chi2_tail(statistic, len(place))}
@@ -327,8 +410,9 @@ class Spec:
 def fit_glm_grid(df: DataFrame, specs: Sequence[Spec], rounds: int = 50, tol: float = 1e-10) -> DataFrame:
     """Many single-predictor fits at once: every round is one pass with one row of sums per model.
 
-    Returns (model, term, estimate, se, statistic, p_value, n, deviance). Models whose
-    predictor or response does not vary are left out.
+    Returns (model, term, estimate, se, statistic, p_value, n, deviance, status), two rows for every
+    model. Where the predictor or the response does not vary (`no variation`), or the steps do
+    not settle within `rounds` or run off to infinity (`not converged`), there are no numbers.
     """
     spark = df.sparkSession
     needed = dict.fromkeys(c for s in specs for c in (s.response, s.predictor))
@@ -351,34 +435,17 @@ def fit_glm_grid(df: DataFrame, specs: Sequence[Spec], rounds: int = 50, tol: fl
     # one copy of a row per model it takes part in, made and summed within each pass
     long = rows.select(F.explode(F.array(*cells)).alias("_m")).filter("_m is not null").select("_m.*")
     try:
-        start = long.groupBy("spec").agg(
-            F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.avg("x").alias("mx"),
-            F.stddev_samp("x").alias("sx"),
-        ).collect()
-        state = {}
-        for row in start:
-            if not row.sx or row.sx != row.sx:
-                continue  # a constant predictor has no slope
-            binomial = specs[row.spec].family == "binomial"
-            if row.my <= 0 or (binomial and row.my >= 1):
-                continue  # no variation in the response: the estimate is infinite
-            link = np.log(row.my / (1 - row.my)) if binomial else np.log(row.my)
-            state[row.spec] = {"n": row.n, "m": row.mx, "s": row.sx, "b": np.array([link, 0.0])}
-        live = set(state)
-        for _ in range(rounds):
-            if not live:
-                break
-            for key, sums in _irls_pass(spark, long, state, live).items():
-                info = np.array([[sums.w0, sums.w1], [sums.w1, sums.w2]])
-                step = np.linalg.solve(info, np.array([sums.g0, sums.g1]))
-                state[key].update(cov=np.linalg.inv(info), deviance=sums.deviance)
-                state[key]["b"] = state[key]["b"] + step
-                if np.abs(step).max() < tol:
-                    live.discard(key)
+        state, lost, sizes = fit_long(long, rounds, tol)
     finally:
         rows.unpersist()
     out = []
-    for key, st in sorted(state.items()):
+    for key, spec in enumerate(specs):
+        if key not in state or key in lost:
+            status = "not converged" if key in lost else "no variation"
+            out += [(spec.name, term, None, None, None, None, int(sizes.get(key, 0)), None, status)
+                    for term in ("(Intercept)", spec.predictor)]
+            continue
+        st = state[key]
         # back from the standardised predictor
         back = np.array([[1.0, -st["m"] / st["s"]], [0.0, 1.0 / st["s"]]])
         b, cov = back @ st["b"], back @ st["cov"] @ back.T
@@ -386,19 +453,57 @@ def fit_glm_grid(df: DataFrame, specs: Sequence[Spec], rounds: int = 50, tol: fl
             se = float(np.sqrt(cov[i, i]))
             z = float(b[i] / se)
             out.append((specs[key].name, term, float(b[i]), se, z, normal_two_sided(z),
-                        int(st["n"]), float(st["deviance"])))
+                        int(st["n"]), float(st["deviance"]), "ok"))
     return spark.createDataFrame(
         out, "model string, term string, estimate double, se double, statistic double, "
-        "p_value double, n long, deviance double",
+        "p_value double, n long, deviance double, status string",
     )
 
 
+def fit_long(long: DataFrame, rounds: int = 50, tol: float = 1e-10) -> tuple[dict, set, dict]:
+    """One-predictor fits of all models of a long table (spec, family, x, y), a row of sums per model and pass.
+
+    Returns the states by spec (`n`, mean `m` and deviation `s` of the predictor, estimates `b` and
+    covariance `cov` for the standardised predictor, `deviance`), the specs that did not converge, and
+    the rows of every spec. Models without variation in predictor or response have no state.
+    """
+    spark = long.sparkSession
+    start = long.groupBy("spec").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.avg("x").alias("mx"),
+        F.stddev_samp("x").alias("sx"), F.first("family").alias("family"),
+    ).collect()
+    state, sizes = {}, {row.spec: row.n for row in start}
+    for row in start:
+        binomial = row.family == "binomial"
+        # a constant predictor has no slope, a constant response an infinite estimate
+        if not row.sx or row.sx != row.sx or row.my <= 0 or (binomial and row.my >= 1):
+            continue
+        link = np.log(row.my / (1 - row.my)) if binomial else np.log(row.my)
+        state[row.spec] = {"n": row.n, "m": row.mx, "s": row.sx, "b": np.array([link, 0.0])}
+    live, lost = set(state), set()
+    for _ in range(rounds):
+        if not live:
+            break
+        for key, sums in _irls_pass(spark, long, state, live).items():
+            info = np.array([[sums.w0, sums.w1], [sums.w1, sums.w2]], dtype=float)
+            if not np.isfinite(info).all() or len(independent(info)) < 2:
+                live.discard(key)
+                lost.add(key)
+                continue
+            step = np.linalg.solve(info, np.array([sums.g0, sums.g1]))
+            state[key].update(cov=np.linalg.inv(info), deviance=sums.deviance)
+            state[key]["b"] = state[key]["b"] + step
+            if np.abs(step).max() < tol:
+                live.discard(key)
+    return state, lost | live, sizes
+
+
 def _irls_pass(spark: SparkSession, long: DataFrame, state: dict, live: set) -> dict:
     """Score, information and deviance sums of every unfinished model."""
     params = spark.createDataFrame(
         [(k, float(v["m"]), float(v["s"]), float(v["b"][0]), float(v["b"][1]))
          for k, v in state.items() if k in live],
-        "spec int, m double, s double, b0 double, b1 double",
+        T.StructType([long.schema["spec"], *(T.StructField(c, T.DoubleType()) for c in ("m", "s", "b0", "b1"))]),
     )
     z = (F.col("x") - F.col("m")) / F.col("s")
     eta = F.col("b0") + F.col("b1") * F.col("z")

@@ -19,7 +19,7 @@ from pairlab.plans.standin import (
 )
 from pairlab.queries.base import CLEAN, LEVELED, PAIRS, erfc, more, query, r, rounded
 from pairlab.queries.models import (
-    BATCH_COEFS, PROFILE, batch_ctes, batch_part, batch_rounded, batch_specs, profiles,
+    BATCH_COEFS, PROFILE, batch_models, batch_rounded, batch_specs, profiles,
 )
 from pairlab.session import cut_lineage
 
@@ -124,8 +124,8 @@ def _predictor_models() -> list[tuple[reg.Spec, str]]:
     ]
 
 
-@query("Q7_partner_predictors", batch_ctes(
-    more(PAIRS, PROFILE), " UNION ALL ".join(batch_part(s, w) for s, w in _predictor_models())) + BATCH_COEFS)
+@query("Q7_partner_predictors", batch_models(
+    more(PAIRS, PROFILE), _predictor_models()) + BATCH_COEFS)
 def partner_predictors(spark, folder):
     specs = [replace(s, subset=F.expr(where)) for s, where in _predictor_models()]
     return batch_rounded(reg.fit_glm_grid(profiles(spark, folder), specs))

@@ -170,6 +170,7 @@ UNION ALL SELECT 'by_period', 'parameters', CAST(k AS DOUBLE) FROM dev
 UNION ALL SELECT 'by_period', 'df_residual', n - k FROM dev
 UNION ALL SELECT 'by_period', 'deviance', {r('d', 5)} FROM dev
 UNION ALL SELECT 'by_period', 'null_deviance', {r('d0', 5)} FROM dev
+UNION ALL SELECT 'by_period', 'log_likelihood', {r('-d / 2', 5)} FROM dev
 UNION ALL SELECT 'by_period', 'aic', {r('d + 2 * k', 5)} FROM dev""")
 def fit_report(spark, folder):
     fit = m.fit_glm(pairs(spark, folder), "mixed", [Factor("period")], "binomial")
@@ -200,18 +201,26 @@ def profiles(spark, folder):
     return out.withColumn("often", (F.col("n_flagged") > 2).cast("int"))
 
 
-def batch_ctes(base: str, parts: str) -> str:
+def batch_models(base: str, models: list[tuple[m.Spec, str]]) -> str:
+    """`batch_ctes` of specs, each with the condition on the rows it is fitted to."""
+    return batch_ctes(
+        base, " UNION ALL ".join(batch_part(s, where) for s, where in models),
+        "VALUES " + ", ".join(f"('{s.name}', '{s.predictor}')" for s, _ in models),
+    )
+
+
+def batch_ctes(base: str, parts: str, listed: str) -> str:
     """Newton steps of many one-predictor models in one recursive query, a state row per model.
 
-    `parts` selects (model, pred, family, x, y) for all models.
+    `parts` selects (model, pred, family, x, y) for all models, `listed` their names and predictors.
     """
     w = "CASE family WHEN 'binomial' THEN mu * (1 - mu) ELSE mu END"
     return more(
-        base, f"src AS MATERIALIZED ({parts})",
+        base, f"listed(model, pred) AS ({listed})", f"src AS MATERIALIZED ({parts})",
         """scale AS MATERIALIZED (SELECT model, any_value(pred) AS pred, avg(x) AS mx, stddev_samp(x) AS sx,
-  min(x) AS lo, max(x) AS hi,
-  CASE any_value(family) WHEN 'binomial' THEN ln(avg(y) / (1 - avg(y))) ELSE ln(avg(y)) END AS start
-  FROM src GROUP BY model)""",
+  min(x) AS lo, max(x) AS hi, CASE any_value(family) WHEN 'binomial' THEN ln(avg(y) / (1 - avg(y))) ELSE ln(avg(y)) END AS start
+  FROM src GROUP BY model
+  HAVING stddev_samp(x) > 0 AND avg(y) > 0 AND (any_value(family) <> 'binomial' OR avg(y) < 1))""",
         "d AS MATERIALIZED (SELECT src.*, (x - mx) / sx AS z FROM src JOIN scale USING (model))",
         f"""steps AS (
   SELECT 0 AS i, model, start AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS va,
@@ -229,7 +238,12 @@ def batch_ctes(base: str, parts: str) -> str:
         GROUP BY i, model))""",
         """est AS (SELECT model, pred, a - b * mx / sx AS b0, b / sx AS b1,
   sqrt(va + vb * mx * mx / sx / sx - 2 * vab * mx / sx) AS se0, sqrt(vb) / sx AS se1
-  FROM steps JOIN scale USING (model) WHERE i = 12)""",
+  FROM steps JOIN scale USING (model) WHERE i = 12),
+last AS (SELECT model, max(a) FILTER (i = 12) - max(a) FILTER (i = 11) AS da,
+  max(b) FILTER (i = 12) - max(b) FILTER (i = 11) AS db FROM steps GROUP BY model),
+told AS (SELECT m.model, m.pred, CASE WHEN s.model IS NULL THEN 'no variation'
+    WHEN abs(da) < 1e-6 AND abs(db) < 1e-6 THEN 'ok' ELSE 'not converged' END AS status
+  FROM listed m LEFT JOIN scale s USING (model) LEFT JOIN last USING (model))""",
     )
 
 
@@ -242,20 +256,21 @@ def batch_part(spec: m.Spec, where: str = "true") -> str:
 
 
 BATCH_COEFS = f"""
-SELECT model, '(Intercept)' AS term, {r('b0', 4)} AS estimate, {r('se0', 4)} AS se FROM est
-UNION ALL SELECT model, pred, {r('b1', 8)}, {r('se1', 8)} FROM est"""
+SELECT model, '(Intercept)' AS term, CASE status WHEN 'ok' THEN {r('b0', 4)} END AS estimate,
+  CASE status WHEN 'ok' THEN {r('se0', 4)} END AS se, status FROM told LEFT JOIN est USING (model)
+UNION ALL SELECT model, told.pred, CASE status WHEN 'ok' THEN {r('b1', 8)} END, CASE status WHEN 'ok' THEN {r('se1', 8)} END, status
+FROM told LEFT JOIN est USING (model)"""
 
 
 def batch_rounded(fits):
-    return fits.select("model", "term", "estimate", "se").withColumns({
+    return fits.select("model", "term", "estimate", "se", "status").withColumns({
         c: F.when(F.col("term") == "(Intercept)", F.round(c, 4)).otherwise(F.round(c, 8)) + 0.0
         for c in ("estimate", "se")
     })
 
 
 def _batch_sql() -> str:
-    parts = " UNION ALL ".join(batch_part(s) for s in batch_specs())
-    return batch_ctes(more(PAIRS, PROFILE), parts) + BATCH_COEFS
+    return batch_models(more(PAIRS, PROFILE), [(s, "true") for s in batch_specs()]) + BATCH_COEFS
 
 
 @query("M7_model_batch", _batch_sql())
@@ -322,7 +337,7 @@ def crossed_intercepts(spark, folder):
     fit = mixed.fit_lmm(df, "shifted", ["size_a", ("high", "kind")], "ind_hist", "period")
     out = m.coef_table(spark, fit)
     sds = spark.createDataFrame(
-        [(k, float(v), None, None, None) for k, v in fit.stats.items() if k.endswith("sd") or k == "sigma"],
+        [(k, float(v), None, None, None, fit.status) for k, v in fit.stats.items() if k.endswith("sd") or k == "sigma"],
         out.schema,
     )
     return out.union(sds)
@@ -341,9 +356,9 @@ def _binary(spark, folder):
 @query("M10_logistic_intercepts")
 def logistic_intercepts(spark, folder):
     fit = mixed.fit_glmm(_binary(spark, folder), "large", [("high", "kind")], "ind_hist")
-    return m.coef_table(spark, fit).union(spark.createDataFrame(
-        [("group sd", fit.stats["group_sd"], None, None, None)],
-        "term string, estimate double, se double, statistic double, p_value double",
+    out = m.coef_table(spark, fit)
+    return out.union(spark.createDataFrame(
+        [("group sd", fit.stats.get("group_sd"), None, None, None, fit.status)], out.schema
     ))
 
 
@@ -429,16 +444,20 @@ def observer(spark, folder):
 _CURVE = batch_ctes(
     PAIRS, "SELECT kind_f AS model, 'day_f' AS pred, 'binomial' AS family, "
     "CAST(day_f AS DOUBLE) AS x, CAST(mixed AS DOUBLE) AS y FROM pairs",
+    "SELECT DISTINCT kind_f, 'day_f' FROM pairs",
 )
 _ETA = "(a + b * (x - mx) / sx)"
 _SE = "sqrt(va + 2 * vab * (x - mx) / sx + vb * (x - mx) / sx * (x - mx) / sx)"
 
 
 @query("C8_logistic_curve", _CURVE + f"""
-SELECT model AS kind_f, {r('x', 6)} AS day_f, {r(f'1 / (1 + exp(-{_ETA}))', 5)} AS predicted,
+SELECT kind_f, day_f, CASE status WHEN 'ok' THEN predicted END AS predicted, CASE status WHEN 'ok' THEN se_link END AS se_link,
+  CASE status WHEN 'ok' THEN low END AS low, CASE status WHEN 'ok' THEN high END AS high
+FROM (SELECT model AS kind_f, status, {r('x', 6)} AS day_f, {r(f'1 / (1 + exp(-{_ETA}))', 5)} AS predicted,
   {r(_SE, 5)} AS se_link, {r(f'1 / (1 + exp(-({_ETA} - {_Z} * {_SE})))', 5)} AS low,
   {r(f'1 / (1 + exp(-({_ETA} + {_Z} * {_SE})))', 5)} AS high
-FROM (SELECT *, lo + k * (hi - lo) / 39 AS x FROM steps JOIN scale USING (model), range(40) t(k) WHERE i = 12)""")
+FROM (SELECT *, lo + k * (hi - lo) / 39 AS x FROM steps JOIN scale USING (model) JOIN (SELECT model, status FROM told) USING (model),
+      range(40) t(k) WHERE i = 12))""")
 def logistic_curve(spark, folder):
     curve = charts.logistic_curve(pairs(spark, folder), "day_f", "mixed", "kind_f", 40)
     return rounded(curve, {"day_f": 6, "predicted": 5, "se_link": 5, "low": 5, "high": 5})

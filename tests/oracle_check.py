@@ -75,7 +75,7 @@ def main() -> int:
     wanted = sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
     spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
     })
     spark.sparkContext.setLogLevel("ERROR")

@@ -11,7 +11,7 @@ from pairlab.functions import tails
 from pairlab.operators import charts, inference, mixed
 from pairlab.operators import regression as reg
 from pairlab.operators.design import Factor, design
-from pairlab.operators.members import level_grid
+from pairlab.operators.members import level_grid, levels_of
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +86,8 @@ def test_logistic_and_poisson(sample):
 
 def test_patterns_give_the_same_fit(sample):
     df, pdf = sample
-    d, frame = reg.model_frame(df, "b", ["k", Factor("h")], "binomial")
+    d = design(df, ["k", Factor("h")])
+    frame = reg.model_frame(df, "b", d, "binomial")
     assert frame.count() == 6
     x = dense(pdf, pdf.k == "b", pdf.h == 1, pdf.h == 2)
     beta, cov = newton(x, pdf.b, logistic, lambda m: m * (1 - m))
@@ -111,7 +112,7 @@ def test_batch_equals_single_fits(sample):
         reg.Spec("constant", "binomial", "b", "one"),
     ]
     got = reg.fit_glm_grid(df.withColumn("one", F.lit(1.0)), specs).toPandas().set_index(["model", "term"])
-    assert "constant" not in got.index.get_level_values(0)
+    assert (got.loc["constant"].status == "no variation").all() and got.loc["constant"].estimate.isna().all()
     for name, family, y, x, rows in (
         ("b~x", "binomial", "b", "x", df), ("c~x", "poisson", "c", "x", df),
         ("b~y|a", "binomial", "b", "y", df.filter("k = 'a'")),
@@ -322,3 +323,75 @@ def test_chart_tables(spark, sample):
     assert qq["theoretical"].iloc[4] == pytest.approx(0, abs=1e-12)
     sampled = charts.scatter_sample(df, ["g", "x"], 0.3).count()
     assert 0 < sampled < len(pdf)
+
+
+# --- what cannot be estimated ------------------------------------------------------------
+
+
+def table(spark, fit):
+    return {r["term"]: r for r in reg.coef_table(spark, fit).collect()}
+
+
+def test_unlisted_level_is_missing(spark):
+    """Rows of a level that is not listed are dropped; they are no reference rows."""
+    rows = [("a", 1.0), ("a", 1.2), ("b", 3.0), ("b", 3.2), ("c", 50.0), ("c", 51.0)]
+    df = spark.createDataFrame(rows, "k string, y double")
+    fit = reg.fit_lm(df, "y", [Factor("k", ("a", "b"))])
+    assert fit.stats["n"] == 4 and fit.beta == pytest.approx([1.1, 2.0])
+    seen = {(r["k"], r["predicted"] is None) for r in reg.predict_grid(fit, df).collect()}
+    assert seen == {("a", False), ("b", False), ("c", True)}
+
+
+def test_absent_level_is_aliased(spark, sample):
+    df, pdf = sample
+    for fit in (
+        reg.fit_lm(df, "y", ["x", Factor("k", ("a", "b", "z"))]),
+        reg.fit_glm(df, "b", ["x", Factor("k", ("a", "b", "z"))], "binomial"),
+        mixed.fit_lmm(df, "y", ["x", Factor("k", ("a", "b", "z"))], "g"),
+    ):
+        rows = table(spark, fit)
+        assert rows["k[z]"]["status"] == "aliased" and rows["k[z]"]["estimate"] is None
+        assert rows["k[b]"]["estimate"] is not None and len(rows) == 4
+        grid = level_grid(spark, {"x": [0.0], "k": ["a", "z"]})
+        assert {r["k"]: r["predicted"] is None for r in reg.predict_grid(fit, grid).collect()} == {"a": False, "z": True}
+    doubled = reg.fit_lm(df.withColumn("x2", F.col("x") * 2), "y", ["x", "x2"])
+    assert list(doubled.aliased) == ["x2"]
+
+
+def test_separable_and_constant(spark):
+    rows = [(float(i), int(i > 9), 1, i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "x double, sep int, one int, y int")
+    assert table(spark, reg.fit_glm(df, "sep", ["x"], "binomial"))["x"]["status"] == "not converged"
+    assert table(spark, reg.fit_glm(df, "one", ["x"], "binomial"))["x"]["status"] == "no variation"
+    assert mixed.fit_glmm(df, "sep", ["x"], "y").status == "not converged"
+    specs = [reg.Spec("sep", "binomial", "sep", "x"), reg.Spec("constant", "binomial", "y", "one"),
+             reg.Spec("all ones", "binomial", "one", "x"), reg.Spec("none", "binomial", "y", "x", F.col("x") > 99),
+             reg.Spec("good", "binomial", "y", "x")]
+    got = {(r["model"], r["term"]): r for r in reg.fit_glm_grid(df, specs).collect()}
+    assert len(got) == 10
+    status = {m: r["status"] for (m, _), r in got.items()}
+    assert status == {"sep": "not converged", "constant": "no variation", "all ones": "no variation",
+                      "none": "no variation", "good": "ok"}
+    assert all((r["estimate"] is None) == (r["status"] != "ok") for r in got.values())
+    curve = charts.logistic_curve(df.withColumn("k", F.lit("a")), "x", "sep", "k", 5)
+    assert [r["predicted"] for r in curve.collect()] == [None] * 5
+
+
+def test_large_grids_and_levels(spark):
+    grid = level_grid(spark, {"a": list(range(300)), "b": list(range(50))})
+    assert grid.count() == 15_000 and grid.distinct().count() == 15_000
+    wide = spark.range(10_500).selectExpr("cast(id as string) as k")
+    with pytest.raises(ValueError, match="not categorical"):
+        design(wide, ["k"])
+    assert len(levels_of(wide, "k", most=20_000)) == 10_500
+
+
+def test_gaussian_on_offset_predictor(spark, sample):
+    df, pdf = sample
+    x = dense(pdf, pdf.t, pdf.x)
+    beta, *_ = np.linalg.lstsq(x - [0, 2002, 0], pdf.y, rcond=None)
+    fit = reg.fit_lm(df, "y", ["t", "x"])
+    assert fit.beta[1:] == pytest.approx(beta[1:], rel=1e-8)
+    rss = ((pdf.y - (x - [0, 2002, 0]) @ beta) ** 2).sum()
+    n = len(pdf)
+    assert fit.stats["log_likelihood"] == pytest.approx(-n / 2 * (np.log(2 * np.pi * rss / n) + 1))
