@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Inclusive bounds outside which a measure is an error: (low, high), either may be None.
+# Bounds of valid measures.
 VALID_RANGES = {
     "tarsus": (2, 50),
     "tail": (None, 100),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ class Design:
     inputs: list[str] = field(default_factory=list)
     discrete: bool = True
     known: dict[str, Column] = field(default_factory=dict)
+    reference: dict[str, object] = field(default_factory=dict)
 
     def select(self, df: DataFrame, *others: Column) -> DataFrame:
         """Design columns x0, x1, ... next to `others`, on the rows where the design is known."""
@@ -46,7 +47,7 @@ class Design:
         """The design with these columns alone, in order."""
         names = [self.names[i] for i in kept]
         blocks = {t: [n for n in members if n in names] for t, members in self.blocks.items()}
-        return Design(names, [self.columns[i] for i in kept], blocks, self.inputs, self.discrete, self.known)
+        return replace(self, names=names, columns=[self.columns[i] for i in kept], blocks=blocks)
 
     @property
     def width(self) -> int:
@@ -98,6 +99,7 @@ def design(df: DataFrame, terms: Sequence[Term]) -> Design:
             if levels:
                 # a value that is no level is missing, not the reference
                 out.known[col] = F.col(col).isin(*levels)
+                out.reference[col] = levels[0]
             if col not in out.inputs:
                 out.inputs.append(col)
         if len(members) == 2:

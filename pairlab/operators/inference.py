@@ -44,15 +44,15 @@ def vif(df: DataFrame, cols: Sequence[str], blocks: dict[str, Sequence[str]] | N
     blocks = blocks or {c: [c] for c in cols}
     order = [c for members in blocks.values() for c in members]
     r = _corr_array(df, order)
-    whole = np.linalg.det(r)
+    log_det = lambda m: np.linalg.slogdet(m)[1]  # noqa: E731  (many dummies underflow a determinant)
     out, start = [], 0
     for term, members in blocks.items():
         inside = np.zeros(len(order), dtype=bool)
         inside[start:start + len(members)] = True
         start += len(members)
-        value = (
-            np.linalg.det(r[np.ix_(inside, inside)]) * np.linalg.det(r[np.ix_(~inside, ~inside)])
-        ) / whole
+        value = np.exp(
+            log_det(r[np.ix_(inside, inside)]) + log_det(r[np.ix_(~inside, ~inside)]) - log_det(r)
+        )
         out.append((term, len(members), float(value), float(value ** (0.5 / len(members)))))
     return df.sparkSession.createDataFrame(out, "term string, df int, vif double, scaled double")
 

@@ -144,23 +144,30 @@ def partner_profile(
     periods over all pairs (it can exceed 1).
     """
     plain = F.col(flag) == 0
-    aggs = [
-        F.sum(flag).alias("n_flagged"),
-        F.sum(plain.cast("int")).alias("n_partners"),
-        *[F.max(c).alias(c) for c in constants],
-        *[F.avg(F.when(plain, F.col(c))).alias(out) for out, c in measures.items()],
-        *[F.stddev_samp(F.when(plain, F.col(c))).alias(out) for out, c in (sd_of or {}).items()],
-    ]
-    profile = pairs.groupBy(id_col).agg(*aggs)
-    if period:
-        periods = (
-            pairs.groupBy(id_col, period).agg(F.lit(1).alias("_one"))
-            .groupBy(id_col).agg(F.count(F.lit(1)).alias("_periods"))
+    kept = {out: F.when(plain, F.col(c)) for out, c in measures.items()}
+    spread = [F.stddev_samp(F.when(plain, F.col(c))).alias(out) for out, c in (sd_of or {}).items()]
+    if not period:
+        profile = pairs.groupBy(id_col).agg(
+            F.sum(flag).alias("n_flagged"), F.sum(plain.cast("int")).alias("n_partners"),
+            *[F.max(c).alias(c) for c in constants], *[F.avg(c).alias(out) for out, c in kept.items()], *spread,
+        )
+    else:
+        # One pass: a row per individual and period, whose sums add up and whose number is the periods'.
+        by_period = pairs.groupBy(id_col, period).agg(
+            F.sum(flag).alias("_f"), F.sum(plain.cast("int")).alias("_p"),
+            *[F.max(c).alias(c) for c in constants],
+            *[e for out, c in kept.items() for e in (
+                F.sum(c.cast("double")).alias(f"_s_{out}"), F.count(c).alias(f"_n_{out}"))],
+        )
+        profile = by_period.groupBy(id_col).agg(
+            F.sum("_f").alias("n_flagged"), F.sum("_p").alias("n_partners"),
+            *[F.max(c).alias(c) for c in constants],
+            *[F.try_divide(F.sum(f"_s_{out}"), F.sum(f"_n_{out}")).alias(out) for out in kept],
+            F.count(F.lit(1)).alias("_periods"),
         )
-        profile = null_safe_join(profile, periods, [id_col], "left")
-        profile = profile.withColumn(
-            "share_periods", F.try_divide("n_flagged", "_periods")
-        ).drop("_periods")
+        if spread:
+            profile = null_safe_join(profile, pairs.groupBy(id_col).agg(*spread), [id_col], "left")
+        profile = profile.withColumn("share_periods", F.try_divide("n_flagged", "_periods")).drop("_periods")
     return profile.filter("n_partners > 0").withColumn(
         "ever_flagged", (F.col("n_flagged") > 0).cast("int")
     )

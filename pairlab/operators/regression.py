@@ -342,8 +342,25 @@ def predict_grid(fit: Fit, grid: DataFrame, out: str = "predicted") -> DataFrame
     return grid.withColumn(out, response_scale(fit, linear_predictor(fit)))
 
 
-def marginal_predictions(fit: Fit, grid: DataFrame) -> DataFrame:
-    """Prediction with a 95 % interval: normal on the link scale, then back-transformed."""
+def at_typical(fit: Fit, grid: DataFrame, rows: DataFrame) -> DataFrame:
+    """`grid` with the model's columns that it lacks: factors at their reference, numbers at the mean of
+    the complete `rows`."""
+    missing = [c for c in fit.design.inputs if c not in grid.columns]
+    numbers = [c for c in missing if c not in fit.design.reference]
+    means = {}
+    if numbers:
+        complete = rows.dropna(subset=[fit.response, *fit.design.inputs])
+        means = complete.agg(*[F.avg(c).alias(c) for c in numbers]).first().asDict()
+    return grid.withColumns({c: F.lit(fit.design.reference.get(c, means.get(c))) for c in missing})
+
+
+def marginal_predictions(fit: Fit, grid: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Prediction with a 95 % interval: normal on the link scale, then back-transformed.
+
+    With the model's `rows` the grid may name some of the terms only; the others are held as in
+    `at_typical`.
+    """
+    grid = grid if rows is None else at_typical(fit, grid, rows)
     columns = [F.lit(1.0), *fit.design.columns]
     variance = F.lit(0.0)
     for i, a in enumerate(columns if fit.status == "ok" else []):
@@ -392,7 +409,7 @@ def vif_of(df: DataFrame, fit: Fit) -> DataFrame:
 
     frame = fit.design.select(df.dropna(subset=[fit.response, *fit.design.inputs]))
     index = {n: f"x{i}" for i, n in enumerate(fit.design.names)}
-    blocks = {t: [index[n] for n in members] for t, members in fit.design.blocks.items()}
+    blocks = {t: [index[n] for n in members] for t, members in fit.design.blocks.items() if members}
     return vif(frame, list(index.values()), blocks)
 
 

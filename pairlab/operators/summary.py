@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.operators.groups import n_distinct
 from pairlab.operators.spread import (
-    ROWS, attach, null_safe_join, per_key, quantiles_of_counts, settle, value_counts,
+    attach, null_safe_join, per_key, quantiles_of_counts, settle, value_counts,
 )
 
 
@@ -89,12 +88,13 @@ def all_any(df: DataFrame, by: Sequence[str], condition: Column, other: Column)
 
 def switching_ids(df: DataFrame, id_col: str, period: str, flag: str) -> DataFrame:
     """Individuals with both flag values, and the number of periods they were seen in."""
-    periods = n_distinct(df, [id_col], period, "n_periods").drop(ROWS)
-    values = df.groupBy(id_col).agg(F.min(flag).alias("_low"), F.max(flag).alias("_high"))
-    both = values.filter(F.col("_low") != F.col("_high")).withColumn(
-        "flag_values", F.lit(2).cast("bigint")
+    by_period = df.groupBy(id_col, period).agg(F.min(flag).alias("_low"), F.max(flag).alias("_high"))
+    return (
+        by_period.groupBy(id_col)
+        .agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.count(F.lit(1)).alias("n_periods"))
+        .filter("_low <> _high")
+        .select(id_col, F.lit(2).cast("bigint").alias("flag_values"), "n_periods")
     )
-    return null_safe_join(both.drop("_low", "_high"), periods, [id_col], "inner")
 
 
 def always_positive_ids(df: DataFrame, id_col: str, period: str, flag: str) -> DataFrame:

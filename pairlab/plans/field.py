@@ -19,6 +19,7 @@ from pairlab.sources.observations import (
     MEASURES, V1_COLUMNS, V2_COLUMNS, normalize, read_observations, text_schema, to_double,
 )
 
+# Fixed values of the study tables.
 KINDS = ("PF", "CF")
 SIDES = ("female", "male")
 SHARED = {

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pairlab.functions.tails import chi2_sf, normal_p
 from pairlab.operators import inference as t
+from pairlab.operators import regression as reg
+from pairlab.operators.design import Factor
 from pairlab.plans.standin import measured, pairs
 from pairlab.queries.base import OBS, PAIRS, erfc, more, query, r, rnd, rounded
 
@@ -44,6 +46,20 @@ def inflation(spark, folder):
     return rounded(t.vif(measured(spark, folder), ["mass", "size_a", "adj"]), ["vif", "scaled"])
 
 
+@query("T2_inflation_with_factor", more(OBS, """
+g AS (SELECT period, count(*) AS n, avg(size_a) AS m FROM measured WHERE mass IS NOT NULL AND size_a IS NOT NULL GROUP BY period),
+a AS (SELECT sum(n * (m - mean) * (m - mean)) AS between_, any_value(total) AS total, count(*) - 1 AS k
+      FROM g, (SELECT avg(size_a) AS mean, var_pop(size_a) * count(*) AS total
+               FROM measured WHERE mass IS NOT NULL AND size_a IS NOT NULL))""") + f"""
+SELECT 'size_a' AS term, CAST(1 AS INTEGER) AS df, {r('total / (total - between_)')} AS vif,
+  {r('sqrt(total / (total - between_))')} AS scaled FROM a
+UNION ALL SELECT 'period', CAST(k AS INTEGER), {r('total / (total - between_)')}, {r('pow(total / (total - between_), 0.5 / k)')} FROM a""")
+def inflation_with_factor(spark, folder):
+    rows = measured(spark, folder)
+    fit = reg.fit_lm(rows, "mass", ["size_a", Factor("period")])
+    return rounded(reg.vif_of(rows, fit), ["vif", "scaled"])
+
+
 _PCA = more(OBS, _COMPLETE, """
 s AS (SELECT corr(mass, size_a) AS r, avg(mass) AS ma, stddev_samp(mass) AS sa,
              avg(size_a) AS mb, stddev_samp(size_a) AS sb FROM full_rows)""")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,29 +26,49 @@ def build_session(app: str = "pairlab", master: str | None = None, **conf) -> Sp
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by `spark.checkpoint.dir`.
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the driver has found it."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_pairlab_shipped", False) or not package.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="pairlab-")  # the driver serves the archive from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/pairlab", "zip", package.parent, package.name))
+    context._pairlab_shipped = True
 
-    A folder of this machine is used only when nothing is configured and Spark
-    runs in one process.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, as named by `spark.checkpoint.dir`; the warehouse if unset."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="pairlab-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/pairlab-scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far. Results that still read them must be stored before."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    while _WRITTEN:
+        path = hadoop(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/pairlab-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; `release` deletes what was written there."""
+    path = f"{shared_folder(spark)}/pairlab-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

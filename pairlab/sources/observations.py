@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pairlab.functions.columns import drop_containing, drop_flagged
 
+# Column names.
 MEASURES = ("patch_h", "patch_b", "tail", "tarsus", "wing", "mass", "beak")
 
 # Columns of the two published table layouts (fixed values).
@@ -26,6 +27,7 @@ V2_COLUMNS = (
     "total_mass_d12_new", "mean_mass_d12_new", "predation", "predation_date", "nb_eggs",
     "experiment",
 )
+# Column names.
 V2_UNUSED = (
     "X", "recruitnb_new", "total_mass_d12_new", "mean_mass_d12_new", "fledge_nb_new",
     "predation", "predation_date", "nb_eggs", "experiment",

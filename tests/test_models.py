@@ -395,3 +395,14 @@ def test_gaussian_on_offset_predictor(spark, sample):
     rss = ((pdf.y - (x - [0, 2002, 0]) @ beta) ** 2).sum()
     n = len(pdf)
     assert fit.stats["log_likelihood"] == pytest.approx(-n / 2 * (np.log(2 * np.pi * rss / n) + 1))
+
+
+def test_terms_that_the_grid_leaves_out(spark, sample):
+    """They are held at the reference level and the mean."""
+    df, pdf = sample
+    fit = reg.fit_glm(df, "b", ["x", "k"], "binomial")
+    short = reg.marginal_predictions(fit, level_grid(spark, {"x": [0.5]}), df).first()
+    full = reg.marginal_predictions(fit, level_grid(spark, {"x": [0.5], "k": ["a"]})).first()
+    assert short["predicted"] == full["predicted"] and short["low"] == full["low"]
+    mean = reg.marginal_predictions(fit, level_grid(spark, {"k": ["b"]}), df).first()
+    assert mean["x"] == pytest.approx(pdf.x.mean())
