@@ -101,14 +101,17 @@ def attach(
 def _split_blocks(
     df: DataFrame, by: Sequence[str], order: Sequence[Column]
 ) -> tuple[DataFrame, bool]:
-    """Cut keys above `hot_rows` into ordered blocks; says whether it had to."""
-    sizes = per_key(df, by) if by else df.agg(F.count(F.lit(1)).alias(ROWS))
-    limit = hot_rows(df.sparkSession)
-    largest, total = sizes.agg(F.max(ROWS), F.sum(ROWS)).first()
-    if not largest or largest <= limit:
-        return df, False
-    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffles, -(-total // limit))
+    """Cut keys above `hot_rows` into ordered blocks; says whether it had to.
+
+    Without a key all rows are one, which is always cut: no task ever holds the whole table.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if by:
+        limit = hot_rows(df.sparkSession)
+        largest, total = per_key(df, by).agg(F.max(ROWS), F.sum(ROWS)).first()
+        if not largest or largest <= limit:
+            return df, False
+        parts = max(parts, -(-total // limit))
     ranged = (
         df.withColumn(_TIE, F.spark_partition_id())
         .repartitionByRange(parts, *by, *order, _TIE)
@@ -131,7 +134,7 @@ def running_fold(
 
     `inclusive=False` stops before the row itself, so the first row gets NULL.
 
-    Keys that fit a task use one window. If some key does not, rows are range
+    Keys that fit a task use one window. If some key does not, or there is no key, rows are range
     partitioned on (key, order), each block is folded on its own, and the folded blocks
     (at most one per shuffle partition and key) carry over into the next ones.
     """
