@@ -94,6 +94,21 @@ def median_sketch(spark, folder):
     return s.median_of(pairs(spark, folder), ["period", "kind_m"], ["mass_m", "size_a_m"], approx=True)
 
 
+@query("A10_median_sketch_rank", PAIRS + """SELECT period, kind_m, count(*) AS n, true AS mass_m_close, true AS size_a_m_close
+FROM pairs GROUP BY period, kind_m""")
+def median_sketch_rank(spark, folder):
+    """Whether the sketch's medians stand within 1e-4 of the middle rank."""
+    keys, cols = ["period", "kind_m"], ["mass_m", "size_a_m"]
+    rows = pairs(spark, folder).select(*keys, *cols)
+    medians = s.median_of(rows, keys, cols, approx=True)
+    close = []
+    for c in cols:
+        m = F.col(f"median_{c}")
+        below, upto = (F.sum(t.cast("int")) / F.count(c) for t in (F.col(c) < m, F.col(c) <= m))
+        close.append(F.coalesce((below <= 0.5 + 1e-4) & (upto >= 0.5 - 1e-4), F.lit(True)).alias(f"{c}_close"))
+    return rows.join(F.broadcast(medians), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *close)
+
+
 @query("A11_constant_in_group", PAIRS + "SELECT ind_f, max(kind_f) AS kind_f FROM pairs GROUP BY ind_f")
 def constant(spark, folder):
     return pairs(spark, folder).groupBy("ind_f").agg(F.max("kind_f").alias("kind_f"))
