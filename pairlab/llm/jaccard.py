@@ -101,8 +101,8 @@ def prefix_length(size: int, at_least: tuple[int, int]) -> int:
     return size - -(-part * size // whole) + 1
 
 
-def _frequency_or_owner(number: np.ndarray, distinct: int, note: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Both kinds at once: callers read the low bits they need."""
+def _frequency(number: np.ndarray, distinct: int, note: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """In how many documents the token is, 255 for more: any order that is the same for all will do."""
     return np.minimum(np.bincount(number, note, distinct), 255)[number]
 
 
@@ -215,9 +215,8 @@ def near_duplicates(
             for row in range(len(found)):
                 yield meeting.sent_batch(list(Chunk(found.slice(row, 1).to_pylist()[0], width).ask(buckets)))
 
-    asked = chunks.mapInArrow(ask, meeting.SENT)
-    said = meeting.meet(asked.filter(F.col("kind") == TOKEN), _frequency_or_owner, short=(TOKEN,)).unionByName(
-        meeting.meet(asked.filter(F.col("kind") == SET), _first_chunk)
+    said = meeting.meet(
+        chunks.mapInArrow(ask, meeting.SENT), {TOKEN: _frequency, SET: _first_chunk}, short=(TOKEN,)
     )
     doc = T.StructType([
         T.StructField("key", kind), T.StructField("node", T.LongType()),
@@ -299,18 +298,18 @@ def near_duplicates(
 
     docs = sent.filter(F.col("kind") == -1).select(F.explode("docs").alias("d")).select("d.*")
     # A set's class is known by its first document; a document without words is its own class.
+    # Classes come first: joins of documents by class and of classes by component split hot keys.
     alone = F.col("n") == 0
-    classes = docs.filter(~alone).groupBy("name").agg(F.min("node").alias("class"))
-    reach = classes.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").select(
-        "name", F.coalesce("component", "class").alias("component")
-    )
-    member = docs.filter(~alone).join(reach, "name").select("key", "node", "n", "component")
-    member = member.unionByName(docs.filter(alone).select("key", "node", "n", F.col("node").alias("component")))
-    best = member.groupBy("component").agg(
-        F.min("key").alias("component_id"),
-        F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "node"))["node"].alias("first"),
-    )
-    return member.join(best, "component").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id",
-        (F.col("node") == F.col("first")).alias("stays"),
+    first = F.struct(F.col("key").isNull().alias("unknown"), "key", "node")
+    classes = docs.filter(~alone).groupBy("name").agg(F.min("node").alias("class"), F.min(first).alias("first"))
+    reach = settle(classes.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").select(
+        "name", "first", F.coalesce("component", "class").alias("component")
+    ), "classes")
+    best = settle(reach.groupBy("component").agg(F.min("first").alias("best")), "best")
+    known = settle(reach.join(best, "component").select("name", "best"), "known")
+    member = docs.filter(~alone).join(known, "name").select("key", "node", "n", "best")
+    member = member.unionByName(docs.filter(alone).select("key", "node", "n", first.alias("best")))
+    return member.select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("best")["key"].alias("component_id"),
+        (F.col("node") == F.col("best")["node"]).alias("stays"),
     )

@@ -8,7 +8,7 @@ make its keys anew needs no join to read them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +65,9 @@ def sent_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def meet(sent: DataFrame, answer: Callable[..., np.ndarray], short: tuple[int, ...] = ()) -> DataFrame:
-    """Answers by `answer(number of each key, how many distinct keys, notes, row's place in the order of chunks)`.
-
-    `short` names the kinds whose keys were sent short.
+def meet(sent: DataFrame, answers: Mapping[int, Callable[..., np.ndarray]], short: tuple[int, ...] = ()) -> DataFrame:
+    """Answers to the keys of each kind, by its function of (number of each key, how many distinct
+    keys, notes, row's place in the order of chunks). `short` names the kinds whose keys were sent short.
     """
 
     def group(table: pa.Table) -> pa.Table:
@@ -83,7 +82,7 @@ def meet(sent: DataFrame, answer: Callable[..., np.ndarray], short: tuple[int, .
             _, number, counts = unique(first, np.frombuffer(half, np.uint64) if half else None)
             ends = np.cumsum([len(p) for p in parts])
             place = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            said = answer(number, len(counts), np.concatenate(parts), place).astype(np.uint8)
+            said = answers[kind[0].as_py()](number, len(counts), np.concatenate(parts), place).astype(np.uint8)
             notes = pa.array([x.tobytes() for x in np.split(said, ends[:-1])], pa.binary())
         return pa.table([chunk, kind, bucket, notes], names=["chunk", "kind", "bucket", "note"])
 

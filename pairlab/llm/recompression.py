@@ -309,8 +309,10 @@ def drop_repeats(df: DataFrame, key: str, text: str, width: int = 35, size: int
     from pyspark.sql.pandas.types import to_arrow_schema
 
     empty = to_arrow_schema(schema).empty_table()
-    said = meeting.meet(chunks.mapInArrow(names, meeting.SENT), _said_anchor_or_long)
+    said = meeting.meet(
+        chunks.mapInArrow(names, meeting.SENT), {ANCHOR: _said_anchor_or_long, HIGH: _said_anchor_or_long}
+    )
     asked = chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(windows, meeting.SENT)
-    said = meeting.meet(asked, _said_window)
+    said = meeting.meet(asked, {WINDOW: _said_window})
     out = chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(drop, schema)
     return out.select(F.col("key").alias(key), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
