@@ -59,6 +59,21 @@ def text_rows(source: Iterator[pa.RecordBatch], key: str = "key", text: str = "t
         yield from zip(strings(batch, key), strings(batch, text))
 
 
+_KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    """A worker's memory that lasts from task to task, until `forget`."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def forget() -> None:
+    """Workers serve one stage after another: what an earlier operator has kept makes room for this one."""
+    for memory in _KEPT:
+        memory.clear()
+
+
 def slices(blob: pa.Array, counts: np.ndarray) -> np.ndarray:
     """Start of every run in a concatenation of runs of the given lengths, and the end."""
     return np.concatenate([[0], np.cumsum(counts)])

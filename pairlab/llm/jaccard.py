@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.llm import meeting
-from pairlab.llm.common import settle, slices, tasks
+from pairlab.llm.common import forget, settle, slices, tasks
 from pairlab.llm.graph import components
 from pairlab.llm.recompression import chunked, mix
 
@@ -59,6 +59,7 @@ class Chunk:
     """Some documents as shingle sets, and what they send."""
 
     def __init__(self, row: dict, width: int) -> None:
+        forget()
         self.id, self.keys = row["chunk"], row["keys"]
         words = row["vocabulary"].split(b" ")
         digest = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), np.uint64)

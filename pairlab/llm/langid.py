@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import batches_of, strings
+from pairlab.llm.common import batches_of, forget, strings
 
 UNKNOWN = "und"
 
@@ -166,6 +166,7 @@ def identify(df: DataFrame, key: str, text: str, net: ByteNet | None, keep_text:
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         net = shared.value
         for found in source:
             rows = zip(found.column(0).to_pylist(), strings(found, "text"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import batches_of, byte_letters, slices, strings
+from pairlab.llm.common import batches_of, byte_letters, kept, slices, strings
 
 #: The pre-tokenizer's pattern of byte-level vocabularies, for any text and for ASCII.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -180,7 +180,7 @@ class PairIndex:
         return body
 
 
-_INDEXES: dict[str, PairIndex] = {}
+_INDEXES: dict[str, PairIndex] = kept()
 
 
 def index(path: str) -> PairIndex:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.llm import meeting
-from pairlab.llm.common import batches_of, slices, strings, tasks
+from pairlab.llm.common import batches_of, forget, slices, strings, tasks
 
 ANCHOR, HIGH, WINDOW = 0, 1, 2  # kinds of keys
 HIGH_ROUNDS = (12, 16, 20, 24, 28)
@@ -132,6 +132,7 @@ class Chunk:
     """Some whole documents as word codes."""
 
     def __init__(self, row: dict, width: int) -> None:
+        forget()
         self.id, self.keys, self.width = row["chunk"], row["keys"], width
         self.words = row["vocabulary"].split(b" ")
         self.codes = np.frombuffer(row["codes"], np.int32)
@@ -212,6 +213,7 @@ def chunked(df: DataFrame, key: str, text: str, size: int, lower: bool = False)
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         part, kind = TaskContext.get().partitionId(), None
 
         def rows() -> Iterator[tuple]:

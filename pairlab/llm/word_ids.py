@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-from pairlab.llm.common import byte_letters, slices
+from pairlab.llm.common import byte_letters, kept, slices
 
 #: The pre-tokenizer's pattern of word_bpe_49k.json, for lower-case ASCII words.
 ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -90,7 +90,7 @@ class WordEncoder(dict):
         return ids, np.diff(ends[slices(None, words)])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = kept()
 
 
 def encoder(path: str) -> WordEncoder:
