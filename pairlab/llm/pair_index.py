@@ -73,7 +73,7 @@ class PairIndex:
 
     def _forget(self) -> None:
         self.entries: dict[str, int] = _Numbers((s, k) for k, s in enumerate(self.special))
-        self.ids = np.array([self.special[s] for s in self.entries], np.int64)
+        self.ids = np.array([self.special[s] for s in self.entries], np.uint32)
         self.lengths = np.ones(len(self.entries), np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,12 +160,21 @@ class PairIndex:
             entries.extend(map(table.__getitem__, found))  # a new piece gets the next number
         if len(table) > known:
             ids, lengths = self.merge([p.encode() for p in list(table)[known:]])
-            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
-        e = np.frombuffer(entries, np.int64)
-        starts, lengths = slices(None, self.lengths)[e], self.lengths[e]
-        ends = slices(None, lengths)
-        where = np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])
-        return self.ids[where.astype(np.int64)], np.diff(ends[slices(None, counts)])
+            self.ids, self.lengths = np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.lengths, lengths])
+        all_starts = slices(None, self.lengths)
+        entry = np.frombuffer(entries, np.int64)
+        ends = slices(None, counts)
+        per_text = np.add.reduceat(np.append(self.lengths[entry], 0), np.minimum(ends[:-1], len(entry)))
+        per_text[np.diff(ends) == 0] = 0
+        out, at = np.empty(int(per_text.sum()), np.uint32), 0
+        for some in range(0, len(entry), 1 << 20):  # a few entries at a time: places take twice the room of ids
+            e = entry[some : some + (1 << 20)]
+            lengths = self.lengths[e]
+            inner = slices(None, lengths)
+            where = np.repeat(all_starts[e] - inner[:-1], lengths) + np.arange(inner[-1])
+            out[at : at + len(where)] = self.ids[where]
+            at += len(where)
+        return out, per_text
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of ids; bytes that are no UTF-8 become U+FFFD."""
