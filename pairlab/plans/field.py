@@ -34,9 +34,9 @@ SCORED = ("mass", "patch_size", "sum_of_white_on_primaries", "adj_wing_patch", "
 
 def read(
     spark: SparkSession, path: str, version: str = "v2", keep_observer: bool = False,
-    site_filters: bool = True, columns: tuple | None = None,
+    site_filters: bool = True, columns: tuple | None = None, keep: tuple = (),
 ) -> DataFrame:
-    """Typed rows of the two kinds, before any grouping."""
+    """Typed rows of the two kinds, before any grouping; `keep` names unused columns to keep."""
     names = columns or {"v1": V1_COLUMNS, "v2": V2_COLUMNS}[version]
     raw = read_observations(spark, path, text_schema(names))
     numbers = [*MEASURES, "sum_of_white_on_primaries", "laying_date", "year"]
@@ -44,7 +44,7 @@ def read(
     df = df.withColumn("year", F.col("year").cast("int"))
     df = with_product(df, "patch_h", "patch_b", "patch_size")
     df = keep_kinds(df, "species", KINDS)
-    return normalize(df, version, keep_observer, site_filters)
+    return normalize(df, version, keep_observer, site_filters, keep=keep)
 
 
 def clean(df: DataFrame, conflict_cols=("sex", "species"), null_id: str = "match") -> DataFrame:
@@ -59,9 +59,11 @@ def clean(df: DataFrame, conflict_cols=("sex", "species"), null_id: str = "match
     return with_ratio(ranged, "patch_size", "mass", "adj_patch_size")
 
 
-def pairs(cleaned: DataFrame, version: str = "v2", keep_unmatched: bool = False) -> DataFrame:
-    """Female columns with `_f`, male columns with `_m`, shared columns once."""
-    shared = [c for c in SHARED[version] if c in cleaned.columns]
+def pairs(
+    cleaned: DataFrame, version: str = "v2", keep_unmatched: bool = False, more_keys: tuple = ()
+) -> DataFrame:
+    """Female columns with `_f`, male columns with `_m`, shared columns (and `more_keys`) once."""
+    shared = [c for c in (*SHARED[version], *more_keys) if c in cleaned.columns]
     return build_pairs(
         cleaned, "yearAreaBox", "sex", SIDES, shared, partner_id="ring_nb",
         keep_unmatched=keep_unmatched,

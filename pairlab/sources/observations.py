@@ -71,10 +71,11 @@ def normalize(
     keep_observer: bool = False,
     site_filters: bool = True,
     renames: Mapping[str, str] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One layout for both table versions.
 
-    Version 2 loses its unused columns (and the observer unless asked for), the rows
+    Version 2 loses its unused columns but those to `keep` (and the observer unless asked for), the rows
     whose site code contains `AVI` and the rows flagged early. Missing columns are
     skipped, so a table that already went through here passes unchanged.
     """
@@ -82,7 +83,7 @@ def normalize(
         raise ValueError(f"unknown table version {version!r}")
     if version == "v2":
         unused = V2_UNUSED if keep_observer else (*V2_UNUSED, "measurer")
-        df = df.drop(*unused)
+        df = df.drop(*[c for c in unused if c not in keep])
         if site_filters:
             df = drop_containing(df, "nestbox", "AVI")
             if "early" in df.columns:

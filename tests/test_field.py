@@ -136,3 +136,18 @@ def test_scores_of_single_rows_are_null(cleaned, wide):
     assert scores.count() == 2
     assert {r.z_mass for r in scores.collect()} == {None}
     assert field.with_male_scores(wide, scores).count() == 3
+
+
+def test_kept_column_as_a_pair_key(spark, tmp_path):
+    """The layout that keeps the new fledgling count: a pair needs it to be equal."""
+    path = tmp_path / "observations.csv"
+    with open(path, "w", newline="") as f:
+        out = csv.DictWriter(f, V2_COLUMNS)
+        out.writeheader()
+        for i, row in enumerate(ROWS[:4]):
+            cells = dict.fromkeys(V2_COLUMNS, "NA") | {"early": 0, "fledge_nb_new": 5 if i < 2 else i}
+            out.writerow(cells | dict(zip(NAMES, row)))
+    cleaned = field.clean(field.read(spark, str(path), "v2", keep=("fledge_nb_new",)))
+    pairs = field.pairs(cleaned, more_keys=("fledge_nb_new",)).collect()
+    assert [(r["yearAreaBox"], r["fledge_nb_new"]) for r in pairs] == [("2001X1", "5")]
+    assert "fledge_nb_new" not in field.read(spark, str(path), "v2").columns
