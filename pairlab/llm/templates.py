@@ -1,12 +1,14 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A token is an element with its path: the names, classes and ids of the elements around it. Tokens of a
-host that occur equally often on every page have equal occurrence vectors and form a class.
-Frequent classes, nested by their paths, are the host's template; between its tokens are the slots, and the
-slots of the main element hold the article. Occurrence vectors are kept as hashes that Spark can
-merge, so a host's pages never come together.
-
-Words are no tokens here: copies of one article on a host would make its words look like template.
+A token is an element with its path (the names, classes and ids of the elements around it), or a block of
+text with the path of its element. Tokens of a layout that occur equally often on every page have equal
+occurrence vectors and form a class. A text in the class of the page itself, or in the class of its
+own element where that is on every page, is template if the pages differ otherwise; all text between is
+slots. Occurrence vectors are kept as hashes that Spark can merge, so a host's pages never come together.
+
+Names in class and id only choose between slots: what they call no article is left out unless it holds
+most of the page's text. Single words are no tokens: a label in a block that differs from page to page
+belongs to its block.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _NAMES = re.compile(r"[a-z]+|[0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
+_MARKS = re.compile(r"[>@~!]")
 _words = lambda s: frozenset(s.split())
 
 # Elements by the way HTML treats them.
@@ -44,11 +48,14 @@ CLOSES = {
     "th": (_words("td th"), _words("tr table")), "option": (_words("option"), _words("select")),
     "body": (_words("head"), _words("html")),
 }
-# What is not part of an article.
-NOISE = _words(
-    "head nav footer aside form button select option input textarea fieldset label legend dialog menu script style noscript "
-    "template title iframe object embed svg canvas audio video map"
+# Elements that never hold an article, whatever text they have.
+NEVER = _words(
+    "head nav footer button select option input textarea script style noscript template title iframe object embed svg canvas "
+    "audio video map"
 )
+# What speaks against a slot.
+NOISE = _words("aside label legend dialog menu")
+WRAPS = _words("form fieldset")
 NOISE_ROLES = _words("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar")
 NOISE_NAMES = _words(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion cookie cookies "
@@ -57,49 +64,90 @@ NOISE_NAMES = _words(
     "social related recommended recommendations comment comments respond reply replies discussion disqus login signup "
     "search widget toolbar skip copyright disclaimer"
 )
-MAIN_NAMES = _words("article content post entry story main text body")
 HOLDERS = _words("html body article main")
+# Elements of running text; what is around them is the container.
+RUNNING = _words(
+    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address hr"
+)
+_ARTICLE = re.compile(r">(?:article(?=[.#@~!>]|$)|[^>]*@)")
+_MAIN = re.compile(r">main(?=[.#@~!>]|$)")
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text.strip(" \t\r\n/") else {}
 
 
-def _is_noise(name: str, attributes: dict[str, str], inside_article: bool) -> bool:
+def _against(name: str, attributes: dict[str, str], inside_article: bool) -> str:
+    """What speaks against a slot: "~!" if element, role, style or all names do, "!" if some names do."""
     if name in NOISE or name == "header" and not inside_article:
-        return True
+        return "~!"
     if name in HOLDERS and name != "article":
-        return False
+        return ""
     if attributes.get("role", "").lower() in NOISE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return "~!"
     if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return bool(NOISE_NAMES.intersection(_NAMES.findall(named)))
+        return "~!"
+    named = set(_NAMES.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+    if name in WRAPS or named & NOISE_NAMES:
+        return "~!" if named and named <= NOISE_NAMES else "!"
+    return ""
+
+
+def _hints(path: str) -> Iterator[str]:
+    """The elements of a path that something speaks against, each with its own path."""
+    at = path.find("!")
+    while at >= 0:
+        yield path[: at + 1]
+        at = path.find("!", at + 1)
+
+
+def slots(chars: dict[str, int]) -> set[str]:
+    """The paths that hold the article, from path -> characters.
+
+    An element that something speaks against is left out, unless it holds most of the text or nothing
+    else is left; if all speaks against it and another has text in an article or main element, it is left
+    out anyway. Of the rest, articles or else main elements are enough if they hold half of it.
+    """
+    total, under = sum(chars.values()), {}
+    for path, n in chars.items():
+        for hint in _hints(path):
+            under[hint] = under.get(hint, 0) + n
+    marked = any("!" not in p and (_ARTICLE.search(p) or _MAIN.search(p)) for p in chars)
+    off = {hint for hint, n in under.items() if 2 * n <= total or marked and hint.endswith("~!")}
+    rest = {p for p in chars if not any(hint in off for hint in _hints(p))}
+    left = sum(chars[p] for p in rest)
+    if not left:
+        rest, left = set(chars), total
+    for kind in (_ARTICLE, _MAIN):
+        inside = {p for p in rest if kind.search(p)}
+        if inside and 2 * sum(chars[p] for p in inside) >= left:
+            return inside
+    return rest
 
 
 class Page:
-    """A page's tokens, how often each occurs, and its text pieces outside of noise.
+    """A page's elements, how often each occurs, and its blocks of text.
 
-    `pieces` are (path, text) in page order; a piece after a block boundary begins with a space.
-    `counts` has the occurrences and `chars` the characters of text directly in each path.
+    `blocks` are [path, text] in page order; a block after a block boundary begins with a space.
+    A path's element ends with @ if it is marked as main, and with what speaks against it.
     """
 
     def __init__(self, html: str) -> None:
-        self.pieces: list[tuple[str, str]] = []
-        self.counts: dict[str, int] = {}
-        self.chars: dict[str, int] = {}
-        # open elements: name, path, whether noise, path of the nearest block
+        self.blocks: list[list[str]] = []
+        self.counts: dict[str, int] = {"": 1}
+        # open elements: name, path, whether never text, path of the nearest block
         stack = [("", "", False, "")]
         at, space = 0, True
 
         def text(part: str) -> None:
             nonlocal space
-            _, _, noise, block = stack[-1]
-            if part and not noise:
+            _, _, never, block = stack[-1]
+            if part and not never:
                 part = unescape(part)
-                self.pieces.append((block, " " + part if space else part))
-                self.chars[block] = self.chars.get(block, 0) + len(part.strip())
+                if self.blocks and not space and self.blocks[-1][0] == block:
+                    self.blocks[-1][1] += part
+                else:
+                    self.blocks.append([block, " " + part if space else part])
                 space = False
 
         while at < len(html):
@@ -136,79 +184,59 @@ class Page:
                 k = max(i for i, s in enumerate(stack) if s[0] == "p")
                 del stack[k:]
             attributes = _attributes(found[3])
-            _, path, noise, block = stack[-1]
-            noise = noise or _is_noise(name, attributes, "article" in path)
+            _, path, never, block = stack[-1]
+            never = never or name in NEVER
+            against = _against(name, attributes, "article" in path)
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                 at = close.end() if close else len(html)
                 continue
-            if name in INLINE:
-                stack.append((name, path, noise, block))
+            own = ""
+            if name not in INLINE:
+                own = name + "".join("." + c for c in sorted(attributes.get("class", "").split()))
+                if attributes.get("id"):
+                    own += "#" + attributes["id"]
+                # Numbers tell pages apart, not layouts.
+                own = _DIGITS.sub("0", _MARKS.sub("_", own))
+                if attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody":
+                    own += "@"
+            elif against:
+                own = name
+            if not own:
+                stack.append((name, path, never, block))
                 continue
-            own = name + "".join("." + c for c in sorted(attributes.get("class", "").split()))
-            if attributes.get("id"):
-                own += "#" + attributes["id"]
-            if attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody":
-                own += "@main"
-            path = f"{path}>{own}"
-            stack.append((name, path, noise, path))
-            if not noise:
+            path = f"{path}>{own}{against}"
+            stack.append((name, path, never, path))
+            if not never:
                 self.counts[path] = self.counts.get(path, 0) + 1
 
-    def text(self, main: str | None) -> str | None:
-        """The text in elements of the path `main`; None if the page has no such element."""
-        if main is None or main and main not in self.counts:
-            return None
-        inner = main + ">"
-        return " ".join("".join(t for p, t in self.pieces if p == main or p.startswith(inner) or not main).split())
+    def tokens(self) -> list[int]:
+        """Of each block, a hash of its path and text; 0 if it is blank."""
+        return [_hash(f"{p}\0{plain}") if (plain := " ".join(t.split())) else 0 for p, t in self.blocks]
 
 
-def _last(path: str) -> str:
-    return path.rpartition(">")[2]
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
 
 
-def main_element(tokens: dict[str, tuple[int, int, int]], pages: int) -> str:
-    """The main element's path, from path -> (pages it is on, hash of its occurrence vector, characters).
+def sizes(blocks: list, but: frozenset[int] = frozenset()) -> dict[str, int]:
+    """Characters of text directly in each path, without the blocks of these numbers."""
+    out: dict[str, int] = {}
+    for k, (path, part) in enumerate(blocks):
+        n = 0 if k in but else len(part.strip())
+        if n:
+            out[path] = out.get(path, 0) + n
+    return out
 
-    Classes of equal vectors on half of the pages at least are valid if what encloses their tokens
-    is valid too; the valid tokens are the template. Of these an article comes first, then a main
-    element, then names that speak of content; the uppermost one of a kind, and of several
-    side by side the one with most text. Without any the text decides: from the outermost element down
-    as long as one token that is as frequent as its parent, in its parent's class or in one nested in
-    it, holds most of the text.
-    """
-    frequent = {p: t for p, t in tokens.items() if 2 * t[0] >= pages}
-    classes: dict[tuple[int, int], list[str]] = {}
-    for path, (n, vector, _) in frequent.items():
-        classes.setdefault((n, vector), []).append(path)
-    template: set[str] = set()
-    for members in sorted(classes.values(), key=lambda m: min(p.count(">") for p in m)):
-        known = template.union(members)
-        valid = [p for p in members if (up := p.rpartition(">")[0]) == "" or up in known]
-        template.update(valid)
-    inside: dict[str, int] = {}
-    for path, (_, _, chars) in tokens.items():
-        while path:
-            inside[path] = inside.get(path, 0) + chars
-            path = path.rpartition(">")[0]
-    names = lambda p: _last(p).lower()
-    for kind in (
-        lambda p: re.match(r"article\b", names(p)) or "@main" in names(p),
-        lambda p: re.match(r"main\b", names(p)),
-        lambda p: MAIN_NAMES.intersection(_NAMES.findall(names(p).partition(".")[2] + " " + names(p).partition("#")[2])),
-    ):
-        found = [p for p in template if kind(p) and inside.get(p)]
-        if found:
-            depth = min(p.count(">") for p in found)
-            return min((p for p in found if p.count(">") == depth), key=lambda p: (-inside[p], p))
-    here = max((p for p in template if p.count(">") == 1), key=lambda p: (inside.get(p, 0), p), default="")
-    while here:
-        below = [p for p in template if p.rpartition(">")[0] == here and tokens[p][0] == tokens[here][0]]
-        best = max(below, key=lambda p: (inside.get(p, 0), p), default=None)
-        if best is None or _last(best).split(".")[0] in ("p", "h1", "ul", "ol") or inside.get(best, 0) * 10 < 7 * inside.get(here, 0):
-            break
-        here = best
-    return here
+
+def main_text(blocks: list, tokens: list[int], template: frozenset[int]) -> str:
+    """The text in the slots. A page of nothing but template is read as if it were alone on its host."""
+    fixed = frozenset(k for k, t in enumerate(tokens) if t in template)
+    chars = sizes(blocks, fixed)
+    if not chars:
+        fixed, chars = frozenset(), sizes(blocks)
+    found = slots(chars)
+    return " ".join("".join(t if k not in fixed else " " for k, (p, t) in enumerate(blocks) if p in found).split())
 
 
 def host(url: Column) -> Column:
@@ -217,55 +245,82 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
-def templates(pages: DataFrame, flush: int = 200_000) -> DataFrame:
-    """host, main: the path of each host's main element. `pages` has host and html.
+def templates(pages: DataFrame, support: int = 4, flush: int = 200_000) -> DataFrame:
+    """host, layout, template: the tokens of each layout's template texts. `pages` has host and html.
 
-    A task sends each (host, path) once, with its pages, the xor of hashes of (page, occurrences)
-    and the characters; sums finish in a shuffle. Only paths on half of a host's pages are kept
-    then, at most twice as many as a page has, so a host's list is short however many pages it has.
+    A task sends each token once, with its pages, the xor of hashes of (page, occurrences) and the
+    characters; sums finish in a shuffle. Only texts on all of a layout's pages are kept then, so a
+    list is no longer than a page however many pages there are. A layout needs `support`
+    different pages; copies count once. Texts that outweigh the slots are no template: they are copies.
     """
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple[str, int, int, int], list[int]] = {}
+        known: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(h, p, *v) for (h, p), v in sums.items()]
+            rows = [(*k, *v) for k, v in sums.items()]
             sums.clear()
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            known.clear()
+            kinds = [pa.string()] + [pa.int64()] * 6
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["host", "path", "n", "vector", "chars"]
+                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                names=["host", "layout", "path", "token", "n", "vector", "chars"],
             )
 
+        def name(path: str) -> int:
+            if path not in known:
+                known[path] = _hash(path)
+            return known[path]
+
         for batch in source:
             for where, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 number += 1
                 page = Page(html or "")
-                for path, times in {**page.counts, "": 1}.items():
-                    seen = blake2b(b"%d %d %d" % (part, number, times), digest_size=8).digest()
-                    own = sums.setdefault((where, path), [0, 0, 0])
+                chars = sizes(page.blocks)
+                inside = slots(chars)
+                kind, tokens = 0, page.tokens()
+                whole = _hash(" ".join("".join(t for p, t in page.blocks if p in inside).split()))
+                found = {(0, 0): [1, sum(chars[p] for p in inside)], (0, whole): [1, 0]}
+                for path in chars:
+                    found[name(path), 0] = [page.counts[path], 0]
+                for (path, text), token in zip(page.blocks, tokens):
+                    if token:
+                        own = found.setdefault((name(path), token), [0, 0])
+                        own[0] += 1
+                        own[1] += len(text.strip()) if path in inside else 0
+                seen: dict[int, int] = {}
+                for key, (times, n) in found.items():
+                    if times not in seen:
+                        vector = blake2b(b"%d %d %d" % (part, number, times), digest_size=8).digest()
+                        seen[times] = int.from_bytes(vector, "little", signed=True)
+                    own = sums.setdefault((where, kind, *key), [0, 0, 0])
                     own[0] += 1
-                    own[1] ^= int.from_bytes(seen, "little", signed=True)
-                    own[2] += page.chars.get(path, 0)
+                    own[1] ^= seen[times]
+                    own[2] += n
                 if len(sums) >= flush:
                     yield out()
         if sums:
             yield out()
 
-    seen = settle(pages.select("host", "html").mapInArrow(count, "host string, path string, n long, vector long, chars long").groupBy(
-        "host", "path"
-    ).agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")), "paths")
-    total = seen.filter("path = ''").select("host", F.col("n").alias("pages"))
-    kept = seen.filter("path <> ''").join(total, "host").filter(F.col("n") * 2 >= F.col("pages"))
-
-    def deduce(table: pa.Table) -> pa.Table:
-        rows = zip(*(table.column(c).to_pylist() for c in ("path", "n", "vector", "chars")))
-        main = main_element({p: (n, v, c) for p, n, v, c in rows}, table.column("pages")[0].as_py())
-        return pa.table({"host": [table.column("host")[0].as_py()], "main": [main]})
-
-    return kept.groupBy("host").applyInArrow(deduce, "host string, main string")
+    seen = settle(pages.select("host", "html").mapInArrow(
+        count, "host string, layout long, path long, token long, n long, vector long, chars long"
+    ).groupBy("host", "layout", "path", "token").agg(
+        F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")
+    ).filter((F.col("path") == 0) | (F.col("n") >= support)), "tokens")
+    layout = ["host", "layout"]
+    different = seen.filter("path = 0 and token <> 0").groupBy(*layout).count().filter(F.col("count") >= support)
+    total = seen.filter("path = 0 and token = 0").select(
+        *layout, F.col("n").alias("pages"), F.col("vector").alias("every"), F.col("chars").alias("total")
+    ).join(different, layout)
+    elements = seen.filter("path <> 0 and token = 0").select(*layout, "path", F.col("vector").alias("own"))
+    fixed = seen.filter("path <> 0 and token <> 0").join(total, layout).filter("n = pages").join(elements, [*layout, "path"])
+    return fixed.filter("vector = every or vector = own").groupBy(*layout).agg(
+        F.collect_list("token").alias("template"), F.sum("chars").alias("chars"), F.max("total").alias("total")
+    ).filter("2 * chars <= total").select(*layout, "template")
 
 
 def extract(
@@ -274,43 +329,61 @@ def extract(
     """key, url and the main text of every page (empty if it has none).
 
     Character references are decoded, white space within and between blocks becomes one space.
-    A page without its host's main element is read by its own template, as if it were alone on its
-    host. Null html is an empty page, a null or odd url belongs to the host without name; keys may
-    be null or repeat; no rows give no rows; other columns are not read.
+    A page of a layout without template has all its text in slots. Null html is an empty page, a null
+    or odd url belongs to the host without name; keys may be null or repeat; no rows give no rows;
+    other columns are not read.
 
-    Templates, one short row per host, are broadcast up to `few_hosts`; beyond, they are joined with
-    each host's pages dealt to `salts` parts.
+    Templates, one short row per layout, are broadcast up to `few_hosts`; beyond, they are joined with
+    each layout's pages dealt to `salts` parts.
     """
     pages = df.select(
         F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"),
         host(F.col(url).cast("string")).alias("host"),
     )
     found = settle(templates(pages), "templates")
-    if found.limit(few_hosts + 1).count() <= few_hosts:
-        joined = pages.join(F.broadcast(found), "host", "left")
-    else:
-        dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = pages.withColumn("salt", F.pmod(F.xxhash64("key", "html"), F.lit(salts)).cast("int"))
-        joined = salted.join(dealt, ["host", "salt"], "left")
     kind = pages.schema["key"].dataType
+    schema = T.StructType([
+        T.StructField("key", kind), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()),
+        T.StructField("layout", T.LongType()), T.StructField("paths", T.ArrayType(T.StringType())),
+        T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("texts", T.ArrayType(T.StringType())),
+        T.StructField("tokens", T.ArrayType(T.LongType())),
+    ])
 
-    def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)))
             for part in batches_of(rows, 2, 1 << 22, 1024):
-                texts = []
-                for _, _, body, main in part:
+                out = []
+                for name, link, body, where in part:
                     page = Page(body or "")
-                    text = page.text(main or None)
-                    if text is None:
-                        text = page.text(main_element({p: (1, n, page.chars.get(p, 0)) for p, n in page.counts.items()}, 1))
-                    texts.append(text or "")
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0] for r in part], batch.schema.field(0).type), pa.array([r[1] for r in part], pa.string()),
-                    pa.array(texts, pa.string()),
-                ], names=["key", "url", "text"])
+                    paths = {p: i for i, p in enumerate(dict.fromkeys(p for p, _ in page.blocks))}
+                    out.append((
+                        name, link, where, 0, list(paths), [paths[p] for p, _ in page.blocks],
+                        [t for _, t in page.blocks], page.tokens(),
+                    ))
+                kinds = [
+                    batch.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()),
+                    pa.list_(pa.string()), pa.list_(pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=schema.names)
 
-    schema = T.StructType([
-        T.StructField("key", kind), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()),
-    ])
-    return joined.select("key", "url", "html", "main").mapInArrow(read, schema).withColumnRenamed("key", key)
+    def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 7)))
+            texts = [
+                main_text([(paths[i], t) for i, t in zip(at, parts)], tokens, frozenset(template or ()))
+                for paths, at, parts, tokens, template in rows
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"]
+            )
+
+    parsed = pages.select("key", "url", "html", "host").mapInArrow(parse, schema)
+    if found.limit(few_hosts + 1).count() <= few_hosts:
+        joined = parsed.join(F.broadcast(found), ["host", "layout"], "left")
+    else:
+        dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = parsed.withColumn("salt", F.pmod(F.xxhash64("key", "tokens"), F.lit(salts)).cast("int"))
+        joined = salted.join(dealt, ["host", "layout", "salt"], "left")
+    done = T.StructType([schema["key"], schema["url"], T.StructField("text", T.StringType())])
+    return joined.select("key", "url", "paths", "at", "texts", "tokens", "template").mapInArrow(read, done).withColumnRenamed("key", key)

@@ -69,3 +69,40 @@ def test_copies_are_no_template(spark):
     """All pages of a host hold the same article: it is text all the same."""
     rows = [(k, "http://h/", "<body><nav>m</nav><article><h1>Same</h1><p>words here</p></article>") for k in range(9)]
     assert {r["text"] for r in templates.extract(pages(spark, rows), "page_id", "url", "html").collect()} == {"Same words here"}
+
+
+def read(spark, rows, **limits):
+    out = templates.extract(pages(spark, rows), "page_id", "url", "html", **limits).collect()
+    return {r["page_id"]: r["text"] for r in out}
+
+
+def test_names_never_drop_most_of_the_text(spark):
+    """Listed words in class or id choose between slots; they do not drop what holds the article."""
+    wraps = [
+        "<div class='page has-sidebar'><div class='sidebar'>Side</div>{}</div>", "<div class='content with-nav'>{}</div>",
+        "<article class='post comments-open'>{}</article>", "<div class='story social-post'>{}</div>",
+        "<form id='aspnetForm'><div class='menu'>Menu</div><div>{}</div></form>", "<div id='search'><main>{}</main></div>",
+    ]
+    rows, want = [], {}
+    for w, wrap in enumerate(wraps):
+        for k in range(3):
+            article = " ".join(f"w{w}x{k}y{i}" for i in range(30))
+            main = wrap.format(f"<p>{article}</p>")
+            want[len(rows)] = article
+            rows.append((len(rows), f"http://h{w}/", f"<body><nav>m</nav>{main}<div class='share'>Share {k}</div></body>"))
+    assert read(spark, rows) == want
+
+
+def test_texts_of_every_page_are_template(spark):
+    """Nothing but the deduction tells the claim, the hint and the legal text from the article."""
+    rows, want = [], {}
+    for k in range(6):
+        article = " ".join(f"w{k}y{i}" for i in range(40))
+        more = "<p>again</p>" * k
+        rows.append((k, "http://h/", f"<body><div class='x1'>Our claim</div><div class='x2'><h1>T{k}</h1><p>{article}</p>"
+                     f"<p>Read on</p>{more}</div><div class='x3'>All rights <b>ours</b></div></body>"))
+        want[k] = " ".join([f"T{k}", article, *["again"] * k])
+    assert read(spark, rows) == want
+    assert read(spark, rows, few_hosts=0, salts=3) == want
+    near = [(k, "http://h/", f"<body><div class='t'>at {k}</div><div class='x'><p>{want[0]}</p></div></body>") for k in range(6)]
+    assert read(spark, near) == {k: f"at {k} {want[0]}" for k in range(6)}
