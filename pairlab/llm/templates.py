@@ -4,7 +4,8 @@ A token is an element with its path (the names, classes and ids of the elements
 text with the path of its element. Tokens of a layout that occur equally often on every page have equal
 occurrence vectors and form a class. A text in the class of the page itself, or in the class of its
 own element where that is on every page, is template if the pages differ otherwise; all text between is
-slots. Occurrence vectors are kept as hashes that Spark can merge, so a host's pages never come together.
+slots. A host's pages are of one layout if the same container holds most of their text; each layout has a
+template of its own. Occurrence vectors are kept as hashes that Spark can merge, so a host's pages never come together.
 
 Names in class and id only choose between slots: what they call no article is left out unless it holds
 most of the page's text. Single words are no tokens: a label in a block that differs from page to page
@@ -70,6 +71,7 @@ RUNNING = _words(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address hr"
 )
 _ARTICLE = re.compile(r">(?:article(?=[.#@~!>]|$)|[^>]*@)")
+_ELEMENT = re.compile(r"[^.#@~!]*")
 _MAIN = re.compile(r">main(?=[.#@~!>]|$)")
 
 
@@ -229,6 +231,17 @@ def sizes(blocks: list, but: frozenset[int] = frozenset()) -> dict[str, int]:
     return out
 
 
+def layout(blocks: list, inside: set[str]) -> str:
+    """The container of most of the text in the slots, with its path: pages of one layout share it."""
+    held: dict[str, int] = {}
+    for path, n in sizes(blocks).items():
+        if path in inside:
+            while path and _ELEMENT.match(path.rpartition(">")[2])[0] in RUNNING:
+                path = path.rpartition(">")[0]
+            held[path] = held.get(path, 0) + n
+    return min(held, key=lambda p: (-held[p], p), default="")
+
+
 def main_text(blocks: list, tokens: list[int], template: frozenset[int]) -> str:
     """The text in the slots. A page of nothing but template is read as if it were alone on its host."""
     fixed = frozenset(k for k, t in enumerate(tokens) if t in template)
@@ -282,7 +295,7 @@ def templates(pages: DataFrame, support: int = 4, flush: int = 200_000) -> DataF
                 page = Page(html or "")
                 chars = sizes(page.blocks)
                 inside = slots(chars)
-                kind, tokens = 0, page.tokens()
+                kind, tokens = name(layout(page.blocks, inside)), page.tokens()
                 whole = _hash(" ".join("".join(t for p, t in page.blocks if p in inside).split()))
                 found = {(0, 0): [1, sum(chars[p] for p in inside)], (0, whole): [1, 0]}
                 for path in chars:
@@ -311,16 +324,16 @@ def templates(pages: DataFrame, support: int = 4, flush: int = 200_000) -> DataF
     ).groupBy("host", "layout", "path", "token").agg(
         F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")
     ).filter((F.col("path") == 0) | (F.col("n") >= support)), "tokens")
-    layout = ["host", "layout"]
-    different = seen.filter("path = 0 and token <> 0").groupBy(*layout).count().filter(F.col("count") >= support)
+    by = ["host", "layout"]
+    different = seen.filter("path = 0 and token <> 0").groupBy(*by).count().filter(F.col("count") >= support)
     total = seen.filter("path = 0 and token = 0").select(
-        *layout, F.col("n").alias("pages"), F.col("vector").alias("every"), F.col("chars").alias("total")
-    ).join(different, layout)
-    elements = seen.filter("path <> 0 and token = 0").select(*layout, "path", F.col("vector").alias("own"))
-    fixed = seen.filter("path <> 0 and token <> 0").join(total, layout).filter("n = pages").join(elements, [*layout, "path"])
-    return fixed.filter("vector = every or vector = own").groupBy(*layout).agg(
+        *by, F.col("n").alias("pages"), F.col("vector").alias("every"), F.col("chars").alias("total")
+    ).join(different, by)
+    elements = seen.filter("path <> 0 and token = 0").select(*by, "path", F.col("vector").alias("own"))
+    fixed = seen.filter("path <> 0 and token <> 0").join(total, by).filter("n = pages").join(elements, [*by, "path"])
+    return fixed.filter("vector = every or vector = own").groupBy(*by).agg(
         F.collect_list("token").alias("template"), F.sum("chars").alias("chars"), F.max("total").alias("total")
-    ).filter("2 * chars <= total").select(*layout, "template")
+    ).filter("2 * chars <= total").select(*by, "template")
 
 
 def extract(
@@ -341,9 +354,8 @@ def extract(
         host(F.col(url).cast("string")).alias("host"),
     )
     found = settle(templates(pages), "templates")
-    kind = pages.schema["key"].dataType
     schema = T.StructType([
-        T.StructField("key", kind), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()),
+        T.StructField("key", pages.schema["key"].dataType), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()),
         T.StructField("layout", T.LongType()), T.StructField("paths", T.ArrayType(T.StringType())),
         T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("texts", T.ArrayType(T.StringType())),
         T.StructField("tokens", T.ArrayType(T.LongType())),
@@ -356,9 +368,10 @@ def extract(
                 out = []
                 for name, link, body, where in part:
                     page = Page(body or "")
+                    kind = layout(page.blocks, slots(sizes(page.blocks)))
                     paths = {p: i for i, p in enumerate(dict.fromkeys(p for p, _ in page.blocks))}
                     out.append((
-                        name, link, where, 0, list(paths), [paths[p] for p, _ in page.blocks],
+                        name, link, where, _hash(kind), list(paths), [paths[p] for p, _ in page.blocks],
                         [t for _, t in page.blocks], page.tokens(),
                     ))
                 kinds = [

@@ -106,3 +106,32 @@ def test_texts_of_every_page_are_template(spark):
     assert read(spark, rows, few_hosts=0, salts=3) == want
     near = [(k, "http://h/", f"<body><div class='t'>at {k}</div><div class='x'><p>{want[0]}</p></div></body>") for k in range(6)]
     assert read(spark, near) == {k: f"at {k} {want[0]}" for k in range(6)}
+
+
+def test_siblings_hold_one_article(spark):
+    """Without an element around them, all slots are text, not the largest alone."""
+    rows, want = [], {}
+    for h, (first, second) in enumerate((("entry-header", "entry-content"), ("post-body", "post-more"), ("q1", "q2"))):
+        for k in range(5):
+            head, rest = (" ".join(f"{a}{h}x{k}y{i}" for i in range(n)) for a, n in (("a", 20), ("b", 40)))
+            want[len(rows)] = f"{head} {rest}"
+            rows.append((len(rows), f"http://h{h}/", f"<body><nav>m</nav><div class='z'>Claim</div><div class='{first}'><h1>{head}</h1></div>"
+                         f"<div class='{second}'><p>{rest}</p></div><div class='sidebar'>Side {k}</div></body>"))
+    assert read(spark, rows) == want
+
+
+def test_template_per_layout(spark):
+    """Three layouts of one host, none on half of its pages; two use the third's element for something small."""
+    wraps = [
+        "<div class='content'><p>{}</p></div>", "<div class='content'>Claim 1</div><div class='gallery'><p>{}</p></div>",
+        "<div class='content'>Claim 2</div><div class='q'><div class='r'>{}</div></div>",
+    ]
+    rows, want = [], {}
+    for k in range(15):
+        w = k % 3
+        want[k] = " ".join(f"w{w}x{k}y{i}" for i in range(30))
+        rows.append((k, "http://h/", f"<body>{wraps[w].format(want[k])}<div class='s'>Legal text {w}</div></body>"))
+    assert read(spark, rows) == want
+    assert read(spark, rows, few_hosts=0, salts=3) == want
+    assert read(spark, [*rows, (99, "http://h/", "<body><div class='content'>x</div><div class='u'>a page alone</div></body>")]) == {
+        **want, 99: "x a page alone"}
