@@ -90,22 +90,31 @@ def local_search(
 
 
 def _step(giver: list[int], taker: list[int], lengths: np.ndarray, room: int) -> tuple[list[int], list[int]] | None:
-    """The move, swap or two-for-one swap that fills most of `room`; None if there is none."""
-    best, step = 0, None
-    mine = [(int(lengths[i]), [i]) for i in giver]
-    few = sorted(mine)[:64]
-    mine += [(a + b, [i[0], j[0]]) for x, (a, i) in enumerate(few) for b, j in few[x + 1 :]]
-    theirs = [(0, [])] + [(int(lengths[i]), [i]) for i in taker]
-    back = np.array([n for n, _ in theirs])
-    for n, items in mine:
-        gain = n - back
-        gain[gain > room] = 0
-        k = int(gain.argmax())
-        if gain[k] > best:
-            best, step = int(gain[k]), (items, theirs[k][1])
-            if best == room:
-                break
-    return step
+    """The move, swap or two-for-one swap that fills most of `room`; None if there is none.
+
+    Pieces of one length are as good as each other, and a bin has few lengths (their sum is at most
+    its capacity), so all pairs of the giver's lengths are tried.
+    """
+    own, at, times = np.unique(lengths[giver], return_index=True, return_counts=True)
+    first, second = np.triu_indices(len(own))
+    twice = (first != second) | (times[first] > 1)
+    first, second = first[twice], second[twice]
+    gives = np.concatenate([own, own[first] + own[second]])
+    theirs, place = np.unique(lengths[taker], return_index=True)
+    back = np.concatenate([[0], theirs])
+    gain = gives[:, None] - back
+    gain[gain > room] = 0
+    k, j = divmod(int(gain.argmax()), len(back))
+    if gain[k, j] <= 0:
+        return None
+    if k < len(own):
+        items = [giver[at[k]]]
+    else:
+        x, y = at[first[k - len(own)]], at[second[k - len(own)]]
+        if x == y:
+            y = next(i for i in range(x + 1, len(giver)) if lengths[giver[i]] == lengths[giver[x]])
+        items = [giver[x], giver[y]]
+    return items, [taker[place[j - 1]]] if j else []
 
 
 def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
@@ -158,7 +167,7 @@ def pack(
 
     Full pieces are sequences of their own. The rest is dealt to random groups of about `group_rows`
     pieces, packed side by side: best fit, then the local search. What lies in sequences that stayed
-    loose in a group (more than 1/64 free) is dealt and packed again together, `rounds` times at most
+    loose in a group (more than 1/64 free; fuller ones stay as they are) is dealt and packed again together, `rounds` times at most
     or until one group holds all of it; each round leaves about one loose sequence per group, so
     groups cost nothing in the end. Row numbers, not keys, choose the group: a hot or null key spreads.
 

@@ -132,6 +132,22 @@ def test_local_search_empties_bins():
     assert len(packing.local_search(fitted, lengths, 86)) <= len(fitted)
 
 
+def test_swaps_look_at_all_pieces_of_the_giver():
+    """Only its two longest pieces together, for the taker's one, fill the taker."""
+    lengths = np.array([*[2] * 64, 40, 41, 900, 80])
+    assert packing._step(list(range(66)), [66, 67], lengths, 1) == ([64, 65], [67])
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        lengths = rng.integers(1, 12, 14)
+        giver, taker, room = list(range(8)), list(range(8, 14)), int(rng.integers(1, 9))
+        gives = [[i] for i in giver] + [[i, j] for i in giver for j in giver if i < j]
+        want = max(
+            (g for x in gives for b in [[], *([t] for t in taker)] if (g := sum(lengths[x]) - sum(lengths[i] for i in b)) <= room), default=0
+        )
+        step = packing._step(giver, taker, lengths, room)
+        assert max(want, 0) == (sum(lengths[step[0]]) - sum(lengths[i] for i in step[1]) if step else 0)
+
+
 def test_digest_is_sha256(spark, odd):
     out = pair_index.encode_texts(odd.filter("doc_id = 5"), "doc_id", "text", BYTE)
     row = out.select("ids", F.sha2("ids", 256).alias("h")).first()
