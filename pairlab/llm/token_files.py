@@ -14,7 +14,7 @@ A file set is a folder with two Parquet tables that Spark writes and reads.
   words_crc32, ids_crc32   checksums of the words and of the ids (unsigned, little-endian 32 bits)
 
 Id j of a block belongs to lane j % lanes and step j // lanes. Every block can be decoded alone, and
-from every checkpoint on, so readers split freely. The first checkpoint is the block's beginning.
+from every checkpoint on, so readers split long blocks into ranges. The first checkpoint is the block's beginning.
 """
 
 from __future__ import annotations
@@ -211,10 +211,67 @@ def write_token_files(
     ordered.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def ranges(blocks: DataFrame, span: int) -> DataFrame:
+    """part, seq, lanes, every, first, n, words, state: `span` checkpoints of a block a row, `n` ids; damaged words raise."""
+    whole = F.when(F.crc32("words") == F.col("words_crc32"), F.col("words")).otherwise(
+        F.raise_error(F.format_string("block %d/%d: its words are damaged", "part", "seq")).cast("binary")
+    )
+    return blocks.withColumn("words", whole).withColumn("total", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).select(
+        "part", "seq", "lanes", "every", F.explode(F.expr(f"""transform(sequence(0, size(marks) - 1, {span}), i -> struct(
+            i AS first, least(total - 1L * i * every * lanes, {span}L * every * lanes) AS n,
+            substring(words, cast(4 * marks[i] + 1 AS int), cast(CASE WHEN i + {span} < size(marks)
+                THEN 4 * (marks[i + {span}] - marks[i]) ELSE octet_length(words) END AS int)) AS words,
+            substring(states, i * lanes * 8 + 1, lanes * 8) AS state))""")).alias("r"),
+    ).select("part", "seq", "lanes", "every", "r.*")
+
+
+def _in_ranges(blocks: DataFrame, span: int, shared, schema: T.StructType) -> DataFrame:
+    """Documents of long blocks: ranges are decoded in tasks of their own, then put together by block."""
+
+    def decode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(*shared.value)
+        for found in source:
+            for row in range(len(found)):
+                r = found.slice(row, 1).to_pylist()[0]
+                block = r | {
+                    "lengths": [r["n"]], "marks": [0], "states": r["state"], "words_crc32": zlib.crc32(r["words"]),
+                }
+                ids = coder.decode(block, 0, span).astype("<u4")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r["part"]], pa.int32()), pa.array([r["seq"]], pa.int32()), pa.array([r["first"]], pa.int32()),
+                    pa.array([ids.tobytes()], pa.binary()),
+                ], names=["part", "seq", "first", "ids"])
+
+    def join(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in source:
+            for row in range(len(found)):
+                block = found.slice(row, 1).to_pylist()[0]
+                ids = b"".join(r["ids"] for r in block["ranges"])
+                if zlib.crc32(ids) != block["ids_crc32"]:
+                    raise ValueError(f"block {block['part']}/{block['seq']}: its ids are damaged")
+                yield _documents(found, block, ids)
+
+    cut = ranges(blocks, span).repartition(tasks(blocks), "part", "seq", "first")
+    decoded = cut.mapInArrow(decode, "part int, seq int, first int, ids binary")
+    put = decoded.groupBy("part", "seq").agg(F.sort_array(F.collect_list(F.struct("first", "ids"))).alias("ranges"))
+    known = blocks.select("part", "seq", "keys", "lengths", "start", "ids_crc32")
+    return known.join(put, ["part", "seq"]).mapInArrow(join, schema)
+
+
+def _documents(found: pa.RecordBatch, block: dict, ids: bytes) -> pa.RecordBatch:
+    ends = slices(None, block["lengths"])
+    return pa.RecordBatch.from_arrays([
+        pa.array(block["keys"], found.schema.field("keys").type.value_type),
+        pa.array(np.full(len(ends) - 1, block["part"], np.int32)),
+        pa.array(block["start"] + ends[:-1]),
+        pa.array([ids[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+    ], names=["key", "part", "start", "ids"])
+
+
+def read_token_files(spark: SparkSession, path: str, span: int = 4) -> DataFrame:
     """key, start, ids (packed 32-bit numbers) of every document; damaged blocks raise.
 
-    `start` counts the ids of all documents before it: numbers within a range partition are in the
+    Blocks of more than `span` checkpoints are decoded in ranges of `span`, side by side. `start` counts the ids of all documents before it: numbers within a range partition are in the
     blocks, the partitions' totals (one row each) are summed up here.
     """
     bits, share = spark.read.parquet(f"{path}/table").first()
@@ -226,14 +283,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for found in source:
             for row in range(len(found)):
                 block = found.slice(row, 1).to_pylist()[0]
-                ids = coder.decode(block).astype("<u4")
-                ends = slices(None, block["lengths"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(block["keys"], found.schema.field("keys").type.value_type),
-                    pa.array(np.full(len(ends) - 1, block["part"], np.int32)),
-                    pa.array(block["start"] + ends[:-1]),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
-                ], names=["key", "part", "start", "ids"])
+                yield _documents(found, block, coder.decode(block).astype("<u4").tobytes())
 
     totals = blocks.groupBy("part").agg(
         F.max(F.col("start") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")
@@ -245,11 +295,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         T.StructField("key", kind), T.StructField("part", T.IntegerType()),
         T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType()),
     ])
+    long = blocks.filter(F.size("marks") > span)
+    if long.select("part").isEmpty():
+        documents = blocks.mapInArrow(decode, schema)
+    else:
+        documents = blocks.filter(F.size("marks") <= span).mapInArrow(decode, schema).unionByName(_in_ranges(long, span, shared, schema))
     # One row per range partition: a bounded broadcast.
-    return (
-        blocks.mapInArrow(decode, schema).join(F.broadcast(offsets), "part")
-        .select("key", (F.col("start") + F.col("offset")).alias("start"), "ids")
-    )
+    return documents.join(F.broadcast(offsets), "part").select("key", (F.col("start") + F.col("offset")).alias("start"), "ids")
 
 
 def token_digests(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:

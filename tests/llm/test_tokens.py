@@ -87,6 +87,24 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.token_digests(none, "doc_id", "text", WORD).count() == 0
 
 
+def test_long_documents_are_read_in_ranges(spark, odd, tmp_path):
+    """A document of many checkpoints is several rows to decode, none longer than a range."""
+    path = str(tmp_path / "tokens")
+    token_files.write_token_files(odd, "doc_id", "text", path, WORD, 1, block_ids=4096, lanes=8, every=16)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    most = blocks.selectExpr("max(size(marks))").first()[0]
+    cut = token_files.ranges(blocks, 3)
+    sizes = [r["n"] for r in cut.collect()]
+    assert most > 30 and max(sizes) <= 3 * 8 * 16 and cut.groupBy("part", "seq").count().selectExpr("max(count)").first()[0] == -(-most // 3)
+    whole = {(r["key"], r["start"], bytes(r["ids"])) for r in token_files.read_token_files(spark, path, span=10**6).collect()}
+    assert sum(sizes) == sum(len(w[2]) // 4 for w in whole)
+    for span in (1, 3):
+        assert {(r["key"], r["start"], bytes(r["ids"])) for r in token_files.read_token_files(spark, path, span=span).collect()} == whole
+    bad = blocks.withColumn("words_crc32", F.col("words_crc32") + 1)
+    with pytest.raises(Exception, match="damaged"):
+        token_files.ranges(bad, 3).collect()
+
+
 def test_shares():
     for counts in ([0, 5, 0, 1], [1] * 5000, [10**12] + [1] * 3000, [7]):
         bits, share = token_files.shares(np.array(counts))
