@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pairlab.llm import collisions, jaccard, langid, packing, pair_index, piecewise, recompression, sharding, templates, token_files
+from pairlab.llm import (
+    collisions, jaccard, langid, merge_rounds, packing, pair_index, piecewise, recompression, sharding, templates, token_files,
+)
 from pairlab.queries.base import query
 
 
@@ -89,3 +91,16 @@ def template_extraction(spark, folder):
     """The main text of all pages."""
     out = templates.extract(table(spark, folder, "pages"), "page_id", "url", "html")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op11_merge_rounds")
+def merge_round_pieces(spark, folder):
+    """All documents as SentencePiece ids and back; digests of both."""
+    out = merge_rounds.encode_texts(
+        table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
