@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from pairlab.llm import (
-    collisions, jaccard, langid, merge_rounds, packing, pair_index, piecewise, recompression, sharding, templates, token_files,
+    collisions, jaccard, langid, merge_rounds, packing, pair_index, piecewise, pivots, recompression, sharding, templates, token_files,
 )
 from pairlab.queries.base import query
 
@@ -104,3 +104,14 @@ def merge_round_pieces(spark, folder):
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_pivot_codes")
+def pivot_codes(spark, folder):
+    """Codes of all vectors in 8 parts, from codebooks of 16 entries after 6 rounds."""
+    out = pivots.encode(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c.cast("long"))), 2, "0"))
+    return out.select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error",
+        F.sha2(F.col("codebooks").cast("binary"), 256).alias("codebooks_sha256"),
+    )
