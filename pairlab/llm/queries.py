@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlab.llm import (
     collisions, jaccard, langid, merge_rounds, packing, pair_index, piecewise, pivots, recompression, sharding, templates, token_files,
+    variants,
 )
 from pairlab.queries.base import query
 
@@ -115,3 +116,9 @@ def pivot_codes(spark, folder):
         "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error",
         F.sha2(F.col("codebooks").cast("binary"), 256).alias("codebooks_sha256"),
     )
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark, folder):
+    """Words of all documents, with their near words, forms and roots."""
+    return variants.group_variants(table(spark, folder, "documents"), "doc_id", "text")
