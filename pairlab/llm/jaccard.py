@@ -114,8 +114,10 @@ def _first_chunk(number: np.ndarray, distinct: int, note: np.ndarray, place: np.
 
 
 class Union:
+    """Disjoint sets, joined by size; what is looked up points to its root afterwards."""
+
     def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
+        self.up, self.size = np.arange(n), np.ones(n, np.int64)
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -126,8 +128,16 @@ class Union:
         r = self.up[items]
         while (self.up[r] != r).any():
             r = self.up[r]
+        self.up[items] = r
         return r
 
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            few, many = sorted((i, j), key=lambda k: self.size[k])
+            self.up[few] = many
+            self.size[many] += self.size[few]
+
 
 def links_within(
     sets: list[np.ndarray], side: np.ndarray, at_least: tuple[int, int], orders: int = 3
@@ -185,7 +195,7 @@ def links_within(
             both = int(np.count_nonzero(seen[token[ends[y] : ends[y + 1]]]))
             if whole * both >= part * (size[x] + size[y] - both):
                 found.append((int(by_size[y]), int(by_size[x])))
-                groups.up[groups.find(y)] = groups.find(x)
+                groups.join(y, x)
                 rest = rest[groups.roots(rest) != groups.find(x)]
         seen[mine] = False
     return found
@@ -193,7 +203,7 @@ def links_within(
 
 def near_duplicates(
     df: DataFrame, key: str, text: str, width: int = 5, at_least: tuple[int, int] = (75, 100),
-    chunk_size: int = 1 << 22, block: int = 1 << 22,
+    chunk_size: int = 1 << 22, block: int = 1 << 22, members: int = 1 << 10,
 ) -> DataFrame:
     """key, n_shingles, component_id and stays of every document.
 
@@ -205,7 +215,8 @@ def near_duplicates(
     links with nothing. Null keys are no smallest key unless a component has no other. Equal rows
     link like any others, and one of them stays. No rows give no rows; other columns are not read.
 
-    `block` bounds the shingles that a task compares at once with those of another block.
+    A family is cut into blocks of about `block` shingles or `members` documents, whichever is less: a
+    task compares two of them at once.
     """
     buckets = tasks(df)
     chunks = chunked(df, key, text, chunk_size, lower=True).repartition(buckets, "chunk")
@@ -277,7 +288,7 @@ def near_duplicates(
     placed = sets.join(families, "node")
     sizes = (
         sets.select("node", (F.octet_length("tokens") / 8).alias("n")).join(families, "node")
-        .groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+        .groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / block, F.count(F.lit(1)) / members)).cast("int").alias("blocks"))
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = (

@@ -1,9 +1,11 @@
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from pairlab.llm import jaccard, recompression
+from pairlab.llm import jaccard, meeting, recompression
 
 from .conftest import WORDS
 
@@ -86,7 +88,7 @@ def got_classes(df, width=5, at_least=(75, 100), **options):
     return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), out
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_size": 3000, "block": 300}])
+@pytest.mark.parametrize("options", [{}, {"chunk_size": 3000, "block": 300}, {"members": 3}])
 def test_classes_of_odd_rows(odd, options):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert got_classes(odd, **options)[0] == classes(rows, 5, (75, 100))
@@ -113,3 +115,27 @@ def test_chains_of_near_copies(spark, block):
         rows.append((k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got_classes(df, width=3, block=block, chunk_size=5000)[0] == classes(rows, 3, (75, 100))
+
+
+def test_a_hot_family_takes_no_time():
+    """Thousands of near copies of one text, all of one family, in one task."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 40, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(40) < 0.06, rng.integers(0, 1 << 60, 40, dtype=np.uint64), base)) for _ in range(8000)]
+    start = time.perf_counter()
+    found = jaccard.links_within(sets, np.zeros(len(sets), int), (75, 100))
+    assert time.perf_counter() - start < 40
+    union = jaccard.Union(len(sets))
+    for a, b in found:
+        assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+        union.join(a, b)
+    known = [np.isin(base, s).sum() for s in sets]
+    close = [i for i, k in enumerate(known) if k >= 38]  # any two of them link
+    assert len({union.find(i) for i in close}) == 1 and len(close) > 4000
+
+
+def test_equal_high_halves_do_not_meet_as_one():
+    """Short keys of a bucket differ by their lower bits."""
+    keys = np.array([5 << 40 | k for k in range(1000)], np.uint64)
+    rows = list(meeting.send(1, 0, 4, keys, None, np.ones(1000), short=True))
+    assert len(rows) == 1 and len(np.unique(np.frombuffer(rows[0][3], np.uint32))) == 1000
