@@ -40,21 +40,22 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Documents without words link with nothing and all stay.
     """
     known = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    marked = docs.withColumn("known as", known)
-    judged = jaccard.near_duplicates(marked, "known as", "text", width=5, at_least=(75, 100))
-    gone = judged.groupBy("known as").agg(
+    carried = docs.select(F.struct(*docs.columns).alias("row"), known.alias("known"), "text")
+    judged = jaccard.near_duplicates(carried, "known", "text", width=5, at_least=(75, 100))
+    gone = judged.groupBy("known").agg(
         F.max(F.col("stays").cast("int")).alias("stays"), F.max("n_shingles").alias("n")
     )
-    stay = gone.filter("stays = 1").select(F.col("known as").alias("own"), (F.col("n") > 0).alias("worded"))
-    kept = marked.join(stay, F.col("known as").eqNullSafe(F.col("own")))
-    worded = kept.filter("worded").dropDuplicates(["known as"])
-    return worded.unionByName(kept.filter("not worded")).select(*docs.columns)
+    stay = gone.filter("stays = 1").select(F.col("known").alias("own"), (F.col("n") > 0).alias("worded"))
+    kept = carried.join(stay, F.col("known").eqNullSafe(F.col("own"))).select("row", "known", "worded")
+    worded = kept.filter("worded").dropDuplicates(["known"])
+    return worded.unionByName(kept.filter("not worded")).select("row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated 35-word windows; what is left is joined by one space.
 
-    n_chars follows the new text. A document that loses all its words stays, with an empty text.
+    n_chars follows the new text. A document that loses all its words stays, with an empty text; null
+    and empty texts stay as empty ones.
     """
     others = [c for c in docs.columns if c != "text"]
     carried = docs.select(F.struct(*others).alias("row"), "text")
@@ -65,7 +66,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All pieces of all documents, placed in sequences of 4096 tokens."""
+    """All pieces of all documents, placed in sequences of 4096 tokens. Null and empty texts are an end id alone."""
     return packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
