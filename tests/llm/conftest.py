@@ -14,6 +14,8 @@ SCHEMA = T.StructType([
     # Names that operators use inside, or return.
     T.StructField("key", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("part", T.StringType()),
     T.StructField("shard", T.StringType()), T.StructField("row", T.StringType()), T.StructField("node", T.StringType()),
+    T.StructField("own", T.StringType()), T.StructField("worded", T.StringType()), T.StructField("known as", T.StringType()),
+    T.StructField("known", T.StringType()),
     T.StructField("tie", T.StringType()), T.StructField("n_words", T.StringType()), T.StructField("score", T.StringType()),
 ])
 
@@ -36,7 +38,7 @@ def odd_rows() -> list[tuple]:
     rows += [(9, texts[9]), (13, texts[13]), (None, texts[9]), (None, None), (None, say(50)), (50, texts[9]), (50, say(40))]
     return [
         (i, t, None if k % 7 == 0 else "xy"[k % 2], None if k % 3 == 0 else "s", None if t is None else len(t),
-         "k", k, None, "x", None, "n", None, "w", "z")
+         "k", k, None, "x", None, "n", "o", None, "a", "b", None, "w", "z")
         for k, (i, t) in enumerate(rows)
     ]
 
