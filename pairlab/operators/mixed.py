@@ -2,30 +2,25 @@
 
 Spark computes sums per group level; the driver solves systems whose size is the number
 of coefficients. The linear model follows Henderson's mixed model equations, the
-logistic one Breslow and Clayton's Laplace approximation with its exact gradient.
+logistic one Breslow and Clayton's Laplace approximation with its exact gradient (`laplace`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlab.operators import laplace
 from pairlab.operators.design import Factor, Term, design
 from pairlab.operators.members import levels_of
-from pairlab.operators.regression import (
-    Fit, estimable, fit_glm_rows, gram, model_rows, term_inputs, term_test,
-)
-from pairlab.operators.spread import ROWS, attach, null_safe_join, per_key, small_table
+from pairlab.operators.regression import Fit, estimable, gram, independent, model_rows, term_inputs, term_test
+from pairlab.operators.spread import ROWS
 from pairlab.session import cut_lineage
 
-# Group levels whose random effects the driver may hold; beyond it they stay a table.
-FEW_GROUPS = 2_000
-
 # Levels of the second, small factor of a linear model: the driver solves a system this wide.
 FEW_SECOND = 500
 
@@ -232,156 +227,16 @@ def observer_effect(
 # --- logistic -------------------------------------------------------------------------
 
 
-class _Laplace:
-    """Laplace log-likelihood and gradient of many parameter vectors in shared passes.
-
-    A configuration is (b0..bp, sigma). Each pass attaches the current random effects
-    to the rows, sums per (group, configuration) and moves every effect one Newton step.
-    Parameters travel as data, so every pass runs the same compiled plan.
-    """
-
-    def __init__(self, frame: DataFrame, width: int):
-        self.frame = frame
-        self.spark = frame.sparkSession
-        self.width = width
-        self.names = [*[f"b{i}" for i in range(width + 1)], "sigma"]
-        self.stats = per_key(frame, ["_g"])
-        local = small_table(self.stats, FEW_GROUPS)
-        self.local = None if local is None else local.select("_g").toPandas()["_g"]
-        self.passes = 0
-        self.settled = True  # whether the last search for random effects came to its end
-
-    def _sums(self, rows: DataFrame) -> DataFrame:
-        """`rows`: model frame with cfg, ui, b0.., sigma on every row."""
-        self.passes += 1
-        xs = [f"x{i}" for i in range(self.width)]
-        linear = " + ".join(["b0", "sigma * ui", *[f"b{i + 1} * {x}" for i, x in enumerate(xs)]])
-        keep = ["_g", "cfg", "ui", "sigma", "w", "y", *xs]
-        rows = rows.selectExpr(*keep, f"{linear} AS eta")
-        rows = rows.selectExpr(*keep, "eta", "1 / (1 + exp(-eta)) AS p")
-        rows = rows.selectExpr(
-            "_g", "cfg", "ui", "sigma", *xs,
-            "y - w * p AS r", "w * p * (1 - p) AS v", "w * p * (1 - p) * (1 - 2 * p) AS d",
-            "y * eta - w * (greatest(eta, 0D) + log1p(exp(-abs(eta)))) AS ll",
-        )
-        sums = [f"sum({c}) AS {c}" for c in ("ll", "r", "v", "d")]
-        sums += [f"sum({c} * {x}) AS {c}{i}" for i, x in enumerate(xs) for c in "rvd"]
-        sums += ["first(ui) AS ui", "first(sigma) AS sigma", f"count(1) AS {ROWS}"]
-        return rows.groupBy("_g", "cfg").agg(*[F.expr(t) for t in sums])
-
-    def evaluate(self, configs: np.ndarray, effects=None, tol: float = 1e-7):
-        """(log-likelihoods, gradients, random effects of the first configuration).
-
-        `effects` starts the search for the random effects: the third value of an
-        earlier call, or None for zeros.
-        """
-        configs = np.atleast_2d(configs)
-        if self.local is not None:
-            return self._evaluate_local(configs, effects, tol)
-        return self._evaluate_table(configs, effects, tol)
-
-    def _evaluate_local(self, configs, effects, tol):
-        count = len(configs)
-        state = pd.DataFrame({"_g": np.repeat(self.local.to_numpy(), count)})
-        state["cfg"] = np.tile(np.arange(count, dtype="int32"), len(self.local))
-        start = np.zeros(len(self.local) * count)
-        if effects is not None:
-            # first-order guess: the effects of the known point moved along their derivatives
-            near = effects.loc[self.local]
-            moved = near[self.names].to_numpy() @ (configs - effects.attrs["at"]).T
-            start = (near["u"].to_numpy()[:, None] + moved).ravel()
-        state["ui"] = start
-        for j, name in enumerate(self.names):
-            state[name] = configs[state["cfg"], j]
-        for _ in range(60):
-            table = self.spark.createDataFrame(state)
-            got = self._sums(null_safe_join(self.frame, F.broadcast(table), ["_g"], "inner")).toPandas()
-            sigma = got["sigma"].to_numpy()
-            step = (sigma * got["r"] - got["ui"]) / (1.0 + sigma**2 * got["v"])
-            self.settled = bool(np.abs(step).max() < tol)
-            if self.settled:
-                break
-            moved = got[["_g", "cfg"]].assign(ui=got["ui"] + np.clip(step, -2.0, 2.0))
-            state = state.drop(columns="ui").merge(moved, on=["_g", "cfg"])
-        value, slope, shifts = _laplace_sums(got, self.width)
-        summed = pd.DataFrame(np.column_stack([value, slope])).groupby(got["cfg"].to_numpy()).sum()
-        first = (got["cfg"] == 0).to_numpy()
-        known = pd.DataFrame(shifts[first], columns=self.names, index=got["_g"][first])
-        known["u"] = got["ui"].to_numpy()[first]
-        known.attrs["at"] = configs[0]
-        return summed.to_numpy()[:, 0], summed.to_numpy()[:, 1:], known
-
-    def _evaluate_table(self, configs, effects, tol):
-        table = self.spark.createDataFrame(
-            pd.DataFrame(configs, columns=self.names).assign(
-                cfg=np.arange(len(configs), dtype="int32")
-            )
-        )
-        first = F.lit(0.0) if effects is None else F.col("u")[0]
-        base = self.stats if effects is None else effects
-        state = base.withColumn("u", F.array_repeat(first, len(configs)))
-        for _ in range(60):
-            rows = attach(self.frame, state, ["_g"])
-            rows = rows.select("*", F.posexplode("u").alias("cfg", "ui")).drop("u")
-            sums = cut_lineage(self._sums(rows.join(F.broadcast(table), "cfg")))
-            step = F.expr("(sigma * r - ui) / (1 + sigma * sigma * v)")
-            largest = sums.agg(F.max(F.abs(step))).first()[0]
-            moved = sums.withColumn("next", F.col("ui") + F.greatest(F.least(step, F.lit(2.0)), F.lit(-2.0)))
-            # one entry per configuration, so the list is short whatever the group holds
-            entries = F.array_sort(F.collect_list(F.struct("cfg", "next")))
-            state = moved.groupBy("_g").agg(
-                F.max(ROWS).alias(ROWS), F.transform(entries, lambda e: e["next"]).alias("u")
-            )
-            self.settled = largest < tol
-            if self.settled:
-                break
-        width = self.width
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                value, slope, _ = _laplace_sums(batch, width)
-                yield pd.DataFrame({
-                    "cfg": np.repeat(batch["cfg"].to_numpy(), width + 3),
-                    "cell": np.tile(np.arange(width + 3), len(batch)),
-                    "value": np.column_stack([value, slope]).ravel(),
-                }).groupby(["cfg", "cell"], as_index=False)["value"].sum()
-
-        cells = (
-            sums.mapInPandas(partial, "cfg int, cell int, value double")
-            .groupBy("cfg", "cell").agg(F.sum("value").alias("value")).collect()
-        )
-        out = np.zeros((len(configs), width + 3))
-        for row in cells:
-            out[row.cfg, row.cell] = row.value
-        return out[:, 0], out[:, 1:], state
-
-
-def _laplace_sums(sums: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per group and configuration: Laplace log-likelihood, its gradient (b0..bp, sigma) and
-    the derivatives of the group's effect."""
-    u, s = sums["ui"].to_numpy(), sums["sigma"].to_numpy()
-    ll, r, v, d = (sums[c].to_numpy() for c in ("ll", "r", "v", "d"))
-    curve = 1.0 + s**2 * v
-    value = ll - 0.5 * u**2 - 0.5 * np.log(curve)
-    slopes, shifts = [], []
-    for j in range(-1, width):
-        rx, vx, dx = (r, v, d) if j < 0 else (sums[f"{c}{j}"].to_numpy() for c in "rvd")
-        shifts.append(-s * vx / curve)
-        slopes.append(rx - 0.5 * (s**2 * dx + s**3 * d * shifts[-1]) / curve)
-    shifts.append((r - s * u * v) / curve)
-    slopes.append(u * r - 0.5 * (2 * s * v + s**2 * d * (u + s * shifts[-1])) / curve)
-    return value, np.column_stack(slopes), np.column_stack(shifts)
-
-
 def fit_glmm(
     df: DataFrame, y: str, terms: Sequence[Term], group: str, max_rounds: int = 40
 ) -> Fit:
     """Logistic model with a random intercept per `group`, fitted by Laplace approximation.
 
-    Newton steps on (coefficients, random sd); the Hessian comes from differences of the
-    exact gradient, all shifted vectors sharing the same passes. Discrete models are
-    first reduced to one row per group and covariate pattern. Aliased terms are left out. A fit
-    that does not converge within `max_rounds` says so in its status and has no estimates.
+    Newton steps on (coefficients, random sd), each one pass over blocks of whole groups, whatever
+    the number of groups (see `laplace`). Discrete models are first reduced to one row per group and
+    covariate pattern. Aliased terms are left out; without terms there is an intercept alone. A fit
+    that does not converge within `max_rounds` says so in its status and has no estimates. A random sd at
+    its bound of 0 is told by `boundary` in the statistics.
     """
     with model_rows(df, y, group, *term_inputs(terms)) as rows:
         return _fit_glmm(rows, y, terms, group, max_rounds)
@@ -390,92 +245,54 @@ def fit_glmm(
 def _fit_glmm(
     rows: DataFrame, y: str, terms: Sequence[Term], group: str, max_rounds: int
 ) -> Fit:
-    start = fit_glm_rows(rows, y, terms, "binomial")
-    d = start.design
-    if start.status != "ok":
-        return replace(start, group=group)
+    d, aliased = estimable(rows, design(rows, terms))
+    p, xs = d.width + 1, [f"x{i}" for i in range(d.width)]
     frame = d.select(rows, F.col(group).alias("_g"), F.col(y).cast("double").alias("y"))
-    xs = [f"x{i}" for i in range(d.width)]
     if d.discrete:
-        frame = frame.groupBy("_g", *xs).agg(
-            F.sum("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w")
-        )
+        frame = frame.groupBy("_g", *xs).agg(F.sum("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
     else:
         frame = frame.withColumn("w", F.lit(1.0))
-    scale = np.append(np.maximum(start.se(), 1e-8), 0.1)
-    if d.discrete:
-        frame = frame.persist()
+    frame = frame.persist()
     try:
-        model = _Laplace(frame, d.width)
-        at = np.append(start.beta, 0.5)
-        value, slope, effects = model.evaluate(at)
-        value, slope = value[0], slope[0]
-        curvature = -_hessian(model, at, scale, effects) * np.outer(scale, scale)
-        converged = False
-        for round_ in range(max_rounds):
-            values, vectors = np.linalg.eigh(curvature)
-            floor = np.maximum(np.abs(values), 1e-6 * np.abs(values).max())
-            step = scale * (vectors @ ((vectors.T @ (slope * scale)) / floor))
-            if np.abs(step / scale).max() < 1e-4:
-                at, converged = at + step, True
-                break
-            candidates = np.array([at + step * f for f in (1.0, 0.5, 0.1, 0.01)])
-            values_at, slopes_at, near = model.evaluate(candidates, effects)
-            k = int(np.argmax(values_at))
-            if values_at[k] > value:
-                moved, turned = (candidates[k] - at) / scale, (slope - slopes_at[k]) * scale
-                at, value, slope = candidates[k], values_at[k], slopes_at[k]
-                if k == 0:
-                    effects = near
-                curvature = _updated(curvature, moved, turned)
-            elif np.abs(slope * scale).max() < 1e-4:
-                converged = True
-                break
-            else:  # a poor curvature: measure it again before giving up
-                curvature = -_hessian(model, at, scale, effects) * np.outer(scale, scale)
-        at[-1] = abs(at[-1])
-        value, _, effects = model.evaluate(at, effects)
-        value = value[0]
-        if not converged or not model.settled:
-            return replace(start, group=group, status="not converged", stats=start.stats | {"rounds": round_ + 1})
-        cov = np.linalg.inv(-_hessian(model, at, scale, effects))
-        n = frame.agg(F.sum("w")).first()[0]
-        if isinstance(effects, pd.DataFrame):
-            effects = rows.sparkSession.createDataFrame(
-                pd.DataFrame({group: effects.index, "_u": effects["u"].to_numpy()})
-            )
-        else:
-            effects = effects.select(F.col("_g").alias(group), F.col("u")[0].alias("_u"))
-        passes = model.passes
+        moments = [F.sum(F.col("w") * F.col(x)) for x in xs] + [F.sum(F.col("w") * F.col(x) * F.col(x)) for x in xs]
+        n, ones, *sums = frame.agg(F.sum("w"), F.sum("y"), *moments).first()
+
+        def failed(status: str, **stats: float) -> Fit:
+            nothing = np.full((p, p), np.nan)
+            return Fit("binomial", y, d, nothing[0], nothing, {"n": n or 0.0, "parameters": p + 1} | stats,
+                       group=group, aliased=aliased, status=status)
+
+        if not n:
+            return failed("too few rows")
+        if ones == 0 or ones == n:
+            return failed("no variation")
+        # columns about their means in units of their spread: one step fits all
+        mean = np.array(sums[: p - 1], float) / n
+        spread = np.sqrt(np.maximum(np.array(sums[p - 1 :], float) / n - mean**2, 0.0))
+        spread[spread == 0] = 1.0
+        level = [((F.col(x) - F.lit(float(m))) / F.lit(float(s))).alias(x) for x, m, s in zip(xs, mean, spread)]
+        blocks = laplace.Blocks(frame.select("_g", "y", "w", *level), d.width)
     finally:
         frame.unpersist()
-    parameters = len(at)
+    share = ones / n
+    start = np.array([np.log(share / (1 - share)), *np.zeros(p - 1), 0.5])
+    scale = np.full(p + 1, 1.0 / np.sqrt(n * share * (1 - share)))
+    scale[-1] = max(scale[-1], 0.1 / np.sqrt(blocks.groups))
+    at, value, bend, converged, rounds = laplace.maximise(blocks, start, scale, max_rounds)
+    information = -bend[:p, :p]
+    if not converged or not blocks.settled or len(independent(information, 1e-7)) < p:
+        return failed("not converged", rounds=rounds)
+    at[-1] = abs(at[-1])
+    boundary = bool(at[-1] < 1e-3)
+    curve = information if boundary else -bend  # at the bound the sd says nothing about the coefficients
+    back = np.eye(p)
+    back[1:, 1:] = np.diag(1.0 / spread)
+    back[0, 1:] = -mean / spread
+    cov = back @ np.linalg.inv(curve)[:p, :p] @ back.T
     stats = {
-        "n": n, "parameters": parameters, "log_likelihood": float(value),
-        "aic": float(-2 * value + 2 * parameters), "group_sd": float(at[-1]),
-        "rounds": round_ + 1, "passes": passes,
+        "n": n, "parameters": p + 1, "log_likelihood": float(value), "aic": float(-2 * value + 2 * (p + 1)),
+        "group_sd": float(at[-1]), "boundary": float(boundary), "rounds": rounds, "passes": blocks.passes,
     }
-    # levels and their effects on the link scale
-    effects = effects.withColumn("_u", F.col("_u") * F.lit(float(at[-1])))
-    fit = Fit("binomial", y, d, at[:-1], cov[:-1, :-1], stats, group=group, aliased=start.aliased)
-    fit.level_effects = effects.withColumnRenamed("_u", "effect")
+    fit = Fit("binomial", y, d, back @ at[:p], cov, stats, group=group, aliased=aliased)
+    fit.level_effects = blocks.effects(at).withColumnRenamed("_g", group)
     return fit
-
-
-def _updated(curvature: np.ndarray, moved: np.ndarray, turned: np.ndarray) -> np.ndarray:
-    """BFGS update of the curvature by one observed step; skipped when it bends the wrong way."""
-    along = moved @ turned
-    if along <= 1e-10 * np.linalg.norm(moved) * np.linalg.norm(turned):
-        return curvature
-    flat = curvature @ moved
-    return curvature - np.outer(flat, flat) / (moved @ flat) + np.outer(turned, turned) / along
-
-
-def _hessian(model: _Laplace, at: np.ndarray, scale: np.ndarray, effects) -> np.ndarray:
-    width = len(at)
-    steps = 1e-3 * scale
-    shifted = np.vstack([at + s * np.eye(width)[i] for i, s in enumerate(steps)]
-                        + [at - s * np.eye(width)[i] for i, s in enumerate(steps)])
-    _, slopes, _ = model.evaluate(shifted, effects)
-    h = (slopes[:width] - slopes[width:]) / (2 * steps[:, None])
-    return (h + h.T) / 2

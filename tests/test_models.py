@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlab.functions import tails
-from pairlab.operators import charts, inference, mixed
+from pairlab.operators import charts, inference, laplace, mixed
 from pairlab.operators import regression as reg
 from pairlab.operators.design import Factor, design
 from pairlab.operators.members import level_grid, levels_of
@@ -183,7 +183,7 @@ def test_mixed_linear_without_group_effect(spark):
         assert np.allclose(fit.beta, reg.fit_lm(df, "y", ["x"]).beta)
 
 
-def laplace(beta, sigma, groups):
+def direct(beta, sigma, groups):
     """Sum over groups of the Laplace log-likelihood, modes by Newton."""
     total = 0.0
     for x, y in groups:
@@ -197,22 +197,26 @@ def laplace(beta, sigma, groups):
     return total
 
 
-@pytest.mark.parametrize("terms, few", [(["x", "k"], True), (["k"], True), (["k"], False)])
-def test_mixed_logistic_maximises_the_laplace_likelihood(sample, monkeypatch, terms, few):
+@pytest.mark.parametrize("terms, piece", [
+    (["x", "k"], None), (["k"], None), ([], None), (["x", "k"], 36), (["k"], 1), (["x"], 5),
+])
+def test_mixed_logistic_maximises_the_laplace_likelihood(sample, monkeypatch, terms, piece):
+    """Groups whole, some or all of them in pieces."""
     df, pdf = sample
-    if not few:
-        monkeypatch.setattr(mixed, "FEW_GROUPS", 3)
+    if piece:
+        monkeypatch.setattr(laplace, "piece_rows", lambda spark: piece)
+    monkeypatch.setattr(laplace, "LEAST_ROWS", 100)
     fit = mixed.fit_glmm(df, "b", terms, "g")
     columns = {"x": pdf.x, "k": pdf.k == "b"}
     x = dense(pdf, *[columns[t] for t in terms])
     groups = [(x[pdf.g == g], pdf.b[pdf.g == g].to_numpy()) for g in pdf.g.unique()]
     at = np.append(fit.beta, fit.stats["group_sd"])
-    best = laplace(at[:-1], at[-1], groups)
+    best = direct(at[:-1], at[-1], groups)
     assert fit.stats["log_likelihood"] == pytest.approx(best, abs=1e-6)
     steps = np.append(fit.se(), 0.1)
 
     def value(point):
-        return laplace(point[:-1], point[-1], groups)
+        return direct(point[:-1], point[-1], groups)
 
     width = len(at)
     eye = np.eye(width)
