@@ -43,18 +43,25 @@ def vif(df: DataFrame, cols: Sequence[str], blocks: dict[str, Sequence[str]] | N
     """
     blocks = blocks or {c: [c] for c in cols}
     order = [c for members in blocks.values() for c in members]
-    r = _corr_array(df, order)
-    log_det = lambda m: np.linalg.slogdet(m)[1]  # noqa: E731  (many dummies underflow a determinant)
-    out, start = [], 0
-    for term, members in blocks.items():
-        inside = np.zeros(len(order), dtype=bool)
-        inside[start:start + len(members)] = True
-        start += len(members)
-        value = np.exp(
-            log_det(r[np.ix_(inside, inside)]) + log_det(r[np.ix_(~inside, ~inside)]) - log_det(r)
-        )
-        out.append((term, len(members), float(value), float(value ** (0.5 / len(members)))))
-    return df.sparkSession.createDataFrame(out, "term string, df int, vif double, scaled double")
+    at = {c: i for i, c in enumerate(order)}
+    return generalised_vif(df.sparkSession, _corr_array(df, order), {t: [at[c] for c in m] for t, m in blocks.items()})
+
+
+def generalised_vif(spark, r: np.ndarray, blocks: dict[str, Sequence[int]]) -> DataFrame:
+    """det(R11) det(R22) / det(R) per block of places in a correlation matrix; NULL where the matrix is singular."""
+
+    def log_det(m: np.ndarray) -> float:  # many dummies underflow a determinant
+        sign, value = np.linalg.slogdet(m)
+        return value if sign > 0 else np.nan
+
+    out = []
+    whole = log_det(r)
+    for term, places in blocks.items():
+        inside = np.isin(np.arange(len(r)), places)
+        value = np.exp(log_det(r[np.ix_(inside, inside)]) + log_det(r[np.ix_(~inside, ~inside)]) - whole)
+        known = bool(np.isfinite(value))
+        out.append((term, len(places), float(value) if known else None, float(value ** (0.5 / len(places))) if known else None))
+    return spark.createDataFrame(out, "term string, df int, vif double, scaled double")
 
 
 class Pca:

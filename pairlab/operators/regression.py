@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -413,6 +414,26 @@ def vif_of(df: DataFrame, fit: Fit) -> DataFrame:
     return vif(frame, list(index.values()), blocks)
 
 
+def vif_of_coefficients(spark: SparkSession, fit: Fit) -> DataFrame:
+    """Variance inflation of a fit's terms from the covariance of its coefficients, as for models with random parts.
+
+    Nothing for a fit without estimates; terms that nothing tells apart have no value.
+    """
+    from pairlab.operators.inference import generalised_vif
+
+    place = {n: i for i, n in enumerate(fit.design.names)}
+    blocks = {t: [place[n] for n in members] for t, members in fit.design.blocks.items() if members}
+    spread = np.sqrt(np.diag(fit.cov)[1:])
+    r = fit.cov[1:, 1:] / np.outer(spread, spread)
+    return generalised_vif(spark, r, blocks if fit.status == "ok" else {})
+
+
+def coef_tables(spark: SparkSession, fits: Mapping[str, Fit]) -> DataFrame:
+    """The coefficient tables of several fits, with the model's name in front."""
+    tables = [coef_table(spark, fit).select(F.lit(name).alias("model"), "*") for name, fit in fits.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
 @dataclass(frozen=True)
 class Spec:
     """One single-predictor model of a batch."""

@@ -48,17 +48,48 @@ def history_rates(hist: DataFrame, kind: str, flag: str) -> DataFrame:
     return rate_by(hist, [kind, "any_prior"], flag)
 
 
-def history_models(
-    hist: DataFrame, kind: str, flag: str, period: str, priors: Sequence[int] = (0, 1, 2)
-) -> tuple[dict[str, reg.Fit], DataFrame]:
-    """Fixed-period and random-period models of the history effect, and predictions on a grid."""
-    kinds = levels_of(hist, kind)
-    fits = {
-        "fixed_period": reg.fit_glm(hist, flag, ["prior", kind, Factor(period)], "binomial"),
-        "random_period": mixed.fit_glmm(hist, flag, ["prior", kind], period),
+def history_models(hist: DataFrame, kind: str, flag: str, period: str) -> dict[str, reg.Fit]:
+    """Five models of the history effect: fixed periods, then random periods with the number of earlier
+    flagged pairs or whether there were any, with and without its product with the kind."""
+    return {
+        "m1": reg.fit_glm(hist, flag, ["prior", kind, Factor(period)], "binomial"),
+        "m2": mixed.fit_glmm(hist, flag, [("prior", kind)], period),
+        "m3": mixed.fit_glmm(hist, flag, ["prior", kind], period),
+        "m4": mixed.fit_glmm(hist, flag, ["any_prior", kind], period),
+        "m5": mixed.fit_glmm(hist, flag, [("any_prior", kind)], period),
     }
-    grid = level_grid(hist.sparkSession, {"prior": list(priors), kind: kinds})
-    return fits, reg.predict_grid(fits["random_period"], grid)
+
+
+def history_predictions(
+    hist: DataFrame, kind: str, flag: str, period: str, prior: str, values: Sequence[int]
+) -> DataFrame:
+    """Predicted share per kind and history with an interval, random period at zero."""
+    fit = mixed.fit_glmm(hist, flag, [prior, kind], period)
+    grid = level_grid(hist.sparkSession, {prior: list(values), kind: levels_of(hist, kind)})
+    return reg.marginal_predictions(fit, grid)
+
+
+def timing_models(timed: DataFrame, day: str, kind: str, flag: str, period: str) -> dict[str, reg.Fit]:
+    """Models of the centred and the scaled day, alone and with the kind, random periods."""
+    return {
+        f"{d}{label}": mixed.fit_glmm(timed, flag, [(d, kind) if label else d], period)
+        for d in (f"{day}_relative", f"z_{day}") for label in ("", ":kind")
+    }
+
+
+def level_models(pairs: DataFrame, levels: Sequence, kind: str, flag: str, period: str) -> dict[str, reg.Fit]:
+    """Models of each categorical term, alone and with the kind, random periods."""
+    name = lambda t: t.col if isinstance(t, Factor) else t
+    return {
+        f"{name(t)}{label}": mixed.fit_glmm(pairs, flag, [(t, kind) if label else t], period)
+        for t in levels for label in ("", ":kind")
+    }
+
+
+def intercept_models(df: DataFrame, flag: str, models: dict[str, Sequence], group: str) -> dict[str, reg.Fit]:
+    """Logistic models of several sets of terms on the same complete rows, random `group`."""
+    rows = cut_lineage(df.select(*dict.fromkeys([flag, group, *(c for terms in models.values() for c in reg.term_inputs(terms))])).dropna())
+    return {name: mixed.fit_glmm(rows, flag, terms, group) for name, terms in models.items()}
 
 
 def timing(pairs: DataFrame, by: Sequence[str], day: str) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pairlab.operators import charts, inference, mixed
 from pairlab.operators import groups as g
 from pairlab.operators import regression as reg
+from pairlab.operators.design import Factor
 from pairlab.operators.members import attach_scores
 from pairlab.operators.pairs import build_pairs
 from pairlab.operators.scaling import zscore
 from pairlab.operators.summary import count_by, crosstab, crosstab_share, median_of
 from pairlab.plans import analyses as plan
 from pairlab.plans.standin import (
-    PRIORITIES, SIDES, clean, paired_second_sides, pairs, with_priority,
+    PRIORITIES, SIDES, clean, measured, paired_second_sides, pairs, with_priority,
 )
 from pairlab.queries.base import CLEAN, LEVELED, PAIRS, erfc, more, query, r, rounded
 from pairlab.queries.models import (
@@ -161,8 +162,23 @@ def repeatability_individuals(spark, folder):
 
 @query("Q8_repeatability_models")
 def repeatability_models(spark, folder):
-    _, predicted = plan.history_models(_history(spark, folder), "kind_f", "mixed", "period")
-    return predicted
+    """All five models on all pairs, and again on individuals of several pairs."""
+    hist = cut_lineage(_history(spark, folder))
+    several = cut_lineage(g.keep_repeated(hist, ["ind_hist_f"]))
+    fits = plan.history_models(hist, "kind_f", "mixed", "period")
+    fits |= {f"{k}:several": f for k, f in plan.history_models(several, "kind_f", "mixed", "period").items()}
+    return reg.coef_tables(spark, fits)
+
+
+@query("Q8_repeatability_predictions")
+def repeatability_predictions(spark, folder):
+    """By the number of earlier mixed pairs: 0 to 2, and 0 or any."""
+    hist = cut_lineage(_history(spark, folder))
+    tables = [
+        plan.history_predictions(hist, "kind_f", "mixed", "period", prior, values).withColumnRenamed(prior, "value")
+        .withColumn("history", F.lit(prior)) for prior, values in (("prior", (0, 1, 2)), ("any_prior", (0, 1)))
+    ]
+    return tables[0].unionByName(tables[1])
 
 
 _DAYS = f"""
@@ -188,8 +204,12 @@ def timing_by_kind(spark, folder):
 
 @query("Q9_timing_model")
 def timing_model(spark, folder):
-    fit = mixed.fit_glmm(_timed(spark, folder, ["period", "kind_f"]), "mixed", [("z_day_f", "kind_f")], "period")
-    return reg.coef_table(spark, fit)
+    """Eight models: days about the mean of the period or of period and kind, centred or scaled, with the kind or not."""
+    fits = {}
+    for label, by in (("", ["period"]), (":by_kind", ["period", "kind_f"])):
+        rows = cut_lineage(_timed(spark, folder, by))
+        fits |= {k + label: f for k, f in plan.timing_models(rows, "day_f", "kind_f", "mixed", "period").items()}
+    return reg.coef_tables(spark, fits)
 
 
 @query("Q10_habitat_shares", LEVELED + f"""
@@ -242,9 +262,54 @@ def age_counts(spark, folder):
 
 @query("Q11_age_model")
 def age_model(spark, folder):
-    df = with_priority(pairs(spark, folder), spark, folder)
-    fit = mixed.fit_glmm(df, "mixed", ["priority"], "period")
-    return reg.coef_table(spark, fit)
+    """Four models: the level of either side, alone and with the kind."""
+    df = cut_lineage(with_priority(pairs(spark, folder), spark, folder).select("priority", "line_m", "kind_f", "mixed", "period"))
+    return reg.coef_tables(spark, plan.level_models(df, ["priority", Factor("line_m")], "kind_f", "mixed", "period"))
+
+
+_FIRST = {
+    "m1": ["size_a_m", "mass_m"], "m2": ["adj_m", "mass_m"], "m3": ["adj_m"], "m4": ["mass_m"], "m5": ["size_a_m"],
+}
+
+
+@query("Q17_first_models")
+def first_models(spark, folder):
+    """Five models of the second side's measures with a period intercept."""
+    return reg.coef_tables(spark, plan.intercept_models(pairs(spark, folder), "mixed", _FIRST, "period"))
+
+
+@query("Q17_first_models_aic")
+def first_models_aic(spark, folder):
+    """The same five, compared."""
+    fits = plan.intercept_models(pairs(spark, folder), "mixed", _FIRST, "period")
+    return reg.compare_fits(spark, {k: f for k, f in fits.items() if f.status == "ok"})
+
+
+_INDIVIDUAL = {
+    "m6": ["adj_k", "mass_k"], "m8": ["disc_k", "tax_k", "mass_k"], "m9": ["adj_k", "mass_k", "disc_k"],
+    "m10": ["adj_k", "mass_k", "priority", "disc_k"],
+}
+
+
+def _individual_models(spark, folder):
+    """Which side an observation is of, by its scaled measures, with an intercept per individual."""
+    df = with_priority(measured(spark, folder), spark, folder)
+    z = zscore(df.dropna(subset=["mass", "size_a"]), ["kind"], ["adj", "mass", "disc", "tax"])
+    z = z.withColumns({f"{c}_k": F.col(f"z_{c}") for c in ("adj", "mass", "disc", "tax")})
+    z = z.withColumn("first_side", (F.col("role") == "F").cast("int"))
+    return plan.intercept_models(z, "first_side", _INDIVIDUAL, "ind")
+
+
+@query("Q17_individual_models")
+def individual_models(spark, folder):
+    """Four models with an intercept per individual."""
+    return reg.coef_tables(spark, _individual_models(spark, folder))
+
+
+@query("Q17_individual_models_vif")
+def individual_models_vif(spark, folder):
+    """Variance inflation of the widest of them."""
+    return reg.vif_of_coefficients(spark, _individual_models(spark, folder)["m10"])
 
 
 @query("Q12_measures_by_period", PAIRS + f"""

@@ -369,6 +369,16 @@ def logistic_intercepts_continuous(spark, folder):
     return m.coef_table(spark, fit)
 
 
+@query("M10_individual_intercepts")
+def individual_intercepts(spark, folder):
+    """Continuous predictors, and an intercept for each of thousands of individuals."""
+    fit = mixed.fit_glmm(_binary(spark, folder), "large", ["disc", "tax"], "ind")
+    out = m.coef_table(spark, fit)
+    return out.union(spark.createDataFrame(
+        [("group sd", fit.stats.get("group_sd"), None, None, None, fit.status)], out.schema
+    ))
+
+
 _AIC = """
 k AS (SELECT kind_f, CAST(sum(mixed) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM pairs GROUP BY kind_f),
 p AS (SELECT period, CAST(sum(mixed) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM pairs GROUP BY period),
