@@ -305,7 +305,9 @@ def near_duplicates(
         found = np.array(links_within(sets, side, at_least), np.int64).reshape(-1, 2)
         return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
-    links = spread.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
+    # Dealt by all three: by component alone, all blocks of a family would still be one task's.
+    dealt = spread.repartition("component", "i", "j")
+    links = dealt.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
     linked = components(links)
 
     docs = sent.filter(F.col("kind") == -1).select(F.explode("docs").alias("d")).select("d.*")
