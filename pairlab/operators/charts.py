@@ -13,7 +13,7 @@ from pairlab.functions.columns import inv_logit
 from pairlab.functions.tails import normal_quantile
 from pairlab.operators.regression import Z95, fit_long
 from pairlab.operators.spread import (
-    attach, exact_quantiles, quantiles_of_counts, value_counts,
+    attach, exact_quantiles, kept, select_quantiles, settle,
 )
 from pairlab.operators.summary import share_by, share_within
 
@@ -65,22 +65,22 @@ def mirror_histogram(
 def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR and the number of points beyond them, per key.
 
-    Everything comes from the counts per value, so the rows are read once.
+    The rows are evaluated once, and passed over for the quartiles and for what lies beyond the fences.
     """
-    counts = value_counts(df, by, col).filter(F.col("_v").isNotNull())
-    quartiles = quantiles_of_counts(counts, by, [0.25, 0.5, 0.75], "_q").select(
-        *by, F.col("n").alias("_rows"), "n",
-        *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))],
-    )
-    values = attach(counts, quartiles, by, few=True)
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
-    return values.groupBy(*by).agg(
-        *[F.max(c).alias(c) for c in ("n", "q1", "median", "q3")],
-        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("n_outliers"),
-    )
+    with kept(df.select(*by, F.col(col).cast("double").alias("_v")).dropna(subset=["_v"])) as rows:
+        quartiles = select_quantiles(rows, by, [0.25, 0.5, 0.75], "_q").select(
+            *by, F.col("n").alias("_rows"), "n",
+            *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))],
+        )
+        values = attach(rows, quartiles, by, few=True)
+        reach = 1.5 * (F.col("q3") - F.col("q1"))
+        inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
+        return settle(values.groupBy(*by).agg(
+            *[F.max(c).alias(c) for c in ("n", "q1", "median", "q3")],
+            F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+            F.sum(F.when(inside, 0).otherwise(1)).alias("n_outliers"),
+        ))
 
 
 def density_table(df: DataFrame, col: str, by: Sequence[str], bins: int) -> DataFrame:

@@ -9,6 +9,7 @@ is ever opened over a key that was not first shown to be small.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -167,21 +168,15 @@ def running_fold(
     )
 
 
-def value_counts(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """Rows per (key, value) as (by..., _v, _c), evaluated once. NULL counts as a value."""
-    return cut_lineage(df.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-
-
 def quantiles_of_counts(
-    counts: DataFrame, by: Sequence[str], probs: Sequence[float], out: str
+    present: DataFrame, by: Sequence[str], probs: Sequence[float], out: str, order: Sequence[Column]
 ) -> DataFrame:
     """Interpolated quantiles (position (n-1)q) per key as an array column `out`, plus `n`.
 
-    Ranks come from a running count over the distinct values that splits large keys, so
-    no task buffers a group.
+    `present` has counts `_c` of values `_v` in `order`. Ranks come from a running count that
+    splits large keys, so no task buffers a group.
     """
-    present = counts.filter(F.col("_v").isNotNull())
-    ranked = running_fold(present, by, [F.col("_v").asc()], F.col("_c"), "_upto")
+    ranked = running_fold(present, by, order, F.col("_c"), "_upto")
     totals = present.groupBy(*by).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias(ROWS))
     if by:
         placed = attach(ranked, totals, by, few=True)
@@ -205,8 +200,61 @@ def quantiles_of_counts(
     return grouped.select(*by, "n", F.array(*values).alias(out))
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """`df` evaluated once while several passes go over it."""
+    rows = df.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def _bracketed(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """Rows per key and value `_v` near the quantiles, and per key and gap between them (`_v` NULL)."""
+    asked = [min(1.0, max(0.0, q + side * 2.0 / accuracy)) for q in sorted(probs) for side in (-1, 1)]
+    marks = per_key(rows, by, F.percentile_approx("_v", F.array(*[F.lit(q) for q in asked]), accuracy).alias("_marks"))
+    few = F.col(ROWS) <= 2 * accuracy
+    ends = [F.array(*[F.col("_marks")[2 * i + side] for i in range(len(probs))]) for side in (0, 1)]
+    marks = marks.select(*by, ROWS, *[
+        F.when(few, F.array(F.lit(bound))).otherwise(e).alias(name)
+        for e, bound, name in zip(ends, (float("-inf"), float("inf")), ("_low", "_high"))
+    ])
+    if by:
+        near = attach(rows, marks, by, few=True)
+    else:
+        only = marks.first()
+        near = rows.withColumns({c: F.array(*[F.lit(float(v)) for v in only[c]]) for c in ("_low", "_high")})
+    started = F.size(F.filter("_low", lambda m: m <= F.col("_v")))
+    ended = F.size(F.filter("_high", lambda m: m < F.col("_v")))
+    cells = near.select(*by, (started + ended).alias("_cell"), F.when(started > ended, F.col("_v")).alias("_v"))
+    return cut_lineage(cells.groupBy(*by, "_cell", "_v").agg(F.count(F.lit(1)).alias("_c")))
+
+
+def select_quantiles(
+    rows: DataFrame, by: Sequence[str], probs: Sequence[float], out: str, accuracy: int = 5_000
+) -> DataFrame:
+    """Exact interpolated quantiles of `_v` per key, NULLs ignored, as an array `out` next to `n`; evaluated.
+
+    Two passes: a mergeable sketch brackets every quantile of every key, then only the values inside
+    the brackets, about 4 / `accuracy` of a key's rows per quantile, are counted one by one; the rest is
+    counted per gap. Keys of up to 2 `accuracy` rows are counted whole. Should a bracket have missed its
+    quantile, the passes are repeated with wider ones, at last the whole range.
+    """
+    present = rows.filter(F.col("_v").isNotNull()).withColumn("_v", F.col("_v").cast("double"))
+    order = [F.col("_cell").asc(), F.col("_v").asc()]
+    if not by and present.isEmpty():
+        return present.groupBy().agg(F.count(F.lit(1)).alias("n")).select("n", F.array(*[F.lit(None).cast("double") for _ in probs]).alias(out))
+    for width in (accuracy, -(-accuracy // 50), 1):
+        found = settle(quantiles_of_counts(_bracketed(present, by, probs, width), by, probs, out, order))
+        if found.filter(F.exists(out, lambda v: v.isNull())).isEmpty():
+            break
+    return found
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float], out: str
 ) -> DataFrame:
-    """Interpolated quantiles of `col` per key, from its value counts."""
-    return quantiles_of_counts(value_counts(df, by, col), by, probs, out)
+    """Interpolated quantiles of `col` per key; `df` is evaluated once."""
+    with kept(df.select(*by, F.col(col).alias("_v"))) as rows:
+        return select_quantiles(rows, by, probs, out)

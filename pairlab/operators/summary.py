@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.operators.spread import (
-    attach, null_safe_join, per_key, quantiles_of_counts, settle, value_counts,
+    attach, kept, null_safe_join, per_key, select_quantiles, settle,
 )
 
 
@@ -58,23 +58,24 @@ def median_of(
 ) -> DataFrame:
     """Median per key and column, NULLs ignored; a key with no value at all gives NULL.
 
-    Exact medians count each (key, column, value) first and read the middle ranks, so
-    no task holds a group. `approx=True` uses a bounded sketch in one pass instead.
+    Exact medians of all keys and columns are found together, by narrowing (`select_quantiles`).
+    `approx=True` uses a bounded sketch in one pass instead.
     """
     if approx:
         return df.groupBy(*by).agg(
             *[F.percentile_approx(c, 0.5, 10_000).alias(prefix + c) for c in cols]
         )
-    long = df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in cols
-    ])).alias("_s")).select(*by, "_s.*")
     keys = [*by, "_name"]
-    counts = value_counts(long, keys, "_value")
-    middle = quantiles_of_counts(counts, keys, [0.5], "_q")
+    with kept(df.select(*by, *cols)) as rows:
+        long = rows.select(*by, F.explode(F.array(*[
+            F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in cols
+        ])).alias("_s")).select(*by, "_s.*")
+        middle = select_quantiles(long, keys, [0.5], "_q")
+        every = settle(rows.select(*by).distinct())
     wide = middle.groupBy(*by).agg(
         *[F.max(F.when(F.col("_name") == c, F.col("_q")[0])).alias(prefix + c) for c in cols]
     )
-    return null_safe_join(counts.select(*by).distinct(), wide, by, "left")
+    return null_safe_join(every, wide, by, "left")
 
 
 def all_any(df: DataFrame, by: Sequence[str], condition: Column, other: Column) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlab.operators import charts as c
+from pairlab.operators.spread import null_safe_join
 from pairlab.operators.summary import median_of
 from pairlab.plans.standin import clean, measured, pairs, with_priority
 from pairlab.queries.base import CLEAN, LEVELED, OBS, PAIRS, erfc, more, query, r, rounded
+from pairlab.session import cut_lineage
 
 _RANGE = """ends AS (SELECT min({c}) AS lo, max({c}) AS hi FROM {t} WHERE {c} IS NOT NULL)"""
 
@@ -126,10 +128,10 @@ def qq_theoretical(spark, folder):
 SELECT period, kind_f, {r('avg(day_f)')} AS mean_day, {r('median(day_f)')} AS median_day,
   {r('avg(mixed)')} AS share FROM pairs GROUP BY period, kind_f""")
 def period_series(spark, folder):
-    df = pairs(spark, folder)
+    df = cut_lineage(pairs(spark, folder).select("period", "kind_f", "day_f", "mixed"))  # means and medians start from the same pairs
     means = c.period_series(df, "period", ["kind_f"], {"mean_day": F.avg("day_f"), "share": F.avg("mixed")})
     medians = median_of(df, ["period", "kind_f"], ["day_f"]).withColumnRenamed("median_day_f", "median_day")
-    return rounded(means.join(medians, ["period", "kind_f"]), ["mean_day", "median_day", "share"])
+    return rounded(null_safe_join(means, medians, ["period", "kind_f"], "left"), ["mean_day", "median_day", "share"])
 
 
 @query("C11_count_and_share", PAIRS + f"""

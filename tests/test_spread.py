@@ -10,7 +10,7 @@ from pairlab.operators import members as m
 from pairlab.operators.inference import adjust_bh
 from pairlab.operators.scaling import prior_total
 from pairlab.operators.spread import (
-    attach, exact_quantiles, null_safe_join, per_key, running_fold, small_table,
+    _bracketed, attach, exact_quantiles, null_safe_join, per_key, running_fold, select_quantiles, small_table,
 )
 from pairlab.operators.summary import median_of
 
@@ -110,6 +110,34 @@ def test_quantiles(spark, skewed, limit):
         assert np.allclose(r.q, np.quantile(x, [0, 0.1, 0.5, 0.9, 1]))
 
 
+@pytest.mark.parametrize("by", [["k"], []])
+@pytest.mark.parametrize("accuracy", [5_000, 40, 7])
+def test_quantiles_by_narrowing(spark, by, accuracy):
+    """Sketches this coarse leave only the values near a quantile to be counted; ties, spread over many magnitudes, NULLs."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({
+        "k": rng.choice(["a", "a", "a", "b", None], 6000), "_v": np.exp(rng.normal(0, 20, 6000)) * rng.choice([-1, 1], 6000),
+    })
+    pdf.loc[::3, "_v"] = rng.integers(0, 4, 2000)
+    pdf.loc[::50, "_v"] = None
+    rows = spark.createDataFrame([(k, None if np.isnan(v) else float(v)) for k, v in pdf.itertuples(index=False)], "k string, _v double").repartition(5)
+    probs = [0.5, 0.0, 0.25, 0.26, 0.75, 0.999, 1.0]
+    bracketed = _bracketed(rows.dropna(subset=["_v"]), by, probs, accuracy)
+    if accuracy == 40:
+        assert bracketed.count() < 0.8 * pdf._v.nunique() and bracketed.filter("_v is null").count() > 0
+    got = select_quantiles(rows, by, probs, "q", accuracy).collect()
+    assert len(got) == (3 if by else 1)
+    for r in got:
+        x = pdf._v[pdf.k.isna() if r.k is None else pdf.k == r.k] if by else pdf._v
+        assert r.n == x.notna().sum() and np.allclose(r.q, np.quantile(x.dropna(), probs), rtol=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    nothing = spark.createDataFrame([], "k string, _v double")
+    assert select_quantiles(nothing, [], [0.5], "q").first()["q"] == [None]
+    assert select_quantiles(nothing, ["k"], [0.5], "q").count() == 0
+
+
 def test_median_of_an_empty_column(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, None)], "k string, x double, y double")
     row = median_of(df, ["k"], ["x", "y"]).first()
