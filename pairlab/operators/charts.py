@@ -13,7 +13,7 @@ from pairlab.functions.columns import inv_logit
 from pairlab.functions.tails import normal_quantile
 from pairlab.operators.regression import Z95, fit_long
 from pairlab.operators.spread import (
-    attach, exact_quantiles, kept, select_quantiles, settle,
+    attach_few, exact_quantiles, kept, select_quantiles, settle,
 )
 from pairlab.operators.summary import share_by, share_within
 
@@ -72,7 +72,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
             *by, F.col("n").alias("_rows"), "n",
             *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))],
         )
-        values = attach(rows, quartiles, by, few=True)
+        values = attach_few(rows, quartiles, by)
         reach = 1.5 * (F.col("q3") - F.col("q1"))
         inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
         return settle(values.groupBy(*by).agg(

@@ -7,7 +7,7 @@ logistic one Breslow and Clayton's Laplace approximation with its exact gradient
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,9 +18,12 @@ from pairlab.operators import laplace
 from pairlab.operators.design import Factor, Term, design
 from pairlab.operators.members import levels_of
 from pairlab.operators.regression import Fit, estimable, gram, independent, model_rows, term_inputs, term_test
-from pairlab.operators.spread import ROWS
+from pairlab.operators.spread import FEW_KEYS, ROWS
 from pairlab.session import cut_lineage
 
+# Range of log10 of the variance ratio; an optimum at 0 or at one of its ends is a `boundary` in the statistics.
+LEAST, MOST = -6.0, 4.0
+
 # Levels of the second, small factor of a linear model: the driver solves a system this wide.
 FEW_SECOND = 500
 
@@ -28,32 +31,36 @@ FEW_SECOND = 500
 # --- linear ---------------------------------------------------------------------------
 
 
-def _absorbed(groups: DataFrame, width: int, thetas: Sequence[float]) -> dict[int, tuple]:
-    """For each variance ratio: sum over groups of theta/(1+n theta) s s', and of log(1+n theta)."""
-    thetas = list(thetas)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        outer = np.zeros((len(thetas), width, width))
-        logdet = np.zeros(len(thetas))
-        for batch in batches:
-            s = batch.drop(columns=["n"]).to_numpy(dtype=float)
-            n = batch["n"].to_numpy(dtype=float)
-            for k, theta in enumerate(thetas):
-                outer[k] += s.T @ (s * (theta / (1.0 + n * theta))[:, None])
-                logdet[k] += np.log1p(n * theta).sum()
-        for k in range(len(thetas)):
-            yield pd.DataFrame({
-                "theta": k, "cell": np.arange(width * width + 1),
-                "value": np.append(outer[k].ravel(), logdet[k]),
-            })
-
-    sums = (
-        groups.mapInPandas(partial, "theta int, cell int, value double")
-        .groupBy("theta", "cell").agg(F.sum("value").alias("value")).collect()
-    )
+def _outer(batches: Iterable[pd.DataFrame], width: int, thetas: Sequence[float]) -> np.ndarray:
+    """Per variance ratio the flat sum of theta/(1+n theta) s s' over groups, and that of log(1+n theta) behind it."""
     flat = np.zeros((len(thetas), width * width + 1))
-    for row in sums:
-        flat[row.theta, row.cell] = row.value
+    for batch in batches:
+        s = batch.drop(columns=["n"]).to_numpy(dtype=float)
+        n = batch["n"].to_numpy(dtype=float)
+        for k, theta in enumerate(thetas):
+            flat[k, :-1] += (s.T @ (s * (theta / (1.0 + n * theta))[:, None])).ravel()
+            flat[k, -1] += np.log1p(n * theta).sum()
+    return flat
+
+
+def _absorbed(groups: DataFrame | pd.DataFrame, width: int, thetas: Sequence[float]) -> dict[int, tuple]:
+    """For each variance ratio: sum over groups of theta/(1+n theta) s s', and of log(1+n theta).
+
+    Sums of few groups are here already; those of many take one pass for all ratios.
+    """
+    thetas = list(thetas)
+    if isinstance(groups, pd.DataFrame):
+        flat = _outer([groups], width, thetas)
+    else:
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = _outer(batches, width, thetas)
+            for k in range(len(thetas)):
+                yield pd.DataFrame({"theta": k, "cell": np.arange(own.shape[1]), "value": own[k]})
+
+        sums = groups.mapInPandas(partial, "theta int, cell int, value double")
+        flat = np.zeros((len(thetas), width * width + 1))
+        for row in sums.groupBy("theta", "cell").agg(F.sum("value").alias("value")).collect():
+            flat[row.theta, row.cell] = row.value
     return {k: (flat[k, :-1].reshape(width, width), flat[k, -1]) for k in range(len(thetas))}
 
 
@@ -92,21 +99,39 @@ class _Reml:
             "cov": sigma2 * np.linalg.inv(m[:p, :p]), "effects2": effects,
         }
 
+    def criteria(self, absorbed: tuple, thetas2: np.ndarray) -> np.ndarray:
+        """The criterion at many second ratios: with the levels' block diagonal, each is a sum over levels."""
+        outer, logdet = absorbed
+        a, p = self.total - outer, self.p
+        roots, vectors = np.linalg.eigh(a[np.ix_(self.z, self.z)])
+        roots = np.maximum(roots, 0.0)
+        turned = vectors.T @ a[np.ix_(self.z, self.xy)]
+        weight = thetas2[:, None] / (1.0 + thetas2[:, None] * roots)
+        m = a[np.ix_(self.xy, self.xy)] - np.einsum("tq,qi,qj->tij", weight, turned, turned, optimize=True)
+        x, xy = m[:, :p, :p], m[:, :p, p]
+        beta = np.linalg.solve(x, xy[..., None])[..., 0]
+        rss = np.maximum(m[:, p, p] - (beta * xy).sum(1), 1e-300)
+        return (
+            (self.n - p) * (1 + np.log(2 * np.pi * rss / (self.n - p))) + logdet
+            + np.log1p(thetas2[:, None] * roots).sum(1) + np.linalg.slogdet(x)[1]
+        )
+
     def best_theta2(self, absorbed: tuple) -> dict:
         """Best second ratio for a fixed first one, on the driver."""
+        best = self.solve(absorbed, 0.0)
         if not self.q2:
-            return self.solve(absorbed, 0.0)
+            return best
         low, high, points = -8.0, 6.0, 29
-        best = self.solve(absorbed, 0.0)
+        found, least = 0.0, best["criterion"]
         for _ in range(14):
             grid = np.linspace(low, high, points)
-            fits = [self.solve(absorbed, 10.0 ** g) for g in grid]
-            k = int(np.argmin([f["criterion"] for f in fits]))
-            if fits[k]["criterion"] < best["criterion"]:
-                best = fits[k]
+            values = self.criteria(absorbed, 10.0**grid)
+            k = int(values.argmin())
+            if values[k] < least:
+                found, least = 10.0 ** grid[k], values[k]
             width = (high - low) / (points - 1)
             low, high, points = grid[k] - width, grid[k] + width, 9
-        return best
+        return self.solve(absorbed, found) if found else best
 
 
 def fit_lmm(
@@ -114,9 +139,9 @@ def fit_lmm(
 ) -> Fit:
     """Linear model with a random intercept per `group`, and per level of the small `group2`.
 
-    One pass sums every group level. The variance ratio of `group` is refined on a grid;
-    each round evaluates all its points in one pass over the per-level sums, whatever
-    the number of levels. P-values are Wald z.
+    One pass sums every group level. The variance ratio of `group` is refined on a grid, in six rounds; the
+    sums of up to `FEW_KEYS` levels are searched where they are, those of more take one pass over the
+    per-level sums for all points of a round. P-values are Wald z.
     """
     needed = [y, group, *term_inputs(terms), *([group2] if group2 else [])]
     with model_rows(df, *needed) as rows:
@@ -157,9 +182,11 @@ def _fit_lmm(
                     total[k, j] = total[j, k] = row[c]
         reml = _Reml(total, total[0, 0], p, q2)
         stats_only = per_group.select("n", *order)
+        few = stats_only.limit(FEW_KEYS + 1).toPandas()
+        stats_only = few if len(few) <= FEW_KEYS else stats_only
         best, best_theta, best_absorbed = None, 0.0, None
-        low, high, points = -6.0, 4.0, 21
-        for step in range(9):
+        low, high, points = LEAST, MOST, 33
+        for step in range(6):  # each narrows the search 16 times
             grid = list(10.0 ** np.linspace(low, high, points))
             thetas = [0.0, *grid] if step == 0 else grid
             absorbed = _absorbed(stats_only, width, thetas)
@@ -171,11 +198,12 @@ def _fit_lmm(
                 break
             spacing = (high - low) / (points - 1)
             middle = np.log10(best_theta)
-            low, high, points = middle - spacing, middle + spacing, 17
+            low, high = middle - spacing, middle + spacing
         sigma2 = best["sigma2"]
         stats = {
             "n": total[0, 0], "parameters": p, "reml": best["criterion"],
             "sigma": float(np.sqrt(sigma2)), "group_sd": float(np.sqrt(sigma2 * best_theta)),
+            "boundary": float(best_theta == 0.0 or not LEAST < np.log10(best_theta) < MOST),
         }
         if group2:
             stats["group2_sd"] = float(np.sqrt(sigma2 * best["theta2"]))

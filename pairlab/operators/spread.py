@@ -99,6 +99,14 @@ def attach(
     return null_safe_join(salted, copies, [*keys, _SALT], how).drop(_SALT)
 
 
+def attach_few(rows: DataFrame, settled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`attach` of a table that `settle` has returned: a small one is local already and goes straight to the rows."""
+    local = small_table(settled)
+    if local is None:
+        return attach(rows, settled, keys)
+    return null_safe_join(rows, F.broadcast(local.drop(ROWS)), keys, "inner")
+
+
 def _split_blocks(
     df: DataFrame, by: Sequence[str], order: Sequence[Column]
 ) -> tuple[DataFrame, bool]:
@@ -176,12 +184,18 @@ def quantiles_of_counts(
     `present` has counts `_c` of values `_v` in `order`. Ranks come from a running count that
     splits large keys, so no task buffers a group.
     """
-    ranked = running_fold(present, by, order, F.col("_c"), "_upto")
-    totals = present.groupBy(*by).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias(ROWS))
-    if by:
-        placed = attach(ranked, totals, by, few=True)
+    largest = per_key(present, by).agg(F.max(ROWS)).first()[0] if by else None
+    if by and (largest or 0) <= hot_rows(present.sparkSession):
+        window = Window.partitionBy(*by)
+        upto = window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        placed = present.select("*", F.sum("_c").over(upto).alias("_upto"), F.sum("_c").over(window).alias("n"))
     else:
-        placed = ranked.withColumn("n", totals.select("n").scalar())
+        ranked = running_fold(present, by, order, F.col("_c"), "_upto")
+        totals = present.groupBy(*by).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias(ROWS))
+        if by:
+            placed = attach(ranked, totals, by, few=True)
+        else:
+            placed = ranked.withColumn("n", totals.select("n").scalar())
     picks = []
     for i, q in enumerate(probs):
         low = F.floor((F.col("n") - 1) * F.lit(float(q)))
@@ -221,7 +235,7 @@ def _bracketed(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accur
         for e, bound, name in zip(ends, (float("-inf"), float("inf")), ("_low", "_high"))
     ])
     if by:
-        near = attach(rows, marks, by, few=True)
+        near = attach_few(rows, settle(marks), by)
     else:
         only = marks.first()
         near = rows.withColumns({c: F.array(*[F.lit(float(v)) for v in only[c]]) for c in ("_low", "_high")})

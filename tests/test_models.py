@@ -139,9 +139,10 @@ def reml(pdf, x, y, blocks, thetas):
     return value, beta, sigma2 * np.linalg.inv(xvx), sigma2
 
 
-@pytest.mark.parametrize("second", [None, "t"])
-def test_mixed_linear_equals_dense_algebra(sample, second):
+@pytest.mark.parametrize("second, few", [(None, 10_000), ("t", 10_000), ("t", 3)])
+def test_mixed_linear_equals_dense_algebra(sample, monkeypatch, second, few):
     df, pdf = sample
+    monkeypatch.setattr(mixed, "FEW_KEYS", few)
     fit = mixed.fit_lmm(df, "y", ["x", "k"], "g", second)
     x, y = dense(pdf, pdf.x, pdf.k == "b"), pdf.y.to_numpy()
     blocks = ["g"] if second is None else ["g", "t"]
@@ -176,6 +177,18 @@ def test_mixed_linear_residuals(sample):
     assert np.allclose(want.want, want.residual, atol=1e-6)
 
 
+def test_many_groups_in_few_jobs(spark):
+    """Thousands of groups: a fit takes one pass per Newton step, and finds what made the data."""
+    rng = np.random.default_rng(5)
+    n, groups = 30_000, 6_000
+    pdf = pd.DataFrame({"g": rng.integers(0, groups, n), "x": rng.normal(size=n), "z": rng.normal(size=n)})
+    eta = -0.4 + 0.6 * pdf.x + rng.normal(size=groups)[pdf.g] * 1.1
+    pdf["b"] = (rng.random(n) < logistic(eta)).astype(int)
+    fit = mixed.fit_glmm(spark.createDataFrame(pdf), "b", ["x", "z"], "g")
+    assert fit.status == "ok" and fit.stats["passes"] < 12 and fit.level_effects.count() == pdf.g.nunique()
+    assert np.abs((fit.beta - [-0.4, 0.6, 0.0]) / fit.se()).max() < 4 and fit.stats["group_sd"] == pytest.approx(1.1, abs=0.15)
+
+
 def test_mixed_linear_without_group_effect(spark):
     df = spark.createDataFrame([(i % 7, float((i * 37) % 11), float((i * 53) % 13)) for i in range(210)], "g int, x double, y double")
     fit = mixed.fit_lmm(df, "y", ["x"], "g")
