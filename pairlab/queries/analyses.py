@@ -119,7 +119,7 @@ def _predictor_models() -> list[tuple[reg.Spec, str]]:
     return [
         (reg.Spec(f"{kind}:{s.name}{label}", s.family, s.response, s.predictor),
          f"kind_f = '{kind}' AND {several}")
-        for s in batch_specs()
+        for s in batch_specs(("avg_mass", "avg_size", "avg_disc", "avg_adj"))
         for kind in ("A", "R")
         for label, several in (("", "true"), (":several", "n_partners > 1"))
     ]

@@ -180,23 +180,24 @@ def fit_report(spark, folder):
 PROFILE = """profile AS (
   SELECT ind_hist_f, count(*) FILTER (mixed = 0) AS n_partners, max(kind_f) AS kind_f, sum(mixed) AS n_flagged, CAST(sum(mixed) > 2 AS INTEGER) AS often,
     sum(mixed) / count(DISTINCT period) AS share_periods,
-    avg(mass_m) FILTER (mixed = 0) AS avg_mass, avg(size_a_m) FILTER (mixed = 0) AS avg_size
+    avg(mass_m) FILTER (mixed = 0) AS avg_mass, avg(size_a_m) FILTER (mixed = 0) AS avg_size,
+    avg(disc_m) FILTER (mixed = 0) AS avg_disc, avg(adj_m) FILTER (mixed = 0) AS avg_adj
   FROM pairs GROUP BY ind_hist_f HAVING count(*) FILTER (mixed = 0) > 0)"""
 
 
-def batch_specs() -> list[m.Spec]:
-    """Two responses by two predictors by family."""
+def batch_specs(predictors: tuple[str, ...] = ("avg_mass", "avg_size")) -> list[m.Spec]:
+    """Three responses by the predictors."""
     return [
         m.Spec(f"{y}~{x}", family, y, x)
         for y, family in (("often", "binomial"), ("n_flagged", "poisson"), ("share_periods", "poisson"))
-        for x in ("avg_mass", "avg_size")
+        for x in predictors
     ]
 
 
 def profiles(spark, folder):
     out = partner_profile(
         pairs(spark, folder), "ind_hist_f", "mixed",
-        {"avg_mass": "mass_m", "avg_size": "size_a_m"}, constants=["kind_f"], period="period",
+        {"avg_mass": "mass_m", "avg_size": "size_a_m", "avg_disc": "disc_m", "avg_adj": "adj_m"}, constants=["kind_f"], period="period",
     )
     return out.withColumn("often", (F.col("n_flagged") > 2).cast("int"))
 
