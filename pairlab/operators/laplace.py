@@ -260,6 +260,6 @@ def maximise(blocks: Blocks, start: np.ndarray, scale: np.ndarray, rounds: int)
         value, slope, bend = better
         if done:
             return at, value, bend, True, turn
-        if not np.isfinite(value):
+        if not np.isfinite(value) or value > -1e-3:  # a perfect fit: coefficients run off to infinity
             break
     return at, value, bend, False, turn

@@ -88,7 +88,7 @@ def compare_fits(spark: SparkSession, fits: Mapping[str, Fit]) -> DataFrame:
         raise ValueError(f"no AIC for {', '.join(without)}")
     if len({f.stats["n"] for f in fits.values()}) > 1:
         raise ValueError("models fitted to different rows cannot be compared by AIC")
-    best = min(f.stats["aic"] for f in fits.values())
+    best = min((f.stats["aic"] for f in fits.values()), default=0.0)
     rows = [
         (m, int(f.stats["parameters"]), float(f.stats["aic"]), float(f.stats["aic"] - best))
         for m, f in fits.items()
