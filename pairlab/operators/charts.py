@@ -7,7 +7,6 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairlab.functions.columns import inv_logit
 from pairlab.functions.tails import normal_quantile
@@ -109,33 +108,22 @@ def line_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 def logistic_curve(df: DataFrame, x: str, y: str, by: str, steps: int = 80) -> DataFrame:
     """Logistic fit per level of `by` on an even grid over that level's range, with a 95 % band.
 
-    All levels are fitted in shared passes. A level without a fit (no variation, or no convergence)
+    All levels, however many, are fitted in shared passes. A level without a fit (no variation, or no convergence)
     has a grid without predictions.
     """
-    spark = df.sparkSession
     long = df.dropna(subset=[x, y, by]).select(
         F.col(by).alias("spec"), F.lit("binomial").alias("family"),
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
-    ).persist()
-    try:
-        state, lost, _ = fit_long(long)
-        ends = long.groupBy("spec").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    finally:
-        long.unpersist()
-    rows = []
-    for level, low, high in ends:
-        st = state.get(level) if level not in lost else None
-        known = [None] * 7 if st is None else [st["m"], st["s"], *st["b"], *st["cov"][[0, 0, 1], [0, 1, 1]]]
-        rows.append((level, low, high, *[None if v is None else float(v) for v in known]))
-    fitted = spark.createDataFrame(rows, T.StructType([
-        T.StructField(by, df.schema[by].dataType),
-        *(T.StructField(c, T.DoubleType()) for c in ("_lo", "_hi", "_m", "_s", "_a", "_b", "_va", "_vab", "_vb")),
-    ]))
+    )
+    with kept(long) as rows:
+        state = fit_long(rows)
+    names = {"lo": "_lo", "hi": "_hi", "m": "_m", "s": "_s", "b0": "_a", "b1": "_b", "v00": "_va", "v01": "_vab", "v11": "_vb"}
+    fitted = state.select(F.col("spec").alias(by), *[F.col(c).alias(n) for c, n in names.items()])
     place = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
     grid = fitted.withColumn("_k", place).withColumn(
         x, F.col("_lo") + F.col("_k") * (F.col("_hi") - F.col("_lo")) / F.lit(steps - 1)
     )
-    z = (F.col(x) - F.col("_m")) / F.col("_s")
+    z = (F.col(x) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))
     eta = F.col("_a") + F.col("_b") * z
     se = F.sqrt(F.greatest(F.col("_va") + 2 * F.col("_vab") * z + F.col("_vb") * z * z, F.lit(0.0)))
     half = F.lit(Z95) * se

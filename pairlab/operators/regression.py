@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.functions.columns import inv_logit
-from pairlab.functions.tails import chi2_tail, normal_two_sided, student_two_sided
+from pairlab.functions.tails import chi2_tail, normal_p, normal_two_sided, student_two_sided
 from pairlab.operators.design import Design, Factor, Term, design
-from pairlab.operators.spread import attach
+from pairlab.operators.spread import ROWS, attach, kept, per_key
+from pairlab.session import cut_lineage
 
 Z95 = 1.959963984540054
 # Cross-products of up to this many columns (78 sums) stay in generated code.
@@ -446,7 +447,7 @@ class Spec:
 
 
 def fit_glm_grid(df: DataFrame, specs: Sequence[Spec], rounds: int = 50, tol: float = 1e-10) -> DataFrame:
-    """Many single-predictor fits at once: every round is one pass with one row of sums per model.
+    """Many single-predictor fits at once, in passes that they share.
 
     Returns (model, term, estimate, se, statistic, p_value, n, deviance, status), two rows for every
     model. Where the predictor or the response does not vary (`no variation`), or the steps do
@@ -470,96 +471,121 @@ def fit_glm_grid(df: DataFrame, specs: Sequence[Spec], rounds: int = 50, tol: fl
         )
         for i, s in enumerate(specs)
     ]
-    # one copy of a row per model it takes part in, made and summed within each pass
+    # one copy of a row per model it takes part in
     long = rows.select(F.explode(F.array(*cells)).alias("_m")).filter("_m is not null").select("_m.*")
     try:
-        state, lost, sizes = fit_long(long, rounds, tol)
+        state = fit_long(long, rounds, tol)
     finally:
         rows.unpersist()
-    out = []
-    for key, spec in enumerate(specs):
-        if key not in state or key in lost:
-            status = "not converged" if key in lost else "no variation"
-            out += [(spec.name, term, None, None, None, None, int(sizes.get(key, 0)), None, status)
-                    for term in ("(Intercept)", spec.predictor)]
-            continue
-        st = state[key]
-        # back from the standardised predictor
-        back = np.array([[1.0, -st["m"] / st["s"]], [0.0, 1.0 / st["s"]]])
-        b, cov = back @ st["b"], back @ st["cov"] @ back.T
-        for i, term in enumerate(("(Intercept)", specs[key].predictor)):
-            se = float(np.sqrt(cov[i, i]))
-            z = float(b[i] / se)
-            out.append((specs[key].name, term, float(b[i]), se, z, normal_two_sided(z),
-                        int(st["n"]), float(st["deviance"]), "ok"))
-    return spark.createDataFrame(
-        out, "model string, term string, estimate double, se double, statistic double, "
-        "p_value double, n long, deviance double, status string",
+    named = spark.createDataFrame(
+        [(i, s.name, s.predictor) for i, s in enumerate(specs)], "spec int, model string, predictor string"
+    )
+    # back from the standardised predictor
+    size = F.when(F.col("s") > 0, F.col("s"))
+    shift = F.col("m") / size
+    both = F.array(
+        F.struct(
+            F.lit("(Intercept)").alias("term"), (F.col("b0") - shift * F.col("b1")).alias("estimate"),
+            F.sqrt(F.col("v00") - 2 * shift * F.col("v01") + shift * shift * F.col("v11")).alias("se"),
+        ),
+        F.struct(
+            F.col("predictor").alias("term"), (F.col("b1") / size).alias("estimate"), (F.sqrt("v11") / size).alias("se"),
+        ),
     )
+    out = named.join(state, "spec", "left").select(
+        "model", F.explode(both).alias("_t"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "deviance",
+        F.coalesce("status", F.lit("no variation")).alias("status"),
+    ).select("model", "_t.*", "n", "deviance", "status").withColumn("statistic", F.col("estimate") / F.col("se"))
+    return out.select(
+        "model", "term", "estimate", "se", "statistic", normal_p(F.col("statistic")).alias("p_value"), "n", "deviance", "status"
+    )
+
+
+#: Rows of one model that a task holds when a batch is fitted.
+PIECE_ROWS = 500_000
 
 
-def fit_long(long: DataFrame, rounds: int = 50, tol: float = 1e-10) -> tuple[dict, set, dict]:
-    """One-predictor fits of all models of a long table (spec, family, x, y), a row of sums per model and pass.
+def fit_long(long: DataFrame, rounds: int = 50, tol: float = 1e-10) -> DataFrame:
+    """One-predictor fits of all models of a long table (spec, family, x, y); any number of models.
 
-    Returns the states by spec (`n`, mean `m` and deviation `s` of the predictor, estimates `b` and
-    covariance `cov` for the standardised predictor, `deviance`), the specs that did not converge, and
-    the rows of every spec. Models without variation in predictor or response have no state.
+    Returns a written table with a row per spec: `n`, mean `m` and deviation `s` of the predictor, its ends `lo` and
+    `hi`, estimates `b0`, `b1` and covariance `v00`, `v01`, `v11` for the standardised predictor, `deviance`, `status`.
+    Models without variation in predictor or response, or without convergence, have no estimates.
+
+    Rows are dealt once by model, large models in pieces; a pass joins the models' state to them where they are, and
+    takes a step of all unfinished models in column expressions. Only whether any is left comes to the driver.
     """
-    spark = long.sparkSession
-    start = long.groupBy("spec").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.avg("x").alias("mx"),
-        F.stddev_samp("x").alias("sx"), F.first("family").alias("family"),
-    ).collect()
-    state, sizes = {}, {row.spec: row.n for row in start}
-    for row in start:
-        binomial = row.family == "binomial"
-        # a constant predictor has no slope, a constant response an infinite estimate
-        if not row.sx or row.sx != row.sx or row.my <= 0 or (binomial and row.my >= 1):
-            continue
-        link = np.log(row.my / (1 - row.my)) if binomial else np.log(row.my)
-        state[row.spec] = {"n": row.n, "m": row.mx, "s": row.sx, "b": np.array([link, 0.0])}
-    live, lost = set(state), set()
-    for _ in range(rounds):
-        if not live:
-            break
-        for key, sums in _irls_pass(spark, long, state, live).items():
-            info = np.array([[sums.w0, sums.w1], [sums.w1, sums.w2]], dtype=float)
-            if not np.isfinite(info).all() or len(independent(info)) < 2:
-                live.discard(key)
-                lost.add(key)
-                continue
-            step = np.linalg.solve(info, np.array([sums.g0, sums.g1]))
-            state[key].update(cov=np.linalg.inv(info), deviance=sums.deviance)
-            state[key]["b"] = state[key]["b"] + step
-            if np.abs(step).max() < tol:
-                live.discard(key)
-    return state, lost | live, sizes
-
-
-def _irls_pass(spark: SparkSession, long: DataFrame, state: dict, live: set) -> dict:
-    """Score, information and deviance sums of every unfinished model."""
-    params = spark.createDataFrame(
-        [(k, float(v["m"]), float(v["s"]), float(v["b"][0]), float(v["b"][1]))
-         for k, v in state.items() if k in live],
-        T.StructType([long.schema["spec"], *(T.StructField(c, T.DoubleType()) for c in ("m", "s", "b0", "b1"))]),
-    )
-    z = (F.col("x") - F.col("m")) / F.col("s")
+    binomial = F.col("family") == "binomial"
+    varies = (F.col("s") > 0) & ~F.isnan("s") & (F.col("my") > 0) & ~(binomial & (F.col("my") >= 1))
+    inner = F.when(binomial, F.col("my") / F.when(F.col("my") < 1, 1 - F.col("my"))).otherwise(F.col("my"))
+    null = F.lit(None).cast("double")
+    state = cut_lineage(per_key(
+        long, ["spec"], F.first("family").alias("family"), F.avg("y").alias("my"), F.avg("x").alias("m"),
+        F.stddev_samp("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+    ).select(
+        "spec", F.col(ROWS).alias("n"), "m", "s", "lo", "hi", F.when(varies, F.log(inner)).alias("b0"),
+        F.when(varies, F.lit(0.0)).alias("b1"), *[null.alias(c) for c in ("v00", "v01", "v11", "deviance")],
+        F.when(varies, F.lit("open")).otherwise(F.lit("no variation")).alias("status"),
+    ))
+    pieces = F.ceil(F.col("n") / PIECE_ROWS).cast("int")
+    tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = state.filter("status = 'open'").select("spec", "m", "s", F.col("n").alias(ROWS))
+    dealt = attach(long, sizes, ["spec"]).select("spec", "family", ((F.col("x") - F.col("m")) / F.col("s")).alias("z"), "y")
+    large = state.filter(F.col("n") > PIECE_ROWS).select("spec", pieces.alias("_parts"))  # at most rows / PIECE_ROWS models
+    piece = F.pmod(F.xxhash64("z", "y") + F.spark_partition_id(), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = dealt.join(F.broadcast(large), "spec", "left").withColumn("_piece", piece).drop("_parts")
+    with kept(dealt.repartition(tasks, "spec", "_piece")) as rows:
+        for _ in range(rounds):
+            open_ = state.filter("status = 'open'")
+            if open_.isEmpty():
+                break
+            copies = open_.select("spec", "b0", "b1", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_piece"))
+            state = cut_lineage(_step(state, _irls_sums(rows, copies), tol))
+    lost = F.col("status") == "open"
+    return state.withColumns({
+        **{c: F.when(F.col("status") == "ok", F.col(c)) for c in ("b0", "b1", "v00", "v01", "v11", "deviance")},
+        "status": F.when(lost, F.lit("not converged")).otherwise(F.col("status")),
+    })
+
+
+def _irls_sums(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """Score, information and deviance sums of every unfinished model; per piece first, where the rows are."""
     eta = F.col("b0") + F.col("b1") * F.col("z")
     binomial = F.col("family") == "binomial"
     y, mu = F.col("y"), F.col("mu")
-    log_y = F.when(y > 0, y * F.log(F.when(y > 0, y) / mu)).otherwise(0.0)
-    log_n = F.when(y < 1, (1 - y) * F.log(F.when(y < 1, 1 - y) / (1 - mu))).otherwise(0.0)
-    sums = (
-        long.join(F.broadcast(params), "spec")
-        .withColumn("z", z)
+    log_y = F.when(y > 0, y * (F.log(F.when(y > 0, y)) - F.log(mu))).otherwise(0.0)
+    log_n = F.when(y < 1, (1 - y) * (F.log(F.when(y < 1, 1 - y)) - F.log(1 - mu))).otherwise(0.0)
+    names = ("w0", "w1", "w2", "g0", "g1", "dev")
+    parts = (
+        rows.join(copies, ["spec", "_piece"])
         .withColumn("mu", F.when(binomial, inv_logit(eta)).otherwise(F.exp(eta)))
         .withColumn("w", F.when(binomial, mu * (1 - mu)).otherwise(mu))
         .withColumn("dev", F.when(binomial, log_y + log_n).otherwise(log_y - (y - mu)))
-        .groupBy("spec")
+        .groupBy("spec", "_piece")
         .agg(
-            F.sum("w").alias("w0"), F.sum(F.expr("w * z")).alias("w1"),
-            F.sum(F.expr("w * z * z")).alias("w2"), F.sum(y - mu).alias("g0"),
-            F.sum((y - mu) * F.col("z")).alias("g1"), (2 * F.sum("dev")).alias("deviance"),
+            F.sum("w").alias("w0"), F.sum(F.expr("w * z")).alias("w1"), F.sum(F.expr("w * z * z")).alias("w2"),
+            F.sum(y - mu).alias("g0"), F.sum((y - mu) * F.col("z")).alias("g1"), F.sum("dev").alias("dev"),
         )
     )
-    return {row.spec: row for row in sums.collect()}
+    return parts.groupBy("spec").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _step(state: DataFrame, sums: DataFrame, tol: float) -> DataFrame:
+    """The state after one Newton step of the models that have sums."""
+    det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
+    solvable = ~F.isnan(det) & (det < float("inf")) & (det > 1e-11 * F.col("w0") * F.col("w2"))
+    det = F.when(solvable, det)
+    moved = state.join(sums, "spec", "left").withColumns({
+        "_d0": (F.col("w2") * F.col("g0") - F.col("w1") * F.col("g1")) / det,
+        "_d1": (F.col("w0") * F.col("g1") - F.col("w1") * F.col("g0")) / det,
+        "_v00": F.col("w2") / det, "_v01": -F.col("w1") / det, "_v11": F.col("w0") / det,
+    })
+    settled = F.greatest(F.abs("_d0"), F.abs("_d1")) < tol
+    status = F.when(F.col("status") != "open", F.col("status")).when(F.col("_v00").isNull(), F.lit("not converged"))
+    new = {
+        "b0": F.col("b0") + F.coalesce("_d0", F.lit(0.0)), "b1": F.col("b1") + F.coalesce("_d1", F.lit(0.0)),
+        **{c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in ("v00", "v01", "v11")},
+        "deviance": F.coalesce(2 * F.col("dev"), F.col("deviance")),
+        "status": status.when(settled, F.lit("ok")).otherwise(F.lit("open")),
+    }
+    return moved.select(*[new[c].alias(c) if c in new else F.col(c) for c in state.columns])

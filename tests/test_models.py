@@ -1,6 +1,7 @@
 """Fits against closed forms, dense algebra and direct likelihoods."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -294,6 +295,44 @@ def test_tails():
     assert tails.student_two_sided(0.0, 20) == 1.0
 
 
+def test_tail_columns(spark):
+    asked = [(q, d) for q in (0.0, -1.0, 1e-9, 0.1, 3.84, 50.0, 400.0, 2000.0) for d in (1, 2, 3, 10, 51, 300)]
+    df = spark.createDataFrame([*asked, (None, 1), (1.0, None), (float("nan"), 2), (1.0, 0)], "q double, d int")
+    got = [r[0] for r in df.select(tails.chi2_sf(F.col("q"), F.col("d"))).collect()]
+    assert got == [pytest.approx(tails.chi2_tail(q, d), rel=1e-10) for q, d in asked] + [None] * 4
+    zs = [0.0, 1e-9, 0.5, 2.8, 2.83, 2.9, 6.0, 30.0, -1.0]
+    df = spark.createDataFrame([(z,) for z in [*zs, None]], "z double")
+    got = [r[0] for r in df.select(tails.normal_p(F.col("z"))).collect()]
+    assert got == [pytest.approx(tails.normal_two_sided(z), rel=1e-10) for z in zs] + [None]
+    ps = [1e-300, 1e-10, 0.01, 0.3, 0.5, 0.7, 0.975, 1 - 1e-12]
+    df = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, None]], "p double")
+    out = df.select(tails.normal_quantile(F.col("p")))
+    assert "Python" not in out._jdf.queryExecution().toString()
+    assert [r[0] for r in out.collect()] == [pytest.approx(NormalDist().inv_cdf(p), abs=1e-10) for p in ps] + [None] * 3
+
+
+def test_batch_of_many_models(spark, monkeypatch):
+    """Thousands of levels, one of them with a third of all rows in pieces, against dense fits of some."""
+    monkeypatch.setattr(reg, "PIECE_ROWS", 1_000)
+    rng = np.random.default_rng(5)
+    level = np.where(rng.random(60_000) < 1 / 3, 0, rng.integers(0, 2_000, 60_000))
+    x = rng.normal(size=60_000)
+    y = (rng.random(60_000) < 1 / (1 + np.exp(0.3 - 0.8 * x))).astype(float)
+    pdf = pd.DataFrame({"spec": level, "family": "binomial", "x": x, "y": y})
+    got = reg.fit_long(spark.createDataFrame(pdf)).toPandas().set_index("spec")
+    assert len(got) == len(set(level)) and set(got.status) <= {"ok", "no variation", "not converged"}
+    assert (got.status == "ok").mean() > 0.95 and got.n.sum() == 60_000
+    for spec in (0, 1, 17, 500, 1_999):
+        part, row = pdf[pdf.spec == spec], got.loc[spec]
+        z, b = np.column_stack([np.ones(len(part)), (part.x - row.m) / row.s]), np.zeros(2)
+        for _ in range(40):
+            mu = 1 / (1 + np.exp(-z @ b))
+            info = z.T @ (z * (mu * (1 - mu))[:, None])
+            b = b + np.linalg.solve(info, z.T @ (part.y - mu))
+        assert row.status == "ok" and [row.b0, row.b1] == pytest.approx(list(b), abs=1e-7)
+        assert [row.v00, row.v01, row.v11] == pytest.approx(np.linalg.inv(info)[[0, 0, 1], [0, 1, 1]].tolist(), rel=1e-6)
+
+
 def test_proportion_and_chi_square(spark):
     df = spark.createDataFrame([("a", 1)] * 5 + [("a", 0)] * 15, "k string, f int")
     row = inference.proportion_test(df, ["k"], "f", p0=0.5).first()
