@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pairlab.functions.columns import inv_logit
 from pairlab.functions.tails import chi2_tail, normal_p, normal_two_sided, student_two_sided
 from pairlab.operators.design import Design, Factor, Term, design
-from pairlab.operators.spread import ROWS, attach, kept, per_key
+from pairlab.operators.spread import ROWS, attach, attach_few, kept, per_key, small_table
 from pairlab.session import cut_lineage
 
 Z95 = 1.959963984540054
@@ -508,18 +508,18 @@ PIECE_ROWS = 500_000
 def fit_long(long: DataFrame, rounds: int = 50, tol: float = 1e-10) -> DataFrame:
     """One-predictor fits of all models of a long table (spec, family, x, y); any number of models.
 
-    Returns a written table with a row per spec: `n`, mean `m` and deviation `s` of the predictor, its ends `lo` and
+    Returns an evaluated table with a row per spec: `n`, mean `m` and deviation `s` of the predictor, its ends `lo` and
     `hi`, estimates `b0`, `b1` and covariance `v00`, `v01`, `v11` for the standardised predictor, `deviance`, `status`.
     Models without variation in predictor or response, or without convergence, have no estimates.
 
     Rows are dealt once by model, large models in pieces; a pass joins the models' state to them where they are, and
-    takes a step of all unfinished models in column expressions. Only whether any is left comes to the driver.
+    takes a step of all unfinished models in column expressions. Of more than 10,000 models only whether any is left comes to the driver.
     """
     binomial = F.col("family") == "binomial"
     varies = (F.col("s") > 0) & ~F.isnan("s") & (F.col("my") > 0) & ~(binomial & (F.col("my") >= 1))
     inner = F.when(binomial, F.col("my") / F.when(F.col("my") < 1, 1 - F.col("my"))).otherwise(F.col("my"))
     null = F.lit(None).cast("double")
-    state = cut_lineage(per_key(
+    written = cut_lineage(per_key(
         long, ["spec"], F.first("family").alias("family"), F.avg("y").alias("my"), F.avg("x").alias("m"),
         F.stddev_samp("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"),
     ).select(
@@ -527,20 +527,28 @@ def fit_long(long: DataFrame, rounds: int = 50, tol: float = 1e-10) -> DataFrame
         F.when(varies, F.lit(0.0)).alias("b1"), *[null.alias(c) for c in ("v00", "v01", "v11", "deviance")],
         F.when(varies, F.lit("open")).otherwise(F.lit("no variation")).alias("status"),
     ))
+    # up to 10,000 models their state is a local table, which joins without a shuffle; else a written one
+    local = small_table(written)
+    state, keep = (written, cut_lineage) if local is None else (local, small_table)
     pieces = F.ceil(F.col("n") / PIECE_ROWS).cast("int")
     tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = state.filter("status = 'open'").select("spec", "m", "s", F.col("n").alias(ROWS))
-    dealt = attach(long, sizes, ["spec"]).select("spec", "family", ((F.col("x") - F.col("m")) / F.col("s")).alias("z"), "y")
+    dealt = attach_few(long, sizes, ["spec"]).select("spec", "family", ((F.col("x") - F.col("m")) / F.col("s")).alias("z"), "y")
     large = state.filter(F.col("n") > PIECE_ROWS).select("spec", pieces.alias("_parts"))  # at most rows / PIECE_ROWS models
-    piece = F.pmod(F.xxhash64("z", "y") + F.spark_partition_id(), F.coalesce("_parts", F.lit(1))).cast("int")
-    dealt = dealt.join(F.broadcast(large), "spec", "left").withColumn("_piece", piece).drop("_parts")
-    with kept(dealt.repartition(tasks, "spec", "_piece")) as rows:
+    keys = ["spec"]
+    if not large.isEmpty():
+        piece = F.pmod(F.xxhash64("z", "y") + F.spark_partition_id(), F.coalesce("_parts", F.lit(1))).cast("int")
+        dealt = dealt.join(F.broadcast(large), "spec", "left").withColumn("_piece", piece).drop("_parts")
+        keys = ["spec", "_piece"]
+    with kept(dealt.repartition(tasks, *keys)) as rows:
         for _ in range(rounds):
             open_ = state.filter("status = 'open'")
             if open_.isEmpty():
                 break
-            copies = open_.select("spec", "b0", "b1", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_piece"))
-            state = cut_lineage(_step(state, _irls_sums(rows, copies), tol))
+            if len(keys) > 1:
+                open_ = open_.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+            stepped = _step(_irls_sums(rows, open_, keys), state.columns, tol)
+            state = keep(stepped.unionByName(state.filter("status <> 'open'")))
     lost = F.col("status") == "open"
     return state.withColumns({
         **{c: F.when(F.col("status") == "ok", F.col(c)) for c in ("b0", "b1", "v00", "v01", "v11", "deviance")},
@@ -548,44 +556,45 @@ def fit_long(long: DataFrame, rounds: int = 50, tol: float = 1e-10) -> DataFrame
     })
 
 
-def _irls_sums(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """Score, information and deviance sums of every unfinished model; per piece first, where the rows are."""
+def _irls_sums(rows: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
+    """Every unfinished model with its score, information and deviance sums; per piece first, where the rows are."""
     eta = F.col("b0") + F.col("b1") * F.col("z")
     binomial = F.col("family") == "binomial"
     y, mu = F.col("y"), F.col("mu")
     log_y = F.when(y > 0, y * (F.log(F.when(y > 0, y)) - F.log(mu))).otherwise(0.0)
     log_n = F.when(y < 1, (1 - y) * (F.log(F.when(y < 1, 1 - y)) - F.log(1 - mu))).otherwise(0.0)
     names = ("w0", "w1", "w2", "g0", "g1", "dev")
+    carried = [F.first(c).alias(c) for c in open_.columns if c not in keys]
     parts = (
-        rows.join(copies, ["spec", "_piece"])
+        rows.join(open_, keys)
         .withColumn("mu", F.when(binomial, inv_logit(eta)).otherwise(F.exp(eta)))
         .withColumn("w", F.when(binomial, mu * (1 - mu)).otherwise(mu))
         .withColumn("dev", F.when(binomial, log_y + log_n).otherwise(log_y - (y - mu)))
-        .groupBy("spec", "_piece")
+        .groupBy(*keys)
         .agg(
-            F.sum("w").alias("w0"), F.sum(F.expr("w * z")).alias("w1"), F.sum(F.expr("w * z * z")).alias("w2"),
+            *carried, F.sum("w").alias("w0"), F.sum(F.expr("w * z")).alias("w1"), F.sum(F.expr("w * z * z")).alias("w2"),
             F.sum(y - mu).alias("g0"), F.sum((y - mu) * F.col("z")).alias("g1"), F.sum("dev").alias("dev"),
         )
     )
-    return parts.groupBy("spec").agg(*[F.sum(c).alias(c) for c in names])
+    if len(keys) == 1:
+        return parts
+    return parts.groupBy("spec").agg(*carried, *[F.sum(c).alias(c) for c in names])
 
 
-def _step(state: DataFrame, sums: DataFrame, tol: float) -> DataFrame:
-    """The state after one Newton step of the models that have sums."""
+def _step(sums: DataFrame, columns: list[str], tol: float) -> DataFrame:
+    """The state of unfinished models after one Newton step."""
     det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
     solvable = ~F.isnan(det) & (det < float("inf")) & (det > 1e-11 * F.col("w0") * F.col("w2"))
     det = F.when(solvable, det)
-    moved = state.join(sums, "spec", "left").withColumns({
+    moved = sums.withColumns({
         "_d0": (F.col("w2") * F.col("g0") - F.col("w1") * F.col("g1")) / det,
         "_d1": (F.col("w0") * F.col("g1") - F.col("w1") * F.col("g0")) / det,
         "_v00": F.col("w2") / det, "_v01": -F.col("w1") / det, "_v11": F.col("w0") / det,
     })
     settled = F.greatest(F.abs("_d0"), F.abs("_d1")) < tol
-    status = F.when(F.col("status") != "open", F.col("status")).when(F.col("_v00").isNull(), F.lit("not converged"))
     new = {
-        "b0": F.col("b0") + F.coalesce("_d0", F.lit(0.0)), "b1": F.col("b1") + F.coalesce("_d1", F.lit(0.0)),
-        **{c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in ("v00", "v01", "v11")},
-        "deviance": F.coalesce(2 * F.col("dev"), F.col("deviance")),
-        "status": status.when(settled, F.lit("ok")).otherwise(F.lit("open")),
+        **{b: F.col(b) + F.coalesce(f"_d{i}", F.lit(0.0)) for i, b in enumerate(("b0", "b1"))},
+        **{c: F.coalesce(f"_{c}", c) for c in ("v00", "v01", "v11")}, "deviance": 2 * F.col("dev"),
+        "status": F.when(F.col("_v00").isNull(), F.lit("not converged")).when(settled, F.lit("ok")).otherwise(F.lit("open")),
     }
-    return moved.select(*[new[c].alias(c) if c in new else F.col(c) for c in state.columns])
+    return moved.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
