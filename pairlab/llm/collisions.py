@@ -5,7 +5,8 @@ vectors; then the largest inner product is the smallest distance. A block of vec
 array per random projection. A query opens a window around its own value on every array. A vector
 that lies in the windows of enough projections, the collision threshold, is verified with the
 original vectors. Virtual rehashing widens the windows on the same arrays until enough verified vectors
-are as near as the windows' radius.
+are as near as the windows' radius: the ends walk outward and only what they pass is added to the
+counts. The first windows are counted by comparing places, which gives the same counts as walking.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ class Block:
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, order, 0).T.copy()
         places = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        self.order = order.T.astype(places).ravel()  # the arrays one after another, as vectors' numbers
         place = np.empty((projections, len(ids)), places)  # of each vector on each array
         np.put_along_axis(place, order.T, np.arange(len(ids), dtype=places)[None], 1)
         self.place = [place[:, a : a + 1024].copy() for a in range(0, len(ids), 1024)]  # parts fit a cache
@@ -49,7 +51,7 @@ class Block:
         return float(np.sqrt(max(1e-12, 2 - 2 * np.median(nearest))))
 
     def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """In how many of the windows [low, high) each vector lies."""
+        """In how many of the windows [low, high) each vector lies, by its places."""
         kind = self.place[0].dtype
         low, span, whole = low.astype(kind)[:, None], (high - low).astype(kind)[:, None], (high - low == len(self.ids))[:, None]
         whole = whole if whole.any() else None
@@ -61,6 +63,13 @@ class Block:
             out.append(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if len(part) < 256 else np.uint16))
         return np.concatenate(out)
 
+    def _passed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How often each vector is in [start, end) of the arrays, start and end per array: what window ends walk over."""
+        size = end - start
+        first = np.arange(len(start)) * len(self.ids) + start
+        at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+        return np.bincount(self.order[at], minlength=len(self.ids))
+
     def _best(self, place: np.ndarray, score: np.ndarray, query: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """The best of what is verified; sums in one fixed order, so equal vectors tie exactly."""
         if len(score) > wanted:
@@ -71,20 +80,31 @@ class Block:
         return place[best], score[best]
 
     def search(
-        self, query_ids: np.ndarray, queries: np.ndarray, wanted: int, width: float, growth: float, spread: float
-    ) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per query the positions and scores of at most `wanted` vectors, best first."""
+        self, query_ids: np.ndarray, queries: np.ndarray, wanted: int, width: float, growth: float, spread: float, at_once: int = 256
+    ) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Per query the positions and scores of at most `wanted` vectors, best first, and how many were verified."""
         norms = np.sqrt((queries * queries).sum(1))
         unit = np.column_stack([queries / norms[:, None], np.zeros(len(queries))])
+        radius, out = self.near_radius(unit, wanted), []
+        for a in range(0, len(queries), at_once):  # running counts of a few queries at a time
+            b = a + at_once
+            out += self._search(query_ids[a:b], queries[a:b], norms[a:b], unit[a:b], radius, wanted, width, growth, spread)
+        return out
+
+    def _search(
+        self, query_ids: np.ndarray, queries: np.ndarray, norms: np.ndarray, unit: np.ndarray, radius: float,
+        wanted: int, width: float, growth: float, spread: float,
+    ) -> list:
         at = unit @ self.directions
         m, n = len(self.sorted), len(self.ids)
         # A vector at exactly the radius falls into a window with this chance, into `threshold`
         # of all windows almost surely.
         chance = math.erf(width / math.sqrt(2))
         threshold = max(1, math.floor(m * chance - spread * math.sqrt(m * chance * (1 - chance))))
-        radius = self.near_radius(unit, wanted)
         done: list = [None] * len(queries)
         found = {q: (np.zeros(0, np.int64), np.zeros(0)) for q in range(len(queries))}
+        counts: dict[int, np.ndarray] = {}
+        ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         open_ = np.arange(len(queries))
         while len(open_):
             half = width * radius
@@ -92,8 +112,13 @@ class Block:
             high = np.stack([np.searchsorted(s, at[open_, i] + half, "right") for i, s in enumerate(self.sorted)], 1)
             left = []
             for q, a, b in zip(open_.tolist(), low, high):
+                if q in ends:
+                    counts[q] += self._passed(a, ends[q][0]) + self._passed(ends[q][1], b)
+                else:
+                    counts[q] = self._collisions(a, b).astype(np.int64)
+                ends[q] = a, b
                 whole = not a.any() and (b == n).all()
-                hits = np.flatnonzero(self._collisions(a, b) >= threshold) if not whole else np.arange(n)
+                hits = np.flatnonzero(counts[q] >= threshold) if not whole else np.arange(n)
                 hits = hits[self.ids[hits] != query_ids[q]]
                 place, score = found[q]
                 more = np.setdiff1d(hits, place, assume_unique=True)  # only these are new to verify
@@ -101,8 +126,8 @@ class Block:
                 place = np.concatenate([place, more])
                 near = 2 - 2 * score / (norms[q] * self.largest) <= radius * radius
                 if np.count_nonzero(near) >= wanted or whole:
-                    done[q] = self._best(place, score, queries[q], wanted)
-                    del found[q]
+                    done[q] = *self._best(place, score, queries[q], wanted), len(place)
+                    del found[q], counts[q], ends[q]
                 else:
                     found[q] = place, score
                     left.append(q)
@@ -112,20 +137,22 @@ class Block:
 
 
 def nearest(
-    df: DataFrame, key: str, vector: str, is_query: Column, wanted: int = 20, block: int = 8192, query_block: int = 512,
-    projections: int = 128, width: float = 0.8, growth: float = 1.06, spread: float = 1.4, seed: int = 7,
+    df: DataFrame, key: str, vector: str, is_query: Column, wanted: int = 20, block: int = 8192, query_block: int = 16384,
+    projections: int = 640, width: float = 1.4, growth: float = 1.03, spread: float = 1.2, seed: int = 7,
 ) -> DataFrame:
-    """query_id, rank (from 1), found id (under the name `key`) and score of each query's nearest rows.
+    """query_id, rank (from 1), found id (under the name `key`), score and `verified` of each query's nearest rows.
 
     Nearest means the largest inner product in double precision; ties go to the smaller key. Rows
     whose vector is null, zero, empty or holds a null or a number that is not finite take no part,
     nor do rows without key; a query meets only vectors of its own length and never rows of its own
     key. A key that repeats among the queries is searched once, with its smallest vector; repeated
-    candidates are all kept. With fewer candidates than `wanted` all are returned.
+    candidates are all kept. With fewer candidates than `wanted` all are returned. `verified` tells how many
+    vectors the query was compared with exactly.
 
     Every row is indexed. Blocks of about `block` vectors meet blocks of about `query_block`
     queries, and each meeting gives its own `wanted` best, so windows never grow beyond a block and
-    no block's size depends on the table's. A block's starting radius comes from at most 64 of its queries.
+    no block's size depends on the table's. A block's vectors move, and its arrays are built, once per
+    `query_block` queries; those are many, as they need little room next to the arrays. A block's starting radius comes from at most 64 of its queries.
     """
     value = F.col(vector).cast("array<double>")
     rows = df.select(F.col(key).alias("id"), value.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -152,7 +179,8 @@ def nearest(
     )
 
     def matrix(table: pa.Table) -> np.ndarray:
-        return np.stack([np.array(v) for v in table.column("v").to_pylist()])
+        flat = pa.concat_arrays([c.flatten() for c in table.column("v").chunks])
+        return flat.to_numpy(zero_copy_only=False).reshape(len(table), -1)
 
     def meet(candidates: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(candidates) or not len(asked):
@@ -162,13 +190,15 @@ def nearest(
         query_ids = asked.column("id").to_numpy()
         hits = index.search(query_ids, matrix(asked), wanted, width, growth, spread)
         return pa.table([
-            pa.array(np.repeat(query_ids, [len(p) for p, _ in hits])),
-            pa.array(np.concatenate([index.ids[p] for p, _ in hits])),
-            pa.array(np.concatenate([s for _, s in hits])),
+            pa.array(np.repeat(query_ids, [len(p) for p, _, _ in hits])),
+            pa.array(np.concatenate([index.ids[p] for p, _, _ in hits])),
+            pa.array(np.concatenate([s for _, s, _ in hits])),
+            pa.array(np.concatenate([[n, *[0] * (len(p) - 1)][: len(p)] for p, _, n in hits]).astype(np.int64)),
         ], schema=empty.schema)
 
     schema = T.StructType([
         T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType()),
+        T.StructField("verified", T.LongType()),  # on the first row of a query in a block
     ])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -176,6 +206,9 @@ def nearest(
     place = ["dim", "b", "qb"]
     local = own.groupBy(*place).cogroup(queries.groupBy(*place)).applyInArrow(meet, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= wanted).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score"
+    ranked = local.withColumns({
+        "rank": F.row_number().over(best), "verified": F.sum("verified").over(Window.partitionBy("query_id"))
+    })
+    return ranked.filter(F.col("rank") <= wanted).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score", "verified"
     )
