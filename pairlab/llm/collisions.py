@@ -40,6 +40,7 @@ class Block:
         place = np.empty((projections, len(ids)), places)  # of each vector on each array
         np.put_along_axis(place, order.T, np.arange(len(ids), dtype=places)[None], 1)
         self.place = [place[:, a : a + 1024].copy() for a in range(0, len(ids), 1024)]  # parts fit a cache
+        self.room = np.empty((255, 1024), places), np.empty((255, 1024), bool)
         self.largest = largest
 
     def near_radius(self, queries: np.ndarray, wanted: int, most: int = 64) -> float:
@@ -51,17 +52,22 @@ class Block:
         return float(np.sqrt(max(1e-12, 2 - 2 * np.median(nearest))))
 
     def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """In how many of the windows [low, high) each vector lies, by its places."""
-        kind = self.place[0].dtype
-        low, span, whole = low.astype(kind)[:, None], (high - low).astype(kind)[:, None], (high - low == len(self.ids))[:, None]
-        whole = whole if whole.any() else None
-        out = []
-        for part in self.place:
-            inside = part - low < span
-            if whole is not None:
-                inside |= whole
-            out.append(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if len(part) < 256 else np.uint16))
-        return np.concatenate(out)
+        """Per query in how many of its windows [low, high) each vector lies, by its places; a part stays cached for all queries."""
+        kind, n = self.place[0].dtype, len(self.ids)
+        span, whole = (high - low).astype(kind)[:, :, None], (high - low == n)[:, :, None]
+        low, any_whole = low.astype(kind)[:, :, None], whole.any((1, 2))
+        out = np.zeros((len(low), n), np.int64)
+        for k, part in enumerate(self.place):
+            for a in range(0, len(part), 255):  # sums of so many fit a byte
+                places = part[a : a + 255]
+                offset, inside = (r[: len(places), : places.shape[1]] for r in self.room)
+                for q, total in enumerate(out[:, 1024 * k : 1024 * (k + 1)]):
+                    np.subtract(places, low[q, a : a + 255], out=offset)
+                    np.less(offset, span[q, a : a + 255], out=inside)
+                    if any_whole[q]:
+                        inside |= whole[q, a : a + 255]
+                    total += np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+        return out
 
     def _passed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How often each vector is in [start, end) of the arrays, start and end per array: what window ends walk over."""
@@ -103,7 +109,7 @@ class Block:
         threshold = max(1, math.floor(m * chance - spread * math.sqrt(m * chance * (1 - chance))))
         done: list = [None] * len(queries)
         found = {q: (np.zeros(0, np.int64), np.zeros(0)) for q in range(len(queries))}
-        counts: dict[int, np.ndarray] = {}
+        counts: np.ndarray | None = None
         ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         open_ = np.arange(len(queries))
         while len(open_):
@@ -111,11 +117,11 @@ class Block:
             low = np.stack([np.searchsorted(s, at[open_, i] - half, "left") for i, s in enumerate(self.sorted)], 1)
             high = np.stack([np.searchsorted(s, at[open_, i] + half, "right") for i, s in enumerate(self.sorted)], 1)
             left = []
+            if counts is None:
+                counts = self._collisions(low, high)
             for q, a, b in zip(open_.tolist(), low, high):
                 if q in ends:
                     counts[q] += self._passed(a, ends[q][0]) + self._passed(ends[q][1], b)
-                else:
-                    counts[q] = self._collisions(a, b).astype(np.int64)
                 ends[q] = a, b
                 whole = not a.any() and (b == n).all()
                 hits = np.flatnonzero(counts[q] >= threshold) if not whole else np.arange(n)
@@ -127,7 +133,7 @@ class Block:
                 near = 2 - 2 * score / (norms[q] * self.largest) <= radius * radius
                 if np.count_nonzero(near) >= wanted or whole:
                     done[q] = *self._best(place, score, queries[q], wanted), len(place)
-                    del found[q], counts[q], ends[q]
+                    del found[q], ends[q]
                 else:
                     found[q] = place, score
                     left.append(q)

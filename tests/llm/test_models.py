@@ -115,12 +115,12 @@ def test_running_counts():
     x = rng.normal(size=(300, 6))
     index = collisions.Block(np.arange(300), x, float(np.sqrt((x * x).sum(1)).max()), 40, 7)
     low, high = rng.integers(50, 100, 40), rng.integers(150, 200, 40)
-    counts = index._collisions(low, high).astype(np.int64)
+    counts = index._collisions(low[None], high[None])[0]
     for _ in range(3):
         wider = np.maximum(0, low - rng.integers(0, 40, 40)), np.minimum(300, high + rng.integers(0, 60, 40))
         counts += index._passed(wider[0], low) + index._passed(high, wider[1])
         low, high = wider
-        assert (counts == index._collisions(low, high)).all()
+        assert (counts == index._collisions(low[None], high[None])[0]).all()
     assert (index._passed(low, low) == 0).all()
 
 
