@@ -6,7 +6,7 @@ array per random projection. A query opens a window around its own value on ever
 that lies in the windows of enough projections, the collision threshold, is verified with the
 original vectors. Virtual rehashing widens the windows on the same arrays until enough verified vectors
 are as near as the windows' radius: the ends walk outward and only what they pass is added to the
-counts. The first windows are counted by comparing places, which gives the same counts as walking.
+counts. The inner parts of the first windows are counted by comparing cells, which gives the same counts as walking.
 """
 
 from __future__ import annotations
@@ -32,15 +32,16 @@ class Block:
         last = np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(1)))
         self.directions = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, projections))
         self.unit = np.column_stack([scaled, last])
-        values = self.unit @ self.directions
-        order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, order, 0).T.copy()
+        values = (self.directions.T @ self.unit.T).copy()
         places = np.uint16 if len(ids) < 1 << 16 else np.uint32
-        self.order = order.T.astype(places).ravel()  # the arrays one after another, as vectors' numbers
-        place = np.empty((projections, len(ids)), places)  # of each vector on each array
-        np.put_along_axis(place, order.T, np.arange(len(ids), dtype=places)[None], 1)
-        self.place = [place[:, a : a + 1024].copy() for a in range(0, len(ids), 1024)]  # parts fit a cache
-        self.room = np.empty((255, 1024), places), np.empty((255, 1024), bool)
+        order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, order, 1)
+        self.step = -(-len(ids) // 256)  # places of an array in each of at most 256 cells
+        cell = np.empty((projections, len(ids)), np.uint8)  # of each vector on each array
+        np.put_along_axis(cell, order, (np.arange(len(ids)) // self.step).astype(np.uint8)[None], 1)
+        self.order = order.astype(places).ravel()  # the arrays one after another, as vectors' numbers
+        self.cells = [cell[:, a : a + 2048].copy() for a in range(0, len(ids), 2048)]  # parts fit a cache
+        self.room = np.empty((255, 2048), np.uint8), np.empty((255, 2048), bool)
         self.largest = largest
 
     def near_radius(self, queries: np.ndarray, wanted: int, most: int = 64) -> float:
@@ -52,20 +53,25 @@ class Block:
         return float(np.sqrt(max(1e-12, 2 - 2 * np.median(nearest))))
 
     def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Per query in how many of its windows [low, high) each vector lies, by its places; a part stays cached for all queries."""
-        kind, n = self.place[0].dtype, len(self.ids)
-        span, whole = (high - low).astype(kind)[:, :, None], (high - low == n)[:, :, None]
-        low, any_whole = low.astype(kind)[:, :, None], whole.any((1, 2))
-        out = np.zeros((len(low), n), np.int64)
-        for k, part in enumerate(self.place):
+        """Per query in how many of its windows [low, high) each vector lies.
+
+        Cells wholly inside are counted by comparing the vectors' cells, for all queries while a part is cached;
+        what is left of a window at its two ends is walked over.
+        """
+        first = -(-low // self.step)
+        last = np.minimum(np.maximum(high // self.step, first), first + 255)
+        inner_end = np.where(last > first, last * self.step, np.minimum(first * self.step, high))
+        span, start = (last - first).astype(np.uint8)[:, :, None], first.astype(np.uint8)[:, :, None]
+        out = np.stack([
+            self._passed(a, np.minimum(f * self.step, b)) + self._passed(e, b) for a, b, f, e in zip(low, high, first, inner_end)
+        ])
+        for k, part in enumerate(self.cells):
             for a in range(0, len(part), 255):  # sums of so many fit a byte
-                places = part[a : a + 255]
-                offset, inside = (r[: len(places), : places.shape[1]] for r in self.room)
-                for q, total in enumerate(out[:, 1024 * k : 1024 * (k + 1)]):
-                    np.subtract(places, low[q, a : a + 255], out=offset)
+                cells = part[a : a + 255]
+                offset, inside = (r[: len(cells), : cells.shape[1]] for r in self.room)
+                for q, total in enumerate(out[:, 2048 * k : 2048 * (k + 1)]):
+                    np.subtract(cells, start[q, a : a + 255], out=offset)
                     np.less(offset, span[q, a : a + 255], out=inside)
-                    if any_whole[q]:
-                        inside |= whole[q, a : a + 255]
                     total += np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
         return out
 

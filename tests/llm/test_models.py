@@ -138,3 +138,18 @@ def test_few_are_verified():
         hits += len(set(place.tolist()) & set(np.argsort(-score)[:20].tolist()))
     assert hits >= 0.95 * 20 * len(found)
     assert np.mean([n for _, _, n in found]) < 0.12 * 2_000
+
+
+def test_cells_of_windows():
+    """Counts through cells equal plain comparisons, for empty, narrow and whole windows and all sizes around the cells'."""
+    rng = np.random.default_rng(10)
+    for n in (1, 2, 255, 256, 257, 511, 512, 700, 2_500):
+        x = rng.normal(size=(n, 5))
+        index = collisions.Block(np.arange(n), x, float(np.sqrt((x * x).sum(1)).max()), 260, 7)
+        place = np.argsort(index.order.reshape(260, n), axis=1)
+        ends = np.sort(rng.integers(0, n + 1, (2, 6, 260)), axis=0)
+        ends[:, 0] = np.array([0, n])[:, None]
+        ends[1, 1] = ends[0, 1]
+        ends[1, 2] = np.minimum(n, ends[0, 2] + 3)
+        want = [((place >= a[:, None]) & (place < b[:, None])).sum(0) for a, b in zip(*ends)]
+        assert (index._collisions(*ends) == np.array(want)).all()
