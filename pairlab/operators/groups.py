@@ -3,30 +3,41 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.operators.spread import ROWS, attach, null_safe_join, per_key, running_fold
+from pairlab.operators.spread import ROWS, attach, hot_rows, per_key, running_fold
 from pairlab.session import cut_lineage
 
+_BAD = "_bad"
+_KEPT = "_kept"
+
 _COMPARE = {
     "==": operator.eq, "!=": operator.ne, ">": operator.gt,
     ">=": operator.ge, "<": operator.lt, "<=": operator.le,
 }
 
 
+def several_values(cols: Sequence[str], where: Column | None = None) -> Column:
+    """Aggregate: whether the rows (those of `where`) hold more than one combination of `cols`, NULL being a value.
+
+    Smallest and largest of two 64-bit hashes, so that Spark combines plain numbers and never sorts.
+    """
+    parts = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    hashes = [F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)]
+    if where is not None:
+        hashes = [F.when(where, h) for h in hashes]
+    return F.coalesce((F.min(hashes[0]) != F.max(hashes[0])) | (F.min(hashes[1]) != F.max(hashes[1])), F.lit(False))
+
+
 def per_group_of(df: DataFrame, key: str, kind: str, out: str) -> DataFrame:
     """Per group: its rows (`_rows`) and whether it holds several distinct values of `kind`.
 
-    Counted per (group, value) first, so both steps hash and a large group is spread.
-    NULL counts as a value.
+    One combined aggregate, so a large group is spread. NULL counts as a value.
     """
-    values = df.groupBy(key, kind).agg(F.count(F.lit(1)).alias("_n"))
-    return values.groupBy(key).agg(
-        F.sum("_n").alias(ROWS), (F.count(F.lit(1)) > 1).cast("int").alias(out)
-    )
+    return per_key(df, [key], several_values([kind]).cast("int").alias(out))
 
 
 def n_distinct(df: DataFrame, by: Sequence[str], col: str, out: str, count_null: bool = True) -> DataFrame:
@@ -44,23 +55,43 @@ def conflicting_ids(
     `null_id="match"` treats unknown individuals as one individual; `"ignore"` leaves
     them out.
     """
+    return _conflicts(df, id_col, cols, null_id).filter(_BAD).drop(_BAD)
+
+
+def _conflicts(df: DataFrame, id_col: str, cols: Sequence[str], null_id: str) -> DataFrame:
+    """Every individual with its rows and whether it is in conflict (`_bad`)."""
     if null_id not in ("match", "ignore"):
         raise ValueError(f"null_id must be 'match' or 'ignore', not {null_id!r}")
-    # one row per individual and combination: a second combination means some column differs
-    seen = df.groupBy(id_col, *cols).agg(F.count(F.lit(1)).alias("_n"))
-    found = (
-        seen.groupBy(id_col)
-        .agg(F.sum("_n").alias(ROWS), F.count(F.lit(1)).alias("_combinations"))
-        .filter("_combinations > 1")
-        .select(id_col, ROWS)
-    )
-    return found if null_id == "match" else found.filter(F.col(id_col).isNotNull())
+    bad = several_values(cols)
+    if null_id == "ignore":
+        bad = bad & F.col(id_col).isNotNull()
+    return per_key(df, [id_col], bad.alias(_BAD))
 
 
 def touched_groups(df: DataFrame, ids: DataFrame, id_col: str, group: str) -> DataFrame:
     """Groups holding a row of any of `ids` (one row per individual, with `_rows`)."""
     narrow = df.select(id_col, group)
-    return attach(narrow, ids, [id_col]).select(group).distinct()
+    return attach(narrow, ids, [id_col], few=True).select(group).distinct()
+
+
+def _untouched(
+    df: DataFrame, id_col: str, group: str, cols: Sequence[str], null_id: str,
+    keep: Column | None = None, facts_of: Sequence[str] = (),
+    facts: Callable[[Column], list[Column]] = lambda kept: [],
+) -> DataFrame:
+    """Groups without a conflicting individual, with their kept rows (`_rows`) and `facts` of these (from `facts_of`).
+
+    Few conflicting individuals are marked on the rows where they are; many are brought there by a
+    salted join, for which individuals of very many rows are listed whether in conflict or not.
+    """
+    found = _conflicts(df, id_col, cols, null_id)
+    listed = found.filter(F.col(_BAD) | (F.col(ROWS) > hot_rows(df.sparkSession)))
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    narrow = df.select(*dict.fromkeys([id_col, group, *facts_of]), kept.alias(_KEPT))
+    marked = attach(narrow, listed, [id_col], "left", few=True)
+    return marked.groupBy(group).agg(
+        F.count_if(_KEPT).alias(ROWS), F.max(F.coalesce(_BAD, F.lit(False))).alias(_BAD), *facts(F.col(_KEPT)),
+    ).filter((F.col(ROWS) > 0) & ~F.col(_BAD)).drop(_BAD)
 
 
 def exclude_conflicts(
@@ -72,15 +103,12 @@ def exclude_conflicts(
     null_id: str = "match",
 ) -> DataFrame:
     """Remove conflicting individuals: their whole groups, or (`scope="rows"`) only their rows."""
-    bad = conflicting_ids(df, id_col, cols, null_id)
     if scope == "rows":
-        good = null_safe_join(per_key(df, [id_col]), bad.drop(ROWS), [id_col], "left_anti")
+        good = _conflicts(df, id_col, cols, null_id).filter(~F.col(_BAD)).drop(_BAD)
         return attach(df, good, [id_col])
     if scope != "groups":
         raise ValueError(f"scope must be 'rows' or 'groups', not {scope!r}")
-    groups = touched_groups(df, bad, id_col, group)
-    good = null_safe_join(per_key(df, [group]), groups, [group], "left_anti")
-    return attach(df, good, [group])
+    return attach(df, _untouched(df, id_col, group, cols, null_id), [group], few=True)
 
 
 def with_group_size(df: DataFrame, key: str | Sequence[str], out: str) -> DataFrame:
@@ -104,18 +132,18 @@ def clean_groups(
     size: str = "n_rows",
     null_id: str = "match",
 ) -> DataFrame:
-    """Exclude conflict groups and flag the rest, with one row-level shuffle.
+    """Exclude conflict groups and flag the rest: one aggregate per individual, one per group, one row-level shuffle.
 
     Conflicts are looked for in all of `df`; `keep` filters the rows afterwards, before
     sizes and flags are taken. Same result as `exclude_conflicts`, the filter,
     `with_mixed_flag` and `with_group_size` one after the other.
     """
-    bad = conflicting_ids(df, id_col, conflict_cols, null_id)
-    groups = touched_groups(df, bad, id_col, group)
+    good = _untouched(
+        df, id_col, group, conflict_cols, null_id, keep, [kind],
+        lambda kept: [several_values([kind], kept).cast("int").alias(mixed)],
+    )
     rows = df if keep is None else df.filter(keep)
-    stats = per_group_of(rows, group, kind, mixed)
-    good = null_safe_join(stats, groups, [group], "left_anti").withColumn(size, F.col(ROWS))
-    return attach(rows, good, [group])
+    return attach(rows, good.withColumn(size, F.col(ROWS)), [group], few=True)
 
 
 def keep_groups_any(df: DataFrame, key: str, predicate: Column) -> DataFrame:

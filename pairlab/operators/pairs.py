@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.columns import suffix_columns
-from pairlab.operators.spread import null_safe_join
+from pairlab.operators.spread import ROWS, hot_rows, keep_keys, null_safe_join, per_key
 
 
 def pair_by_join(
@@ -46,21 +46,35 @@ def build_pairs(
     differs: Mapping[str, str] | None = None,
     excluded: DataFrame | None = None,
 ) -> DataFrame:
-    """Wide pairs in one shuffle and no row-level join.
+    """Wide pairs, their rows moved once.
 
     `keys` are the columns shared by both sides (must include `group`); a pair needs all
     of them equal, NULL equal to NULL. `differs` adds 0/1 columns saying whether the two
     rows differ in a column (a mixed flag), `excluded` lists groups to leave out (one row
-    each). Equals `pair_by_join`. Larger groups shrink to one row per task before the shuffle, so a
-    group holding most rows costs nothing more than its scan.
+    each). Equals `pair_by_join`. Groups that can be pairs are found first, by counts that hash; only
+    their rows are aggregated column by column, so a group holding most rows costs nothing more than its scan.
     """
     shared = [k for k in keys if k != group]
     rest = [c for c in df.columns if c not in keys]
     build = _either_side if keep_unmatched else _matched
-    wide = build(df, group, role, sides, shared, rest, suffixes, partner_id, differs or {})
+    rows = _rows_of_two(df, group, role, sides, None if keep_unmatched else partner_id, excluded)
+    return build(rows, group, role, sides, shared, rest, suffixes, partner_id, differs or {})
+
+
+def _rows_of_two(df, group, role, sides, partner_id, excluded) -> DataFrame:
+    """Rows of the groups of two that have a first side and, with `partner_id`, a known second one."""
+    second = F.lit(True) if partner_id is None else F.max(
+        F.coalesce((F.col(role) == sides[1]) & F.col(partner_id).isNotNull(), F.lit(False)))
+    stats = per_key(
+        df, [group], F.max(F.coalesce(F.col(role) == sides[0], F.lit(False))).alias("_first"), second.alias("_second"),
+    )
+    two = (F.col(ROWS) == 2) & F.col("_first") & F.col("_second")
+    hot = F.col(ROWS) > hot_rows(df.sparkSession)
+    listed = stats.filter(two | hot)
     if excluded is not None:
-        wide = null_safe_join(wide, excluded, [group], "left_anti")
-    return wide
+        marked = null_safe_join(listed, excluded.select(group, F.lit(True).alias("_out")), [group], "left")
+        listed = marked.filter(F.col("_out").isNull() | hot)
+    return keep_keys(df, listed, [group])
 
 
 def _matched(df, group, role, sides, shared, rest, suffixes, partner_id, differs) -> DataFrame:

@@ -27,6 +27,9 @@ _TIE = "_tie"
 # Keys of a categorical column (period, kind, level): above this they are treated as many.
 FEW_KEYS = 10_000
 
+# Key tables of at most this many bytes in memory are sent to the rows.
+BROADCAST_BYTES = 64 << 20
+
 
 def hot_rows(spark: SparkSession) -> int:
     """Rows one task may hold of one key. At most total/hot_rows keys can be hot."""
@@ -99,6 +102,24 @@ def attach(
     return null_safe_join(salted, copies, [*keys, _SALT], how).drop(_SALT)
 
 
+def keep_keys(rows: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the `listed` keys of up to `hot_rows` rows; `listed` (one row each, with `_rows`) is evaluated once.
+
+    Keys that fill at most `BROADCAST_BYTES`, by their number and longest value, go to the rows where they
+    are. More meet them in a shuffle, from which a broadcast keeps the rows of hot keys away: these
+    have to be listed, and are at most total rows / hot_rows.
+    """
+    listed = cut_lineage(listed.select(*keys, ROWS))
+    hot = F.col(ROWS) > hot_rows(rows.sparkSession)
+    wanted = listed.filter(~hot).drop(ROWS)
+    n, *longest = wanted.agg(
+        F.count(F.lit(1)), *[F.max(F.octet_length(F.col(k).cast("string"))) for k in keys]).first()
+    if n * (64 + sum(size or 0 for size in longest)) <= BROADCAST_BYTES:
+        return null_safe_join(rows, F.broadcast(wanted), keys, "left_semi")
+    rest = null_safe_join(rows, F.broadcast(listed.filter(hot).drop(ROWS)), keys, "left_anti")
+    return null_safe_join(rest, wanted, keys, "left_semi")
+
+
 def attach_few(rows: DataFrame, settled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`attach` of a table that `settle` has returned: a small one is local already and goes straight to the rows."""
     local = small_table(settled)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pairlab.operators import groups as g
 from pairlab.operators import members as m
+from pairlab.operators import spread
 from pairlab.operators.inference import adjust_bh
+from pairlab.operators.pairs import build_pairs, pair_by_join
 from pairlab.operators.scaling import prior_total
 from pairlab.operators.spread import (
     _bracketed, attach, exact_quantiles, null_safe_join, per_key, running_fold, select_quantiles, small_table,
@@ -186,3 +188,69 @@ def test_results_do_not_depend_on_partitioning(tiny_tasks, skewed):
     a = sorted(g.keep_repeated(df, ["k", "t"]).collect(), key=str)
     b = sorted(g.keep_repeated(df.repartition(3).orderBy(F.desc("i")), ["k", "t"]).collect(), key=str)
     assert a == b
+
+
+@pytest.fixture(scope="module")
+def observed(spark):
+    """Groups of one to three rows and one of 40, an individual with many of the rows, NULLs in every column."""
+    rng = np.random.default_rng(11)
+    size = rng.choice([1, 2, 2, 2, 3], 120)
+    grp = np.concatenate([np.repeat(np.arange(120), size), np.full(40, 999)])
+    n = len(grp)
+    pick = lambda values: [values[i] for i in rng.integers(0, len(values), n)]
+    ind = [0 if rng.random() < 0.2 else int(i) for i in rng.integers(1, 150, n)]
+    rows = list(zip(
+        [None if x == 5 else int(x) for x in grp], [None if i == 3 else i for i in ind],
+        pick(["F", "O", "F", "O", None]), pick(["A", "R", "A", None]), [int(i) for i in range(n)],
+    ))
+    return spark.createDataFrame(rows, "g int, i int, role string, kind string, x int").repartition(5, "x").cache()
+
+
+def _same(a, b):
+    key = lambda d: sorted(map(repr, (tuple(r[c] for c in sorted(d.columns)) for r in d.collect())))
+    assert sorted(a.columns) == sorted(b.columns)
+    assert key(a) == key(b)
+
+
+def test_several_values_counts_null(spark):
+    rows = [(1, None, "a"), (1, "a", None), (2, "a", "b"), (2, "a", "b"), (3, None, None), (4, "a", None), (4, None, None)]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    got = df.groupBy("k").agg(g.several_values(["a", "b"]).alias("s"), g.several_values(["a"], F.lit(False)).alias("none"))
+    assert {r.k: (r.s, r.none) for r in got.collect()} == {1: (True, False), 2: (False, False), 3: (False, False), 4: (True, False)}
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("null_id", ["match", "ignore"])
+def test_conflict_groups_few_and_many(tiny_tasks, observed, monkeypatch, few, null_id):
+    if not few:
+        monkeypatch.setattr(spread, "small_table", lambda df, limit=0: None)
+    pdf = observed.toPandas().astype(object)
+    pdf = pdf.where(pdf.notna(), None)
+    of = {}
+    for r in pdf.itertuples():
+        of.setdefault(r.i, set()).add((r.role, r.kind))
+    bad = {i for i, s in of.items() if len(s) > 1 and (null_id == "match" or i is not None)}
+    touched = {r.g for r in pdf.itertuples() if r.i in bad}
+    want = sorted(r.x for r in pdf.itertuples() if r.g not in touched)
+    got = g.exclude_conflicts(observed, "i", "g", ["role", "kind"], null_id=null_id)
+    assert sorted(r.x for r in got.collect()) == want
+    rows = g.exclude_conflicts(observed, "i", "g", ["role", "kind"], "rows", null_id)
+    assert sorted(r.x for r in rows.collect()) == sorted(r.x for r in pdf.itertuples() if r.i not in bad)
+
+    keep = F.col("x") % 3 != 0
+    kept = got.filter(keep)
+    steps = g.with_group_size(g.with_mixed_flag(kept, "g", "kind", "mixed"), "g", "n_rows")
+    _same(g.clean_groups(observed, "i", "g", "kind", ["role", "kind"], keep, null_id=null_id), steps)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+@pytest.mark.parametrize("unmatched", [True, False])
+def test_pairs_of_listed_groups(tiny_tasks, observed, monkeypatch, most, unmatched):
+    """By broadcast and by shuffle, with a hot group that is among the excluded ones."""
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", most)
+    excluded = observed.filter("g IN (999, 10, 11)").select("g").distinct()
+    got = build_pairs(
+        observed, "g", "role", ("F", "O"), ["g"], partner_id="i", keep_unmatched=unmatched, excluded=excluded)
+    rows = null_safe_join(g.with_group_size(observed, "g", "n_rows"), excluded, ["g"], "left_anti")
+    want = pair_by_join(rows, "role", ("F", "O"), ["g"], partner_id="i", keep_unmatched=unmatched)
+    _same(got, want.drop("n_rows_f", "n_rows_m"))
