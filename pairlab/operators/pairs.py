@@ -141,6 +141,14 @@ def _either_side(df, group, role, sides, shared, rest, suffixes, partner_id, dif
     )
 
 
+def _sd_of_parts(out: str) -> Column:
+    """Sample sd from the numbers, means and variances of parts: squares within them and between them."""
+    n, mean, var = (F.col(f"_{c}_{out}") for c in "kav")
+    total = F.sum(n * mean)
+    between = F.greatest(F.sum(n * mean * mean) - F.try_divide(total * total, F.sum(n)), F.lit(0.0))
+    return F.sqrt(F.try_divide(F.sum(n * var) + between, F.sum(n) - 1))
+
+
 def partner_profile(
     pairs: DataFrame,
     id_col: str,
@@ -159,11 +167,12 @@ def partner_profile(
     """
     plain = F.col(flag) == 0
     kept = {out: F.when(plain, F.col(c)) for out, c in measures.items()}
-    spread = [F.stddev_samp(F.when(plain, F.col(c))).alias(out) for out, c in (sd_of or {}).items()]
+    spread = {out: F.when(plain, F.col(c)).cast("double") for out, c in (sd_of or {}).items()}
     if not period:
         profile = pairs.groupBy(id_col).agg(
             F.sum(flag).alias("n_flagged"), F.sum(plain.cast("int")).alias("n_partners"),
-            *[F.max(c).alias(c) for c in constants], *[F.avg(c).alias(out) for out, c in kept.items()], *spread,
+            *[F.max(c).alias(c) for c in constants], *[F.avg(c).alias(out) for out, c in kept.items()],
+            *[F.stddev_samp(c).alias(out) for out, c in spread.items()],
         )
     else:
         # One pass: a row per individual and period, whose sums add up and whose number is the periods'.
@@ -172,15 +181,15 @@ def partner_profile(
             *[F.max(c).alias(c) for c in constants],
             *[e for out, c in kept.items() for e in (
                 F.sum(c.cast("double")).alias(f"_s_{out}"), F.count(c).alias(f"_n_{out}"))],
+            *[e for out, c in spread.items() for e in (
+                F.count(c).alias(f"_k_{out}"), F.avg(c).alias(f"_a_{out}"), F.var_pop(c).alias(f"_v_{out}"))],
         )
         profile = by_period.groupBy(id_col).agg(
             F.sum("_f").alias("n_flagged"), F.sum("_p").alias("n_partners"),
             *[F.max(c).alias(c) for c in constants],
             *[F.try_divide(F.sum(f"_s_{out}"), F.sum(f"_n_{out}")).alias(out) for out in kept],
-            F.count(F.lit(1)).alias("_periods"),
+            F.count(F.lit(1)).alias("_periods"), *[_sd_of_parts(out).alias(out) for out in spread],
         )
-        if spread:
-            profile = null_safe_join(profile, pairs.groupBy(id_col).agg(*spread), [id_col], "left")
         profile = profile.withColumn("share_periods", F.try_divide("n_flagged", "_periods")).drop("_periods")
     return profile.filter("n_partners > 0").withColumn(
         "ever_flagged", (F.col("n_flagged") > 0).cast("int")

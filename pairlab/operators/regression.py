@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -43,6 +43,8 @@ class Fit:
     period_effects: Mapping = field(default_factory=dict)
     # Terms that the others determine: no estimate, and no prediction where they are not 0.
     aliased: Mapping[str, Column] = field(default_factory=dict)
+    # Those of them that are constant in every level of `group`: the level's effect holds them.
+    absorbed: tuple[str, ...] = ()
     status: str = "ok"
 
     @property
@@ -248,6 +250,65 @@ def _fit_lm(rows: DataFrame, y: str, terms: Sequence[Term]) -> Fit:
     return Fit("gaussian", y, d, beta, cov, stats, p_values=tails, aliased=aliased)
 
 
+def fit_lm_within(df: DataFrame, y: str, terms: Sequence[Term], absorb: str) -> Fit:
+    """Least squares with an intercept for every level of `absorb`, however many, without a column for any.
+
+    Cross-products about the levels' means are those about the overall means less those of the levels' means,
+    so no row meets its level, nothing per level comes to the driver, and a level holding most rows
+    costs its scan. Slopes are those of a fit with `absorb` as a factor; the intercept is the mean of the
+    levels' over the rows, `group_effects` their distances to it. Terms constant in every level are aliased.
+    """
+    with model_rows(df, y, absorb, *term_inputs(terms)) as rows:
+        return _fit_lm_within(rows, y, terms, absorb)
+
+
+def _fit_lm_within(rows: DataFrame, y: str, terms: Sequence[Term], absorb: str) -> Fit:
+    d = design(rows, terms)
+    names = [*[f"x{i}" for i in range(d.width)], "y"]
+    frame = d.select(rows, F.col(absorb).alias("_g"), F.col(y).cast("double").alias("y"))
+    means = frame.agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+    n = float(means["n"])
+    about = frame.select("_g", *[(F.col(c) - F.lit(means[c])).alias(c) for c in names])
+    levels = cut_lineage(per_key(about, ["_g"], *[F.sum(c).alias(c) for c in names]))
+    apart = levels.select(*[(F.col(c) / F.sqrt(ROWS)).alias(c) for c in names])
+    whole = np.array(gram(about, names), dtype=float)
+    within = whole - np.array(gram(apart, names), dtype=float)
+    varying = [j for j in range(d.width) if within[j, j] > 1e-11 * whole[j, j]]
+    used = [varying[j] for j in independent(within[np.ix_(varying, varying)])]
+    aliased, names_of = {d.names[j]: d.columns[j] for j in range(d.width) if j not in used}, d.names
+    d = d.only(used) if aliased else d
+    p, n_levels = len(used) + 1, levels.count()
+    left = n - n_levels - len(used)
+    stats = {"n": n, "parameters": n_levels + len(used), "levels": n_levels, "df_residual": left}
+    if left <= 0:
+        return Fit("gaussian", y, d, np.full(p, np.nan), np.full((p, p), np.nan), stats, aliased=aliased, status="too few rows")
+    cross, right = within[np.ix_(used, used)], within[used, -1]
+    slopes = np.linalg.solve(cross, right) if used else np.zeros(0)
+    centre = np.array([means[names[j]] for j in used], dtype=float)
+    residual = max(within[-1, -1] - slopes @ right, 0.0)
+    sigma2 = residual / left
+    inverse = np.linalg.inv(cross) if used else np.zeros((0, 0))
+    cov = sigma2 * np.block([
+        [np.array([[1 / n + centre @ inverse @ centre]]), -(centre @ inverse)[None, :]],
+        [-(inverse @ centre)[:, None], inverse],
+    ])
+    beta = np.append(means["y"] - slopes @ centre, slopes)
+    stats |= {
+        "sigma": float(np.sqrt(sigma2)), "deviance": float(residual),
+        "r2": float(1 - residual / whole[-1, -1]) if whole[-1, -1] else np.nan,
+        "r2_within": float(1 - residual / within[-1, -1]) if within[-1, -1] > 0 else np.nan,
+    }
+    effect = F.col("y")
+    for j, b in zip(used, slopes):
+        effect = effect - F.lit(float(b)) * F.col(names[j])
+    effects = levels.select(F.col("_g").alias(absorb), ROWS, (effect / F.col(ROWS)).alias("_effect"))
+    tails = [student_two_sided(b / s, left) if s > 0 else None for b, s in zip(beta, np.sqrt(np.diag(cov)))]
+    return Fit(
+        "gaussian", y, d, beta, cov, stats, p_values=tails, group=absorb, group_effects=effects, aliased=aliased,
+        absorbed=tuple(names_of[j] for j in range(len(names_of)) if j not in varying),
+    )
+
+
 def fit_glm(df: DataFrame, y: str, terms: Sequence[Term], family: str) -> Fit:
     """Logistic (`binomial`) or Poisson regression on Spark's own solver."""
     if family not in ("binomial", "poisson"):
@@ -384,7 +445,8 @@ def with_residual(df: DataFrame, fit: Fit, out: str = "residual") -> DataFrame:
 
     Random intercepts, where the fit has them, count as fitted.
     """
-    fitted = response_scale(fit, linear_predictor(fit))
+    open_terms = {name: c for name, c in fit.aliased.items() if name not in fit.absorbed}
+    fitted = response_scale(fit, linear_predictor(replace(fit, aliased=open_terms)))
     if fit.period_effects:
         pairs = [F.lit(v) for kv in fit.period_effects.items() for v in kv]
         fitted = fitted + F.try_element_at(F.create_map(*pairs), F.col(fit.period))

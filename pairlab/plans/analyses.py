@@ -6,6 +6,7 @@ Functions take column names, so they serve any table of the pair layout.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pairlab.functions.columns import binarize
 from pairlab.operators import mixed
 from pairlab.operators import regression as reg
 from pairlab.operators.design import Factor
-from pairlab.operators.inference import adjust_bh, proportion_test
+from pairlab.operators.inference import adjust_bh, pca, proportion_test
 from pairlab.operators.members import flag_members, level_grid, levels_of
 from pairlab.operators.scaling import prior_total, zscore
 from pairlab.operators.summary import count_by, rate_by, share_within, switching_ids
@@ -104,9 +105,25 @@ def level_effect(pairs: DataFrame, level: str, kind: str, flag: str, period: str
     return reg.marginal_predictions(fit, grid)
 
 
+def condition_fit(df: DataFrame, y: str, terms: Sequence, id_col: str, period: str) -> reg.Fit:
+    """A measure on size, next to random intercepts of individual and period."""
+    return mixed.fit_lmm(df, y, terms, id_col, period)
+
+
 def condition_index(df: DataFrame, y: str, terms: Sequence, id_col: str, period: str) -> DataFrame:
     """Residual of a measure on size, next to random intercepts of individual and period."""
-    return reg.with_residual(df, mixed.fit_lmm(df, y, terms, id_col, period), "condition")
+    return reg.with_residual(df, condition_fit(df, y, terms, id_col, period), "condition")
+
+
+def size_components(df: DataFrame, cols: Sequence[str], kind: str, kinds: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Principal components of size measures, each kind by itself: loadings, and the rows with their first score."""
+    loadings, scored = [], []
+    for k in kinds:
+        of = df.filter(F.col(kind) == k)
+        fit = pca(of, cols)
+        loadings.append(fit.loadings().select(F.lit(k).alias(kind), "*"))
+        scored.append(fit.with_scores(of).drop(*[f"PC{j + 2}" for j in range(len(cols) - 1)]))
+    return reduce(DataFrame.unionByName, loadings), reduce(DataFrame.unionByName, scored)
 
 
 def pair_class_counts(classes: DataFrame, group_id: str, pair: str) -> DataFrame:

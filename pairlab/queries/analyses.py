@@ -16,7 +16,7 @@ from pairlab.operators.scaling import zscore
 from pairlab.operators.summary import count_by, crosstab, crosstab_share, median_of
 from pairlab.plans import analyses as plan
 from pairlab.plans.standin import (
-    PRIORITIES, SIDES, clean, measured, paired_second_sides, pairs, with_priority,
+    KINDS, PRIORITIES, SIDES, clean, measured, paired_second_sides, pairs, with_priority,
 )
 from pairlab.queries.base import CLEAN, LEVELED, PAIRS, erfc, more, query, r, rounded
 from pairlab.queries.models import (
@@ -354,6 +354,40 @@ def condition_index(spark, folder):
     return out.select("grp", "ind", "mass", "condition")
 
 
+@query("Q14_condition_vif")
+def condition_vif(spark, folder):
+    """Variance inflation of the size measures in the model of the index."""
+    side = paired_second_sides(spark, folder).filter("kind = 'A'")
+    return reg.vif_of_coefficients(spark, plan.condition_fit(side, "mass", ["size_a", "disc"], "ind_hist", "period"))
+
+
+_COMPONENTS = """s AS (SELECT kind, corr(size_a, disc) AS r, avg(size_a) AS ma, stddev_samp(size_a) AS sa,
+  avg(disc) AS mb, stddev_samp(disc) AS sb FROM clean
+  WHERE role = 'O' AND n_rows = 2 AND size_a IS NOT NULL AND disc IS NOT NULL GROUP BY kind)"""
+
+
+def _components(spark, folder):
+    side = paired_second_sides(spark, folder)
+    return plan.size_components(side, ["size_a", "disc"], "kind", KINDS)
+
+
+@query("Q14_condition_components", more(CLEAN, _COMPONENTS) + f"""
+SELECT kind, component, variable, {r('loading')} AS loading, {r('sqrt(v)')} AS sd, {r('v / 2')} AS share FROM (
+  SELECT kind, 'PC1' AS component, 'size_a' AS variable, sqrt(0.5) AS loading, 1 + abs(r) AS v FROM s
+  UNION ALL SELECT kind, 'PC1', 'disc', sign(r) * sqrt(0.5), 1 + abs(r) FROM s
+  UNION ALL SELECT kind, 'PC2', 'size_a', sqrt(0.5), 1 - abs(r) FROM s
+  UNION ALL SELECT kind, 'PC2', 'disc', -sign(r) * sqrt(0.5), 1 - abs(r) FROM s)""")
+def condition_components(spark, folder):
+    return rounded(_components(spark, folder)[0], ["loading", "sd", "share"])
+
+
+@query("Q14_condition_scores", more(CLEAN, _COMPONENTS) + f"""
+SELECT kind, grp, line, {r('((size_a - ma) / sa + sign(r) * (disc - mb) / sb) * sqrt(0.5)', 5)} AS "PC1"
+FROM clean JOIN s USING (kind) WHERE role = 'O' AND n_rows = 2""")
+def condition_scores(spark, folder):
+    return rounded(_components(spark, folder)[1].select("kind", "grp", "line", "PC1"), ["PC1"], 5)
+
+
 @query("Q15_several_partners", CLEAN + """
 SELECT ind_hist, period, grp, n_entries FROM (
   SELECT ind_hist, period, grp, mixed, count(*) OVER (PARTITION BY ind_hist, period) AS n_entries

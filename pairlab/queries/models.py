@@ -148,6 +148,24 @@ w AS (SELECT max(b) FILTER (k = 'A' AND h = 0) AS a0, max(b) FILTER (k = 'A' AND
              max(v) FILTER (k = 'R' AND h = 0) AS vr0, max(v) FILTER (k = 'R' AND h = 1) AS vr1 FROM l)"""
 
 
+@query("M1_absorbed_individuals", more(OBS, """
+src AS (SELECT ind, mass AS y, size_a AS a, disc AS b FROM measured
+        WHERE ind IS NOT NULL AND mass IS NOT NULL AND size_a IS NOT NULL AND disc IS NOT NULL),
+w AS (SELECT y - avg(y) OVER i AS y, a - avg(a) OVER i AS a, b - avg(b) OVER i AS b FROM src WINDOW i AS (PARTITION BY ind)),
+s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS bo, sum(y * y) AS yy,
+  count(*) - 2 - (SELECT count(DISTINCT ind) FROM src) AS df FROM w),
+f AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * bo) / (aa * bb - ab * ab) AS ba,
+  (aa * bo - ab * ay) / (aa * bb - ab * ab) AS b2 FROM s),
+e AS (SELECT *, (yy - ba * ay - b2 * bo) / df AS s2 FROM f)""") + f"""
+SELECT 'size_a' AS term, {r('ba', 4)} AS estimate, {r('sqrt(s2 * bb / det)', 4)} AS se FROM e
+UNION ALL SELECT 'disc', {r('b2', 4)}, {r('sqrt(s2 * aa / det)', 4)} FROM e""")
+def absorbed_individuals(spark, folder):
+    """Slopes within individuals: one intercept for each of them, no column."""
+    fit = m.fit_lm_within(measured(spark, folder), "mass", ["size_a", "disc"], "ind")
+    table = m.coef_table(spark, fit).filter("term <> '(Intercept)'").select("term", "estimate", "se")
+    return rounded(table, ["estimate", "se"], 4)
+
+
 def _high(spark, folder):
     return pairs(spark, folder).withColumn("high", (F.col("disc_m") > 0.05).cast("int"))
 
@@ -179,6 +197,7 @@ def fit_report(spark, folder):
 
 PROFILE = """profile AS (
   SELECT ind_hist_f, count(*) FILTER (mixed = 0) AS n_partners, max(kind_f) AS kind_f, sum(mixed) AS n_flagged, CAST(sum(mixed) > 2 AS INTEGER) AS often,
+    CAST(sum(mixed) > 0 AS INTEGER) AS ever_flagged,
     sum(mixed) / count(DISTINCT period) AS share_periods,
     avg(mass_m) FILTER (mixed = 0) AS avg_mass, avg(size_a_m) FILTER (mixed = 0) AS avg_size,
     avg(disc_m) FILTER (mixed = 0) AS avg_disc, avg(adj_m) FILTER (mixed = 0) AS avg_adj
@@ -186,10 +205,11 @@ PROFILE = """profile AS (
 
 
 def batch_specs(predictors: tuple[str, ...] = ("avg_mass", "avg_size")) -> list[m.Spec]:
-    """Three responses by the predictors."""
+    """Four responses by the predictors."""
     return [
         m.Spec(f"{y}~{x}", family, y, x)
-        for y, family in (("often", "binomial"), ("n_flagged", "poisson"), ("share_periods", "poisson"))
+        for y, family in (
+            ("often", "binomial"), ("ever_flagged", "binomial"), ("n_flagged", "poisson"), ("share_periods", "poisson"))
         for x in predictors
     ]
 

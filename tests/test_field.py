@@ -130,6 +130,21 @@ def test_profile(wide):
     assert profile.sd_mass_m is None and profile.ever_flagged == 1
 
 
+def test_profile_sd_over_periods(spark):
+    """Periods with one, several and no measures; flagged rows and NULLs do not count."""
+    rows = [
+        ("a", 1, 0, 10.0), ("a", 1, 0, 14.0), ("a", 2, 0, 30.0), ("a", 3, 1, 99.0), ("a", 3, 0, None), ("a", 4, 0, -2.5),
+        ("b", 1, 0, 7.0), ("b", 2, 0, None), ("c", 1, 0, 1e6), ("c", 2, 0, 1e6), (None, 1, 0, 1.0), (None, 2, 0, 2.0),
+    ]
+    df = spark.createDataFrame(rows, "i string, t int, f int, x double")
+    args = (df, "i", "f", {"mean": "x"})
+    whole = {r.i: (r.mean, r.sd) for r in partner_profile(*args, sd_of={"sd": "x"}).collect()}
+    parts = {r.i: (r.mean, r.sd) for r in partner_profile(*args, sd_of={"sd": "x"}, period="t").collect()}
+    assert set(whole) == set(parts) == {"a", "b", "c", None}
+    for i in whole:
+        assert parts[i] == pytest.approx(whole[i])
+
+
 def test_scores_of_single_rows_are_null(cleaned, wide):
     patched = cleaned.withColumns({"sum_of_white_on_primaries": F.lit(50.0), "adj_wing_patch": F.lit(3.0)})
     scores = field.male_scores(patched)

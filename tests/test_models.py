@@ -462,3 +462,63 @@ def test_terms_that_the_grid_leaves_out(spark, sample):
     assert short["predicted"] == full["predicted"] and short["low"] == full["low"]
     mean = reg.marginal_predictions(fit, level_grid(spark, {"k": ["b"]}), df).first()
     assert mean["x"] == pytest.approx(pdf.x.mean())
+
+
+def test_absorbed_levels_equal_dummies(sample):
+    df, pdf = sample
+    with_nulls = df.withColumns({"same": F.col("g") * 2.0, "g": F.when(F.col("g") != 3, F.col("g"))})
+    fit = reg.fit_lm_within(with_nulls, "y", ["x", "same", "k"], "g")
+    kept = pdf[pdf.g != 3]
+    levels = sorted(kept.g.unique())
+    x = np.column_stack([kept.x, kept.k == "b", *[kept.g == v for v in levels]]).astype(float)
+    beta, (rss,), *_ = np.linalg.lstsq(x, kept.y, rcond=None)
+    left = len(kept) - x.shape[1]
+    cov = rss / left * np.linalg.inv(x.T @ x)
+    share = np.array([(kept.g == v).mean() for v in levels])
+    to_fit = np.zeros((3, x.shape[1]))
+    to_fit[0, 2:], to_fit[1, 0], to_fit[2, 1] = share, 1, 1
+    assert fit.names == ["(Intercept)", "x", "k[b]"] and list(fit.aliased) == ["same"]
+    assert np.allclose(fit.beta, to_fit @ beta) and np.allclose(fit.cov, to_fit @ cov @ to_fit.T)
+    assert (fit.stats["levels"], fit.stats["df_residual"]) == (len(levels), left)
+    assert fit.stats["sigma"] == pytest.approx(np.sqrt(rss / left))
+    effects = {r.g: r._effect for r in fit.group_effects.collect()}
+    assert np.allclose([effects[v] for v in levels], beta[2:] - share @ beta[2:])
+    residual = reg.with_residual(with_nulls, fit).toPandas()
+    assert residual.residual.isna().sum() == (pdf.g == 3).sum()
+    assert np.allclose(np.sort(residual.residual.dropna()), np.sort(kept.y - x @ beta))
+
+
+def test_absorbing_fifty_thousand_levels(spark):
+    """A third of the rows has one level; far more levels than a factor may list."""
+    n = 200_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50_000).alias("g"),
+        F.sin(F.col("id").cast("double")).alias("x"), F.cos(F.col("id") * 7.0).alias("noise"),
+    ).withColumn("y", 2 * F.col("x") + F.sqrt(F.abs(F.col("g")).cast("double")) + F.col("noise") / 10)
+    fit = reg.fit_lm_within(df, "y", ["x"], "g")
+    pdf = df.toPandas()
+    within = pdf[["x", "y"]] - pdf.groupby("g")[["x", "y"]].transform("mean")
+    assert fit.beta[1] == pytest.approx(within.x @ within.y / (within.x @ within.x))
+    assert fit.stats["levels"] == pdf.g.nunique() == 50_001
+
+
+def test_absorbing_needs_rows(spark):
+    one_each = spark.createDataFrame([(i, float(i), float(i * i)) for i in range(6)], "g int, x double, y double")
+    for df in (one_each, one_each.filter("false")):
+        fit = reg.fit_lm_within(df, "y", ["x"], "g")
+        assert fit.status == "too few rows"
+        assert {r.estimate for r in reg.coef_table(spark, fit).collect()} == {None}
+    alone = reg.fit_lm_within(one_each.withColumn("g", F.col("g") % 2), "y", [], "g")
+    assert np.allclose(alone.beta, [55 / 6]) and alone.stats["df_residual"] == 4
+
+
+def test_vif_of_a_mixed_fit(sample, spark):
+    df, pdf = sample
+    fit = mixed.fit_lmm(df, "y", ["x", "h"], "g")
+    theta = (fit.stats["group_sd"] / fit.stats["sigma"]) ** 2
+    x = dense(pdf, pdf.x, pdf.h)
+    same = np.equal.outer(pdf.g.to_numpy(), pdf.g.to_numpy())
+    cov = np.linalg.inv(x.T @ np.linalg.solve(np.eye(len(pdf)) + theta * same, x))
+    r = cov[1, 2] ** 2 / cov[1, 1] / cov[2, 2]
+    got = {row.term: row.vif for row in reg.vif_of_coefficients(spark, fit).collect()}
+    assert got == pytest.approx({"x": 1 / (1 - r), "h": 1 / (1 - r)})
