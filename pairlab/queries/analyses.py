@@ -20,7 +20,7 @@ from pairlab.plans.standin import (
 )
 from pairlab.queries.base import CLEAN, LEVELED, PAIRS, erfc, more, query, r, rounded
 from pairlab.queries.models import (
-    BATCH_COEFS, PROFILE, batch_models, batch_rounded, batch_specs, profiles,
+    BATCH_COEFS, OBSERVER, PROFILE, batch_models, batch_rounded, batch_specs, observer_ctes, observer_rounded, profiles,
 )
 from pairlab.session import cut_lineage
 
@@ -329,10 +329,11 @@ def boxes_by_period(spark, folder):
     return rounded(out.select("period", "kind_m", "n", "q1", "median", "q3"), ["q1", "median", "q3"], 4)
 
 
-@query("Q13_observer_effect")
+@query("Q13_observer_effect", more(CLEAN, "second AS (SELECT * FROM clean WHERE role = 'O' AND n_rows = 2)",
+                                   *observer_ctes("second", ["mass", "size_a", "disc", "adj"])) + OBSERVER)
 def observer_effect(spark, folder):
     side = with_priority(paired_second_sides(spark, folder), spark, folder)
-    return mixed.observer_effect(side, "priority", ["mass", "size_a", "disc", "adj"], "period")
+    return observer_rounded(mixed.observer_effect(side, "priority", ["mass", "size_a", "disc", "adj"], "period"))
 
 
 _SIDE_M = "side AS (SELECT * FROM clean WHERE role = 'O' AND n_rows = 2 AND mass IS NOT NULL AND size_a IS NOT NULL)"

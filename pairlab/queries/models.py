@@ -466,10 +466,65 @@ def effect_test(spark, folder):
     return rounded(out, ["statistic"], 5)
 
 
-@query("M16_observer_effect")
+def observer_ctes(table: str, measures: list[str]) -> list[str]:
+    """Restricted likelihood of measures on the five order priorities, random period, by a grid narrowed in rounds.
+
+    A matrix row per point holds the cross-products of the five levels and the measure; sweeping the levels
+    leaves the residual squares. The test compares them with those of the mean alone.
+    """
+    sweep = "m, ld FROM (SELECT * FROM m{i})"
+    for k in range(1, 6):
+        sweep = (f"[[m[i][j] - m[i][{k}] * m[{k}][j] / m[{k}][{k}] FOR j IN range(1, 7)] FOR i IN range(1, 7)] AS m, "
+                 f"ld + ln(m[{k}][{k}]) AS ld FROM (SELECT measure, th, alone, {sweep})")
+    out = [
+        "lng AS MATERIALIZED (" + " UNION ALL ".join(
+            f"SELECT '{m}' AS measure, o_orderpriority AS l, period AS g, CAST({m} AS DOUBLE) AS y "
+            f"FROM {table} JOIN orders ON grp = o_orderkey WHERE {m} IS NOT NULL AND period IS NOT NULL" for m in measures) + ")",
+        """cen AS MATERIALIZED (SELECT measure, g, dense_rank() OVER (PARTITION BY measure ORDER BY l) AS l,
+  y - avg(y) OVER (PARTITION BY measure) AS y FROM lng)""",
+        """v AS MATERIALIZED (SELECT measure, g, l AS j, CAST(count(*) AS DOUBLE) AS v FROM cen GROUP BY ALL
+  UNION ALL SELECT measure, g, 6, sum(y) FROM cen GROUP BY ALL)""",
+        "gn AS MATERIALIZED (SELECT measure, g, CAST(count(*) AS DOUBLE) AS n FROM cen GROUP BY ALL)",
+        """tot AS MATERIALIZED (SELECT measure, l AS a, l AS b, CAST(count(*) AS DOUBLE) AS t FROM cen GROUP BY ALL
+  UNION ALL SELECT measure, l, 6, sum(y) FROM cen GROUP BY ALL UNION ALL SELECT measure, 6, l, sum(y) FROM cen GROUP BY ALL
+  UNION ALL SELECT measure, 6, 6, sum(y * y) FROM cen GROUP BY ALL)""",
+        f"""p0 AS (SELECT DISTINCT measure, unnest(list_append([pow(10, {mixed.LEAST} + k * ({mixed.MOST} - ({mixed.LEAST})) / 32.0)
+  FOR k IN range(0, 33)], 0)) AS th FROM gn)""",
+    ]
+    for i in range(6):
+        width = f"({mixed.MOST} - ({mixed.LEAST})) / 32.0 / pow(16, {i})"
+        out += [
+            f"""o{i} AS (SELECT measure, th, x.j AS a, z.j AS b, sum(th / (1 + n * th) * x.v * z.v) AS o
+  FROM p{i} JOIN gn USING (measure) JOIN v x USING (measure, g) JOIN v z USING (measure, g) GROUP BY ALL)""",
+            f"""m{i} AS (SELECT measure, th, list(vals ORDER BY a) AS m, CAST(0 AS DOUBLE) AS ld,
+    sum(part) FILTER (a < 6) AS mm, sum(tail) FILTER (a < 6) AS my, sum(tail) FILTER (a = 6) AS yy, yy - my * my / mm AS alone
+  FROM (SELECT measure, th, a, list(coalesce(t, 0) - o ORDER BY b) AS vals,
+          sum(coalesce(t, 0) - o) FILTER (b < 6) AS part, sum(coalesce(t, 0) - o) FILTER (b = 6) AS tail
+        FROM o{i} LEFT JOIN tot USING (measure, a, b) GROUP BY measure, th, a) GROUP BY measure, th)""",
+            f"""c{i} AS MATERIALIZED (SELECT s.measure, th, any_value(alone) AS alone, any_value(m[6][6]) AS rss, sum(n) AS n,
+    (sum(n) - 5) * ln(any_value(m[6][6])) + any_value(ld) + sum(ln(1 + n * th)) AS crit
+  FROM (SELECT measure, th, alone, {sweep.format(i=i)}) s JOIN gn USING (measure) GROUP BY s.measure, th)""",
+            f"b{i} AS MATERIALIZED (SELECT measure, arg_min(th, crit) AS th FROM c{i} GROUP BY measure)",
+            f"""p{i + 1} AS (SELECT measure, unnest(CASE WHEN th = 0 THEN [CAST(0 AS DOUBLE)] ELSE list_distinct(list_append([pow(10, log10(th) - {width}
+  + k * {width} / 16) FOR k IN range(0, 33)], th)) END) AS th FROM b{i})""",
+        ]
+    return [*out, """told AS (SELECT measure, CAST(n AS BIGINT) AS n, sqrt(rss / (n - 5)) AS sigma, sqrt(rss / (n - 5) * th) AS group_sd,
+  (alone - rss) / (rss / (n - 5)) AS statistic FROM c5 JOIN b5 USING (measure, th))"""]
+
+
+# One statistic on four degrees of freedom.
+OBSERVER = f"""SELECT measure, n, {r('sigma', 4)} AS sigma, {r('group_sd', 2)} AS group_sd, {r('statistic', 4)} AS statistic,
+  CAST(4 AS INTEGER) AS df, {r('exp(-statistic / 2) * (1 + statistic / 2)', 5)} AS p_value FROM told"""
+
+
+def observer_rounded(df):
+    return rounded(df, {"sigma": 4, "group_sd": 2, "statistic": 4, "p_value": 5})
+
+
+@query("M16_observer_effect", more(OBS, *observer_ctes("measured", ["mass", "size_a"])) + OBSERVER)
 def observer(spark, folder):
     df = with_priority(measured(spark, folder), spark, folder)
-    return mixed.observer_effect(df, "priority", ["mass", "size_a"], "period")
+    return observer_rounded(mixed.observer_effect(df, "priority", ["mass", "size_a"], "period"))
 
 
 _CURVE = batch_ctes(
