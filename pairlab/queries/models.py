@@ -482,9 +482,10 @@ def observer_ctes(table: str, measures: list[str]) -> list[str]:
             f"FROM {table} JOIN orders ON grp = o_orderkey WHERE {m} IS NOT NULL AND period IS NOT NULL" for m in measures) + ")",
         """cen AS MATERIALIZED (SELECT measure, g, dense_rank() OVER (PARTITION BY measure ORDER BY l) AS l,
   y - avg(y) OVER (PARTITION BY measure) AS y FROM lng)""",
-        """v AS MATERIALIZED (SELECT measure, g, l AS j, CAST(count(*) AS DOUBLE) AS v FROM cen GROUP BY ALL
-  UNION ALL SELECT measure, g, 6, sum(y) FROM cen GROUP BY ALL)""",
         "gn AS MATERIALIZED (SELECT measure, g, CAST(count(*) AS DOUBLE) AS n FROM cen GROUP BY ALL)",
+        """v AS MATERIALIZED (SELECT measure, g, j, sum(v) AS v FROM (
+  SELECT measure, g, l AS j, 1.0::DOUBLE AS v FROM cen UNION ALL SELECT measure, g, 6, y FROM cen
+  UNION ALL SELECT measure, g, unnest(range(1, 7)), 0 FROM gn) GROUP BY ALL)""",
         """tot AS MATERIALIZED (SELECT measure, l AS a, l AS b, CAST(count(*) AS DOUBLE) AS t FROM cen GROUP BY ALL
   UNION ALL SELECT measure, l, 6, sum(y) FROM cen GROUP BY ALL UNION ALL SELECT measure, 6, l, sum(y) FROM cen GROUP BY ALL
   UNION ALL SELECT measure, 6, 6, sum(y * y) FROM cen GROUP BY ALL)""",
