@@ -35,6 +35,44 @@ def test_word_encoder(keep):
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_at_the_edges_of_the_plain_ones():
+    """Letters with odd lower cases, marks that compose, symbols, controls, parts of special tokens, broken bytes."""
+    tokenizer, rng = Tokenizer.from_file(WORD), random.Random(5)
+    letters = [chr(c) for c in [*range(0x21, 0x250), *range(0x300, 0x308), 0x3A3, 0x1E9E, 0x212A, 0x2028, 0x3000]]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(6000)]
+    words += [a + b for a in "aIİſßÅΣ²½'" for b in letters] + ["<|endoftext|>x", "<|ENDOFTEXT|>", "<", "|>", "<<||", "\x1c", "\x00a"]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + words[::7] + [" \t\x0b\x0c\r\n ", " a", "a "]
+    assert runs(*WordEncoder(WORD).encode([t.encode() for t in texts])) == [
+        e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)
+    ]
+    broken = [b"a\xc3", b"\xff, \xe2\x82 b\xc3\xa9\xc3", b"\x80" * 3, b"", None]
+    assert runs(*WordEncoder(WORD).encode(broken)) == [
+        tokenizer.encode((b or b"").decode("utf-8", "replace"), add_special_tokens=False).ids for b in broken
+    ]
+    assert [len(x) for x in WordEncoder(WORD).encode([])] == [0, 0]
+
+
+def test_words_met_again_outlast_a_full_memory():
+    """What recurs is tokenized once however many words that come once fill the memory."""
+
+    class Counting:
+        def __init__(self, model):
+            self.model, self.met = model, Counter()
+
+        def tokenize(self, piece):
+            self.met[piece] += 1
+            return self.model.tokenize(piece)
+
+    tokenizer, words = Tokenizer.from_file(WORD), WordEncoder(WORD, 60)
+    words.model = Counting(words.model)
+    for k in range(40):
+        once = "".join(chr(97 + int(d)) for d in str(10_000 + k))
+        text = "The words, the common ones: été. " + " ".join(once + c for c in "klmnopqrst")
+        assert runs(*words.encode([text.encode()])) == [tokenizer.encode(text, add_special_tokens=False).ids]
+        assert len(words) < 120
+    assert max(words.model.met[p] for p in ("the", "words", "common", "ones")) == 1
+
+
 @pytest.mark.parametrize("keep", [500_000, 10])
 def test_pair_index(keep):
     texts, tokenizer = made(4000), Tokenizer.from_file(BYTE)
