@@ -7,15 +7,16 @@ logistic one Breslow and Clayton's Laplace approximation with its exact gradient
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.operators import laplace
-from pairlab.operators.design import Factor, Term, design
+from pairlab.operators.design import Design, Factor, Term, design
 from pairlab.operators.members import levels_of
 from pairlab.operators.regression import Fit, estimable, gram, independent, model_rows, term_inputs, term_test
 from pairlab.operators.spread import FEW_KEYS, ROWS
@@ -267,60 +268,102 @@ def fit_glmm(
     its bound of 0 is told by `boundary` in the statistics.
     """
     with model_rows(df, y, group, *term_inputs(terms)) as rows:
-        return _fit_glmm(rows, y, terms, group, max_rounds)
+        return fit_glmms(rows, y, {"": terms}, group, max_rounds)[""]
 
 
-def _fit_glmm(
-    rows: DataFrame, y: str, terms: Sequence[Term], group: str, max_rounds: int
-) -> Fit:
-    d, aliased = estimable(rows, design(rows, terms))
-    p, xs = d.width + 1, [f"x{i}" for i in range(d.width)]
-    frame = d.select(rows, F.col(group).alias("_g"), F.col(y).cast("double").alias("y"))
-    if d.discrete:
-        frame = frame.groupBy("_g", *xs).agg(F.sum("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+def fit_glmms(
+    rows: DataFrame, y: str, models: Mapping[str, Sequence[Term]], group: str, max_rounds: int = 40
+) -> dict[str, Fit]:
+    """`fit_glmm` of several sets of terms on the same complete rows, which are dealt once and passed over together.
+
+    `rows` should be written or kept: they are read a few times before they are dealt.
+    """
+    designs = {name: design(rows, terms) for name, terms in models.items()}
+    fits = {}
+    for discrete in (True, False):  # only discrete models have rows that can be counted
+        some = {name: d for name, d in designs.items() if d.discrete == discrete}
+        if some:
+            fits |= _fit_glmms(rows, y, some, group, max_rounds, discrete)
+    return {name: fits[name] for name in models}
+
+
+def _fit_glmms(
+    rows: DataFrame, y: str, designs: Mapping[str, Design], group: str, max_rounds: int, discrete: bool
+) -> dict[str, Fit]:
+    columns: dict[str | tuple, Column] = {}
+    masks = []
+    for d in designs.values():
+        columns |= dict(zip(d.names, d.columns))
+        masks.append(tuple((c, d.reference[c], *d.blocks[c]) for c in d.known))
+        if d.known:  # missing in rows of levels that a model does not list
+            columns[masks[-1]] = F.when(reduce(lambda a, b: a & b, d.known.values()), 1.0)
+    order = {key: i for i, key in enumerate(columns)}
+    xs = [f"x{i}" for i in range(len(columns))]
+    frame = rows.select(
+        F.col(group).alias("_g"), F.col(y).cast("double").alias("y"), *[c.alias(x) for x, c in zip(xs, columns.values())])
+    if discrete:
+        frame = frame.groupBy("_g", *xs).agg(F.sum("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w")).persist()
     else:
         frame = frame.withColumn("w", F.lit(1.0))
-    frame = frame.persist()
     try:
-        moments = [F.sum(F.col("w") * F.col(x)) for x in xs] + [F.sum(F.col("w") * F.col(x) * F.col(x)) for x in xs]
-        n, ones, *sums = frame.agg(F.sum("w"), F.sum("y"), *moments).first()
-
-        def failed(status: str, **stats: float) -> Fit:
-            nothing = np.full((p, p), np.nan)
-            return Fit("binomial", y, d, nothing[0], nothing, {"n": n or 0.0, "parameters": p + 1} | stats,
-                       group=group, aliased=aliased, status=status)
-
-        if not n:
-            return failed("too few rows")
-        if ones == 0 or ones == n:
-            return failed("no variation")
+        blocks = laplace.Blocks(frame, len(xs))
+    finally:
+        if discrete:
+            frame.unpersist()
+    models = [laplace.Model([order[c] for c in d.names], order.get(mask)) for d, mask in zip(designs.values(), masks)]
+    fits: dict[str, Fit] = {}
+    open_ = {}
+    for (name, d), model, found in zip(designs.items(), models, blocks.moments(models)):
+        cross, n, ones = found.cross, found.cross[0, 0], found.ones
+        size = np.sqrt(np.maximum(np.diag(cross), 1e-300))
+        kept = [j - 1 for j in independent(cross / np.outer(size, size)) if j]
+        aliased = {d.names[j]: d.columns[j] for j in range(d.width) if j not in kept}
+        d = d.only(kept) if aliased else d
+        p = d.width + 1
+        nothing = np.full((p, p), np.nan)
+        fits[name] = Fit("binomial", y, d, nothing[0], nothing, {"n": n, "parameters": p + 1}, group=group, aliased=aliased)
+        if not n or ones == 0 or ones == n:
+            fits[name].status = "no variation" if n else "too few rows"
+            continue
         # columns about their means in units of their spread: one step fits all
-        mean = np.array(sums[: p - 1], float) / n
-        spread = np.sqrt(np.maximum(np.array(sums[p - 1 :], float) / n - mean**2, 0.0))
+        places_ = [j + 1 for j in kept]
+        mean = cross[0, places_] / n
+        spread = np.sqrt(np.maximum(np.diag(cross)[places_] / n - mean**2, 0.0))
         spread[spread == 0] = 1.0
-        level = [((F.col(x) - F.lit(float(m))) / F.lit(float(s))).alias(x) for x, m, s in zip(xs, mean, spread)]
-        blocks = laplace.Blocks(frame.select("_g", "y", "w", *level), d.width)
-    finally:
-        frame.unpersist()
-    share = ones / n
-    start = np.array([np.log(share / (1 - share)), *np.zeros(p - 1), 0.5])
-    scale = np.full(p + 1, 1.0 / np.sqrt(n * share * (1 - share)))
-    scale[-1] = max(scale[-1], 0.1 / np.sqrt(blocks.groups))
-    at, value, bend, converged, rounds = laplace.maximise(blocks, start, scale, max_rounds)
+        share = ones / n
+        scale = np.full(p + 1, 1.0 / np.sqrt(n * share * (1 - share)))
+        scale[-1] = max(scale[-1], 0.1 / np.sqrt(found.groups))
+        start = np.array([np.log(share / (1 - share)), *np.zeros(p - 1), 0.5])
+        level = laplace.Model([model.columns[j] for j in kept], model.mask, mean, spread)
+        open_[name] = (level, start, scale)
+    reached = laplace.maximise(blocks, *(list(a) for a in zip(*open_.values())), max_rounds) if open_ else []
+    for (name, (level, _, _)), at in zip(open_.items(), reached):
+        _estimates(fits[name], level, at)
+    ended = [(fits[name], level, at.point) for (name, (level, _, _)), at in zip(open_.items(), reached) if fits[name].status == "ok"]
+    if ended:
+        done, levels, points = zip(*ended)
+        for fit, effects in zip(done, blocks.effects(levels, points)):
+            fit.level_effects = effects.withColumnRenamed("_g", group)
+    return fits
+
+
+def _estimates(fit: Fit, level: laplace.Model, reached: laplace.Reached) -> None:
+    """What a search of the levelled columns has found, in terms of the columns themselves."""
+    p, at, bend = fit.design.width + 1, reached.point, reached.sums.bend
     information = -bend[:p, :p]
-    if not converged or not blocks.settled or len(independent(information, 1e-7)) < p:
-        return failed("not converged", rounds=rounds)
-    at[-1] = abs(at[-1])
+    if not reached.converged or len(independent(information, 1e-7)) < p:
+        fit.status = "not converged"
+        fit.stats |= {"rounds": reached.rounds}
+        return
+    at = np.append(at[:-1], abs(at[-1]))
     boundary = bool(at[-1] < 1e-3)
     curve = information if boundary else -bend  # at the bound the sd says nothing about the coefficients
     back = np.eye(p)
-    back[1:, 1:] = np.diag(1.0 / spread)
-    back[0, 1:] = -mean / spread
-    cov = back @ np.linalg.inv(curve)[:p, :p] @ back.T
-    stats = {
-        "n": n, "parameters": p + 1, "log_likelihood": float(value), "aic": float(-2 * value + 2 * (p + 1)),
-        "group_sd": float(at[-1]), "boundary": float(boundary), "rounds": rounds, "passes": blocks.passes,
+    back[1:, 1:] = np.diag(1.0 / level.spread)
+    back[0, 1:] = -level.mean / level.spread
+    fit.beta, fit.cov = back @ at[:p], back @ np.linalg.inv(curve)[:p, :p] @ back.T
+    value = reached.sums.value
+    fit.stats |= {
+        "log_likelihood": float(value), "aic": float(-2 * value + 2 * (p + 1)),
+        "group_sd": float(at[-1]), "boundary": float(boundary), "rounds": reached.rounds, "passes": reached.passes,
     }
-    fit = Fit("binomial", y, d, back @ at[:p], cov, stats, group=group, aliased=aliased)
-    fit.level_effects = blocks.effects(at).withColumnRenamed("_g", group)
-    return fit

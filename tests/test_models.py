@@ -13,6 +13,7 @@ from pairlab.operators import charts, inference, laplace, mixed
 from pairlab.operators import regression as reg
 from pairlab.operators.design import Factor, design
 from pairlab.operators.members import level_grid, levels_of
+from pairlab.plans import analyses
 
 
 @pytest.fixture(scope="module")
@@ -244,6 +245,63 @@ def test_mixed_logistic_maximises_the_laplace_likelihood(sample, monkeypatch, te
     assert np.allclose(fit.se(), np.sqrt(np.diag(np.linalg.inv(-hessian)))[:-1], rtol=1e-3)
 
 
+@pytest.mark.parametrize("point", [(0.2, -0.5, 0.3, 0.8), (0.2, -0.5, 0.3, 2.7), (0.2, 0.1, 0.3, 0.0)])
+def test_curvature_of_the_laplace_likelihood(point):
+    """Gradient and curvature against differences, of groups of one row in two ways."""
+    rng, point, h = np.random.default_rng(8), np.array(point), 1e-5
+    for sizes in ([1] * 60, [2, 5, 1, 40, 3] * 4):
+        n = sum(sizes)
+        x, w = np.vstack([np.ones(n), rng.normal(size=(2, n))]), rng.integers(1, 4, n).astype(float)
+        y, starts = rng.binomial(w.astype(int), 0.4).astype(float), np.cumsum([0, *sizes[:-1]])
+        at = lambda p: laplace.several_rows(p, x, y, w, starts)[0]
+        moves, here = h * np.eye(4), at(point)
+        assert np.allclose(here.slope, [(at(point + m).value - at(point - m).value) / (2 * h) for m in moves], atol=1e-6)
+        assert np.allclose(here.bend, [(at(point + m).slope - at(point - m).slope) / (2 * h) for m in moves], atol=1e-4)
+        if max(sizes) == 1:
+            one = laplace.single_rows(point, x, y, w)[0]
+            assert np.allclose(one.flat(), here.flat(), rtol=1e-12, atol=1e-10)
+
+
+def test_no_group_effect_in_few_passes(spark):
+    """Nearly every group is one row and the random sd is 0: steps in the sd would only cut it by a third each."""
+    rng = np.random.default_rng(2)
+    n = 20_000
+    pdf = pd.DataFrame({"g": np.where(np.arange(n) < n // 20, np.arange(n) // 2, np.arange(n)), "x": rng.normal(size=n)})
+    pdf["b"] = (rng.random(n) < logistic(0.1 + 0.2 * pdf.x)).astype(int)
+    # a pair of opposites each: the rows of a group are less alike than chance makes them
+    pdf.loc[: n // 20 - 1, "b"] = np.arange(n // 20) % 2
+    df = spark.createDataFrame(pdf)
+    fit = mixed.fit_glmm(df, "b", ["x"], "g")
+    plain = reg.fit_glm(df, "b", ["x"], "binomial")
+    assert fit.stats["boundary"] and fit.stats["group_sd"] == 0 and fit.stats["passes"] <= 6
+    assert np.allclose(fit.beta, plain.beta, atol=1e-7) and np.allclose(fit.cov, plain.cov, rtol=1e-5)
+    assert fit.level_effects.filter("effect = 0").count() == pdf.g.nunique()
+
+
+@pytest.mark.parametrize("piece", [None, 36])
+def test_models_of_the_same_rows_are_dealt_once(sample, monkeypatch, piece):
+    """Each as if fitted alone: rows of unlisted levels count for the models that do not list levels."""
+    df, pdf = sample
+    alone = {
+        "x": mixed.fit_glmm(df, "b", ["x"], "g"), "both": mixed.fit_glmm(df, "b", ["x", "k"], "g"),
+        "some": mixed.fit_glmm(df.filter("h < 2"), "b", ["x", Factor("h")], "g"), "again": mixed.fit_glmm(df, "b", ["x", "h"], "g"),
+    }
+    if piece:
+        monkeypatch.setattr(laplace, "piece_rows", lambda spark: piece)
+    monkeypatch.setattr(laplace, "LEAST_ROWS", 300)
+    dealt = []
+    monkeypatch.setattr(laplace, "Blocks", lambda *a, real=laplace.Blocks: dealt.append(real(*a)) or dealt[-1])
+    models = {"x": ["x"], "both": ["x", "k"], "some": ["x", Factor("h", (0, 1))], "again": ["x", "h", "one"]}
+    fits = analyses.intercept_models(df.withColumn("one", F.lit(1.0)), "b", models, "g")
+    assert len(dealt) == 1 and list(fits) == list(models) and list(fits["again"].aliased) == ["one"]
+    for name, fit in fits.items():
+        assert fit.stats["n"] == alone[name].stats["n"] == ((pdf.h < 2).sum() if name == "some" else len(pdf))
+        assert fit.stats["log_likelihood"] == pytest.approx(alone[name].stats["log_likelihood"], abs=1e-7)
+        assert np.allclose(fit.beta, alone[name].beta, atol=1e-6) and np.allclose(fit.cov, alone[name].cov, rtol=1e-4)
+        effects, same = ({r["g"]: r["effect"] for r in f.level_effects.collect()} for f in (fit, alone[name]))
+        assert effects == pytest.approx(same, abs=1e-6) and len(effects) == pdf.g.nunique()
+
+
 def test_predictions_and_band(sample, spark):
     df, _ = sample
     fit = reg.fit_glm(df, "b", [("h", "k")], "binomial")
