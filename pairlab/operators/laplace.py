@@ -34,6 +34,8 @@ BLOCK_ROWS, LEAST_ROWS = 1 << 17, 1 << 12
 BUCKETS = 1 << 16
 #: Rows and bytes that a task packs at once for the blocks, and rows that are evaluated at once.
 DEALT_ROWS, DEALT_BYTES, CHUNK_ROWS = 1 << 20, 1 << 26, 1 << 13
+#: Columns of 0 and 1 that travel in one whole number.
+WORD = 62
 #: A search moves an effect, which is standard normal, by at most this much in a step; its last step leaves an
 #: error of about the square.
 LARGEST_STEP, SETTLED, MOST_STEPS = 2.0, 1e-7, 100
@@ -261,16 +263,17 @@ _BODY = ("n", "several", "starts", "distinct", "values")
 
 
 class Blocks:
-    """A frame (_g, x0.., y, w) dealt by group, and passes over it for all models of its columns.
+    """A frame (_g, y, x0.., f0..) dealt by group, and passes over it for all models of its columns.
 
-    A column is NaN or NULL in rows that the models of the column do not know.
+    `w` counts rows; without it every row is one. A bit of f0.. is a column of 0 and 1 behind x0.., as a row costs as
+    much time per value that leaves the JVM whatever its size; `flags` says which of them are masks, NaN instead of 0.
     """
 
-    def __init__(self, frame: DataFrame, width: int):
+    def __init__(self, frame: DataFrame, flags: Sequence[bool] = ()):
         self.spark, self.passes = frame.sparkSession, 0
         self.kind = frame.schema["_g"].dataType
         limit = piece_rows(self.spark)
-        frame = frame.select("_g", "y", "w", *[f"x{i}" for i in range(width)])
+        columns = frame.columns
         bucket = F.pmod(F.xxhash64("_g"), F.lit(BUCKETS)).alias("_bucket")
         counted = per_key(frame.select(bucket), ["_bucket"])
         largest, total = counted.agg(F.max(ROWS), F.sum(ROWS)).first()
@@ -294,9 +297,9 @@ class Blocks:
             frame = null_safe_join(frame, F.broadcast(hot), ["_g"], "left")
             dealt = F.coalesce(F.col("_first") + spread, dealt)
         self.whole = blocks  # blocks from here on are pieces
-        self.table = cut_lineage(self._dealt(frame.select(dealt.cast("long").alias("_block"), "_g", "y", "w", *[f"x{i}" for i in range(width)])))
+        self.table = cut_lineage(self._dealt(frame.select(dealt.cast("long").alias("_block"), *columns), flags))
 
-    def _dealt(self, frame: DataFrame) -> DataFrame:
+    def _dealt(self, frame: DataFrame, flags: Sequence[bool]) -> DataFrame:
         sent = to_arrow_schema(T.StructType([T.StructField("_block", T.LongType()), T.StructField("_rows", T.BinaryType())]))
         schema = T.StructType([
             T.StructField("block", T.LongType()), T.StructField("n", T.LongType()), T.StructField("several", T.LongType()),
@@ -338,7 +341,12 @@ class Blocks:
             order = np.argsort(np.where(many, code, len(code)), kind="stable")
             code, several = code[order], int(many.sum())
             starts = np.flatnonzero(np.diff(code[:several], prepend=-1)).astype(np.int64)
-            columns = [encode(rows.column(c).to_numpy()[order]) for c in rows.column_names if c != "_g"]
+            values = {c: rows.column(c).to_numpy()[order] for c in rows.column_names if c != "_g"}
+            columns = [encode(values["y"]), encode(values["w"] if "w" in values else np.ones(len(code)))]
+            columns += [encode(v) for c, v in values.items() if c[0] == "x"]
+            for i, mask in enumerate(flags):
+                bits = (values[f"f{i // WORD}"] >> (i % WORD)) & 1
+                columns.append((np.array([np.nan if mask else 0.0, 1.0]).tobytes(), bits.astype(np.uint8).tobytes()))
             of = keys.dictionary.take(pa.array(code[np.append(starts, np.arange(several, len(code)))]))
             body = [[block], [len(code)], [several], [starts.tobytes()], None, [[a for a, _ in columns]], [[b for _, b in columns]]]
             arrays = [pa.array(b, f.type) if b else pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), of).cast(f.type)

@@ -290,23 +290,29 @@ def fit_glmms(
 def _fit_glmms(
     rows: DataFrame, y: str, designs: Mapping[str, Design], group: str, max_rounds: int, discrete: bool
 ) -> dict[str, Fit]:
-    columns: dict[str | tuple, Column] = {}
+    numbers: dict[str, Column] = {}
+    flags: dict[str | tuple, Column] = {}
     masks = []
     for d in designs.values():
-        columns |= dict(zip(d.names, d.columns))
+        dummies = {name for c in d.reference for name in d.blocks[c]}
+        for name, c in zip(d.names, d.columns):
+            if name in dummies:
+                flags[name] = c == 1.0
+            else:
+                numbers[name] = c
         masks.append(tuple((c, d.reference[c], *d.blocks[c]) for c in d.known))
-        if d.known:  # missing in rows of levels that a model does not list
-            columns[masks[-1]] = F.when(reduce(lambda a, b: a & b, d.known.values()), 1.0)
-    order = {key: i for i, key in enumerate(columns)}
-    xs = [f"x{i}" for i in range(len(columns))]
-    frame = rows.select(
-        F.col(group).alias("_g"), F.col(y).cast("double").alias("y"), *[c.alias(x) for x, c in zip(xs, columns.values())])
+        if d.known:  # rows of levels that a model does not list are none of its rows
+            flags[masks[-1]] = reduce(lambda a, b: a & b, d.known.values())
+    order = {key: i for i, key in enumerate([*numbers, *flags])}
+    bits = [F.when(c, F.lit(1 << i % laplace.WORD)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(flags.values())]
+    words = [reduce(lambda a, b: a + b, bits[i : i + laplace.WORD]) for i in range(0, len(bits), laplace.WORD)]
+    columns = [c.alias(f"{kind}{i}") for kind, some in (("x", numbers.values()), ("f", words)) for i, c in enumerate(some)]
+    frame = rows.select(F.col(group).alias("_g"), F.col(y).cast("double").alias("y"), *columns)
     if discrete:
-        frame = frame.groupBy("_g", *xs).agg(F.sum("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w")).persist()
-    else:
-        frame = frame.withColumn("w", F.lit(1.0))
+        patterns = [c for c in frame.columns if c != "y"]
+        frame = frame.groupBy(*patterns).agg(F.sum("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w")).persist()
     try:
-        blocks = laplace.Blocks(frame, len(xs))
+        blocks = laplace.Blocks(frame, [isinstance(key, tuple) for key in flags])
     finally:
         if discrete:
             frame.unpersist()

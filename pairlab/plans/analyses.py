@@ -88,8 +88,11 @@ def level_models(pairs: DataFrame, levels: Sequence, kind: str, flag: str, perio
 
 
 def intercept_models(df: DataFrame, flag: str, models: dict[str, Sequence], group: str) -> dict[str, reg.Fit]:
-    """Logistic models of several sets of terms on the same complete rows, random `group`."""
-    rows = cut_lineage(df.select(*dict.fromkeys([flag, group, *(c for terms in models.values() for c in reg.term_inputs(terms))])).dropna())
+    """Logistic models of several sets of terms on the same complete rows, random `group`.
+
+    `df` is read a few times: what is costly to find should be written.
+    """
+    rows = df.select(*dict.fromkeys([flag, group, *(c for terms in models.values() for c in reg.term_inputs(terms))])).dropna()
     return mixed.fit_glmms(rows, flag, models, group)
 
 

@@ -272,16 +272,21 @@ _FIRST = {
 }
 
 
+def _first_models(spark, folder):
+    df = cut_lineage(pairs(spark, folder).select("mixed", "period", *dict.fromkeys(c for terms in _FIRST.values() for c in terms)))
+    return plan.intercept_models(df, "mixed", _FIRST, "period")
+
+
 @query("Q17_first_models")
 def first_models(spark, folder):
     """Five models of the second side's measures with a period intercept."""
-    return reg.coef_tables(spark, plan.intercept_models(pairs(spark, folder), "mixed", _FIRST, "period"))
+    return reg.coef_tables(spark, _first_models(spark, folder))
 
 
 @query("Q17_first_models_aic")
 def first_models_aic(spark, folder):
     """The same five, compared."""
-    fits = plan.intercept_models(pairs(spark, folder), "mixed", _FIRST, "period")
+    fits = _first_models(spark, folder)
     return reg.compare_fits(spark, {k: f for k, f in fits.items() if f.status == "ok"})
 
 
@@ -293,8 +298,10 @@ _INDIVIDUAL = {
 
 def _individual_models(spark, folder):
     """Which side an observation is of, by its scaled measures, with an intercept per individual."""
-    df = with_priority(measured(spark, folder), spark, folder)
-    z = zscore(df.dropna(subset=["mass", "size_a"]), ["kind"], ["adj", "mass", "disc", "tax"])
+    # the means and the models start from the same join: write it once
+    df = with_priority(measured(spark, folder), spark, folder).dropna(subset=["mass", "size_a"])
+    df = cut_lineage(df.select("ind", "role", "kind", "priority", "adj", "mass", "disc", "tax"))
+    z = zscore(df, ["kind"], ["adj", "mass", "disc", "tax"])
     z = z.withColumns({f"{c}_k": F.col(f"z_{c}") for c in ("adj", "mass", "disc", "tax")})
     z = z.withColumn("first_side", (F.col("role") == "F").cast("int"))
     return plan.intercept_models(z, "first_side", _INDIVIDUAL, "ind")

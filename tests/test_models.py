@@ -14,6 +14,7 @@ from pairlab.operators import regression as reg
 from pairlab.operators.design import Factor, design
 from pairlab.operators.members import level_grid, levels_of
 from pairlab.plans import analyses
+from pairlab.queries import analyses as whole
 
 
 @pytest.fixture(scope="module")
@@ -302,6 +303,37 @@ def test_models_of_the_same_rows_are_dealt_once(sample, monkeypatch, piece):
         assert effects == pytest.approx(same, abs=1e-6) and len(effects) == pdf.g.nunique()
 
 
+def test_inflation_of_the_individual_models(spark, monkeypatch):
+    """All four models of the query from one deal of rows whose join was evaluated once."""
+    folder, dealt, fitted, joined = "/root/testdata/sf0.001", [], [], []
+    monkeypatch.setattr(laplace, "Blocks", lambda *a, real=laplace.Blocks: dealt.append(real(*a)) or dealt[-1])
+    monkeypatch.setattr(mixed, "fit_glmms", lambda *a, real=mixed.fit_glmms: fitted.append(real(*a)) or fitted[-1])
+    monkeypatch.setattr(whole, "zscore", lambda df, *a, real=whole.zscore: joined.append(df) or real(df, *a))
+    got = {r["term"]: r for r in whole.individual_models_vif(spark, folder).collect()}
+    assert len(dealt) == len(fitted) == 1 and list(fitted[0]) == ["m6", "m8", "m9", "m10"]
+    assert "Join" not in joined[0]._jdf.queryExecution().optimizedPlan().toString()
+    fit = fitted[0]["m10"]
+    assert fit.status == "ok" and list(got) and got["priority"]["df"] == 4
+    by_hand = np.diag(fit.cov)[1:] * np.diag(np.linalg.inv(fit.cov[1:, 1:]))
+    for name, value in zip(fit.design.names, by_hand):
+        if name in got:
+            assert got[name]["vif"] == pytest.approx(value, rel=1e-9)
+
+
+def test_many_dummies_travel_as_bits(spark):
+    """More columns of 0 and 1 than one whole number holds, next to a number, against the plain fit."""
+    rng = np.random.default_rng(4)
+    n = 4_000
+    pdf = pd.DataFrame({"g": np.arange(n), "x": rng.normal(size=n), "k": rng.integers(0, 70, n), "h": rng.choice(["a", "b"], n)})
+    pdf["b"] = (rng.random(n) < logistic(0.4 * pdf.x + 0.05 * (pdf.k - 35) - (pdf.h == "b"))).astype(int)
+    df = spark.createDataFrame(pdf)
+    fit, plain = mixed.fit_glmm(df, "b", ["x", Factor("k"), "h"], "g"), reg.fit_glm(df, "b", ["x", Factor("k"), "h"], "binomial")
+    assert fit.names == plain.names and fit.status == "ok" and len(fit.names) == 72
+    if fit.stats["boundary"]:
+        assert np.allclose(fit.beta, plain.beta, atol=1e-5) and np.allclose(fit.se(), plain.se(), rtol=1e-3)
+    assert np.abs(fit.beta / fit.se() - plain.beta / plain.se()).max() < 0.5
+
+
 def test_predictions_and_band(sample, spark):
     df, _ = sample
     fit = reg.fit_glm(df, "b", [("h", "k")], "binomial")
