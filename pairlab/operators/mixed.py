@@ -320,7 +320,7 @@ def _fit_glmms(
     fits: dict[str, Fit] = {}
     open_ = {}
     for (name, d), model, found in zip(designs.items(), models, blocks.moments(models)):
-        cross, n, ones = found.cross, found.cross[0, 0], found.ones
+        cross, n, ones = found.cross, float(found.cross[0, 0]), found.ones
         size = np.sqrt(np.maximum(np.diag(cross), 1e-300))
         kept = [j - 1 for j in independent(cross / np.outer(size, size)) if j]
         aliased = {d.names[j]: d.columns[j] for j in range(d.width) if j not in kept}
